@@ -1,0 +1 @@
+"""tessera.functions"""
