@@ -53,3 +53,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Total UTF-8 bytes of a text column: one scan, one number."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal df out by keys to as many tasks as the session has shuffle partitions, however few its bytes are:
+    for steps that cost far more time than their input's size tells."""
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys)
