@@ -1,10 +1,6 @@
 """The queries of the engine's own operators, and the SQL they are checked against."""
 
-from __future__ import annotations
+from tessera.plans import behaviour, corpus, evaluation, metrics, relational, retrieval, scheduling, sessions  # noqa: F401
+from tessera.plans.base import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
