@@ -185,7 +185,7 @@ def test_anchored_limit(spark):
 
 
 def test_stream_protocol():
-    got = sessions.parse_stream('[THOUGHT][a]think[REPLY][b] hi [SOURCES][{"x": 1}][REP')
+    got = sessions.parse_stream('[THOUGHT][a]think[REPLY][b] hi [SOURCES] [{"x": 1}][REP')
     assert (got["reply"], got["agent"], got["thoughts"], got["sources"]) == ("hi", "b", [{"agent": "a", "content": "think"}], '[{"x": 1}]')
     assert sessions.parse_stream("[TH")["reply"] == "" and sessions.parse_stream("hello [RE")["reply"] == "hello "
 
