@@ -1,0 +1,252 @@
+"""The operators against brute force on small tables with nulls, empties, ties, copies and clashing columns."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from tessera.llm import components, embeddings, fingerprint, html, jaccard, lines, quality, sharding, suffixes
+
+random.seed(3)
+WORDS = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu", "nu", "xi", "omikron", "pi"]
+sentence = lambda n: " ".join(random.choice(WORDS) for _ in range(n))
+
+
+def corpus():
+    base = [sentence(random.randint(5, 120)) + "\n" + sentence(12) for _ in range(25)]
+    near = [" ".join(w if random.random() > 0.02 else "changed" for w in base[0].split(" ")) for _ in range(15)]
+    return [None, "", " ", "\n", "one", "one two", *base, *near, base[3], base[3], "long " * 5000, base[4] + "\n" + base[5], "Ünï çødé ä " * 20]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return dict(enumerate(corpus()))
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_passages(docs_of, texts):
+    got = by_id(suffixes.passage_report(docs_of([*texts.items()]), block_bytes=3000))
+    seen, total = set(), 0
+    for i, text in sorted(texts.items()):
+        data = (text or "").encode()
+        mask, new = np.zeros(len(data), bool), set()
+        for j in range(len(data) - 49):
+            w = data[j : j + 50]
+            if w in seen:
+                mask[j : j + 50] = True
+            new.add(w)
+        seen |= new
+        kept = bytes(b for b, m in zip(data, mask) if not m)
+        spans = sum(1 for j in range(len(mask)) if mask[j] and (not j or not mask[j - 1]))
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(data), int(mask.sum()), spans, hashlib.sha256(kept).hexdigest())
+        total += int(mask.sum())
+    assert total and len(got) == len(texts)
+
+
+@pytest.mark.parametrize("letters", [1, 2, 4])
+def test_suffix_array(letters):
+    for n in (1, 2, 50, 400):
+        text = np.random.default_rng(n).integers(97, 97 + letters, n).astype("u1")
+        raw = text.tobytes()
+        assert suffixes.suffix_array(text, n + 8).tolist() == sorted(range(n), key=lambda i: raw[i:])
+
+
+def grams(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("task_grams", [400_000, 200])
+def test_jaccard(docs_of, texts, task_grams):
+    got = by_id(jaccard.near_documents(docs_of([*texts.items()]), task_grams=task_grams))
+    sets = {i: grams(t) for i, t in texts.items()}
+    linked = {i: {j for j in sets if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in sets}
+    group = {i: i for i in sets}
+    for _ in sets:
+        group = {i: min([group[i], *(group[j] for j in linked[i])]) for i in sets}
+    for i in sets:
+        assert (got[i].n_links, got[i].class_id, got[i].kept) == (len(linked[i]), group[i], group[i] == i)
+    kept = jaccard.one_of_each_group(docs_of([*texts.items()]))
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in sorted(sets) if group[i] == i] and "class_id" in kept.columns
+
+
+def test_bands():
+    bands, rows = jaccard.bands_and_rows(0.8, 0.999)
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.999
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in components.connected_components(links).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[100] == got[95] == got[90] == 90
+    assert components.connected_components(links.limit(0)).count() == 0
+
+
+def dropped(texts):
+    sets, order, first = {}, [], {}
+    for i, text in sorted(texts.items()):
+        for k, line in enumerate((text or "").split("\n")):
+            s = frozenset(x for x in line.lower().replace("\t", " ").replace("\r", " ").split(" ") if x)
+            sets[i, k] = s
+            if len(s) >= 5 and s not in first:
+                first[s] = (i, k)
+                order.append(s)
+    gone = {s for n, s in enumerate(order) if any(len(s & o) >= 0.8 * len(s | o) for o in order[:n])}
+    return {p for p, s in sets.items() if len(s) >= 5 and (s in gone or first[s] != p)}
+
+
+def test_lines(docs_of, texts):
+    lost = dropped(texts)
+    got = by_id(lines.line_report(docs_of([*texts.items()])))
+    for i, text in texts.items():
+        assert got[i].removed_lines == ",".join(str(k) for j, k in sorted(lost) if j == i) and got[i].n_lines == (text or "").count("\n") + 1
+    kept = by_id(lines.dedup_lines(docs_of([*texts.items()])))
+    for i, text in texts.items():
+        want = "\n".join(x for k, x in enumerate((text or "").split("\n")) if (i, k) not in lost)
+        if (i, 0) in lost and not want.strip(" "):
+            assert i not in kept
+        else:
+            assert (kept[i].text or "") == want
+
+
+def test_lines_with_repeated_ids(docs_of):
+    got = lines.line_report(docs_of([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "x")])).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in got) == [("1", 1), ("1", 1), ("2", 0), ("None", 0)]
+
+
+def test_fingerprints(docs_of, texts):
+    got = by_id(fingerprint.fingerprint_documents(docs_of([*texts.items()])))
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        text, after = texts[i] or "", texts[ids[(n + 1) % len(ids)]] or ""
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= got[i].near_edited <= 1 and (got[i].fingerprint == got[i].edited_fingerprint) == (text == edited)
+    same = {}
+    for i, text in texts.items():
+        same.setdefault(text or "", set()).add(got[i].fingerprint)
+    assert all(len(s) == 1 for s in same.values()) and len({x for s in same.values() for x in s}) == len(same)
+    alone = fingerprint.fingerprint_documents(docs_of([(5, "abcd")])).collect()
+    assert alone[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+    assert fingerprint.fingerprint_documents(docs_of([(1, "x")]).limit(0)).count() == 0
+
+
+def test_shards(docs_of, texts):
+    got = by_id(sharding.shard_documents(docs_of([*texts.items()]), 8))
+    counts = [sorted(r.slot for r in got.values() if r.shard == k) for k in range(8)]
+    assert all(c == list(range(len(c))) for c in counts) and max(map(len, counts)) - min(map(len, counts)) <= 1
+    for i, text in texts.items():
+        data = (text or "").encode()
+        assert (got[i].size, got[i].text_crc32) == (len(data) + 1, zlib.crc32(data))
+    assert sharding.shard_documents(docs_of([(1, "x")]).limit(0)).count() == 0
+
+
+def test_hilbert_is_a_curve():
+    bits = 3
+    cells = sorted(((a, b, c) for a in range(8) for b in range(8) for c in range(8)), key=lambda p: sharding.hilbert_value(p, bits))
+    assert all(sum(abs(x - y) for x, y in zip(p, q)) == 1 for p, q in zip(cells, cells[1:]))
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((300, 16))
+    near = base[:60] + 0.15 * rng.standard_normal((60, 16))
+    rows = [(i, v.tolist(), 0, "x") for i, v in enumerate([*base, *near, *near[:5], *([base[0]] * 9)])]
+    rows += [(900, None, 0, "x"), (901, [0.0] * 16, 0, "x"), (902, [float("nan")] * 16, 0, "x"), (903, [1.0, None] * 8, 0, "x"), (904, [], 0, "x"), (905, [1.0], 0, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep string")
+    got = {r.vec_id: r for r in embeddings.near_vectors(df, leaf=40, tile=16).collect()}
+    points = np.array([r[1] for r in rows[:-6]])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    want = points @ points.T >= 0.9
+    assert len(got) == len(rows)
+    found, real = sum(got[i].n_links for i in range(len(points))), int(want.sum()) - len(points)
+    assert 0.9 * real <= found <= real
+    for i in range(900, 905):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
+    assert embeddings.near_vectors(df.limit(0)).count() == 0
+
+
+PAGE = """<html><body><nav><a href=1>menu</a></nav><header>Site</header><div class="cookie-notice">we use cookies</div><aside>side</aside>
+<article><h1>Title &amp; more</h1><p>First   <b>bold</b>\n text.<p>Second &eacute;&#33;<script>x("</p>")</script><form><p>mail</p></form><ul><li>a<li>b</ul></article>
+<section id="comments"><p>A reader says something that is rather long, longer than the article itself, so it seems.</p></section><footer>end</footer></body>"""
+
+
+def test_pages(spark):
+    rows = [(1, "u", PAGE), (2, "u", None), (3, "u", ""), (4, "u", "<p>only<br>one"), (5, "u", "<!-- open"), (6, None, "a < b &lt; c"), (1, "u", PAGE)]
+    got = spark.createDataFrame(rows, "page_id long, url string, html string").transform(html.extract_pages).collect()
+    text = {r.page_id: r.text for r in got}
+    assert text == {1: "Title & more\nFirst bold text.\nSecond é!\na\nb", 2: "", 3: "", 4: "only one", 5: "", 6: "a < b < c"}
+    assert all(r.n_chars == len(r.text) for r in got) and len(got) == 7
+
+
+def test_pages_without_article():
+    para = "<p>A paragraph with a good deal of text in it, and then some more of it.</p>"
+    links = "".join(f"<li><a href={i}>Related story {i}</a></li>" for i in range(6))
+    assert html.extract(f"<body><div><a href=1>x</a> <a href=2>y</a></div><h1>Head</h1><div>{para * 3}</div><div><ul>{links}</ul></div></body>").split("\n")[0] == "Head"
+
+
+def brute_model(texts, order):
+    """Interpolated modified Kneser-Ney over bytes, with dictionaries."""
+    from collections import Counter
+
+    tables = {order: Counter()}
+    for t in texts:
+        data = bytes(order - 1) + t
+        tables[order].update(data[i : i + order] for i in range(len(t)))
+    for k in range(order - 1, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    models = {}
+    for k, table in tables.items():
+        n = [sum(1 for c in table.values() if c == j) for j in range(1, 5)]
+        if all(n):
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [min(max(j + 1 - (j + 2) * y * n[j + 1] / n[j], 0.05), j + 0.95) for j in range(3)]
+        else:
+            d = [0.5, 0.75, 0.9]
+        total, held = Counter(), Counter()
+        for g, c in table.items():
+            total[g[:-1]] += c
+            held[g[:-1]] += d[min(c, 3) - 1]
+        models[k] = table, total, held, d
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        table, total, held, d = models[len(g)]
+        lower = p(g[1:])
+        if g[:-1] not in total:
+            return lower
+        c = table.get(g, 0)
+        return (max(c - d[min(c, 3) - 1], 0) if c else 0) / total[g[:-1]] + held[g[:-1]] / total[g[:-1]] * lower
+
+    return p
+
+
+def test_language_model(spark, docs_of):
+    import math
+
+    texts = {i: sentence(8) for i in range(40)} | {40: "QQQ ### 123", 41: None, 42: "é日"}
+    trusted = spark.createDataFrame([(i,) for i in range(25)], "doc_id long")
+    got = by_id(quality.score_documents(docs_of([*texts.items()]), trusted, 3, block_bytes=500))
+    p = brute_model([texts[i].encode() for i in range(25)], 3)
+    for i, text in texts.items():
+        data = (text or "").encode()
+        framed = bytes(2) + data
+        want = -sum(math.log(p(framed[j : j + 3])) for j in range(len(data)))
+        assert got[i].n_bytes == len(data) and abs(got[i].nll - want) < 1e-3 * max(1, want)
+
+
+def test_classifier(spark, docs_of):
+    texts = {i: sentence(30) for i in range(300)} | {300 + i: "".join(random.choice("#$%&QXZ!|~") for _ in range(150)) for i in range(20)} | {400: None, 401: ""}
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)] + [(0, 1, 0)] + [(310, 0, 0)], "doc_id long, quality int, toxic int")
+    got = by_id(quality.classify(docs_of([*texts.items()]), labels))
+    assert all(got[i].kept for i in range(300)) and not any(got[i].kept for i in [*range(300, 320), 400, 401])
+    none = by_id(quality.classify(docs_of([*texts.items()]), labels.limit(0)))
+    assert none[5].kept and not none[400].kept
+    kept = quality.good_documents(docs_of([*texts.items()]), labels)
+    assert kept.count() == 300 and "class_id" in kept.columns
