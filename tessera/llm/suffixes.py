@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import spread, stored, text_bytes
 from tessera.llm.shingles import _R, _R_INV, _powers_of, mix
 
-LENGTH, SEED, BLOCK, RUN = 50, 20, 16 << 20, 1 << 19
+LENGTH, SEED, BLOCK, RUN = 50, 20, 8 << 20, 1 << 19
 
 
 # Suffix arrays ---------------------------------------------------------------------------------------
@@ -260,7 +260,7 @@ def marks_of(data: np.ndarray, counts: np.ndarray, times: np.ndarray, docs: np.n
 def _marked(docs: DataFrame, length: int, seed: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(blocks, marks): marks has (block, marks) with rows, places and bits."""
     total = text_bytes(docs)
-    shards = max(1, math.ceil(total / (4 * block_bytes)))
+    shards = max(1, math.ceil(total / block_bytes))
     tasks = max(1, math.ceil(total / (3 << 20)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
