@@ -30,6 +30,7 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Characters beyond Latin, whose case or composition may depend on their neighbours.
 _HARD = re.compile("[^\x00-\u024f]|\u0130")
+MARKS = (".", ",", ";", ":", "!", "?")
 CAPACITY, OPEN, MERGED, CACHE = 4096, 32, 256, 300_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = [(part.split()[0], pa.int64()) for part in PIECES.split(", ")]
@@ -55,7 +56,7 @@ class WordIds(dict):
         low = word.lower() if plain else word
         if low != word:
             ids = self[low]
-        elif plain and word[-1] in ".,;:!?" and word[-2:-1].isalnum():
+        elif plain and word[-1:] in MARKS and word[-2:-1].isalnum():
             ids = self[word[:-1]] + self[word[-1]]
         else:
             ids = np.asarray(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()

@@ -14,7 +14,7 @@ def ids_of(text):
     return TOK.encode(text or "", add_special_tokens=False).ids + [2]
 
 
-@pytest.mark.parametrize("text", [None, "", " a  B\n c's ", "Été É don't <|endoftext|>x", "a\x1cb \x1f c　d", "é A b", "x" * 900, "İ ΑΣ ς"])
+@pytest.mark.parametrize("text", [None, "", " a  B\n c's ", "Été É don't <|endoftext|>x", "a\x1cb \x1f c　d", "é A b", "x" * 900, "İ ΑΣ ς", " \x1c a, a. A! b1; b1 #, Zé-z ß"])
 def test_words_equal_library(text):
     assert np.frombuffer(WordIds(PATH).document(text, 2), "<u4").tolist() == ids_of(text)
 
