@@ -89,18 +89,24 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-#: A query batch up to so many rows is broadcast to the corpus; larger ones are split by the caller.
+#: Up to about so many queries are broadcast to the corpus at once.
 QUERY_BATCH = 10_000
 
 
 def dense(docs: DataFrame, queries: DataFrame, doc: str, query: str, k: int, vector: str = "embedding", score=inner_product) -> DataFrame:
-    """Exact top k by inner product. The batch of queries (at most QUERY_BATCH) goes to every part of the
-    corpus, where each task keeps k for each query before the shuffle; documents without a vector are skipped."""
-    few = queries.select(F.col(query), F.col(vector).alias("_q")).limit(QUERY_BATCH + 1)
-    if few.count() > QUERY_BATCH:
-        raise ValueError(f"more than {QUERY_BATCH} queries in one batch")
-    pairs = docs.filter(F.col(vector).isNotNull()).crossJoin(F.broadcast(few))
-    return ranked(pairs.select(query, doc, score(F.col(vector), F.col("_q")).alias("score")), query, doc, k)
+    """Exact top k by inner product, for any number of queries. They are dealt by hash into blocks of about
+    QUERY_BATCH; each block goes to every part of the corpus, where each task keeps k for each query before
+    the shuffle. Documents without a vector are skipped."""
+    asked = queries.select(F.col(query), F.col(vector).alias("_q"))
+    rows = docs.filter(F.col(vector).isNotNull())
+    blocks = max(1, -(-asked.count() // QUERY_BATCH))
+    out = None
+    for i in range(blocks):
+        few = asked.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == i) if blocks > 1 else asked
+        pairs = rows.crossJoin(F.broadcast(few)).select(query, doc, score(F.col(vector), F.col("_q")).alias("score"))
+        own = ranked(pairs, query, doc, k)
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def reciprocal_rank_fusion(dense_: DataFrame, sparse: DataFrame, query: str, doc: str, k: int = RRF) -> DataFrame:

@@ -44,12 +44,12 @@ def whole_vs_chunk(t):
     """Whole documents against their chunks: recall, context size and compression; chunks are ranked as documents are."""
     from tessera.plans.corpus import chunked
 
-    cases = t.benchmark.filter("item_id < 20").select("item_id", F.col("text").alias("needle"))
+    cases = t.benchmark.select("item_id", F.col("text").alias("needle"))
     pieces = chunked(t).filter("error IS NULL").select(F.concat_ws(":", "doc_id", "chunk_index").alias("piece"), F.col("content").alias("text"))
     whole = t.documents.select(F.col("doc_id").cast("string").alias("piece"), "text")
     out = []
     for name, df in (("whole", whole), ("chunk", pieces)):
-        top = r.ranked(r.bm25(df, t.benchmark.filter("item_id < 20"), "piece", "item_id"), "item_id", "piece", 10).join(df, "piece").join(cases, "item_id")
+        top = r.ranked(r.bm25(df, t.benchmark, "piece", "item_id"), "item_id", "piece", 10).join(df, "piece").join(cases, "item_id")
         own = m.ranking_summary(op.first_hit(top, cases, "item_id", F.contains("text", F.col("needle"))), []).withColumn("form", F.lit(name))
         out.append(own.crossJoin(top.filter("rank <= 3").groupBy("item_id").agg(F.sum(F.length("text")).alias("c")).agg(F.bround(F.avg("c"), 6).alias("top3_chars"))))
     return out[0].unionByName(out[1])
