@@ -1,9 +1,10 @@
 """Embedding near-duplicates by a random-projection tree forest.
 
 Trees are fitted on a bounded sample: a node splits at the median of a random projection, and vectors
-within a margin of it go to both sides (spill), down to leaves of about LEAF vectors. All vectors are
-dropped through all trees, compared within their leaves in double precision, and pairs with a cosine of at
-least the threshold are kept. The number of trees follows from the depth, so that a pair at the threshold
+within a margin of it go to both sides (spill), down to leaves of about LEAF vectors; dense groups that no
+margin splits without parting their pairs stay whole, as larger leaves. All vectors are dropped through
+all trees, compared within their leaves in double precision, and pairs with a cosine of at least the
+threshold are kept. The number of trees follows from the fitted nodes, so that a pair at the threshold
 shares a leaf with the target probability. A leaf over TILE vectors is compared in square blocks, a task
 each, so no task holds more than two blocks. Equal vectors are one class, whose first member stands for it.
 
@@ -29,33 +30,50 @@ from tessera.llm.common import spread, stored
 from tessera.llm.components import connected_components
 
 LEAF, TILE, SAMPLE, SPILL, TARGET = 400, 1024, 20_000, 0.15, 0.99
+#: The quantile of rows that margins and trees must suit, the planes tried at a node, and the share of its comparisons a split may leave.
+LOW, PLANES, PAYS = 0.05, 3, 0.9
 
 
 class Tree:
-    """Nodes in arrays: direction, threshold, margin, children; negative children are leaves."""
+    """Nodes in arrays: direction, threshold, margin, children; negative children are leaves.
 
-    def __init__(self, sample: np.ndarray, leaf: float, spill: float, seed: int):
-        self.rng, self.leaf, self.spill = np.random.default_rng(seed), leaf, spill
+    A margin is at least `spill` of a node's spread, and so wide that a pair at the threshold near the
+    node's mean parts no more often than one in a node of spread 1. Where that leaves both sides nearly
+    whole, as in dense groups, the node is a leaf, whatever its size. `meets` holds for each leaf's sample
+    rows the probability that such a pair at that row was parted by no node on its way."""
+
+    def __init__(self, sample: np.ndarray, leaf: float, spill: float, seed: int, gap: float):
+        self.rng, self.leaf, self.spill, self.gap = np.random.default_rng(seed), leaf, spill, gap
         self.planes, self.cuts, self.margins, self.sides, self.leaves, self.depth = [], [], [], [], 0, 0
-        self.root = self._grow(sample, 0)
+        self.meets = np.ones(len(sample))
+        self.root = self._grow(sample, np.arange(len(sample)), np.ones(len(sample), bool), 0)
         self.planes, self.cuts, self.margins = np.array(self.planes), np.array(self.cuts), np.array(self.margins)
         del self.rng
 
-    def _grow(self, rows: np.ndarray, depth: int) -> int:
+    def _grow(self, sample: np.ndarray, at_rows: np.ndarray, home: np.ndarray, depth: int) -> int:
+        """Rows reach a node by the margin too; `home` marks those on their own side of all cuts above."""
         self.depth = max(self.depth, depth)
-        if len(rows) > self.leaf and depth < 40:
-            plane = self.rng.standard_normal(rows.shape[1])
-            at = rows @ plane
-            cut, margin = float(np.median(at)), float(self.spill * at.std())
-            left, right = at <= cut + margin, at > cut - margin
-            if 0 < left.sum() < len(rows) and 0 < right.sum() < len(rows):
-                node = len(self.planes)
-                self.planes.append(plane)
-                self.cuts.append(cut)
-                self.margins.append(margin)
-                self.sides.append([0, 0])
-                self.sides[node] = [self._grow(rows[left], depth + 1), self._grow(rows[right], depth + 1)]
-                return node
+        if len(at_rows) > self.leaf and depth < 40:
+            rows = sample[at_rows]
+            radii = np.linalg.norm(rows - rows.mean(0), axis=1)
+            allowed = parted(self.gap, 1.0, self.spill)
+            least = margin_for(self.gap, float(np.quantile(radii, LOW)), allowed)
+            for _ in range(PLANES):
+                plane = self.rng.standard_normal(rows.shape[1])
+                at = rows @ plane
+                cut, margin = float(np.median(at)), max(float(self.spill * at.std()), least)
+                left, right = at <= cut + margin, at > cut - margin
+                if left.sum() ** 2 + right.sum() ** 2 < PAYS * len(rows) ** 2 and left.any() and right.any():
+                    node = len(self.planes)
+                    self.planes.append(plane)
+                    self.cuts.append(cut)
+                    self.margins.append(margin)
+                    self.sides.append([0, 0])
+                    own = at_rows[home]
+                    self.meets[own] *= 1 - parted(self.gap, radii[home], margin)
+                    low = at <= cut
+                    self.sides[node] = [self._grow(sample, at_rows[left], (home & low)[left], depth + 1), self._grow(sample, at_rows[right], (home & ~low)[right], depth + 1)]
+                    return node
         self.leaves += 1
         return -self.leaves
 
@@ -74,12 +92,30 @@ class Tree:
             todo.append((self.sides[node][1], own[at > self.cuts[node] - self.margins[node]]))
 
 
-def trees_for(depth: int, threshold: float, target: float, spill: float) -> int:
-    """Trees needed so that a pair at the threshold meets in a leaf with the target probability."""
-    gap = math.sqrt(max(2 - 2 * threshold, 0.0))  # in units of a projection's spread
-    # A pair parts where the cut falls between its projections by more than the margin.
-    part = 2 * sum(max(0.0, gap * abs(z) - 2 * spill) * math.exp(-z * z / 2) for z in np.arange(0.01, 5, 0.02)) * 0.02 / math.sqrt(2 * math.pi) * 0.4
-    meet = (1 - part) ** depth
+def _beyond(a: float) -> float:
+    """E max(0, |z| - a) of a standard normal z."""
+    return 2 * (math.exp(-a * a / 2) / math.sqrt(2 * math.pi) - a * math.erfc(a / math.sqrt(2)) / 2)
+
+
+def parted(gap: float, radius, margin: float):
+    """Probability that a node parts a pair `gap` apart that lies `radius` from the node's mean: the cut falls
+    between its projections by more than the margin on both sides."""
+    return np.minimum(0.999, gap * _beyond(2 * margin / gap) * 0.4 / np.maximum(radius, 1e-12)) if gap else 0.0 * radius
+
+
+def margin_for(gap: float, radius: float, allowed: float) -> float:
+    """The least margin that parts such a pair with at most the allowed probability."""
+    low, high = 0.0, 4 * gap
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (low, middle) if parted(gap, radius, middle) <= allowed else (middle, high)
+    return high
+
+
+def trees_for(meets: np.ndarray, target: float) -> int:
+    """Trees needed so that pairs at the threshold meet in a leaf with the target probability, even where
+    the sample's rows are least likely to."""
+    meet = float(np.quantile(meets, LOW))
     return max(4, math.ceil(math.log(1 - target) / math.log(1 - min(meet, 0.999))))
 
 
@@ -125,8 +161,11 @@ def _pairs(classes: DataFrame, threshold: float, leaf: int, spill: float, target
         drawn = classes.filter(F.col("dim") == dim).orderBy("key").select("unit").limit(sample).collect()  # digests order at random
         points = np.stack([np.frombuffer(r.unit, "f8") for r in drawn])
         scaled = max(8.0, leaf * len(points) / n)
-        tree = Tree(points, scaled, spill, seed)
-        forests[dim] = [tree] + [Tree(points, scaled, spill, seed + i) for i in range(1, trees_for(tree.depth, threshold, target, spill) if tree.depth else 1)]
+        gap = math.sqrt(max(2 - 2 * threshold, 0.0))
+        tree = Tree(points, scaled, spill, seed, gap)
+        forests[dim] = [tree] + [Tree(points, scaled, spill, seed + i, gap) for i in range(1, trees_for(tree.meets, target) if tree.depth else 1)]
+        for tree in forests[dim]:
+            del tree.meets
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(forests))  # bounded by the sample's size
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
