@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and reread as the next one's input.
 
 Each stage works on all documents that its predecessor kept. All but the last return the columns of
-documents; the last returns the packed pieces.
+documents; the last returns the packed pieces with their ids.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import stored, table
 from tessera.llm.jaccard import one_of_each_group
 from tessera.llm.lines import dedup_lines
-from tessera.llm.packing import pack_documents, tokenizer_path
+from tessera.llm.packing import packed_pieces, tokenizer_path
 from tessera.llm.quality import good_documents
 from tessera.llm.suffixes import dedup_passages
 
@@ -38,7 +38,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into windows of tokens."""
-    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    return packed_pieces(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("passages", passages), ("packing", packing)]

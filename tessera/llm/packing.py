@@ -13,7 +13,6 @@ dropped; an empty table gives an empty result; a text longer than a window fills
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -32,8 +31,10 @@ _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 _HARD = re.compile("[^\x00-\u024f]|\u0130")
 MARKS = (".", ",", ";", ":", "!", "?")
 CAPACITY, OPEN, MERGED, CACHE = 4096, 32, 256, 300_000
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-FIELDS = [(part.split()[0], pa.int64()) for part in PIECES.split(", ")]
+PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+FIELDS = [(name, pa.binary() if kind == "binary" else pa.int64()) for name, kind in map(str.split, PIECES.split(", "))]
+#: Finished pieces leave a task in batches of about so many bytes of ids.
+FLUSH = 1 << 24
 
 
 class WordIds(dict):
@@ -75,13 +76,14 @@ class Packer:
 
     def __init__(self, first_id: int, capacity: int = CAPACITY, windows: int = OPEN):
         self.capacity, self.limit = capacity, windows
-        self.next, self.open, self.rows = first_id, [], []
+        self.next, self.open, self.rows, self.held = first_id, [], [], 0
 
     def emit(self, pieces: list[tuple]) -> None:
         at = 0
         for doc, start, ids, total in pieces:
             n = len(ids) // 4
-            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.next, at))
+            self.rows.append((doc, start, n, ids, total, self.next, at))
+            self.held += len(ids)
             at += n
         self.next += 1
 
@@ -106,7 +108,7 @@ class Packer:
                 self.open = [w for w in self.open if w is not best]
 
     def take(self) -> list[list]:
-        rows, self.rows = self.rows, []
+        rows, self.rows, self.held = self.rows, [], 0
         return [list(x) for x in zip(*rows)] if rows else [[] for _ in FIELDS]
 
 
@@ -127,27 +129,28 @@ def merge_leftovers(pieces: list[tuple], first_id: int, capacity: int) -> Packer
     return packer
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, windows: int = OPEN, end: int = 2) -> DataFrame:
-    """Pack every document's ids and its end token; returns one row for each piece (PIECES)."""
+def packed_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, windows: int = OPEN, end: int = 2) -> DataFrame:
+    """Pack every document's ids and its end token; returns one row for each piece (PIECES), with its ids as
+    little-endian unsigned 32-bit numbers. A window is the pieces of a sequence_id in order of offset."""
     names = [n for n, _ in FIELDS]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = WordIds(path), TaskContext.get().partitionId()
         packer = Packer(part << 32, capacity, windows)
 
-        def batch_of(columns: list[list], ids: list, group: int | None) -> pa.RecordBatch:
-            n = len(columns[0])
-            arrays = [pa.array(c, pa.int64()) for c in columns] + [pa.array(ids, pa.binary()), pa.array([group] * n, pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, [*names, "ids", "merge_group"])
+        def batch_of(columns: list[list], group: int | None) -> pa.RecordBatch:
+            arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, FIELDS)] + [pa.array([group] * len(columns[0]), pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, [*names, "merge_group"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 packer.add(doc, words.document(text, end))
-            columns = packer.take()
-            yield batch_of(columns, [None] * len(columns[0]), None)
+                if packer.held >= FLUSH:
+                    yield batch_of(packer.take(), None)
+            yield batch_of(packer.take(), None)
         left = [(p, k) for k, w in enumerate(sorted(packer.open, key=lambda w: w[0])) for p in w[1]]
-        columns = [[p[0] for p, _ in left], [p[1] for p, _ in left], [len(p[2]) // 4 for p, _ in left], [0] * len(left), [p[3] for p, _ in left], [(part << 32) + k for _, k in left], [*range(len(left))]]
-        yield batch_of(columns, [p[2] for p, _ in left], part // MERGED)
+        columns = [[p[0] for p, _ in left], [p[1] for p, _ in left], [len(p[2]) // 4 for p, _ in left], [p[2] for p, _ in left], [p[3] for p, _ in left], [(part << 32) + k for _, k in left], [*range(len(left))]]
+        yield batch_of(columns, part // MERGED)
 
     def second(group: pa.Table) -> pa.Table:
         d = group.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).to_pydict()
@@ -155,12 +158,17 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, windows
         merged = merge_leftovers([*zip(d["doc_id"], d["start"], d["ids"], d["doc_tokens"])], base, capacity)
         return pa.table(merged.take(), schema=pa.schema(FIELDS))
 
-    placed = stored(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(first, f"{PIECES}, ids binary, merge_group long"), "packing")
+    placed = stored(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(first, f"{PIECES}, merge_group long"), "packing")
     whole = placed.filter(F.col("merge_group").isNull()).select(*names)
     merged = placed.filter(F.col("merge_group").isNotNull()).groupBy("merge_group").applyInArrow(second, PIECES)
     return whole.unionByName(merged)
 
 
+def pack_documents(docs: DataFrame, path: str, **options) -> DataFrame:
+    """The pieces of packed_pieces with the checksum of their ids instead of the ids."""
+    return packed_pieces(docs, path, **options).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

@@ -1,8 +1,9 @@
-"""Operators on inputs that took less than the whole job: skewed vectors."""
+"""Whole results: links in dense groups of vectors, packed ids."""
 
 import numpy as np
 
-from tessera.llm import embeddings
+import corpus_pipeline
+from tessera.llm import embeddings, packing
 
 
 def unit(a):
@@ -18,3 +19,18 @@ def test_vectors_in_a_dense_cluster(spark):
     want = (points @ points.T >= 0.9).sum(1) - 1
     assert want.sum() > 1000 and all(got[i] <= want[i] for i in got)
     assert sum(got.values()) >= 0.99 * want.sum()
+
+
+def test_packed_ids_are_the_texts(spark, docs_of):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = {i: "lorem ipsum dolor " * (i * 7 % 40) for i in range(60)} | {60: None, 61: "word " * 1000}
+    rows = packing.packed_pieces(docs_of([*texts.items()]), path, capacity=64, windows=3).collect()
+    for i, text in texts.items():
+        own = b"".join(bytes(r.ids) for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start))
+        assert np.frombuffer(own, "<u4").tolist() == tok.encode(text or "", add_special_tokens=False).ids + [2]
+    assert all(len(r.ids) == 4 * r.length for r in rows)
+    last = corpus_pipeline.packing(spark, docs_of([(1, "a b")]), "").collect()
+    assert [np.frombuffer(bytes(r.ids), "<u4").tolist()[-1] for r in sorted(last, key=lambda r: r.start)][-1] == 2
