@@ -4,7 +4,7 @@ A line (texts are split at "\n") is the set of its lower-case tokens, which spac
 separate. Lines with equal sets are one set, which stands at its first line by (doc_id, line number). Of
 the sets of at least MIN_TOKENS tokens, one is dropped if an earlier set has a Jaccard index of at least
 the threshold with it, whether that set is dropped itself or not. A line goes if its set is dropped or it
-isn't its set's first line. Shorter lines are never compared and always stay.
+isn't its set's first line. Shorter lines are never compared and always stay: with 1, as in the pipeline, only lines without a token.
 
 Tokens are ordered by rarity. Their counts are kept in a table of fixed size (SLOTS counters, one byte
 each); any order gives the same result. By the prefix filter, matching sets share one of their first

@@ -1,9 +1,9 @@
-"""Whole results: links in dense groups of vectors, packed ids."""
+"""Whole results: links in dense groups of vectors, packed ids, short lines."""
 
 import numpy as np
 
 import corpus_pipeline
-from tessera.llm import embeddings, packing
+from tessera.llm import embeddings, lines, packing
 
 
 def unit(a):
@@ -34,3 +34,20 @@ def test_packed_ids_are_the_texts(spark, docs_of):
     assert all(len(r.ids) == 4 * r.length for r in rows)
     last = corpus_pipeline.packing(spark, docs_of([(1, "a b")]), "").collect()
     assert [np.frombuffer(bytes(r.ids), "<u4").tolist()[-1] for r in sorted(last, key=lambda r: r.start)][-1] == 2
+
+
+def test_short_lines_are_compared(spark, docs_of):
+    texts = {1: "All rights reserved.\na b c d\nab\n\nx y", 2: "all rights RESERVED.\na b c d e\nab ab ab ab ab\n\nx z", 3: "y  x\na b c\n \nnew", 4: "日本語\n日本語"}
+    seen, want = [], {}
+    for i, text in texts.items():
+        for k, line in enumerate(text.split("\n")):
+            s = set(line.lower().split())
+            want.setdefault(i, [])
+            if s and any(len(s & o) >= 0.8 * len(s | o) for o in seen):
+                want[i].append(k)
+            seen += [s] if s else []
+    report = lines.line_report(docs_of([*texts.items()]), min_tokens=1).collect()
+    assert {r.doc_id: r.removed_lines for r in report} == {i: ",".join(map(str, gone)) for i, gone in want.items()}
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs_of([*texts.items()]), "").collect()}
+    kept = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in texts.items()}
+    assert got == kept and want[2] == [0, 1, 2]
