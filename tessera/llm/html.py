@@ -6,7 +6,9 @@ largest sum under body is the article's container. Where it stands in an article
 element is the article. Elsewhere the smallest density on the container's path to body is the threshold:
 nodes outside the container that hang on this path belong to the text from that density on, headings
 always. Menus, page headers and footers, sidebars, notices, adverts, forms, reader comments, scripts and styles
-are left out by element, role or class name, as are link lists outside article and main.
+are left out by element, role or class name, as are link lists outside article and main. A word that is
+only a part of a name (sidebar in layout-with-sidebar) doesn't leave out article and main elements, nor a
+node that holds most of the page's unlinked text, unless an article or main element stands outside it.
 
 Cases: a null or empty page, and one without text, gives the empty text; broken markup (unclosed or
 stray tags, open comments, tags cut off at the end) is parsed the way browsers recover; repeated rows are
@@ -40,29 +42,36 @@ _TAG = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'
 _HINT = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
+#: Words before a noise word that say whether a page has such a part, not that the node is one.
+_ABOUT = frozenset("has with no without".split())
 _ENDS_P = BLOCK
 _SELF = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 _SCOPE = frozenset("table td th html body template".split())
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "noise", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "clear", "density", "link_chars", "link_tags", "noise", "parent", "sum", "tag", "tags", "weak")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, noise: bool, weak: bool = False):
+        self.tag, self.parent, self.noise, self.weak = tag, parent, noise, weak
         self.children: list = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.clear = 0
         self.density = self.sum = 0.0
 
 
-def _is_noise(tag: str, attributes: str) -> bool:
+def _noise_of(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether a node is noise, and whether only a part of a name says so."""
     if tag in NOISE_TAGS:
-        return True
+        return True, False
     if not attributes.strip() or tag in ("html", "body"):
-        return False
+        return False, False
     if _HIDDEN.search(attributes):
-        return True
-    return any(w in NOISE_WORDS for m in _HINT.finditer(attributes) for w in _WORDS.findall(m[1].lower()))
+        return True, False
+    names = [_WORDS.findall(name) for m in _HINT.finditer(attributes) for name in m[1].lower().strip("\"'").split()]
+    if any(len(words) == 1 and words[0] in NOISE_WORDS for words in names):
+        return True, False
+    part = any(w in NOISE_WORDS and (not i or words[i - 1] not in _ABOUT) for words in names for i, w in enumerate(words))
+    return (True, True) if part and tag not in ("article", "main") else (False, False)
 
 
 def parse(page: str) -> Node:
@@ -103,7 +112,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             if found:
                 open_ = found.parent
-        node = Node(tag, open_, _is_noise(tag, attributes))
+        node = Node(tag, open_, *_noise_of(tag, attributes))
         open_.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -122,14 +131,35 @@ def _walk(root: Node) -> list[Node]:
     return order
 
 
+def _spare(order: list[Node], body: Node) -> None:
+    """Nodes that only a part of a name marks stay if they hold most of body's unlinked text, and no article
+    or main element stands outside them."""
+    weak = [n for n in order if n.weak and 2 * n.clear > body.clear]
+    if not weak:
+        return
+
+    def above(node: Node | None) -> Iterator[Node]:
+        while node is not None:
+            yield node
+            node = node.parent
+
+    mains = [set(map(id, above(n))) for n in order if n.tag in ("article", "main") and n.clear and not any(p.noise and not p.weak for p in above(n))]
+    for node in weak:
+        if all(id(node) in path for path in mains):
+            node.noise = False
+
+
 def measure(root: Node) -> Node:
     """Fill in counts, densities and sums; returns body (root where there is none)."""
     order = _walk(root)
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, str):
-                node.chars += len(" ".join(c.split()))
+                n = len(" ".join(c.split()))
+                node.chars += n
+                node.clear += n
             else:
+                node.clear += 0 if c.tag == "a" or (c.noise and not c.weak) else c.clear
                 node.chars += c.chars
                 node.tags += c.tags + (c.tag not in INLINE)
                 node.link_chars += c.link_chars
@@ -137,6 +167,7 @@ def measure(root: Node) -> Node:
         if node.tag == "a":
             node.link_chars = node.chars
     body = next((n for n in order if n.tag == "body"), root)
+    _spare(order, body)
     ratio = body.link_chars / max(body.chars, 1)
     for node in order:
         c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags

@@ -1,9 +1,10 @@
-"""Whole results: links in dense groups of vectors, packed ids, short lines."""
+"""Whole results: links in dense groups of vectors, packed ids, short lines, pages in wrappers."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from tessera.llm import embeddings, lines, packing
+from tessera.llm import embeddings, html, lines, packing
 
 
 def unit(a):
@@ -51,3 +52,18 @@ def test_short_lines_are_compared(spark, docs_of):
     got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs_of([*texts.items()]), "").collect()}
     kept = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in texts.items()}
     assert got == kept and want[2] == [0, 1, 2]
+
+
+TEXT = "<p>A paragraph with a good deal of text in it, and then some more of it.</p>" * 3
+
+
+@pytest.mark.parametrize("wrapper", ['div class="layout-with-sidebar"', 'article class="post has-sidebar"', 'main id="no-header"', 'div id="sidebar-layout"', "div class='page wrap header-fixed'", 'main class="header-fixed"'])
+def test_wrappers_named_after_noise(wrapper):
+    tag, noise = wrapper.split()[0], '<div class="sidebar">Other things</div><div class="cookie-notice">We use cookies</div><div class="site-footer">End</div>'
+    text = html.extract(f"<html><body><nav><a href=1>menu</a></nav><{wrapper}>{TEXT}{noise}</{tag}><footer>end</footer></body></html>")
+    assert text == "\n".join(["A paragraph with a good deal of text in it, and then some more of it."] * 3)
+
+
+def test_large_noise_beside_an_article_stays_out():
+    assert html.extract(f'<body><article><p>Short text.</p></article><div class="comments-area">{TEXT * 3}</div></body>') == "Short text."
+    assert html.extract(f'<body><main><p>Short text.</p></main><section class="sidebar">{TEXT * 3}</section></body>') == "Short text."
