@@ -13,13 +13,13 @@ repeated results; extra input columns are dropped; texts of any length are encod
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LEAF = 512
 CACHE = 300_000
@@ -142,25 +142,46 @@ class _Cache(dict):
         return entry
 
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Encoded texts leave a task in batches of about so many characters.
+FLUSH = 1 << 24
 
 
-def encode_documents(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
-    """Encode and decode each text with the tokenizer file at path (present on every machine).
-
-    Returns doc_id, n_tokens, the digest of the decimal ids and that of the decoded text.
-    """
+def _encoded(docs: DataFrame, path: str, leaf: int) -> DataFrame:
+    """doc_id, the decimal ids joined by commas, and the text that they decode to."""
+    names = ["doc_id", "ids", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = TreeBpe(path, leaf)
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = [*zip(*rows)] if rows else [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.string(), pa.string()))], names)
+
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
+            rows, held = [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 entries = bpe.entries(text or "")
-                ids = ",".join([e[0] for e in entries])
-                decoded = b"".join([e[1] for e in entries]).decode("utf-8", "replace")
-                rows.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-            n, a, b = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                rows.append((doc, ",".join([e[0] for e in entries]), b"".join([e[1] for e in entries]).decode("utf-8", "replace")))
+                held += len(rows[-1][1]) + len(rows[-1][2])
+                if held >= FLUSH:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+            yield batch_of(rows)
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids string, decoded string")
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+
+def encoded_texts(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+    """doc_id, ids and the text that they decode to, with the tokenizer file at path (present on every machine)."""
+    ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", ",").cast("array<int>"))
+    return _encoded(docs, path, leaf).select("doc_id", ids.alias("ids"), "decoded")
+
+
+def encode_documents(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+    """Encode and decode each text with the tokenizer file at path (present on every machine).
+
+    Returns doc_id, n_tokens, the digest of the decimal ids and that of the decoded text.
+    """
+    commas = F.length("ids") - F.length(F.replace("ids", F.lit(","), F.lit("")))
+    n = F.when(F.col("ids") == "", F.lit(0)).otherwise(commas + 1).cast("long")
+    return _encoded(docs, path, leaf).select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

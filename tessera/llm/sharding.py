@@ -8,7 +8,7 @@ on any of the dimensions skips most files.
 
 Cases: a null text has size 1 and the checksum of nothing, and null texts form one group; null metadata
 is a value of its own; repeated rows count again; an empty table gives an empty result; extra columns
-are dropped.
+are dropped by shard_documents and written by write_shards.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ def _quantised(column: str, bits: int) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col(column), F.lit("\0"))), F.lit(1 << bits))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, and curve_index and group_id."""
+def _placed(docs: DataFrame, shards: int, bits: int, whole: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot, curve_index, group_id of every document; with whole also _doc, all its columns."""
+    kept = ["_doc"] if whole else []
     spark = docs.sparkSession
     bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     rows = docs.select(
@@ -38,10 +39,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, bits: int = BITS) -> DataF
         _quantised("lang", bits).alias("_a"),
         _quantised("source", bits).alias("_b"),
         F.least(F.lit((1 << bits) - 1), F.floor(F.log2(bytes_ + 1))).cast("long").alias("_c"),
+        *([F.struct(*docs.columns).alias("_doc")] if whole else []),
     )
     first = rows.groupBy("_text").agg(F.min(F.struct("doc_id", "_a", "_b", "_c")).alias("_first"))
-    placed = rows.select("doc_id", "size", "text_crc32", "_text").join(first, "_text")
-    placed = placed.select("doc_id", "size", "text_crc32", F.col("_first.doc_id").alias("group_id"), F.col("_first._a").alias("_a"), F.col("_first._b").alias("_b"), F.col("_first._c").alias("_c"))
+    placed = rows.select("doc_id", "size", "text_crc32", "_text", *kept).join(first, "_text")
+    placed = placed.select("doc_id", "size", "text_crc32", F.col("_first.doc_id").alias("group_id"), F.col("_first._a").alias("_a"), F.col("_first._b").alias("_b"), F.col("_first._c").alias("_c"), *kept)
     keyed = placed.withColumn("curve_index", _by_table(placed, bits)).drop("_a", "_b", "_c")
     order = ["curve_index", "group_id", "doc_id"]
     ranged = keyed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
@@ -56,9 +58,27 @@ def shard_documents(docs: DataFrame, shards: int = 8, bits: int = BITS) -> DataF
     edge = more * (short + 1)
     shard = F.when(at < edge, F.floor(at / (short + 1))).otherwise(more + F.floor((at - edge) / max(short, 1))).cast("int")
     slot = F.when(at < edge, F.pmod(at, F.lit(short + 1))).otherwise(F.pmod(at - edge, F.lit(max(short, 1))))
-    return done.join(F.broadcast(before), "_part").select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve_index", "group_id"
-    )
+    return done.join(F.broadcast(before), "_part").select("doc_id", "size", "text_crc32", shard.alias("shard"), slot.cast("long").alias("slot"), "curve_index", "group_id", *kept)
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, bits: int = BITS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, and curve_index and group_id."""
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return _placed(docs, shards, bits).select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "curve_index", "group_id")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 8, bits: int = BITS) -> DataFrame:
+    """Write whole documents, all their columns, as one Parquet file for each shard, in order of slot, under
+    path; returns what the files hold, a row each: n_docs, n_bytes and the least and greatest language, source,
+    size and curve index. Columns named shard, slot or curve_index are refused."""
+    if clash := {"shard", "slot", "curve_index"} & set(docs.columns):
+        raise ValueError(f"columns in the way: {sorted(clash)}")
+    placed = _placed(docs, shards, bits, whole=True).select("_doc.*", "shard", "slot", "curve_index")
+    placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    written = docs.sparkSession.read.schema(placed.schema).parquet(path)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    ends = [f(c).alias(f"{n}_{name}") for name, c in (("lang", F.col("lang")), ("source", F.col("source")), ("size", size + 1), ("curve_index", F.col("curve_index"))) for n, f in (("min", F.min), ("max", F.max))]
+    return written.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum(size).alias("n_bytes"), *ends)
 
 
 def hilbert_value(axes: tuple[int, ...], bits: int) -> int:

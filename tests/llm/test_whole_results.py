@@ -1,10 +1,10 @@
-"""Whole results: links in dense groups of vectors, packed ids, short lines, pages in wrappers."""
+"""Whole results: links in dense groups of vectors, packed ids, short lines, pages in wrappers, ids and shard files."""
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import embeddings, html, lines, packing
+from tessera.llm import bpe, embeddings, html, lines, packing, sharding
 
 
 def unit(a):
@@ -67,3 +67,27 @@ def test_wrappers_named_after_noise(wrapper):
 def test_large_noise_beside_an_article_stays_out():
     assert html.extract(f'<body><article><p>Short text.</p></article><div class="comments-area">{TEXT * 3}</div></body>') == "Short text."
     assert html.extract(f'<body><main><p>Short text.</p></main><section class="sidebar">{TEXT * 3}</section></body>') == "Short text."
+
+
+def test_encoded_ids_and_texts(docs_of):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    tok, texts = Tokenizer.from_file(path), {1: None, 2: "", 3: "a b\nc", 4: "ab" * 900, 5: "日本 é"}
+    got = {r.doc_id: r for r in bpe.encoded_texts(docs_of([*texts.items()]), path).collect()}
+    for i, text in texts.items():
+        assert (got[i].ids, got[i].decoded) == (tok.encode(text or "", add_special_tokens=False).ids, text or "")
+
+
+def test_shard_files_hold_the_documents(spark, docs_of, tmp_path):
+    texts = [(i, None if i == 7 else "text " * (i % 9)) for i in range(50)] + [(3, "a copy"), (None, "no id")]
+    docs = docs_of(texts)
+    about = {r.shard: r for r in sharding.write_shards(docs, f"{tmp_path}/shards", 4).collect()}
+    written = spark.read.parquet(f"{tmp_path}/shards").collect()
+    whole = lambda rows: sorted(str([r[c] for c in docs.columns]) for r in rows)
+    assert whole(written) == whole(docs.collect()) and len(list(tmp_path.glob("shards/shard=*/*.parquet"))) == 4
+    for k in range(4):
+        own = [r for r in written if r.shard == k]
+        assert [r.slot for r in own] == list(range(13)) and [r.curve_index for r in own] == sorted(r.curve_index for r in own)
+        sizes = [len(r.text or "") + 1 for r in own]
+        assert (about[k].n_docs, about[k].min_size, about[k].max_size, about[k].max_curve_index) == (13, min(sizes), max(sizes), own[-1].curve_index)
