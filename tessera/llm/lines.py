@@ -2,16 +2,23 @@ r"""Line dedup by an exact set-similarity join over all lines of a corpus, with
 
 A line (texts are split at "\n") is the set of its lower-case tokens, which spaces, tabs and returns
 separate. Lines with equal sets are one set, which stands at its first line by (doc_id, line number). Of
-the sets of at least MIN_TOKENS tokens, one is dropped if an earlier set has a Jaccard index of at least
-the threshold with it, whether that set is dropped itself or not. A line goes if its set is dropped or it
-isn't its set's first line. Shorter lines are never compared and always stay: with 1, as in the pipeline, only lines without a token.
+the sets of at least `min_tokens` tokens (1: all but the empty one), one is dropped if an earlier set has a
+Jaccard index of at least the threshold with it, whether that set is dropped itself or not. A line goes if
+its set is dropped or it isn't its set's first line.
 
 Tokens are ordered by rarity. Their counts are kept in a table of fixed size (SLOTS counters, one byte
 each); any order gives the same result. By the prefix filter, matching sets share one of their first
-n - ceil(t * n) + 1 tokens; the length filter and the positional filter bound the overlap, and the token
-sets of what remains are compared. To spare groups of near copies the square of their size, every set is
-compared first with the LEADERS earliest of each of its tokens' groups, and only sets that match none of
-these go on to all others.
+n - ceil(t * n) + 1 tokens; the length filter and the positional filter bound the overlap, as does a
+signature of 64 bits: the bits in which two differ are tokens that only one set has. The token sets of what
+remains are read again from the documents that hold them, and compared.
+
+Postings of light tokens (fewer than LIGHT in the corpus) are joined with each other, so none gives over LIGHT pairs. A
+heavy token may belong to a large group of near copies: there every set is compared with the LEADERS
+earliest of the group first, and only sets that match none of these go on to all others.
+
+Tokens are told apart by 64-bit hashes, and equal sets are found by 128 bits over these. Tables of fixed size that every task gets:
+the counters, and a bitmap (BITS) that tells which documents and lines to read again; where it fills up,
+more lines than needed are sent, and the join leaves them out.
 
 Cases: a null or empty text has one empty line, which stays; documents that share a doc_id follow each
 other in order of their texts; repeated rows are later copies; a null doc_id comes first; extra columns,
@@ -20,42 +27,45 @@ whatever their names, are kept by dedup_lines; an empty table gives an empty res
 
 from __future__ import annotations
 
-import gc
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import drop_stored, shuffle_partitions, stored
+from tessera.llm.common import drop_stored, free_names, stored
+
+THRESHOLD, LEADERS, LIGHT, SLOTS, BITS = 0.8, 4, 512, 1 << 20, 1 << 25
+_PAGE = 1 << 15  # bits of one page of Spark's bitmaps
+
 
-THRESHOLD, MIN_TOKENS, LEADERS, SLOTS = 0.8, 5, 4, 1 << 20
+def spaced(text: Column) -> Column:
+    return F.replace(F.replace(F.lower(text), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
 
 
 def tokens(line: Column) -> Column:
-    spaced = F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
-    return F.array_remove(F.split(spaced, " "), "")
+    """The hashes of the distinct tokens of a line that spaced() has passed, in ascending order."""
+    hashes = F.array_distinct(F.transform(F.split(line, " "), lambda t: F.xxhash64(t)))
+    return F.sort_array(F.array_remove(hashes, F.xxhash64(F.lit(""))))
 
 
 def rarity_levels(texts: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """One row: an array of `slots` levels, eight for each doubling of the count of the tokens in a slot."""
-    words = texts.select(F.explode(tokens(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
+    """One row: an array of `slots` levels, four for each doubling of the count of the tokens in a slot; 0 is one token or none."""
+    words = texts.select(F.explode_outer(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(slots)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
-    level = F.least(F.lit(127), F.floor(4 * F.log2(F.col("n")))).cast("byte")
     # A table of at most `slots` rows, whatever the input's size; missing slots hold no token.
-    whole = texts.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("byte").alias("level"))
-    both = counts.select("slot", level.alias("level")).unionByName(whole).groupBy("slot").agg(F.max("level").alias("level"))
+    whole = texts.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
+    level = F.coalesce(F.least(F.lit(127), F.floor(4 * F.log2(F.col("n")))), F.lit(0)).cast("byte")
+    both = whole.join(counts, "slot", "left").select("slot", level.alias("level"))
     return both.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "level"))), lambda s: s["level"]).alias("levels"))
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(_at, text) with _at unique and in order of (doc_id, text), in steps of 2**bits (room for a document's lines), and bits."""
+    """(doc_id, _at, text) with _at unique and in order of (doc_id, text), in steps of 2**bits (room for a document's lines), and bits."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    s = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.countDistinct("doc_id").alias("d"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(breaks).alias("most")).first()
-    bits = ((s["most"] or 0) + 1).bit_length()
+    s = rows.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    bits = 31  # no text has more bytes than that, so none has more lines
     if s["n"] == s["d"] and (not s["n"] or (s["hi"] - s["lo"]) < 1 << (62 - bits)):
         return rows.select("doc_id", F.shiftleft(F.col("doc_id") - F.lit(s["lo"] or 0), bits).alias("_at"), "text"), bits
+    bits = ((rows.agg(F.max(F.octet_length("text"))).first()[0] or 0) + 1).bit_length()
     # Repeated, missing or far-spread ids: number the rows in order instead.
     ranged = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
     part, row = F.spark_partition_id().cast("long"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -64,79 +74,91 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     return done.select("doc_id", F.shiftleft(F.shiftleft("_part", shift) + F.col("_row"), bits).alias("_at"), "text"), bits
 
 
-def _settle() -> None:
-    """Let go of finished queries' shuffle files before the next step writes its own."""
-    from pyspark.sql import SparkSession
+def lines_of(rows: DataFrame) -> DataFrame:
+    """(at, line): a line's at is its document's plus its number."""
+    lines = rows.select("_at", F.posexplode_outer(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
+    return lines.select((F.col("_at") + F.col("line_no")).alias("at"), "line")
+
+
+def hashed_sets(lines: DataFrame, levels: DataFrame, threshold: float, slots: int) -> DataFrame:
+    """(at, s1, s2, n, sig, prefix) of every line; prefix holds level and hash of its rarest tokens."""
+    own = lines.select("at", tokens(F.col("line")).alias("h"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    code = lambda x: F.shiftleft(F.get("levels", F.pmod(x, F.lit(slots)).cast("int")).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(x, 24))
+    n = F.size("h")
+    length = (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")
+    # The table of levels stays out of the rows: it is named once, so that it is read inside the one projection.
+    own = own.select("at", F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2"), n.alias("n"), F.aggregate("h", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x))).alias("sig"), length.alias("length"), "h", levels.scalar().alias("levels"))
+    return own.select("at", "s1", "s2", "n", "sig", F.slice(F.sort_array(F.transform("h", code)), F.lit(1), F.col("length")).alias("prefix"))
+
+
+def bitmap(ids: DataFrame, bits: int = BITS) -> DataFrame:
+    """One row: pages of a bitmap of the hashes of a column `id`."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    pages = ids.select(F.floor(slot / _PAGE).cast("int").alias("page"), F.pmod(slot, F.lit(_PAGE)).alias("place")).groupBy("page").agg(F.bitmap_construct_agg("place").alias("bits"))
+    whole = ids.sparkSession.range(bits // _PAGE).select(F.col("id").cast("int").alias("page")).join(pages, "page", "left")
+    return whole.agg(F.transform(F.sort_array(F.collect_list(F.struct("page", F.coalesce("bits", F.lit(b"")).alias("bits")))), lambda p: p["bits"]).alias("pages"))
+
 
-    gc.collect()
-    session = SparkSession.getActiveSession()
-    if session is not None:
-        session._jvm.System.gc()
+def maybe_in(pages: DataFrame, id_: Column, bits: int = BITS) -> Column:
+    """Whether an id may be in the bitmap; an eighth as sharp as its bits."""
+    slot = F.pmod(F.xxhash64(id_), F.lit(bits))
+    own = F.get(pages.scalar(), F.floor(slot / _PAGE).cast("int"))
+    return F.bitmap_count(F.substring(own, (F.pmod(slot, F.lit(_PAGE)) / 8).cast("int") + 1, F.lit(1))) > 0
 
 
-def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS, leaders: int = LEADERS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame, int]:
+def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = 1, leaders: int = LEADERS, light: int = LIGHT, slots: int = SLOTS) -> tuple[DataFrame, DataFrame, int]:
     """(numbered documents, (at) of each line to drop, bits); a line's at is its document's plus its number."""
     rows, bits = numbered(docs)
     levels = stored(rarity_levels(rows, slots), "levels")
-    lines = rows.select("_at", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select((F.col("_at") + F.col("line_no")).alias("at"), "line")
-    lines = lines.withColumn("set", F.array_sort(F.array_distinct(tokens(F.col("line"))))).filter(F.size("set") >= min_tokens)
-    lines = lines.select("at", F.array_join("set", " ").alias("set"), F.xxhash64("set").alias("s1"), F.xxhash64(F.lit(1), "set").alias("s2"))
-    # Equal sets meet once, after each task has picked its own first; the table is laid out by set, so that
-    # its tokens can be dealt out and gathered again without a shuffle.
-    name = f"line_sets_{uuid.uuid4().hex}"
-    n_parts = shuffle_partitions(docs.sparkSession)
-    firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct("at", "set")).alias("first"))
-    firsts.select("s1", "s2", F.col("first.at").alias("id"), F.col("first.set").alias("set")).write.bucketBy(n_parts, "s1", "s2").option("compression", "zstd").saveAsTable(name)
-    sets = docs.sparkSession.table(name)
-    _settle()
-
-    level = F.get(levels.scalar(), F.pmod(F.xxhash64("t"), F.lit(slots)).cast("int")).cast("long")
-    code = F.shiftleft(level, 48).bitwiseOR(F.shiftrightunsigned(F.xxhash64("t"), 16))
-    dealt = sets.select("s1", "s2", "id", F.explode(F.split("set", " ")).alias("t")).select("s1", "s2", "id", code.alias("code"))
-    coded = dealt.groupBy("s1", "s2").agg(F.first("id").alias("id"), F.sort_array(F.collect_list("code")).alias("codes"))
-    n = F.size("codes")
-    prefix = (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")
-    posted = coded.select("id", n.alias("n"), F.posexplode(F.slice("codes", F.lit(1), prefix)).alias("i", "tok"))
-    posted = stored(posted.select("id", F.col("tok").bitwiseAND(F.lit((1 << 48) - 1)).alias("tok"), "n", "i"), "prefixes")
-    _settle()
+    lines = stored(hashed_sets(lines_of(rows), levels, threshold, slots), "line-sets").filter(F.col("n") >= max(min_tokens, 1))
+    # Equal sets meet once, after each task has picked its own first; all but `at` follows from the set.
+    sets = stored(lines.groupBy("s1", "s2", "n", "sig", "prefix").agg(F.min("at").alias("id")), "first-lines")
+    level = F.shiftrightunsigned("tok", 40)
+    posted = sets.select("id", "n", "sig", F.posexplode_outer("prefix").alias("i", "tok")).filter(level > 0)  # a token of level 0 has no other line
+    edge = light.bit_length() * 4 - 4
+    few, many = posted.filter(level < edge), posted.filter(level >= edge)
 
     def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-        a, b = a.select("tok", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "i"))), b.select("tok", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "i")))
-        need = F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+        a, b = a.select("tok", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "i", "sig"))), b.select("tok", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "i", "sig")))
+        both = F.col("n_a") + F.col("n_b")
+        need = F.ceil(threshold / (1 + threshold) * both - 1e-9)
         sizes = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
         places = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= need
-        found = a.join(b, "tok").filter((F.col("id_a") < F.col("id_b")) & sizes & places)
-        return found.select("id_a", "id_b").distinct()
+        apart = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= both - 2 * need
+        return a.join(b, "tok").filter((F.col("id_a") < F.col("id_b")) & sizes & places & apart).select("id_a", "id_b")
 
     def matched(candidates: DataFrame) -> DataFrame:
         """(id) of the later sets of the candidate pairs at or over the threshold."""
-        one = candidates.join(sets.select(F.col("id").alias("id_a"), F.col("set").alias("set_a")), "id_a")
-        both = one.join(sets.select(F.col("id").alias("id_b"), F.col("set").alias("set_b")), "id_b")
-        a, b = F.split("set_a", " "), F.split("set_b", " ")
-        common = F.size(F.array_intersect(a, b))
-        return both.filter(common >= threshold * (F.size(a) + F.size(b) - common) - 1e-9).select(F.col("id_b").alias("id")).distinct()
+        found = stored(candidates.distinct(), "line-pairs")
+        ids = found.select(F.explode(F.array("id_a", "id_b")).alias("id"))
+        asked = ids.unionByName(ids.select((-1 - F.shiftright("id", bits)).alias("id")))  # lines, and their documents below zero
+        pages = stored(bitmap(asked), "line-bitmap")
+        again = lines_of(rows.filter(maybe_in(pages, -1 - F.shiftright("_at", bits)))).filter(maybe_in(pages, F.col("at")))
+        whole = stored(again.select("at", tokens(F.col("line")).alias("h")), "line-tokens")
+        one = found.join(whole.select(F.col("at").alias("id_a"), F.col("h").alias("a")), "id_a")
+        both = one.join(whole.select(F.col("at").alias("id_b"), F.col("h").alias("b")), "id_b")
+        enough = F.size(F.array_intersect("a", "b")) * (1 + threshold) >= threshold * (F.size("a") + F.size("b")) - 1e-9
+        done = stored(both.filter(enough).select(F.col("id_b").alias("id")).distinct(), "matched")
+        for df in (found, pages, whole):
+            drop_stored(df)
+        return done
 
     # Leaders come from the tokens' groups by a top-k, which each task applies before the shuffle too.
     rank = F.row_number().over(Window.partitionBy("tok").orderBy("id"))
-    heads = posted.withColumn("rank", rank).filter(F.col("rank") <= leaders).drop("rank")
-    early = stored(matched(pairs(heads, posted)), "matched")
-    _settle()
-    rest = posted.join(early, "id", "left_anti")
-    late = stored(matched(pairs(posted, rest)), "matched")
-    places = stored(sets.select("s1", "s2", "id"), "line-places")
-    drop_stored(posted)
-    docs.sparkSession.sql(f"DROP TABLE {name}")
-    _settle()
-    gone = early.unionByName(late).select("id", F.lit(True).alias("gone"))
-    known = places.join(gone, "id", "left")
-    lost = lines.select("at", "s1", "s2").join(known, ["s1", "s2"]).filter("gone OR at <> id").select("at")
+    heads = many.withColumn("rank", rank).filter(F.col("rank") <= leaders).drop("rank")
+    early = matched(pairs(few, few).unionByName(pairs(heads, many)))
+    late = matched(pairs(many, many.join(early, "id", "left_anti")))
+    places = stored(sets.select("s1", "s2", "id").join(early.unionByName(late).withColumn("gone", F.lit(True)), "id", "left"), "line-places")
+    drop_stored(sets)
+    lost = lines.select("at", "s1", "s2").join(places, ["s1", "s2"]).filter("gone OR at <> id").select("at")
     return rows, lost, bits
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_removed and removed_lines (numbers from 0, joined by commas) of every document."""
     rows, lost, bits = dropped_lines(docs, **options)
-    size = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    size = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     each = lost.select(F.shiftleft(F.shiftright("at", bits), bits).alias("_at"), F.col("at").bitwiseAND(F.lit((1 << bits) - 1)).alias("line_no"))
     each = each.groupBy("_at").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
     out = rows.select("doc_id", "_at", size.cast("long").alias("n_lines")).join(each, "_at", "left")
@@ -147,15 +169,16 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """The documents without the dropped lines (n_chars, where there is one, counts anew); those left without
     any text go, if they had one. All columns stay, as does their order."""
     rows, lost, bits = dropped_lines(docs, **options)
+    doc, hash_, gone, cut = free_names(docs, "doc", "hash", "gone", "cut")
     each = lost.select(F.shiftleft(F.shiftright("at", bits), bits).alias("_at"), F.col("at").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("line_no"))
-    each = each.groupBy("_at").agg(F.collect_list("line_no").alias("_gone"))
-    about = rows.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "_at").join(each, "_at").groupBy("_id", "_hash").agg(F.collect_list("_gone").alias("_all"), F.min("_at").alias("_first"), F.min(F.struct("_at", "_gone")).alias("_least"))
+    each = each.groupBy("_at").agg(F.collect_list("line_no").alias("gone"))
     # Rows with one doc_id and one text are copies: the first stands for the rest, whose long lines go.
-    found = docs.join(about.select("_id", "_hash", F.col("_least._gone").alias("_gone")), (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    out = found.withColumn("_text", text).filter(F.col("_gone").isNull() | (F.trim("_text") != ""))
-    names = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" and isinstance(docs.schema[c].dataType, T.IntegralType) else F.col(c) for c in docs.columns]
+    about = rows.select("doc_id", F.xxhash64("text").alias("hash"), "_at").join(each, "_at").groupBy("doc_id", "hash").agg(F.min(F.struct("_at", "gone")).alias("least"))
+    about = about.select(F.col("doc_id").alias(doc), F.col("hash").alias(hash_), F.col("least.gone").alias(gone))
+    found = docs.join(about, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(hash_)), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone, i)), "\n")
+    out = found.withColumn(cut, F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).filter(F.col(gone).isNull() | (F.trim(cut) != ""))
+    names = [F.col(cut).alias("text") if c == "text" else F.length(cut).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" and isinstance(docs.schema[c].dataType, T.IntegralType) else F.col(c) for c in docs.columns]
     return out.select(*names)
 
 
@@ -165,7 +188,7 @@ WITH l AS (
 ), s AS (
   SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split(replace(replace(lower(line), chr(9), ' '), chr(13), ' '), ' '), lambda x: x <> ''))) AS t FROM l
 ), d AS (
-  SELECT t, len(t) AS n, min((doc_id, line_no)) AS f, row_number() OVER (ORDER BY min((doc_id, line_no))) AS id FROM s WHERE len(t) >= 5 GROUP BY t
+  SELECT t, len(t) AS n, min((doc_id, line_no)) AS f, row_number() OVER (ORDER BY min((doc_id, line_no))) AS id FROM s WHERE len(t) >= 1 GROUP BY t
 ), w AS (
   SELECT w, count(*) AS c FROM (SELECT unnest(t) AS w FROM d) GROUP BY w
 ), o AS (

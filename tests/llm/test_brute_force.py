@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import components, embeddings, fingerprint, html, jaccard, lines, quality, sharding, suffixes
 
@@ -93,16 +94,17 @@ def dropped(texts):
         for k, line in enumerate((text or "").split("\n")):
             s = frozenset(x for x in line.lower().replace("\t", " ").replace("\r", " ").split(" ") if x)
             sets[i, k] = s
-            if len(s) >= 5 and s not in first:
+            if s and s not in first:
                 first[s] = (i, k)
                 order.append(s)
     gone = {s for n, s in enumerate(order) if any(len(s & o) >= 0.8 * len(s | o) for o in order[:n])}
-    return {p for p, s in sets.items() if len(s) >= 5 and (s in gone or first[s] != p)}
+    return {p for p, s in sets.items() if s and (s in gone or first[s] != p)}
 
 
-def test_lines(docs_of, texts):
+@pytest.mark.parametrize("light", [512, 2])
+def test_lines(docs_of, texts, light):
     lost = dropped(texts)
-    got = by_id(lines.line_report(docs_of([*texts.items()])))
+    got = by_id(lines.line_report(docs_of([*texts.items()]), light=light, slots=1 << 12))
     for i, text in texts.items():
         assert got[i].removed_lines == ",".join(str(k) for j, k in sorted(lost) if j == i) and got[i].n_lines == (text or "").count("\n") + 1
     kept = by_id(lines.dedup_lines(docs_of([*texts.items()])))
@@ -115,8 +117,22 @@ def test_lines(docs_of, texts):
 
 
 def test_lines_with_repeated_ids(docs_of):
-    got = lines.line_report(docs_of([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "x")])).collect()
-    assert sorted((str(r.doc_id), r.n_removed) for r in got) == [("1", 1), ("1", 1), ("2", 0), ("None", 0)]
+    got = lines.line_report(docs_of([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "x"), (2, "one token\nx")])).collect()
+    assert sorted((str(r.doc_id), r.removed_lines) for r in got) == [("1", "0"), ("1", "0"), ("2", ""), ("2", "0"), ("None", "")]
+
+
+def test_lines_far_ids_and_clashing_names(spark):
+    rows = [(-(1 << 62), "a b\nc d", 0, "k"), (1 << 62, "b a\ne f", 0, "l"), (None, "c d", 0, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int, Doc string").withColumn("_cut", F.lit(1)).withColumn("hash", F.lit(2))
+    kept = lines.dedup_lines(docs)
+    assert kept.columns == docs.columns and sorted((r.Doc, r.text) for r in kept.collect()) == [("k", "a b"), ("l", "e f"), ("m", "c d")]
+    assert lines.dedup_lines(docs.limit(0)).count() == lines.line_report(docs.limit(0)).count() == 0
+
+
+def test_many_near_copies_of_a_line(docs_of):
+    words = [f"w{i}" for i in range(30)]
+    texts = {i: "\n".join([" ".join([*words[:28], f"x{i}", f"y{i % 7}"]), f"own {i} line"]) for i in range(300)}
+    assert {r.doc_id: r.removed_lines for r in lines.line_report(docs_of([*texts.items()]), light=16).collect()} == {i: "0" if i else "" for i in texts}
 
 
 def test_fingerprints(docs_of, texts):
