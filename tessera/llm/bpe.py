@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tokenizer_file
+
 LEAF = 512
 CACHE = 300_000
 _ODD = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
@@ -41,6 +43,7 @@ class TreeBpe:
     def __init__(self, path: str, leaf: int = LEAF):
         from tokenizers import Tokenizer
 
+        path = tokenizer_file(path)
         self.tok, self.leaf = Tokenizer.from_file(path), leaf
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -172,13 +175,13 @@ def _encoded(docs: DataFrame, path: str, leaf: int) -> DataFrame:
 
 
 def encoded_texts(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
-    """doc_id, ids and the text that they decode to, with the tokenizer file at path (present on every machine)."""
+    """doc_id, ids and the text that they decode to, with a tokenizer file (see tokenizer_file)."""
     ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", ",").cast("array<int>"))
     return _encoded(docs, path, leaf).select("doc_id", ids.alias("ids"), "decoded")
 
 
 def encode_documents(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
-    """Encode and decode each text with the tokenizer file at path (present on every machine).
+    """Encode and decode each text with a tokenizer file (see tokenizer_file).
 
     Returns doc_id, n_tokens, the digest of the decimal ids and that of the decoded text.
     """

@@ -14,12 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all machines share: spark.checkpoint.dir; a temporary one only in a session of one process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -57,6 +59,15 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def tokenizer_file(path: str) -> str:
+    """A path as it is, or the place of a public tokenizer file by its name, on the machine that asks."""
+    if "/" in path:
+        return path
+    import public_tokenizers
+
+    return str(public_tokenizers.path(path))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,15 +22,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.bpe import byte_alphabet
+from tessera.llm.common import stored, tokenizer_file
+from tessera.llm.common import tokenizer_file as tokenizer_path  # noqa: F401
 
 #: str.split() also splits at these control characters, which are no white space to the tokenizer.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: Characters beyond Latin, whose case or composition may depend on their neighbours.
-_HARD = re.compile("[^\x00-\u024f]|\u0130")
-MARKS = (".", ",", ";", ":", "!", "?")
-CAPACITY, OPEN, MERGED, CACHE = 4096, 32, 256, 300_000
+#: Characters beyond Latin, whose case or composition may depend on their neighbours, and numbers that are no digits.
+_HARD = re.compile("[^\x00-\u024f]|[\u0130'\xb2\xb3\xb9\xbc-\xbe]|<\\|")
+#: What the tokenizer splits a word of other characters into: letters, single digits, signs.
+_PARTS = re.compile(r"[^\W\d_]+|\d|(?:[^\w]|_)+")
+CAPACITY, OPEN, MERGED, CACHE = 4096, 32, 256, 600_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 FIELDS = [(name, pa.binary() if kind == "binary" else pa.int64()) for name, kind in map(str.split, PIECES.split(", "))]
 #: Finished pieces leave a task in batches of about so many bytes of ids.
@@ -45,26 +48,32 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tok = Tokenizer.from_file(path)
+        self.tok = Tokenizer.from_file(tokenizer_file(path))
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.model = self.tok.model
+        marks = {b: c for c, b in byte_alphabet().items()}
+        self.marks = {c: "".join(marks[b] for b in chr(c).encode()) for c in range(128, 0x250)}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        # Case is dropped, and a mark after a letter or digit is a token of its own, so most words are known in another form.
-        plain = len(word) <= 64 and "<|" not in word and not _HARD.search(word)
-        low = word.lower() if plain else word
-        if low != word:
+        if len(word) > 64 or _HARD.search(word):
+            ids = self.whole(word)
+        elif (low := word.lower()) != word:  # case is dropped
             ids = self[low]
-        elif plain and word[-1:] in MARKS and word[-2:-1].isalnum():
-            ids = self[word[:-1]] + self[word[-1]]
+        elif word.isalpha():  # one run of letters is one input of the model
+            ids = np.array([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.marks))], "<u4").tobytes()
         else:
-            ids = np.asarray(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            parts = _PARTS.findall(word)
+            ids = b"".join([self[x] for x in parts]) if len(parts) > 1 else self.whole(word)
         if len(word) <= 64:
             self[word] = ids
         return ids
 
+    def whole(self, word: str) -> bytes:
+        return np.asarray(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
     def document(self, text: str | None, end: int) -> bytes:
         text = text or ""
         words = _SPACE.split(text) if _CONTROL.search(text) else text.split()
@@ -131,7 +140,7 @@ def merge_leftovers(pieces: list[tuple], first_id: int, capacity: int) -> Packer
 
 def packed_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, windows: int = OPEN, end: int = 2) -> DataFrame:
     """Pack every document's ids and its end token; returns one row for each piece (PIECES), with its ids as
-    little-endian unsigned 32-bit numbers. A window is the pieces of a sequence_id in order of offset."""
+    little-endian unsigned 32-bit numbers; path: see tokenizer_file. A window is the pieces of a sequence_id in order of offset."""
     names = [n for n, _ in FIELDS]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +176,3 @@ def packed_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, windows:
 def pack_documents(docs: DataFrame, path: str, **options) -> DataFrame:
     """The pieces of packed_pieces with the checksum of their ids instead of the ids."""
     return packed_pieces(docs, path, **options).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return str(Path(public_tokenizers.path(name)))

@@ -12,7 +12,7 @@ from tessera.llm.common import table
 from tessera.llm.embeddings import near_vectors
 from tessera.llm.html import extract_pages
 from tessera.llm.jaccard import near_documents
-from tessera.llm.packing import pack_documents, tokenizer_path
+from tessera.llm.packing import pack_documents
 from tessera.llm.quality import classify
 from tessera.llm.sharding import shard_documents
 from tessera.llm.suffixes import passage_report
@@ -31,7 +31,7 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return encode_documents(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

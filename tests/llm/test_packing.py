@@ -2,12 +2,15 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tessera.llm.packing import WordIds, merge_leftovers, pack_documents, tokenizer_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
 TOK = Tokenizer.from_file(PATH)
+WORDS = WordIds("word_bpe_49k.json")
 
 
 def ids_of(text):
@@ -19,6 +22,12 @@ def test_words_equal_library(text):
     assert np.frombuffer(WordIds(PATH).document(text, 2), "<u4").tolist() == ids_of(text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("abcdEÉéßñŉǆ²½ªº_'.,-#$1٣ \t日İ\u0301<|>st"), max_size=60))
+def test_any_words_equal_library(text):
+    assert np.frombuffer(WORDS.document(text, 2), "<u4").tolist() == ids_of(text)
+
+
 def verify(rows, texts, capacity):
     docs, sequences = {}, {}
     for r in rows:
