@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import stored, table
 from tessera.llm.jaccard import one_of_each_group
 from tessera.llm.lines import dedup_lines
-from tessera.llm.packing import packed_pieces, tokenizer_path
+from tessera.llm.packing import packed_pieces
 from tessera.llm.quality import good_documents
 from tessera.llm.suffixes import dedup_passages
 
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that an earlier line matches, short ones too."""
-    return dedup_lines(docs, min_tokens=1)
+    """Drop lines that an earlier line matches."""
+    return dedup_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into windows of tokens."""
-    return packed_pieces(docs, tokenizer_path("word_bpe_49k.json"))
+    return packed_pieces(docs, "word_bpe_49k.json")
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("passages", passages), ("packing", packing)]
