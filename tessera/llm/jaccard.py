@@ -10,8 +10,10 @@ meet) and by hash into tiles; each pair of tiles is a task. Results leave a task
 nothing grows with the square of a group.
 
 Cases: null and empty texts have no n-grams and link with nothing; a text of fewer than five words has one
-n-gram, of all of them; repeated rows are copies of each other; extra columns, whatever their names, are
-ignored here and kept by one_of_each_group; an empty table gives an empty result.
+n-gram, of all of them; repeated rows are copies of each other, and rows that share a doc_id but not the text
+count as one document, linked where any of its texts is; a null doc_id is smaller than all others, so a class
+whose first document has none has a null class_id; extra columns, whatever their names, are ignored here and
+kept by one_of_each_group; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import spread, stored
+from tessera.llm.common import free_names, spread, stored
 from tessera.llm.components import connected_components
 from tessera.llm.shingles import WORDS, in_runs, mix, shingle_sets
 
 THRESHOLD, RECALL, TASK_GRAMS = 0.8, 0.999, 400_000
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 
 
 def bands_and_rows(threshold: float, recall: float, spurious: float = 0.1) -> tuple[int, int]:
@@ -114,7 +118,8 @@ def near_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
                 packed = [next(signed).tobytes() if n else None for n in size]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), pa.array(size), pa.array(packed, pa.binary()), batch.column(2).slice(a, b - a)], ["doc_id", "key", "n_grams", "bands", "version"])
 
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) version")
+    low = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    texts = docs.select(low.alias("doc_id"), "text", F.xxhash64("text").alias("version"))
     signed = stored(texts.mapInArrow(sign, "doc_id long, key binary, n_grams long, bands binary, version long"), "signatures")
     classes = signed.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "version", "n_grams", "bands")).alias("_f"), F.count("*").alias("copies"))
     classes = stored(classes.select("key", F.col("_f.doc_id").alias("rep"), "_f.version", "_f.n_grams", "_f.bands", "copies"), "classes")
@@ -134,8 +139,8 @@ def near_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     about = classes.join(counts, "rep", "left").join(parts, classes.rep == parts.node, "left")
     about = about.select("key", F.col("rep").alias("_rep"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("component", "rep").alias("_class"))
     out = signed.select("doc_id", "key", "n_grams").join(about, "key", "left")
-    own = F.coalesce("_class", "doc_id")
-    return out.select("doc_id", own.alias("class_id"), F.coalesce("_rep", "doc_id").alias("copy_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), "n_grams", (F.col("doc_id") == own).alias("kept"))
+    own, known = F.coalesce("_class", "doc_id"), lambda c: F.nullif(c, F.lit(NO_ID))
+    return out.select(known(F.col("doc_id")).alias("doc_id"), known(own).alias("class_id"), known(F.coalesce("_rep", "doc_id")).alias("copy_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), "n_grams", (F.col("doc_id") == own).alias("kept"))
 
 
 def _verified(texts: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float, words: int, task_grams: int) -> DataFrame:
@@ -194,7 +199,8 @@ def _texts_of(texts: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their class; all columns stay."""
-    gone = near_documents(docs, **options).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-
+    """The documents without those that have a smaller doc_id in their class (a null id is the smallest, and rows
+    with the class's own id stay); all columns stay."""
+    (gone,) = free_names(docs, "gone")
+    copies = near_documents(docs, **options).filter("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(copies, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

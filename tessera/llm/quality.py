@@ -9,13 +9,18 @@ threshold: a quantile of the held-out trusted documents' perplexities in that la
 Languages with too few of these use the quantile over all. A short document's mean is drawn towards the
 language's middle by a fixed number of bytes, as few bytes say little.
 
+Rows travel through the blocks with their doc_id and language, so each has its own score whatever its id. The
+threshold is compared with the drawn perplexity; the model's own is returned beside it.
+
 Cases: a null or empty text has no perplexity and is rejected; without held-out trusted documents nothing else
-is rejected; a null language is one of its own; a document labelled twice is trusted if any label says so;
-repeated rows are scored again; extra columns, whatever their names, are kept by good_documents.
+is rejected; a null language is one of its own; a null doc_id is never trusted, and its row is scored like others;
+a document labelled twice is trusted if any label says so; extra columns, whatever their names, are kept by
+good_documents; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
@@ -26,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import spread, stored
+from tessera.llm.common import free_names, spread, stored
 
 ORDER, BLOCK, RUN = 5, 24 << 20, 2 << 20
 #: Trusted ids are broadcast up to so many (16 bytes each), and shuffled beyond.
@@ -85,11 +90,11 @@ def _runs(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield run
 
 
-def _pack(docs: list[int], texts: list[bytes], grams: np.ndarray) -> bytes:
+def _pack(about: list[tuple], texts: list[bytes], grams: np.ndarray) -> bytes:
     import zstandard
 
     gaps = np.diff(grams, prepend=0)
-    parts = [np.asarray(docs, "<i8").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), gaps.astype("<i8").tobytes(), b"".join(texts)]
+    parts = [json.dumps(about).encode(), np.array([len(t) for t in texts], "<i8").tobytes(), gaps.astype("<i8").tobytes(), b"".join(texts)]
     parts = [zstandard.ZstdCompressor(level=3).compress(p) for p in parts]
     return struct.pack("<4q", *map(len, parts)) + b"".join(parts)
 
@@ -162,9 +167,11 @@ def probabilities(asked: DataFrame, counts: DataFrame, order: int = ORDER) -> Da
 
 
 def score_documents(docs: DataFrame, trusted: DataFrame, order: int = ORDER, block_bytes: int = BLOCK) -> DataFrame:
-    """(doc_id, n_bytes, nll) of every row: the natural logarithm of its probability, negated."""
+    """(doc_id, lang, version, n_bytes, nll) of every row: the natural logarithm of its probability, negated;
+    version is a hash of its text."""
     ids = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang"), F.xxhash64("text").alias("version"))
     counts = stored(ngram_counts(texts.join(ids, "doc_id", "left_semi"), order), "ngrams")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +183,8 @@ def score_documents(docs: DataFrame, trusted: DataFrame, order: int = ORDER, blo
             return pa.RecordBatch.from_arrays([pa.array([(part << 20) + number]), pa.array([_pack(docs_, texts_, counter.grams)], pa.binary())], ["block", "packed"])
 
         for batch in batches:
-            own, new = batch.column(0).to_pylist(), [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            own = [*zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)))]
+            new = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             at = 0
             for run in _runs(new):
                 docs_ += own[at : at + len(run)]
@@ -210,7 +218,7 @@ def score_documents(docs: DataFrame, trusted: DataFrame, order: int = ORDER, blo
         if left.num_rows:
             index, logp = pd.Index(right.column("gram").to_numpy()), right.column("logp").to_numpy()
             for packed in left.column("packed").to_pylist():
-                own = np.frombuffer(_unpack(packed, 0), "<i8")
+                own = json.loads(_unpack(packed, 0))
                 sizes = np.frombuffer(_unpack(packed, 1), "<i8")
                 data, at, docs_at = _unpack(packed, 3), 0, 0
                 texts_ = []
@@ -221,37 +229,47 @@ def score_documents(docs: DataFrame, trusted: DataFrame, order: int = ORDER, blo
                     lengths = np.array([len(t) for t in run])
                     got = np.concatenate([[0.0], np.cumsum(logp[index.get_indexer(grams_of(run, order))].astype("f8"))])
                     ends = np.cumsum(lengths)
-                    out += zip(own[docs_at : docs_at + len(run)].tolist(), lengths.tolist(), (got[ends - lengths] - got[ends]).tolist())
+                    out += [(*about, n, x) for about, n, x in zip(own[docs_at : docs_at + len(run)], lengths.tolist(), (got[ends - lengths] - got[ends]).tolist())]
                     docs_at += len(run)
-        columns = [*zip(*out)] if out else [(), (), ()]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "n_bytes", "nll"), columns, (pa.int64(), pa.int64(), pa.float64()))})
+        columns = [*zip(*out)] if out else [()] * 5
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "lang", "version", "n_bytes", "nll"), columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()))})
+
+    return blocks.groupBy("block").cogroup(spread(replies, "block").groupBy("block")).applyInArrow(score, "doc_id long, lang string, version long, n_bytes long, nll double")
+
 
-    return blocks.groupBy("block").cogroup(spread(replies, "block").groupBy("block")).applyInArrow(score, "doc_id long, n_bytes long, nll double")
+def _few(df: DataFrame) -> DataFrame:
+    """df for a join: broadcast where it has at most BROADCAST_IDS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, least_trusted: int = LEAST_TRUSTED, prior: float = PRIOR_BYTES) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity (of a byte), threshold, kept for every document."""
+    """doc_id, lang, n_bytes, perplexity (of a byte, the model's), drawn (the same drawn towards the language's
+    middle), threshold (for drawn), kept, and version (a hash of the text) for every row."""
     trusted = trusted_ids(labels)
-    scores = stored(score_documents(docs, held_out(trusted, False), order).groupBy("doc_id").agg(F.max("n_bytes").alias("n_bytes"), F.max("nll").alias("nll")), "scores")
-    about = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang")).join(scores, "doc_id")
+    scores = stored(score_documents(docs, held_out(trusted, False), order), "scores")
+    about = scores.withColumn("lang", F.coalesce("lang", F.lit("")))
     mean = F.col("nll") / F.col("n_bytes")
-    known = about.filter("n_bytes > 0").join(held_out(trusted, True), "doc_id", "left_semi").withColumn("mean", mean)
+    known = stored(about.filter("n_bytes > 0").join(_few(held_out(trusted, True)), "doc_id", "left_semi").select("lang", "nll", "n_bytes", mean.alias("mean")), "held-out")
     middle = lambda g: g.agg(F.percentile_approx("mean", 0.5, 10_000).alias("middle"), F.count("*").alias("n"))
     each, all_ = middle(known.groupBy("lang")).filter(F.col("n") >= least_trusted), middle(known).first()
     drawn = lambda m: (F.col("nll") + prior * m) / (F.col("n_bytes") + prior)
     top = known.join(each.select("lang", "middle"), "lang").withColumn("drawn", drawn(F.col("middle"))).groupBy("lang").agg(F.percentile_approx("drawn", quantile, 10_000).alias("top"))
     overall = known.agg(F.percentile_approx(drawn(F.lit(all_["middle"]).cast("double")), quantile, 10_000)).first()[0]
-    own = about.join(each.select("lang", "middle").join(top, "lang"), "lang", "left")
+    limits = stored(each.select("lang", "middle").join(top, "lang"), "limits")
+    own = about.join(_few(limits), "lang", "left")
     own = own.withColumn("middle", F.coalesce("middle", F.lit(all_["middle"]).cast("double"))).withColumn("top", F.coalesce("top", F.lit(overall).cast("double")))
     limit = F.exp(F.col("top")) * margin
     value = F.when(F.col("n_bytes") > 0, F.exp(drawn(F.coalesce("middle", mean))))
-    return own.select("doc_id", "lang", "n_bytes", value.alias("perplexity"), limit.alias("threshold"), F.when(F.col("n_bytes") > 0, F.coalesce(value <= limit, F.lit(True))).otherwise(F.lit(False)).alias("kept"))
+    raw = F.when(F.col("n_bytes") > 0, F.exp(mean))
+    kept = F.when(F.col("n_bytes") > 0, F.coalesce(value <= limit, F.lit(True))).otherwise(F.lit(False))
+    return own.select("doc_id", "lang", "n_bytes", raw.alias("perplexity"), value.alias("drawn"), limit.alias("threshold"), kept.alias("kept"), "version")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are not rejected; all columns stay."""
-    gone = classify(docs, labels, **options).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone, version = free_names(docs, "gone", "version")
+    bad = classify(docs, labels, **options).filter("NOT kept").select(F.col("doc_id").alias(gone), F.col("version").alias(version)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(gone)) & (F.xxhash64("text") == F.col(version)), "left_anti")
 
 
 __all__ = ["classify", "good_documents"]

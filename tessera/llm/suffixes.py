@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import spread, stored, text_bytes
+from tessera.llm.common import free_names, spread, stored, text_bytes
 from tessera.llm.shingles import _R, _R_INV, _powers_of, mix
 
 LENGTH, SEED, BLOCK, RUN = 50, 20, 8 << 20, 1 << 19
@@ -470,8 +470,9 @@ def passage_report(docs: DataFrame, length: int = LENGTH, seed: int = SEED, bloc
 def dedup_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED, block_bytes: int = BLOCK) -> DataFrame:
     """The documents without the bytes that earlier ones hold (a character cut in two goes whole; n_chars, where
     there is one, counts anew); those left without any text go, if they lost some. All columns stay."""
-    cut = _per_document(docs, length, seed, block_bytes, True).dropDuplicates(["_id", "_sha"])
-    found = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("_sha")), "left")
-    out = found.filter(F.col("_kept").isNull() | (F.trim("_kept") != ""))
-    text = F.coalesce("_kept", "text")
+    id_, sha, kept = free_names(docs, "id", "sha", "kept")
+    cut = _per_document(docs, length, seed, block_bytes, True).dropDuplicates(["_id", "_sha"]).select(F.col("_id").alias(id_), F.col("_sha").alias(sha), F.col("_kept").alias(kept))
+    found = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col(sha)), "left")
+    out = found.filter(F.col(kept).isNull() | (F.trim(kept) != ""))
+    text = F.coalesce(kept, "text")
     return out.select(*[text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" and isinstance(docs.schema[c].dataType, T.IntegralType) else F.col(c) for c in docs.columns])

@@ -266,3 +266,37 @@ def test_classifier(spark, docs_of):
     assert none[5].kept and not none[400].kept
     kept = quality.good_documents(docs_of([*texts.items()]), labels)
     assert kept.count() == 300 and "class_id" in kept.columns
+
+
+def odd_rows(spark, rows):
+    """Rows (id, text) with columns named like those that the operators add, in any case."""
+    names = ("gone", "Version", "id", "sha", "kept", "hash", "cut", "doc", "_gone", "_kept", "n", "class_id", "rep", "key", "grams")
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    return df.select("*", *(F.lit(k).alias(name) for k, name in enumerate(names)))
+
+
+def test_stages_with_null_ids_and_clashing_names(spark):
+    long, other = sentence(60), sentence(60)
+    rows = [(None, long), (None, long), (1, long), (2, long), (3, other), (3, other), (4, None), (5, ""), (6, long[:200] + " " + other)]
+    docs = odd_rows(spark, rows)
+    labels = spark.createDataFrame([(3, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    scored = quality.classify(docs, labels).collect()
+    assert len(scored) == len(rows) and all((r.perplexity is None) == (not r.n_bytes) for r in scored)
+    kept = quality.good_documents(docs, labels)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "3", "6", "None", "None"]
+    one = jaccard.one_of_each_group(docs)
+    assert one.columns == docs.columns and sorted(str(r.doc_id) for r in one.collect()) == ["3", "3", "4", "5", "6", "None", "None"]
+    near = {(r.doc_id, r.class_id, r.n_links, r.kept) for r in jaccard.near_documents(docs).collect()}
+    assert {(None, None, 3, True), (1, None, 3, False), (2, None, 3, False), (3, 3, 1, True), (4, 4, 0, True)} <= near
+    cut = suffixes.dedup_passages(docs)
+    assert cut.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in cut.filter("text <> ''").collect())[0] == ("3", other)
+    for f in (lambda d: quality.classify(d, labels), lambda d: quality.good_documents(d, labels), jaccard.near_documents, jaccard.one_of_each_group, suffixes.passage_report, suffixes.dedup_passages):
+        assert f(docs.limit(0)).count() == 0
+
+
+def test_scores_of_repeated_ids_are_their_own(spark):
+    rows = [(i, sentence(30)) for i in range(60)] + [(1, "#" * 31), (1, "x" * 400)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(2, 60)], "doc_id long, quality int, toxic int")
+    got = quality.classify(odd_rows(spark, rows), labels).filter("doc_id = 1").collect()
+    assert sorted(r.n_bytes for r in got) == sorted([31, 400, len(rows[1][1])])
+    assert {r.n_bytes: r.kept for r in got} == {31: False, 400: False, len(rows[1][1]): True}
