@@ -8,17 +8,17 @@ its set is dropped or it isn't its set's first line.
 
 Tokens are ordered by rarity. Their counts are kept in a table of fixed size (SLOTS counters, one byte
 each); any order gives the same result. By the prefix filter, matching sets share one of their first
-n - ceil(t * n) + 1 tokens; the length filter and the positional filter bound the overlap, as does a
-signature of 64 bits: the bits in which two differ are tokens that only one set has. The token sets of what
-remains are read again from the documents that hold them, and compared.
+n - ceil(t * n) + 1 tokens; the length filter and the positional filter bound the overlap, as do a signature
+of 64 bits (the bits in which two differ are tokens that only one set has) and the number of tokens that two
+prefixes share. The lines of the pairs that remain are read again from their documents, and compared whole.
 
-Postings of light tokens (fewer than LIGHT in the corpus) are joined with each other, so none gives over LIGHT pairs. A
-heavy token may belong to a large group of near copies: there every set is compared with the LEADERS
-earliest of the group first, and only sets that match none of these go on to all others.
+A large group of near copies would give the square of its size. So every set is compared first with the
+LEADERS earliest of each of KEYS tokens, the most common of its prefix; sets that match one of them are
+dropped, and only the others look for an earlier match among all sets, dropped ones too.
 
-Tokens are told apart by 64-bit hashes, and equal sets are found by 128 bits over these. Tables of fixed size that every task gets:
-the counters, and a bitmap (BITS) that tells which documents and lines to read again; where it fills up,
-more lines than needed are sent, and the join leaves them out.
+Tokens are told apart by 64-bit hashes, and equal sets are found by 128 bits over these. Tables of fixed size
+that every task gets: the counters, and a bitmap (BITS) that tells which documents and lines to read again;
+where it fills up, more lines than needed are sent, and the join leaves them out.
 
 Cases: a null or empty text has one empty line, which stays; documents that share a doc_id follow each
 other in order of their texts; repeated rows are later copies; a null doc_id comes first; extra columns,
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import drop_stored, free_names, stored
 
-THRESHOLD, LEADERS, LIGHT, SLOTS, BITS = 0.8, 4, 512, 1 << 20, 1 << 25
+THRESHOLD, LEADERS, KEYS, SLOTS, BITS = 0.8, 4, 3, 1 << 20, 1 << 25
 _PAGE = 1 << 15  # bits of one page of Spark's bitmaps
 
 
@@ -48,8 +48,9 @@ def tokens(line: Column) -> Column:
 
 
 def rarity_levels(texts: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """One row: an array of `slots` levels, four for each doubling of the count of the tokens in a slot; 0 is one token or none."""
-    words = texts.select(F.explode_outer(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    """One row: an array of `slots` levels, four for each doubling of the count of the tokens in a slot. Words are
+    split at spaces alone here, so that those beside other white space count apart: this is but an order."""
+    words = texts.select(F.explode_outer(F.split(F.lower("text"), " ")).alias("w"))
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(slots)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
     # A table of at most `slots` rows, whatever the input's size; missing slots hold no token.
     whole = texts.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
@@ -81,15 +82,19 @@ def lines_of(rows: DataFrame) -> DataFrame:
 
 
 def hashed_sets(lines: DataFrame, levels: DataFrame, threshold: float, slots: int) -> DataFrame:
-    """(at, s1, s2, n, sig, prefix) of every line; prefix holds level and hash of its rarest tokens."""
+    """(at, key, n, sig, prefix) of every line; prefix holds level and hash of its rarest tokens."""
     own = lines.select("at", tokens(F.col("line")).alias("h"))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
     code = lambda x: F.shiftleft(F.get("levels", F.pmod(x, F.lit(slots)).cast("int")).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(x, 24))
     n = F.size("h")
-    length = (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")
     # The table of levels stays out of the rows: it is named once, so that it is read inside the one projection.
-    own = own.select("at", F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2"), n.alias("n"), F.aggregate("h", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x))).alias("sig"), length.alias("length"), "h", levels.scalar().alias("levels"))
-    return own.select("at", "s1", "s2", "n", "sig", F.slice(F.sort_array(F.transform("h", code)), F.lit(1), F.col("length")).alias("prefix"))
+    own = own.select("at", F.xxhash64("h").alias("key"), n.alias("n"), F.aggregate("h", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x))).alias("sig"), (n - inner(n, threshold)).cast("int").alias("length"), "h", levels.scalar().alias("levels"))
+    return own.select("at", "key", "n", "sig", F.slice(F.sort_array(F.transform("h", code)), F.lit(1), F.col("length")).alias("prefix"))
+
+
+def inner(n: Column, threshold: float) -> Column:
+    """How many of n tokens a prefix leaves out."""
+    return F.ceil(threshold * n - 1e-9) - 1
 
 
 def bitmap(ids: DataFrame, bits: int = BITS) -> DataFrame:
@@ -107,30 +112,30 @@ def maybe_in(pages: DataFrame, id_: Column, bits: int = BITS) -> Column:
     return F.bitmap_count(F.substring(own, (F.pmod(slot, F.lit(_PAGE)) / 8).cast("int") + 1, F.lit(1))) > 0
 
 
-def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = 1, leaders: int = LEADERS, light: int = LIGHT, slots: int = SLOTS) -> tuple[DataFrame, DataFrame, int]:
+def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = 1, leaders: int = LEADERS, keys: int = KEYS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame, int]:
     """(numbered documents, (at) of each line to drop, bits); a line's at is its document's plus its number."""
     rows, bits = numbered(docs)
     levels = stored(rarity_levels(rows, slots), "levels")
     lines = stored(hashed_sets(lines_of(rows), levels, threshold, slots), "line-sets").filter(F.col("n") >= max(min_tokens, 1))
     # Equal sets meet once, after each task has picked its own first; all but `at` follows from the set.
-    sets = stored(lines.groupBy("s1", "s2", "n", "sig", "prefix").agg(F.min("at").alias("id")), "first-lines")
-    level = F.shiftrightunsigned("tok", 40)
-    posted = sets.select("id", "n", "sig", F.posexplode_outer("prefix").alias("i", "tok")).filter(level > 0)  # a token of level 0 has no other line
-    edge = light.bit_length() * 4 - 4
-    few, many = posted.filter(level < edge), posted.filter(level >= edge)
+    sets = stored(lines.groupBy("key", "n", "sig", "prefix").agg(F.min("at").alias("id")).drop("key"), "first-lines")
 
     def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-        a, b = a.select("tok", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "i", "sig"))), b.select("tok", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "i", "sig")))
-        both = F.col("n_a") + F.col("n_b")
-        need = F.ceil(threshold / (1 + threshold) * both - 1e-9)
-        sizes = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
-        places = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= need
-        apart = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= both - 2 * need
-        return a.join(b, "tok").filter((F.col("id_a") < F.col("id_b")) & sizes & places & apart).select("id_a", "id_b")
-
-    def matched(candidates: DataFrame) -> DataFrame:
+        """(id_a, id_b, n_a, n_b, left) of earlier sets and later open ones, once for each token that lets a pair
+        through; left: how many tokens both have from it on, at most. The sizes n of closed sets are negative."""
+        a, b = (df.select("tok", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "i", "sig"))) for df, side in ((a, "a"), (b, "b")))
+        n_a, n_b = F.abs("n_a"), F.abs("n_b")
+        sizes = (n_a >= threshold * n_b - 1e-9) & (n_b >= threshold * n_a - 1e-9)
+        apart = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= n_a + n_b - 2 * need(n_a, n_b)
+        # Whether b is open is asked together with a, so that one shuffle of postings serves both sides.
+        found = a.join(b, "tok").filter((F.col("id_a") < F.when(F.col("n_b") > 0, F.col("id_b")).otherwise(-1)) & sizes & apart)
+        return found.select("id_a", "id_b", n_a.alias("n_a"), n_b.alias("n_b"), F.least(n_a - F.col("i_a"), n_b - F.col("i_b")).alias("left"))
+
+    need = lambda n_a, n_b: F.ceil(threshold / (1 + threshold) * (n_a + n_b) - 1e-9)
+
+    def matched(found: DataFrame, tag: str) -> DataFrame:
         """(id) of the later sets of the candidate pairs at or over the threshold."""
-        found = stored(candidates.distinct(), "line-pairs")
+        found = stored(found, f"line-pairs-{tag}")
         ids = found.select(F.explode(F.array("id_a", "id_b")).alias("id"))
         asked = ids.unionByName(ids.select((-1 - F.shiftright("id", bits)).alias("id")))  # lines, and their documents below zero
         pages = stored(bitmap(asked), "line-bitmap")
@@ -139,19 +144,26 @@ def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int
         one = found.join(whole.select(F.col("at").alias("id_a"), F.col("h").alias("a")), "id_a")
         both = one.join(whole.select(F.col("at").alias("id_b"), F.col("h").alias("b")), "id_b")
         enough = F.size(F.array_intersect("a", "b")) * (1 + threshold) >= threshold * (F.size("a") + F.size("b")) - 1e-9
-        done = stored(both.filter(enough).select(F.col("id_b").alias("id")).distinct(), "matched")
+        done = stored(both.filter(enough).select(F.col("id_b").alias("id")).distinct(), f"matched-{tag}")
         for df in (found, pages, whole):
             drop_stored(df)
         return done
 
     # Leaders come from the tokens' groups by a top-k, which each task applies before the shuffle too.
-    rank = F.row_number().over(Window.partitionBy("tok").orderBy("id"))
-    heads = many.withColumn("rank", rank).filter(F.col("rank") <= leaders).drop("rank")
-    early = matched(pairs(few, few).unionByName(pairs(heads, many)))
-    late = matched(pairs(many, many.join(early, "id", "left_anti")))
-    places = stored(sets.select("s1", "s2", "id").join(early.unionByName(late).withColumn("gone", F.lit(True)), "id", "left"), "line-places")
+    last = F.greatest(F.size("prefix") - keys, F.lit(0))
+    common = sets.select("id", "n", "sig", F.explode(F.slice("prefix", last + 1, F.lit(keys))).alias("tok")).withColumn("i", F.lit(0))
+    heads = common.withColumn("rank", F.row_number().over(Window.partitionBy("tok").orderBy("id"))).filter(F.col("rank") <= leaders)
+    early = matched(pairs(heads, common).select("id_a", "id_b").distinct(), "early")
+    size = F.when(F.col("early"), -F.col("n")).otherwise(F.col("n"))
+    rest = sets.join(early.withColumn("early", F.lit(True)), "id", "left").select("id", size.alias("n"), "sig", F.posexplode("prefix").alias("i", "tok"))
+    rest = rest.filter("id IS NOT NULL AND n IS NOT NULL AND sig IS NOT NULL AND i IS NOT NULL AND tok IS NOT NULL")  # both sides alike
+    found = pairs(rest, rest).groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("c"), F.max("left").alias("left"))
+    # Of the tokens that two matching sets share, the inner parts hold so many at most; prefixes share the others.
+    both = need(F.col("n_a"), F.col("n_b"))
+    late = matched(found.filter((F.col("left") >= both) & (F.col("c") >= both - inner(F.greatest("n_a", "n_b"), threshold))).select("id_a", "id_b"), "late")
+    kept = stored(sets.select("id").join(early.unionByName(late), "id", "left_anti"), "line-places")
     drop_stored(sets)
-    lost = lines.select("at", "s1", "s2").join(places, ["s1", "s2"]).filter("gone OR at <> id").select("at")
+    lost = lines.select("at").join(kept, lines["at"] == kept["id"], "left_anti")
     return rows, lost, bits
 
 

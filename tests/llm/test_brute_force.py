@@ -101,10 +101,10 @@ def dropped(texts):
     return {p for p, s in sets.items() if s and (s in gone or first[s] != p)}
 
 
-@pytest.mark.parametrize("light", [512, 2])
-def test_lines(docs_of, texts, light):
+@pytest.mark.parametrize("leaders", [4, 1])
+def test_lines(docs_of, texts, leaders):
     lost = dropped(texts)
-    got = by_id(lines.line_report(docs_of([*texts.items()]), light=light, slots=1 << 12))
+    got = by_id(lines.line_report(docs_of([*texts.items()]), leaders=leaders, slots=1 << 12))
     for i, text in texts.items():
         assert got[i].removed_lines == ",".join(str(k) for j, k in sorted(lost) if j == i) and got[i].n_lines == (text or "").count("\n") + 1
     kept = by_id(lines.dedup_lines(docs_of([*texts.items()])))
@@ -132,7 +132,7 @@ def test_lines_far_ids_and_clashing_names(spark):
 def test_many_near_copies_of_a_line(docs_of):
     words = [f"w{i}" for i in range(30)]
     texts = {i: "\n".join([" ".join([*words[:28], f"x{i}", f"y{i % 7}"]), f"own {i} line"]) for i in range(300)}
-    assert {r.doc_id: r.removed_lines for r in lines.line_report(docs_of([*texts.items()]), light=16).collect()} == {i: "0" if i else "" for i in texts}
+    assert {r.doc_id: r.removed_lines for r in lines.line_report(docs_of([*texts.items()])).collect()} == {i: "0" if i else "" for i in texts}
 
 
 def test_fingerprints(docs_of, texts):
