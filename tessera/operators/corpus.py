@@ -1,15 +1,15 @@
 """Corpus preparation: normalize, hash, front matter, sections, chunks, dedup, version sync, manifests.
 
-The chunker and the front-matter parser follow the text position by position, so they are Arrow-batched
-Python over one document each; everything else is column expressions.
+The chunker follows the text position by position, so it is Arrow-batched Python over one document each;
+everything else is column expressions.
 """
 
 from __future__ import annotations
 
-import csv
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ SIZE, OVERLAP, MOST = 500, 100, 200
 #: Fixed order of cut points, the strongest first.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", ".", "!", "?")
 KEYS = {"source_id": 64, "title": 255, "category": 100, "version": 64}
-_HEADING = re.compile(r"^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$")
+_BLANKS = re.compile(r"\s*")
 
 
 def normalized(text: Column) -> Column:
@@ -50,91 +50,93 @@ def split_keywords(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "[,，]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def front_matter(text: str) -> dict:
-    """source_id, title, category, keywords, version, body and error of one document."""
-    out: dict = {"source_id": None, "title": None, "category": None, "keywords": [], "version": None, "body": None, "error": None}
-    lines = text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    if lines[0].strip() != "---":
-        return out | {"body": "\n".join(lines)}
-    fence = next((n for n in range(1, len(lines)) if lines[n].strip() == "---"), None)
-    if fence is None:
-        return out | {"error": "missing_close"}
-    bare = lambda v: v[1:-1].strip() if len(v) > 1 and v[0] == v[-1] and v[0] in "'\"" else v
-    for line in map(str.strip, lines[1:fence]):
-        if not line or line[0] == "#":
-            continue
-        key, colon, value = line.partition(":")
-        key, value = key.strip(), value.strip()
-        if not colon:
-            return out | {"error": "missing_colon"}
-        if key == "keywords":
-            if value[:1] != "[" or value[-1:] != "]":
-                return out | {"error": "bad_keywords"}
-            try:
-                items = next(csv.reader([value[1:-1].strip()], skipinitialspace=True, strict=True), [])
-            except csv.Error:
-                return out | {"error": "bad_keywords"}
-            out["keywords"] = [k for k in (bare(i.strip()) for i in items) if k]
-            if any(len(k) > 100 for k in out["keywords"]):
-                return out | {"error": "keyword_too_long"}
-        elif key in KEYS:
-            out[key] = bare(value).strip() or None
-    for key, most in KEYS.items():
-        if out[key] and len(out[key]) > most:
-            return out | {"error": f"{key}_too_long"}
-    return out | {"body": "\n".join(lines[fence + 1 :]).lstrip("\n")}
+# Front matter as rules over the lines between two fences; a rule gives the error of a line, or null.
+_ITEM = r'(?:"(?:[^"]|"")*"|[^",][^,]*|)'
+_LIST = rf"\A\[\s*{_ITEM}(?:,\s*{_ITEM})*\s*\]\z"
+LONGEST_KEYWORD = 100
+
+
+def _unquoted(value: Column) -> Column:
+    return F.trim(F.regexp_replace(value, r"""(?s)\A(['"])(.*)\1\z""", "$2"))
+
+
+def _keywords(value: Column) -> Column:
+    """The items of a bracketed list; those in double quotes may hold commas."""
+    inside = F.trim(F.substring(value, F.lit(2), F.length(value) - 2))
+    items = F.transform(F.regexp_extract_all(F.concat(F.lit(","), inside), F.lit(rf"(?:,\s*)({_ITEM})(?=,|\z)"), F.lit(1)), lambda x: F.trim(x))
+    whole = lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(_unquoted(x))
+    return F.filter(F.transform(items, lambda x: _unquoted(whole(x))), lambda x: x != "")
+
+
+def front_matter(text: Column) -> Column:
+    """Struct (source_id, title, category, keywords, version, body, error) of a document's text."""
+    plain = F.replace(F.replace(F.regexp_replace(F.coalesce(text, F.lit("")), "^\ufeff+", ""), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    rest = F.slice(F.split(plain, "\n"), F.lit(2), F.greatest(F.size(F.split(plain, "\n")) - 1, F.lit(0)))
+    fenced = F.trim(F.get(F.split(plain, "\n"), 0)) == "---"
+    close = F.array_position(F.transform(rest, lambda x: F.trim(x)), "---").cast("int")
+    given = F.filter(F.transform(F.slice(rest, F.lit(1), F.greatest(close - 1, F.lit(0))), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
+    pairs = F.transform(given, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value"), F.contains(x, F.lit(":")).alias("colon")))
+    last = lambda key: F.get(F.filter(pairs, lambda p: p["key"] == key), F.size(F.filter(pairs, lambda p: p["key"] == key)) - 1)["value"]
+    rule = lambda p: F.when(~p["colon"], "missing_colon").when((p["key"] == "keywords") & ~p["value"].rlike(_LIST), "bad_keywords").when((p["key"] == "keywords") & F.exists(_keywords(p["value"]), lambda k: F.length(k) > LONGEST_KEYWORD), "keyword_too_long")
+    values = {key: F.nullif(_unquoted(last(key)), F.lit("")) for key in KEYS}
+    lengths = [F.when(F.length(values[key]) > most, f"{key}_too_long") for key, most in KEYS.items()]
+    error = F.when(close == 0, "missing_close").otherwise(F.coalesce(F.get(F.filter(F.transform(pairs, rule), lambda e: e.isNotNull()), 0), *lengths))
+    body = F.regexp_replace(F.array_join(F.slice(rest, close + 1, F.size(rest)), "\n"), "^\n+", "")
+    known = fenced & error.isNull()
+    none = F.array().cast("array<string>")
+    return F.struct(
+        *(F.when(known, values[key]).alias(key) for key in ("source_id", "title", "category")),
+        F.when(known, F.coalesce(_keywords(last("keywords")), none)).otherwise(none).alias("keywords"),
+        F.when(known, values["version"]).alias("version"),
+        F.when(~fenced, plain).when(known, body).alias("body"),
+        F.when(fenced, error).alias("error"),
+    )
 
 
 def with_front_matter(df: DataFrame, text: str) -> DataFrame:
     """Adds the struct `front`."""
+    return df.withColumn("front", front_matter(F.col(text)))
+
+
+_HEADING = r"[^\S\n]{0,3}#{1,6}[^\S\n]+[^\n]+"
+
+
+def sections(text: Column, title: Column) -> Column:
+    """Array of (title, body) by Markdown headings; parts without a body are left out, but a text of headings alone
+    gives its last title."""
+    pieces = F.split(text, rf"(?mU)(?=^{_HEADING}$)")
+    named = F.transform(pieces, lambda x: F.struct(
+        F.nullif(F.substring(F.regexp_extract(x, r"(?U)\A\s{0,3}#{1,6}\s+([^\n]*?)\s*#*[^\S\n]*(?:\n|\z)", 1), 1, 255), F.lit("")).alias("head"),
+        F.regexp_replace(F.when(x.rlike(rf"(?U)\A{_HEADING}"), F.regexp_replace(x, r"\A[^\n]*", "")).otherwise(x), r"(?U)\A\s+|\s+\z", "").alias("body"),
+    ))
+    heads = lambda i: F.filter(F.slice(named, F.lit(1), i + 1), lambda s: s["head"].isNotNull())
+    titled = F.transform(named, lambda s, i: F.struct(F.coalesce(F.get(heads(i), F.size(heads(i)) - 1)["head"], title).alias("title"), s["body"].alias("body")))
+    full = F.filter(titled, lambda s: s["body"] != "")
+    only = F.filter(F.slice(F.transform(titled, lambda s: F.struct(s["title"].alias("title"), s["title"].alias("body"))), -1, 1), lambda s: s["title"] != "")
+    return F.when(F.size(full) > 0, full).otherwise(only)
+
+
+def cut_places(text: str) -> list[tuple[int, np.ndarray]]:
+    """For each separator its length and, in ascending order, the places right after it."""
+    return [(len(s), np.array([m.start() + len(s) for m in re.finditer(f"(?={re.escape(s)})", text)], "i8")) for s in SEPARATORS]
+
+
+def spans(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
+    """(start, end) of pieces of at most `size` characters. Each ends at the last place of the strongest separator
+    that its later part has, looked up in the sorted places; the next one starts `overlap` characters before."""
+    places, begin, n = cut_places(text), 0, len(text)
+    while n - begin > size:
+        last, least = begin + size, begin + max(size // 2, overlap + 1)
+        ends = ((width, at[k]) for width, at in places if (k := int(np.searchsorted(at, last, "right")) - 1) >= 0)
+        end = int(next((e for width, e in ends if e - width >= least), last))
+        yield begin, end
+        begin = min(end, _BLANKS.match(text, max(begin + 1, end - overlap)).end())
+    yield begin, n
+
 
-    @F.pandas_udf("source_id string, title string, category string, keywords array<string>, version string, body string, error string")
-    def parse(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([front_matter(t or "") for t in texts])
-
-    return df.withColumn("front", parse(text))
-
-
-def sections(text: str, title: str) -> list[tuple[str, str]]:
-    """(title, body) by Markdown headings; a text of headings alone gives its last title."""
-    found, body = [], []
-
-    def close() -> None:
-        own = "\n".join(body).strip()
-        if own:
-            found.append((title, own))
-        body.clear()
-
-    for line in text.split("\n"):
-        if m := _HEADING.match(line):
-            close()
-            title = (m[1].strip() or title)[:255]
-        else:
-            body.append(line)
-    close()
-    return found or ([(title, title)] if title else [])
-
-
-def chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[str]:
-    """Pieces of at most `size` characters, cut after the strongest separator in the later part of each."""
-    at, n = 0, len(text)
-    if n <= size:
-        if text.strip():
-            yield text.strip()
-        return
-    while at < n:
-        limit = end = min(at + size, n)
-        if limit < n:
-            low = at + max(size // 2, overlap + 1)
-            cut = next((p + len(s) for s in SEPARATORS if (p := text.rfind(s, low, limit)) >= 0), limit)
-            end = cut if cut > at else limit
-        if piece := text[at:end].strip():
-            yield piece
-        if end >= n:
-            return
-        at = max(at + 1, end - overlap)
-        while at < end and text[at].isspace():
-            at += 1
+def chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
+    """The pieces of a text, without white space around them; blank ones are left out."""
+    return [piece for a, b in spans(text, size, overlap) if (piece := text[a:b].strip())]
 
 
 def checked(size: int, overlap: int) -> None:
@@ -150,12 +152,13 @@ def chunk_documents(df: DataFrame, key: str, text: str, title: str | None = None
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for k, t, head in zip(pdf["k"], pdf["t"], pdf["h"]):
-                own = [(k, h, c) for h, body in sections(t or "", head or "") for c in chunks(body, size, overlap)]
+            for k, parts in zip(pdf["k"], pdf["parts"]):
+                own = [(k, part["title"], c) for part in parts for c in chunks(part["body"], size, overlap)]
                 rows += [(k, None, None, None, "too_many_chunks")] if len(own) > most else [(k, h, i, c, None) for i, (_, h, c) in enumerate(own)]
             yield pd.DataFrame(rows, columns=[key, "title", "chunk_index", "content", "error"]).astype({"chunk_index": "Int64"})
 
-    source = df.select(F.col(key).alias("k"), normalized(F.col(text)).alias("t"), (F.col(title) if title else F.lit("")).alias("h"))
+    head = F.coalesce(F.col(title), F.lit("")) if title else F.lit("")
+    source = df.select(F.col(key).alias("k"), sections(F.coalesce(normalized(F.col(text)), F.lit("")), head).alias("parts"))
     return source.mapInPandas(run, f"`{key}` {kind}, title string, chunk_index long, content string, error string")
 
 

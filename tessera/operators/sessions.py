@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -119,41 +118,39 @@ def key_part(text: Column) -> Column:
     return F.translate(text, ":", "_")
 
 
-_MARK = re.compile(r"\[(THOUGHT|REPLY|SIGNAL|STATE|SOURCES)\](?:\[([^\]]+)\])?")
+# A stream as segments, each from one marker to the next; text before the first marker belongs to none.
+_KINDS = "|".join(m[1:-1] for m in MARKERS)
+_STARTS = rf"(?=\[(?:{_KINDS})\])"
+_HEAD = rf"(?s)\A\[({_KINDS})\](?:\[([^\]]+)\])?(.*)\z"
+#: The beginning of a marker at the very end, still to be completed.
+_OPEN_END = "(?:" + "|".join(re.escape(m[:n]) for m in MARKERS for n in range(1, len(m))) + r")\z"
+NO_AGENT = "处理节点"
 
 
-def _without_fragment(text: str) -> str:
-    at = text.rfind("[")
-    return text[:at] if at >= 0 and any(m.startswith(text[at:]) for m in MARKERS) else text
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
-def parse_stream(raw: str) -> dict:
-    """Reply, agent, thoughts and sources of a marked-up stream, complete or not."""
-    marks = list(_MARK.finditer(raw))
-    out: dict = {"reply": "", "agent": None, "thoughts": [], "sources": "[]"}
-    if not marks:
-        return out | {"reply": "" if any(m.startswith(raw.strip()) for m in MARKERS) else _without_fragment(raw)}
-    replies = []
-    for m, end in zip(marks, [x.start() for x in marks[1:]] + [len(raw)]):
-        body, agent = _without_fragment(raw[m.end() : end]).strip(), m[2] or "处理节点"
-        if m[1] == "THOUGHT" and body:
-            out["thoughts"].append({"agent": agent, "content": body})
-        elif m[1] == "REPLY":
-            out["agent"] = agent
-            replies += [body] if body else []
-        elif m[1] == "SOURCES" and body:
-            try:
-                parsed = json.loads(body)
-            except ValueError:
-                continue
-            if isinstance(parsed, list):
-                out["sources"] = json.dumps(parsed, ensure_ascii=False)
-    return out | {"reply": "\n".join(replies).strip()}
+def parsed_stream(raw: Column) -> Column:
+    """Struct (reply, agent, thoughts, sources) of a marked-up stream, complete or not. Replies are joined by line
+    ends, the last one names the agent, and sources is the last segment of them that is a JSON list."""
+    raw = F.coalesce(raw, F.lit(""))
+    part = lambda x, n: F.regexp_extract(x, _HEAD, n)
+    segment = lambda x: F.struct(part(x, 1).alias("kind"), F.when(part(x, 2) == "", NO_AGENT).otherwise(part(x, 2)).alias("agent"), _stripped(F.regexp_replace(part(x, 3), _OPEN_END, "")).alias("body"))
+    marked = F.filter(F.transform(F.split(raw, _STARTS), segment), lambda s: s["kind"] != "")
+    kind = lambda name: F.filter(marked, lambda s: s["kind"] == name)
+    spoken = F.transform(F.filter(kind("REPLY"), lambda s: s["body"] != ""), lambda s: s["body"])
+    plain = F.when(_stripped(raw).rlike(rf"\A(?:{_OPEN_END})?\z"), "").otherwise(F.regexp_replace(raw, _OPEN_END, ""))
+    json = F.transform(kind("SOURCES"), lambda s: F.try_parse_json(s["body"]))
+    lists = F.filter(json, lambda v: F.schema_of_variant(v).startswith("ARRAY"))
+    return F.struct(
+        F.when(F.size(marked) > 0, _stripped(F.array_join(spoken, "\n"))).otherwise(plain).alias("reply"),
+        F.get(kind("REPLY"), F.size(kind("REPLY")) - 1)["agent"].alias("agent"),
+        F.transform(F.filter(kind("THOUGHT"), lambda s: s["body"] != ""), lambda s: F.struct(s["agent"].alias("agent"), s["body"].alias("content"))).alias("thoughts"),
+        F.coalesce(F.to_json(F.get(lists, F.size(lists) - 1)), F.lit("[]")).alias("sources"),
+    )
 
 
 def with_parsed_stream(df: DataFrame, column: str) -> DataFrame:
-    @F.pandas_udf("reply string, agent string, thoughts array<struct<agent: string, content: string>>, sources string")
-    def parse(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_stream(t or "") for t in texts])
-
-    return df.withColumn("parsed", parse(column))
+    """Adds the struct `parsed`."""
+    return df.withColumn("parsed", parsed_stream(F.col(column)))

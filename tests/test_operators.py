@@ -138,19 +138,35 @@ def test_category_is_filtered_after_ranking(spark):
 def test_chunks():
     text = "一二三四五六七八九十。" * 60
     for size, overlap in ((120, 20), (500, 100)):
-        got = list(corpus.chunks(text, size, overlap))
+        got = corpus.chunks(text, size, overlap)
         assert all(len(c) <= size for c in got) and all(c.endswith("。") for c in got)
     for bad in ((99, 0), (4001, 0), (500, -1), (500, 251)):
         with pytest.raises(ValueError):
             corpus.checked(*bad)
-    assert corpus.sections("# A\n\nx\n## B ##\ny", "t") == [("A", "x"), ("B", "y")] and corpus.sections("# A", "t") == [("A", "A")]
+    words = "alpha beta.\n\n gamma? " * 80
+    spans = list(corpus.spans(words, 200, 40))
+    assert spans[0][0] == 0 and spans[-1][1] == len(words) and all(0 < b - a <= 200 for a, b in spans) and all(x[0] < y[0] <= x[1] for x, y in zip(spans, spans[1:]))
+    assert "x" * 450 == "".join(corpus.chunks("x" * 450, 200, 0)) and corpus.chunks("  ") == []
 
 
-def test_front_matter():
-    text = "﻿---\nsource_id: s\ntitle: 'T'\n# c\ncategory: faq\nkeywords: [a, \"b c\"]\nversion: 1\n---\n\nBody"
-    got = corpus.front_matter(text)
-    assert (got["source_id"], got["title"], got["keywords"], got["body"], got["error"]) == ("s", "T", ["a", "b c"], "Body", None)
-    assert [corpus.front_matter(x)["error"] for x in ("---\na: 1", "---\nx\n---", "---\nkeywords: a\n---", f"---\nversion: {'x' * 65}\n---")] == ["missing_close", "missing_colon", "bad_keywords", "version_too_long"]
+def test_sections(spark):
+    ask = lambda text, title: [tuple(x) for x in spark.createDataFrame([(text, title)], "t string, h string").select(corpus.sections(F.col("t"), F.col("h")).alias("s")).first().s]
+    assert ask("# A\n\nx\n## B ##\ny", "t") == [("A", "x"), ("B", "y")] and ask("# A", "t") == [("A", "A")]
+    assert ask("intro\n   # A\n#B is text\n    # no\n# C #\n\n# D\nend", "t") == [("t", "intro"), ("A", "#B is text\n    # no"), ("D", "end")]
+    assert ask("", "t") == [("t", "t")] and ask("", "") == [] and ask("a\n# " + "y" * 300 + "\nb", "")[1][0] == "y" * 255
+
+
+def test_front_matter(spark):
+    def ask(*texts):
+        return [r.f for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", corpus.front_matter(F.col("t")).alias("f")).orderBy("i").collect()]
+
+    text = "\ufeff---\nsource_id: s\ntitle: 'T'\n# c\ncategory: faq\nkeywords: [a, \"b, c\", 'd']\nversion: 1\n---\n\nBody\nmore"
+    (got,) = ask(text)
+    assert (got["source_id"], got["title"], got["category"], got["keywords"], got["version"], got["body"], got["error"]) == ("s", "T", "faq", ["a", "b, c", "d"], "1", "Body\nmore", None)
+    bad = ("---\na: 1", "---\nx\n---", "---\nkeywords: a\n---", '---\nkeywords: ["a" b]\n---', f"---\nversion: {'x' * 65}\n---", f"---\nkeywords: [{'x' * 101}]\n---")
+    assert [r["error"] for r in ask(*bad)] == ["missing_close", "missing_colon", "bad_keywords", "bad_keywords", "version_too_long", "keyword_too_long"]
+    plain, empty, none = ask("no\r\nfence", "---\n---\n", None)
+    assert plain["body"] == "no\nfence" and empty["body"] == "" and empty["error"] is None and none["body"] == ""
 
 
 def test_normalization(spark):
@@ -184,10 +200,14 @@ def test_anchored_limit(spark):
     assert rows(sessions.anchored_windows(df, "k", "ts", "id", 60, 2).select("id", "allowed")) == [(1, True), (2, True), (3, False), (4, True)]
 
 
-def test_stream_protocol():
-    got = sessions.parse_stream('[THOUGHT][a]think[REPLY][b] hi [SOURCES] [{"x": 1}][REP')
-    assert (got["reply"], got["agent"], got["thoughts"], got["sources"]) == ("hi", "b", [{"agent": "a", "content": "think"}], '[{"x": 1}]')
-    assert sessions.parse_stream("[TH")["reply"] == "" and sessions.parse_stream("hello [RE")["reply"] == "hello "
+def test_stream_protocol(spark):
+    def ask(*texts):
+        return [r.parsed for r in sessions.with_parsed_stream(spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string"), "t").orderBy("i").collect()]
+
+    got, two, bad = ask('[THOUGHT][a]think[REPLY][b] hi [SOURCES] [{"x": 1}][REP', "[REPLY]one[THOUGHT] [REPLY][c]two[STATE]x[SIG", '[REPLY]x[SOURCES]{"a": 1}[SOURCES]oops')
+    assert (got["reply"], got["agent"], [tuple(x) for x in got["thoughts"]], got["sources"]) == ("hi", "b", [("a", "think")], '[{"x":1}]')
+    assert (two["reply"], two["agent"], two["thoughts"]) == ("one\ntwo", "c", []) and (bad["reply"], bad["agent"], bad["sources"]) == ("x", sessions.NO_AGENT, "[]")
+    assert [r["reply"] for r in ask("[TH", "hello [RE", "", None, " [SOURCES", "a [b]")] == ["", "hello ", "", "", "", "a [b]"]
 
 
 def test_text_parsing(spark):
