@@ -1,12 +1,15 @@
 """Batch hybrid retrieval: tokenize, BM25, dense top-k, rank fusion, routing, gating, citations.
 
 A query batch is a DataFrame, so every operator scores all queries in one plan. Scores are rounded before
-they are ranked and every order ends with the document's id, so ties fall alike on every run. In files of
-one split, repartition after the read; tokens are built once and shared by all statistics.
+they are ranked and every order ends with the document's id, so ties fall alike on every run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ EXPANSIONS = (
     ("(?:不想|不要).{0,8}(?:碰|按|按摩|操作)|避开", ("避开", "不操作")),
     ("(?:别人|他人).{0,10}(?:订|预约)|已经订好|已订", ("已确认", "排班", "占用")),
 )
+# Words that make a question risky, complex or one about policy.
 RISK = "胸痛|呼吸困难|昏厥|出血|骨折|急性|受伤|红肿|感染|孕妇|怀孕|退款|赔偿|投诉|隐私|手机号|验证码|付款|支付|保证|一定|医疗|治愈"
 COMPLEX = "是否|能否|能不能|可以吗|可不可以|哪些|怎么|之后|同时|以及|并且|如果|但是"
 POLICY = "会员|预约|占用|占住|空位|排班|改期|取消|退款|支付|付款|避开|不想|不要|技师|隐私|验证码|规则|政策"
@@ -44,36 +48,54 @@ def expand_query(query: Column) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def term_counts(df: DataFrame, key: str, text: str, cjk: bool = False) -> DataFrame:
-    """(key, term, tf)."""
-    return df.select(key, F.explode(tokens(F.col(text), cjk)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def expanded(queries: DataFrame, text: str) -> DataFrame:
+    """Queries with the terms that expand_query() adds, for the sparse channel only."""
+    return queries.withColumn(text, F.concat_ws(" ", F.col(text), F.array_join(expand_query(F.col(text)), " ")))
+
+
+def search_text(source_id: Column, title: Column, content: Column, keywords: Column) -> Column:
+    """The text that the sparse channel indexes: the parts that are there, in this order."""
+    full = F.filter(F.array(source_id, title, content, F.array_join(keywords, " ")), lambda x: x.isNotNull() & (x != ""))
+    return F.array_join(full, " ")
+
+
+#: Terms of a query batch are broadcast up to so many, and joined by a shuffle beyond.
+TERM_BATCH = 1_000_000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", okapi: bool = False, cjk: bool = False) -> DataFrame:
     """(query, doc, score) of all pairs that share a term.
 
-    Statistics cover the whole corpus, while only postings of query terms are shuffled: the semi join filters
-    them first. idf = ln(1 + (N - df + .5) / (df + .5)); okapi: ln(N - df + .5) - ln(df + .5), and where that is
-    negative a quarter of the mean idf."""
-    tf = term_counts(docs, doc, text, cjk)
-    asked = term_counts(queries, query, text, cjk).withColumnRenamed("tf", "qtf")
-    lengths = tf.groupBy(doc).agg(F.sum("tf").alias("dl"))
-    n = docs.agg(F.count("*").cast("double").alias("n"))
-    mean = lengths.agg(F.sum("dl").alias("all"))
-    stats = n.crossJoin(mean).select("n", (F.coalesce("all", F.lit(0)) / F.col("n")).alias("avgdl"))  # one row each
-    df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    Statistics cover the whole corpus, but only postings of asked terms leave a task: the others go by a broadcast
+    semi join before any shuffle, and a document's length travels with its postings. idf = ln(1 + (N - df + .5) /
+    (df + .5)); okapi: ln(N - df + .5) - ln(df + .5), and where that is negative a quarter of the mean idf over all
+    terms of the corpus."""
+    asked = queries.select(query, F.explode(tokens(F.col(text), cjk)).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
+    terms = asked.select("term").distinct()
+    small = terms.count() <= TERM_BATCH
+    few = F.broadcast if small else lambda df: df
+    split = docs.select(doc, tokens(F.col(text), cjk).alias("_t"))
+    stats = split.agg(F.count("*").cast("double").alias("n"), (F.coalesce(F.sum(F.size("_t")), F.lit(0)) / F.count("*")).alias("avgdl"))
+    postings = split.select(doc, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(few(terms), "term", "left_semi")
+    tf = postings.groupBy(doc, "dl", "term").agg(F.count("*").alias("tf"))
     if okapi:
-        idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-        floor = idf.agg((F.avg("idf") * 0.25).alias("floor"))
-        idf = idf.crossJoin(F.broadcast(floor)).select("term", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+        df = split.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"))
+        idf = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        floor = idf.agg((F.avg("idf") * 0.25).alias("floor"))  # one row, as stats
+        idf = idf.join(few(terms), "term", "left_semi").crossJoin(F.broadcast(floor)).select("term", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
     else:
+        df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
         idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    postings = tf.join(asked.select("term").distinct(), "term", "left_semi")
-    hits = asked.join(postings, "term").join(idf, "term").join(lengths, doc)
+    hits = tf.join(few(idf), "term").join(few(asked) if small and asked.count() <= TERM_BATCH else asked, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy(query, doc).agg(F.sum(part).alias("score"))
 
 
+def sparse_ranking(scores: DataFrame, query: str, doc: str, k: int | None = None) -> DataFrame:
+    """The first k by score; scores that aren't positive go after the cut."""
+    return ranked(scores, query, doc, k).filter(F.col("score") > 0)
+
+
 def ranked(scores: DataFrame, query: str, doc: str, k: int | None = None, places: int = 9, score: str = "score") -> DataFrame:
     """Adds rank from 1 by score, the largest first, and keeps the first k."""
     order = Window.partitionBy(query).orderBy(F.desc(F.round(score, places)), F.asc(doc))
@@ -93,8 +115,8 @@ def squared_distance(a: Column, b: Column) -> Column:
 QUERY_BATCH = 10_000
 
 
-def dense(docs: DataFrame, queries: DataFrame, doc: str, query: str, k: int, vector: str = "embedding", score=inner_product) -> DataFrame:
-    """Exact top k by inner product, for any number of queries. They are dealt by hash into blocks of about
+def dense(docs: DataFrame, queries: DataFrame, doc: str, query: str, k: int | None, vector: str = "embedding", score=inner_product) -> DataFrame:
+    """Exact top k (None: all) by inner product, for any number of queries. They are dealt by hash into blocks of about
     QUERY_BATCH; each block goes to every part of the corpus, where each task keeps k for each query before
     the shuffle. Documents without a vector are skipped."""
     asked = queries.select(F.col(query), F.col(vector).alias("_q"))
@@ -130,7 +152,7 @@ def pool_size(k: int, n: int, category: bool, expanded: bool) -> int:
     return n if category else min(max(4 * k, 10), n) if expanded else min(2 * k, n)
 
 
-def route(query: Column, dense_score: Column, bm25_score: Column, has_candidates: Column, mode: str = "adaptive", llm: bool = True, cross_encoder: bool = False, dense_high: float = 0.8, bm25_high: float = 15.0) -> Column:
+def route(query: Column, dense_score: Column, bm25_score: Column, has_candidates: Column, mode: str = "adaptive", llm: bool = True, cross_encoder: bool = False, dense_high: float = 0.82, bm25_high: float = 12.0) -> Column:
     """Reason of the re-ranking decision of each query."""
     if mode == "off":
         return F.lit("rerank_disabled")
@@ -185,10 +207,121 @@ def accepted_by(dense_score: Column, bm25_score: Column, provider: Column, reran
     return F.filter(ways, lambda w: w.isNotNull())
 
 
-def citations(df: DataFrame, query: str, key: list[str], rank: str, k: int = 3) -> DataFrame:
-    """The first k distinct sources of each query in order of rank."""
+SOURCE_KEY = ("source_id", "title", "category", "chunk_index", "chunk_count")
+
+
+def citations(df: DataFrame, query: str, rank: str, key: tuple[str, ...] = SOURCE_KEY, k: int = 3) -> DataFrame:
+    """The first k distinct sources of each query in order of rank, with chunk_number from 1 where there is an index."""
     once = df.groupBy(query, *key).agg(F.min(rank).alias("_at"))
-    return once.withColumn("citation", F.row_number().over(Window.partitionBy(query).orderBy("_at")).cast("long")).filter(F.col("citation") <= k).drop("_at")
+    out = once.withColumn("citation", F.row_number().over(Window.partitionBy(query).orderBy("_at", *key)).cast("long")).filter(F.col("citation") <= k).drop("_at")
+    return out.withColumn("chunk_number", F.col("chunk_index") + 1) if "chunk_index" in key else out
+
+
+def trace_candidates(candidates: Column) -> Column:
+    """The candidates of a trace, cut down to what a log may hold: id, rank, scores and whether re-ranking fell back."""
+    one = lambda c, i: F.struct(c["id"].alias("id"), (i + 1).cast("long").alias("rank"), F.bround(c["score"], 6).alias("score"), F.bround(c["dense_score"], 6).alias("dense_score"), F.bround(c["bm25_score"], 6).alias("bm25_score"), F.coalesce(c["rerank_fallback"], F.lit(False)).alias("rerank_fallback"))
+    return F.transform(candidates, one)
+
+
+def correlated(traces: DataFrame, usage: DataFrame, key: str = "trace_id") -> DataFrame:
+    """Traces with their usage, one row each; `correlated` tells whether both sides are there. Repeats keep the first."""
+    one = lambda df: df.dropDuplicates([key])
+    left, right = one(traces).withColumn("_l", F.lit(True)), one(usage).withColumn("_r", F.lit(True))
+    return left.join(right, key, "full").withColumn("correlated", F.coalesce(F.col("_l") & F.col("_r"), F.lit(False))).drop("_l", "_r")
+
+
+Scorer = Callable[[list[str], list[str]], list[float]]
+
+
+def cross_encoded(df: DataFrame, query: str, question: str, content: str, coarse_rank: str, scorer: Scorer, batch: int = 16, k: int | None = None) -> DataFrame:
+    """Apply a scorer of (questions, contents) in batches of `batch` pairs; ties and missing scores keep the coarse order.
+
+    The scorer travels to the tasks; where it fails on a batch, its rows have no score and fall back."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            scores: list[float | None] = []
+            for i in range(0, len(pdf), batch):
+                part = pdf.iloc[i : i + batch]
+                try:
+                    got = [float(np.atleast_1d(x)[-1]) for x in scorer(part[question].tolist(), part[content].tolist())]
+                except Exception:  # noqa: BLE001  a scorer's failure is an outcome, not an error of the query
+                    got = [None] * len(part)
+                scores += got
+            yield pdf.assign(rerank_score=pd.Series(scores, dtype="float64", index=pdf.index))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    out = df.mapInPandas(run, f"{fields}, rerank_score double")
+    out = out.withColumn("rerank_score", F.when(~F.isnan("rerank_score"), F.col("rerank_score")))
+    out = reranked(out, query, coarse_rank, "rerank_score")
+    return out.filter(F.col("rank") <= k) if k else out
+
+
+RETRIEVERS: dict[str, Callable[..., DataFrame]] = {}
+RERANKERS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def registered(table: dict[str, Callable[..., DataFrame]], name: str) -> Callable:
+    """Add a function to a registry under a name; the last one of a name counts."""
+
+    def add(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        table[name.strip().lower()] = fn
+        return fn
+
+    return add
+
+
+def retriever(name: str) -> Callable[..., DataFrame]:
+    """A retriever by name, in any case; ValueError for an unknown one."""
+    if (key := (name or "").strip().lower()) not in RETRIEVERS:
+        raise ValueError(f"unknown retriever {name!r}; known: {sorted(RETRIEVERS)}")
+    return RETRIEVERS[key]
+
+
+def reranker(name: str | None) -> Callable[..., DataFrame] | None:
+    """A re-ranker by name; none for an empty name, "none" or "off"."""
+    key = (name or "").strip().lower()
+    if key in ("", "none", "off"):
+        return None
+    if key not in RERANKERS:
+        raise ValueError(f"unknown re-ranker {name!r}; known: {sorted(RERANKERS)}")
+    return RERANKERS[key]
+
+
+@registered(RETRIEVERS, "dense")
+def _dense_retriever(docs: DataFrame, queries: DataFrame, doc: str, query: str, k: int | None = None, **options) -> DataFrame:
+    return dense(docs, queries, doc, query, k)
+
+
+@registered(RETRIEVERS, "bm25")
+def _sparse_retriever(docs: DataFrame, queries: DataFrame, doc: str, query: str, k: int | None = None, **options) -> DataFrame:
+    return sparse_ranking(bm25(docs, queries, doc, query, **options), query, doc, k)
+
+
+@registered(RETRIEVERS, "hybrid")
+def _hybrid_retriever(docs: DataFrame, queries: DataFrame, doc: str, query: str, k: int | None = None, **options) -> DataFrame:
+    pool = dense(docs, queries, doc, query, k), sparse_ranking(bm25(docs, expanded(queries, options.get("text", "text")), doc, query, **options), query, doc, k)
+    return reciprocal_rank_fusion(*pool, query, doc)
+
+
+@registered(RERANKERS, "llm")
+@registered(RERANKERS, "cross-encoder")
+def _scored_reranker(df: DataFrame, query: str, question: str, content: str, coarse_rank: str, scorer: Scorer, **options) -> DataFrame:
+    return cross_encoded(df, query, question, content, coarse_rank, scorer, **options)
+
+
+def embedded(df: DataFrame, text: str, embedding_fn: Callable[[list[str]], list[list[float]]], column: str = "embedding") -> DataFrame:
+    """Adds vectors from a function over batches of texts; blank texts have none."""
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        full = texts.fillna("").str.strip() != ""
+        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+        if full.any():
+            out[full] = pd.Series([list(map(float, v)) for v in embedding_fn(texts[full].tolist())], index=texts.index[full], dtype=object)
+        return out
+
+    return df.withColumn(column, embed(text))
 
 
 def failure_kind(fallback: Column, outcome: Column) -> Column:

@@ -5,45 +5,45 @@ from pyspark.sql import functions as F
 from tessera.operators import retrieval as op
 from tessera.plans.base import query
 
-Q = 20
 BM25 = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), st AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT sum(dl) FROM dl)::DOUBLE / (SELECT count(*) FROM documents) AS avgdl),
-qt AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark WHERE item_id < 20) GROUP BY 1, 2),
+qt AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark) GROUP BY 1, 2),
 sc AS (SELECT item_id, doc_id, sum(qtf * $idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY 1, 2),
-sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc) WHERE rank <= 20)""".replace("$idf", "ln(1 + (n - df + 0.5) / (df + 0.5))")
-DENSE = """pv AS (SELECT q.vec_id AS item_id, d.vec_id AS doc_id, list_inner_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings d WHERE q.vec_id < 20 AND d.vec_id IN (SELECT doc_id FROM documents)),
-dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM pv) WHERE rank <= 20)"""
+all_sparse AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc), sparse AS (SELECT * FROM all_sparse WHERE rank <= 20 AND score > 0)""".replace("$idf", "ln(1 + (n - df + 0.5) / (df + 0.5))")
+DENSE = """pv AS (SELECT q.vec_id AS item_id, d.vec_id AS doc_id, list_inner_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings d WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND d.vec_id IN (SELECT doc_id FROM documents)),
+all_dense AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM pv), dense AS (SELECT * FROM all_dense WHERE rank <= 20)"""
 RRF = """fused AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(rrf, 12) DESC, dense_rank ASC NULLS LAST, bm25_rank ASC NULLS LAST, doc_id) AS rank FROM
 (SELECT coalesce(d.item_id, s.item_id) AS item_id, coalesce(d.doc_id, s.doc_id) AS doc_id, d.score AS dense_score, s.score AS bm25_score, d.rank AS dense_rank, s.rank AS bm25_rank, coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) AS rrf
 FROM dense d FULL JOIN sparse s ON s.item_id = d.item_id AND s.doc_id = d.doc_id))"""
 HYBRID = f"WITH {BM25}, {DENSE}, {RRF}"
+#: The same over the whole corpus: nothing is cut before a category is looked at.
+WHOLE = HYBRID.replace("FROM dense d FULL JOIN sparse s", "FROM all_dense d FULL JOIN (SELECT * FROM all_sparse WHERE score > 0) s")
+CUT = 20
 
 
 def spread(df):
-    """A single file is one split; tokenizing it is worth all cores."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+    """A few files are few splits; tokenizing them is worth all cores. Many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
-def asked(t):
-    return t.benchmark.filter(F.col("item_id") < Q)
-
-
-def sparse(t, okapi=False):
-    return op.ranked(op.bm25(spread(t.documents.select("doc_id", "text")), asked(t).select("item_id", "text"), "doc_id", "item_id", okapi=okapi), "item_id", "doc_id", 20)
+def sparse(t, okapi=False, k=CUT):
+    return op.sparse_ranking(op.bm25(spread(t.documents.select("doc_id", "text")), t.benchmark.select("item_id", "text"), "doc_id", "item_id", okapi=okapi), "item_id", "doc_id", k)
 
 
 def vectors(t):
+    """Every benchmark item asks with the vector of its id; documents have those of theirs."""
     docs = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding").join(t.documents.select("doc_id"), "doc_id", "left_semi")
-    return docs, t.embeddings.filter(F.col("vec_id") < Q).select(F.col("vec_id").alias("item_id"), "embedding")
+    return docs, t.embeddings.select(F.col("vec_id").alias("item_id"), "embedding").join(t.benchmark.select("item_id"), "item_id", "left_semi")
 
 
-def dense(t):
-    return op.dense(*vectors(t), "doc_id", "item_id", 20)
+def dense(t, k=CUT):
+    return op.dense(*vectors(t), "doc_id", "item_id", k)
 
 
-def hybrid(t):
-    return op.reciprocal_rank_fusion(dense(t), sparse(t), "item_id", "doc_id")
+def hybrid(t, k=CUT):
+    return op.reciprocal_rank_fusion(dense(t, k), sparse(t, k=k), "item_id", "doc_id")
 
 
 @query(f"WITH {BM25} SELECT item_id, doc_id, rank, round(score, 6) AS score FROM sparse WHERE rank <= 10")
@@ -62,11 +62,12 @@ def dense_topk(t):
 
 
 @query("""SELECT item_id, doc_id, rank FROM (SELECT q.vec_id AS item_id, d.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(d.embedding::DOUBLE[], q.embedding::DOUBLE[]) ** 2, 9), d.vec_id) AS rank
-FROM embeddings q, embeddings d WHERE q.vec_id < 5 AND d.vec_id < 200)""")
+FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0)""")
 def l2_rank(t):
-    few = t.embeddings.filter("vec_id < 200").select(F.col("vec_id").alias("doc_id"), "embedding")
+    """Every hundredth vector asks all; the whole ranking."""
+    every = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
     minus = lambda a, b: -op.squared_distance(a, b)
-    return op.dense(few, t.embeddings.filter("vec_id < 5").select(F.col("vec_id").alias("item_id"), "embedding"), "doc_id", "item_id", 200, score=minus).select("item_id", "doc_id", "rank")
+    return op.dense(every, t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("item_id"), "embedding"), "doc_id", "item_id", None, score=minus).select("item_id", "doc_id", "rank")
 
 
 @query(f"{HYBRID} SELECT item_id, doc_id, rank, round(rrf, 6) AS rrf FROM fused WHERE rank <= 10")
@@ -74,9 +75,9 @@ def hybrid_rrf(t):
     return hybrid(t).filter("rank <= 10").select("item_id", "doc_id", "rank", F.round("rrf", 6).alias("rrf"))
 
 
-@query(f"{HYBRID} SELECT item_id, doc_id, rank FROM (SELECT item_id, f.doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS rank FROM fused f JOIN documents d ON d.doc_id = f.doc_id AND lang = 'fr') WHERE rank <= 3")
+@query(f"{WHOLE} SELECT item_id, doc_id, rank FROM (SELECT item_id, f.doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS rank FROM fused f JOIN documents d ON d.doc_id = f.doc_id AND lang = 'fr') WHERE rank <= 3")
 def hybrid_category(t):
-    return op.in_category(hybrid(t), t.documents, "item_id", "doc_id", "lang", "fr", 3).select("item_id", "doc_id", "rank")
+    return op.in_category(hybrid(t, None), t.documents, "item_id", "doc_id", "lang", "fr", 3).select("item_id", "doc_id", "rank")
 
 
 ASK = "(SELECT item_id, text || CASE item_id % 4 WHEN 0 THEN ' 退款 能否' WHEN 1 THEN ' 预约 怎么' WHEN 2 THEN ' 空位 脚' ELSE '' END AS q FROM benchmark)"
@@ -92,7 +93,7 @@ def query_expand(t):
     return asking(t).select("item_id", F.array_join(op.expand_query(F.col("q")), ",").alias("added"))
 
 
-@query(f"""{HYBRID}, top AS (SELECT * FROM fused WHERE rank = 1) SELECT item_id, CASE WHEN top.doc_id IS NULL THEN 'rerank_disabled' WHEN (coalesce(dense_score >= 0.8, false) OR coalesce(bm25_score >= 15, false)) AND item_id % 4 <> 0 THEN 'high_confidence_hybrid'
+@query(f"""{HYBRID}, top AS (SELECT * FROM fused WHERE rank = 1) SELECT item_id, CASE WHEN top.doc_id IS NULL THEN 'rerank_disabled' WHEN (coalesce(dense_score >= 0.82, false) OR coalesce(bm25_score >= 12, false)) AND item_id % 4 <> 0 THEN 'high_confidence_hybrid'
 WHEN item_id % 4 = 0 THEN 'high_risk_complex_query' WHEN item_id % 4 IN (1, 2) THEN 'policy_boundary_complex_query' WHEN NOT (coalesce(dense_score >= 0.66, false) OR coalesce(bm25_score >= 8, false)) THEN 'below_evidence_threshold' ELSE 'non_policy_hybrid_default' END AS reason FROM {ASK} LEFT JOIN top USING (item_id)""")
 def adaptive_route(t):
     df = asking(t).join(hybrid(t).filter("rank = 1"), "item_id", "left")
@@ -135,9 +136,11 @@ def evidence_gate(t):
     return df.filter(F.size("by") > 0).select("item_id", "doc_id", F.array_join("by", ",").alias("accepted_by"))
 
 
-@query(f"{HYBRID} SELECT item_id, source, citation FROM (SELECT item_id, source, row_number() OVER (PARTITION BY item_id ORDER BY min(rank)) AS citation FROM fused f JOIN documents d ON d.doc_id = f.doc_id GROUP BY 1, 2) WHERE citation <= 3")
+@query(f"""{HYBRID}, p AS (SELECT item_id, rank, source AS source_id, lang AS category, f.doc_id % 3 AS chunk_index FROM fused f JOIN documents d ON d.doc_id = f.doc_id)
+SELECT item_id, source_id, category, chunk_index, chunk_index + 1 AS chunk_number, citation FROM (SELECT item_id, source_id, category, chunk_index, row_number() OVER (PARTITION BY item_id ORDER BY min(rank)) AS citation FROM p GROUP BY 1, 2, 3, 4) WHERE citation <= 3""")
 def citations(t):
-    return op.citations(hybrid(t).join(t.documents.select("doc_id", "source"), "doc_id"), "item_id", ["source"], "rank")
+    about = t.documents.select("doc_id", F.col("source").alias("source_id"), F.lit("title").alias("title"), F.col("lang").alias("category"), (F.col("doc_id") % 3).alias("chunk_index"), F.lit(3).alias("chunk_count"))
+    return op.citations(hybrid(t).join(about, "doc_id"), "item_id", "rank").select("item_id", "source_id", "category", "chunk_index", "chunk_number", "citation")
 
 
 @query(f"""{SCORED} SELECT item_id, count(*) AS candidates, CASE WHEN count(*) FILTER (bm25_score >= 8 OR dense_score >= 0.66) = 0 THEN 'no_answer' ELSE 'answered' END AS outcome,
@@ -150,9 +153,34 @@ def trace_outcome(t):
 
 
 @query("""SELECT s.s_suppkey AS id, arg_min(e.vec_id, (-round(list_inner_product(e.embedding::DOUBLE[], o.embedding::DOUBLE[]), 9), e.vec_id)) AS choice FROM supplier s JOIN embeddings o ON o.vec_id = s.s_suppkey
-JOIN embeddings e ON e.vec_id < 50 AND e.vec_id <> o.vec_id AND e.vec_id % 3 <> 0 WHERE s.s_suppkey < 50 GROUP BY 1""")
+JOIN embeddings e ON e.vec_id <> o.vec_id AND e.vec_id % 3 <> 0 GROUP BY 1""")
 def similar_available(t):
-    v = t.embeddings.filter("vec_id < 50")
-    own = v.join(t.supplier.select(F.col("s_suppkey").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("id"), "embedding")
-    best = op.dense(v.filter("vec_id % 3 <> 0"), own, "vec_id", "id", 50).filter("id <> vec_id")
+    """For every supplier the most similar vector of another that is free (here: whose id three doesn't divide)."""
+    own = t.embeddings.join(t.supplier.select(F.col("s_suppkey").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("id"), "embedding")
+    best = op.dense(t.embeddings.filter("vec_id % 3 <> 0"), own, "vec_id", "id", 2).filter("id <> vec_id")  # itself may be the first
     return best.groupBy("id").agg(F.min_by("vec_id", "rank").alias("choice"))
+
+
+EXPANDED = BM25.replace("lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents", "lower(text || CASE doc_id % 3 WHEN 0 THEN ' 空闲' WHEN 1 THEN ' 可预约 足部' ELSE '' END), '[\\p{L}\\p{N}]+')) AS term FROM documents").replace("lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark", f"lower(q || CASE WHEN item_id % 4 = 2 THEN ' 空闲 可预约 足部' ELSE '' END), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {ASK}")
+
+
+@query(f"WITH {EXPANDED} SELECT item_id, doc_id, rank, round(score, 6) AS score FROM sparse WHERE rank <= 10")
+def expanded_bm25(t):
+    """Expansion before scoring: documents with some of the domain's terms, questions in other words."""
+    add = F.when(F.col("doc_id") % 3 == 0, " 空闲").when(F.col("doc_id") % 3 == 1, " 可预约 足部").otherwise("")
+    docs = spread(t.documents.select("doc_id", F.concat("text", add).alias("text")))
+    asked = op.expanded(asking(t).select("item_id", F.col("q").alias("text")), "text")
+    found = op.sparse_ranking(op.bm25(docs, asked, "doc_id", "item_id"), "item_id", "doc_id", CUT)
+    return found.filter("rank <= 10").select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT event_id AS trace_id, CASE WHEN event_id % 7 <> 3 THEN 2 END AS candidates, CASE WHEN event_id % 7 <> 3 THEN user_id + 1 END AS second_id, CASE WHEN event_id % 7 <> 3 THEN round_even(value / 3, 6) END AS score, CASE WHEN event_id % 7 <> 3 THEN k % 10 = 0 END AS fell,
+CASE WHEN event_id % 5 <> 2 THEN k END AS tokens, event_id % 5 <> 2 AND event_id % 7 <> 3 AS correlated FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE event_id % 7 <> 3 OR event_id % 5 <> 2""")
+def trace_projection(t):
+    """What a trace's log holds, joined with the usage of the same call; some sides are missing."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    one = lambda i: F.struct((F.col("user_id") + i).alias("id"), (F.col("value") / 3).alias("score"), F.col("value").alias("dense_score"), F.lit(None).cast("double").alias("bm25_score"), (k % 10 == 0).alias("rerank_fallback"), F.lit("text").alias("content"))
+    traces = t.events.filter("event_id % 7 <> 3").select(F.col("event_id").alias("trace_id"), op.trace_candidates(F.array(one(0), one(1))).alias("c"))
+    usage = t.events.filter("event_id % 5 <> 2").select(F.col("event_id").alias("trace_id"), k.alias("tokens"))
+    second = F.get("c", 1)
+    return op.correlated(traces, usage).select("trace_id", F.when(F.col("c").isNotNull(), F.size("c")).cast("long").alias("candidates"), second["id"].alias("second_id"), second["score"].alias("score"), second["rerank_fallback"].alias("fell"), "tokens", "correlated")
