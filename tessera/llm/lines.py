@@ -8,9 +8,9 @@ its set is dropped or it isn't its set's first line.
 
 Tokens are ordered by rarity. Their counts are kept in a table of fixed size (SLOTS counters, one byte
 each); any order gives the same result. By the prefix filter, matching sets share one of their first
-n - ceil(t * n) + 1 tokens; the length filter and the positional filter bound the overlap, as do a signature
-of 64 bits (the bits in which two differ are tokens that only one set has) and the number of tokens that two
-prefixes share. The lines of the pairs that remain are read again from their documents, and compared whole.
+n - ceil(t * n) + 1 tokens; the length filter and the positional filter bound the overlap, as does a signature
+of 128 bits, each the parity of some tokens: the bits in which two differ are tokens that only one set has. The
+lines of the pairs that remain are read again from their documents, and compared whole.
 
 A large group of near copies would give the square of its size. So every set is compared first with the
 LEADERS earliest of each of KEYS tokens, the most common of its prefix; sets that match one of them are
@@ -82,19 +82,18 @@ def lines_of(rows: DataFrame) -> DataFrame:
 
 
 def hashed_sets(lines: DataFrame, levels: DataFrame, threshold: float, slots: int) -> DataFrame:
-    """(at, key, n, sig, prefix) of every line; prefix holds level and hash of its rarest tokens."""
+    """(at, key, n, sig, odd, prefix) of every line; prefix holds level and hash of its rarest tokens. sig has the
+    parity of the tokens of each of 64 values of six bits, odd that of those whose next bit is one."""
     own = lines.select("at", tokens(F.col("line")).alias("h"))
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    place = lambda x: x.bitwiseAND(F.lit(63)).cast("int")
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), place(x))
+    odd = lambda x: F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(F.lit(1)), place(x))
+    fold = lambda f: F.aggregate("h", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(f(x)))
     code = lambda x: F.shiftleft(F.get("levels", F.pmod(x, F.lit(slots)).cast("int")).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(x, 24))
     n = F.size("h")
     # The table of levels stays out of the rows: it is named once, so that it is read inside the one projection.
-    own = own.select("at", F.xxhash64("h").alias("key"), n.alias("n"), F.aggregate("h", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x))).alias("sig"), (n - inner(n, threshold)).cast("int").alias("length"), "h", levels.scalar().alias("levels"))
-    return own.select("at", "key", "n", "sig", F.slice(F.sort_array(F.transform("h", code)), F.lit(1), F.col("length")).alias("prefix"))
-
-
-def inner(n: Column, threshold: float) -> Column:
-    """How many of n tokens a prefix leaves out."""
-    return F.ceil(threshold * n - 1e-9) - 1
+    own = own.select("at", F.xxhash64("h").alias("key"), n.alias("n"), fold(bit).alias("sig"), fold(odd).alias("odd"), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int").alias("length"), "h", levels.scalar().alias("levels"))
+    return own.select("at", "key", "n", "sig", "odd", F.slice(F.sort_array(F.transform("h", code)), F.lit(1), F.col("length")).alias("prefix"))
 
 
 def bitmap(ids: DataFrame, bits: int = BITS) -> DataFrame:
@@ -118,20 +117,21 @@ def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int
     levels = stored(rarity_levels(rows, slots), "levels")
     lines = stored(hashed_sets(lines_of(rows), levels, threshold, slots), "line-sets").filter(F.col("n") >= max(min_tokens, 1))
     # Equal sets meet once, after each task has picked its own first; all but `at` follows from the set.
-    sets = stored(lines.groupBy("key", "n", "sig", "prefix").agg(F.min("at").alias("id")).drop("key"), "first-lines")
+    sets = stored(lines.groupBy("key", "n", "sig", "odd", "prefix").agg(F.min("at").alias("id")).drop("key"), "first-lines")
 
-    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-        """(id_a, id_b, n_a, n_b, left) of earlier sets and later open ones, once for each token that lets a pair
-        through; left: how many tokens both have from it on, at most. The sizes n of closed sets are negative."""
-        a, b = (df.select("tok", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "i", "sig"))) for df, side in ((a, "a"), (b, "b")))
+    def pairs(a: DataFrame, b: DataFrame, first: bool) -> DataFrame:
+        """(id_a, id_b) of earlier sets and later open ones; closed sets have a negative n. first: the tokens are whole
+        prefixes, so the first one that two matching sets share passes the positional filter."""
+        a, b = (df.select("tok", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "i", "sig", "odd"))) for df, side in ((a, "a"), (b, "b")))
         n_a, n_b = F.abs("n_a"), F.abs("n_b")
+        need = F.ceil(threshold / (1 + threshold) * (n_a + n_b) - 1e-9)
         sizes = (n_a >= threshold * n_b - 1e-9) & (n_b >= threshold * n_a - 1e-9)
-        apart = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= n_a + n_b - 2 * need(n_a, n_b)
+        places = F.least(n_a - F.col("i_a"), n_b - F.col("i_b")) >= need if first else F.lit(True)
+        ones = F.col("odd_a").bitwiseXOR(F.col("odd_b"))
+        apart = F.bit_count(ones) + F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b")).bitwiseXOR(ones)) <= n_a + n_b - 2 * need
         # Whether b is open is asked together with a, so that one shuffle of postings serves both sides.
-        found = a.join(b, "tok").filter((F.col("id_a") < F.when(F.col("n_b") > 0, F.col("id_b")).otherwise(-1)) & sizes & apart)
-        return found.select("id_a", "id_b", n_a.alias("n_a"), n_b.alias("n_b"), F.least(n_a - F.col("i_a"), n_b - F.col("i_b")).alias("left"))
-
-    need = lambda n_a, n_b: F.ceil(threshold / (1 + threshold) * (n_a + n_b) - 1e-9)
+        found = a.join(b, "tok").filter((F.col("id_a") < F.when(F.col("n_b") > 0, F.col("id_b")).otherwise(-1)) & sizes & places & apart)
+        return found.select("id_a", "id_b").distinct()
 
     def matched(found: DataFrame, tag: str) -> DataFrame:
         """(id) of the later sets of the candidate pairs at or over the threshold."""
@@ -151,16 +151,13 @@ def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int
 
     # Leaders come from the tokens' groups by a top-k, which each task applies before the shuffle too.
     last = F.greatest(F.size("prefix") - keys, F.lit(0))
-    common = sets.select("id", "n", "sig", F.explode(F.slice("prefix", last + 1, F.lit(keys))).alias("tok")).withColumn("i", F.lit(0))
+    common = sets.select("id", "n", "sig", "odd", F.explode(F.slice("prefix", last + 1, F.lit(keys))).alias("tok")).withColumn("i", F.lit(0))
     heads = common.withColumn("rank", F.row_number().over(Window.partitionBy("tok").orderBy("id"))).filter(F.col("rank") <= leaders)
-    early = matched(pairs(heads, common).select("id_a", "id_b").distinct(), "early")
+    early = matched(pairs(heads, common, False), "early")
     size = F.when(F.col("early"), -F.col("n")).otherwise(F.col("n"))
-    rest = sets.join(early.withColumn("early", F.lit(True)), "id", "left").select("id", size.alias("n"), "sig", F.posexplode("prefix").alias("i", "tok"))
-    rest = rest.filter("id IS NOT NULL AND n IS NOT NULL AND sig IS NOT NULL AND i IS NOT NULL AND tok IS NOT NULL")  # both sides alike
-    found = pairs(rest, rest).groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("c"), F.max("left").alias("left"))
-    # Of the tokens that two matching sets share, the inner parts hold so many at most; prefixes share the others.
-    both = need(F.col("n_a"), F.col("n_b"))
-    late = matched(found.filter((F.col("left") >= both) & (F.col("c") >= both - inner(F.greatest("n_a", "n_b"), threshold))).select("id_a", "id_b"), "late")
+    rest = sets.join(early.withColumn("early", F.lit(True)), "id", "left").select("id", size.alias("n"), "sig", "odd", F.posexplode("prefix").alias("i", "tok"))
+    rest = rest.filter(" AND ".join(f"{c} IS NOT NULL" for c in rest.columns))  # both sides alike
+    late = matched(pairs(rest, rest, True), "late")
     kept = stored(sets.select("id").join(early.unionByName(late), "id", "left_anti"), "line-places")
     drop_stored(sets)
     lost = lines.select("at").join(kept, lines["at"] == kept["id"], "left_anti")
