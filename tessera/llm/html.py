@@ -2,17 +2,21 @@
 
 Each DOM node gets its characters per tag, corrected for link characters and link tags (tags that only
 format, such as b or br, don't count); a node's density sum is that of its children. The node of the
-largest sum under body is the article's container. Where it stands in an article or main element, that
-element is the article. Elsewhere the smallest density on the container's path to body is the threshold:
-nodes outside the container that hang on this path belong to the text from that density on, headings
-always. Menus, page headers and footers, sidebars, notices, adverts, forms, reader comments, scripts and styles
-are left out by element, role or class name, as are link lists outside article and main. A word that is
-only a part of a name (sidebar in layout-with-sidebar) doesn't leave out article and main elements, nor a
-node that holds most of the page's unlinked text, unless an article or main element stands outside it.
+largest sum under body is the article's container, and the smallest density on its path to body is the
+threshold: nodes outside the container that hang on this path belong to the text from that density on,
+headings there always.
+
+Names weigh, density decides. What menus, page headers and footers, sidebars, notices, adverts, forms and
+reader comments are usually called (element, role, class or id; a part of a name counts on elements that only
+group others) divides the density of that node and of all below it by LIGHT; an article or main element
+multiplies it by HEAVY, once. So an article keeps its text whatever it is called, as long as nothing else on the
+page outweighs it. A node whose
+name weighs on it goes if what is left of its density is below the container's own; nothing else inside the
+container goes. An article's own header stays, as do headings. Scripts, styles, form controls and embedded objects have no text.
 
 Cases: a null or empty page, and one without text, gives the empty text; broken markup (unclosed or
 stray tags, open comments, tags cut off at the end) is parsed the way browsers recover; repeated rows are
-extracted again; extra columns are dropped.
+extracted again; extra columns are dropped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +34,14 @@ RAW = frozenset("script style textarea title template xmp iframe noembed noframe
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
 INLINE = frozenset("abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-NOISE_TAGS = frozenset("nav header footer aside form script style noscript template button select option textarea input label fieldset iframe object embed svg canvas audio video menu dialog head title".split())
-#: Words of class, id and role attributes that mark what is no article text.
+#: Elements without text of their own, and those that are usually no article text.
+MUTE = frozenset("script style noscript template button select option textarea input iframe object embed svg canvas audio video head title".split())
+ASIDE = frozenset("nav header footer aside form fieldset label menu dialog".split())
+#: Elements that only group others; a part of a name weighs on these alone.
+GROUPS = frozenset("div section ul ol dl table td center details aside nav form span".split())
+#: How much a name takes from a density, and what an article or main element adds to it.
+LIGHT, HEAVY = 20.0, 10.0
+#: Words of class, id and role attributes for what is usually no article text.
 NOISE_WORDS = frozenset(
     "ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies disqus "
     "dropdown footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup "
@@ -50,33 +60,37 @@ _SCOPE = frozenset("table td th html body template".split())
 
 
 class Node:
-    __slots__ = ("chars", "children", "clear", "density", "link_chars", "link_tags", "noise", "parent", "sum", "tag", "tags", "weak")
+    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "parent", "sum", "tag", "tags", "weight")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool, weak: bool = False):
-        self.tag, self.parent, self.noise, self.weak = tag, parent, noise, weak
+    def __init__(self, tag: str, parent: Node | None, weight: float = 1.0):
+        self.tag, self.parent, self.weight = tag, parent, weight
         self.children: list = []
-        self.chars = self.tags = self.link_chars = self.link_tags = self.clear = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _noise_of(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether a node is noise, and whether only a part of a name says so."""
-    if tag in NOISE_TAGS:
-        return True, False
-    if not attributes.strip() or tag in ("html", "body"):
-        return False, False
+def weight_of(tag: str, attributes: str, parent: Node) -> float:
+    """By how much a node's element and names change its density."""
+    if tag in ASIDE:
+        return 1 / LIGHT
+    if tag in ("article", "main"):
+        while parent is not None and parent.tag not in ("article", "main"):
+            parent = parent.parent
+        return 1.0 if parent else HEAVY
+    if tag in HEADINGS or tag in ("html", "body") or not attributes.strip():
+        return 1.0
     if _HIDDEN.search(attributes):
-        return True, False
+        return 1 / LIGHT
     names = [_WORDS.findall(name) for m in _HINT.finditer(attributes) for name in m[1].lower().strip("\"'").split()]
     if any(len(words) == 1 and words[0] in NOISE_WORDS for words in names):
-        return True, False
+        return 1 / LIGHT
     part = any(w in NOISE_WORDS and (not i or words[i - 1] not in _ABOUT) for words in names for i, w in enumerate(words))
-    return (True, True) if part and tag not in ("article", "main") else (False, False)
+    return 1 / LIGHT if part and tag in GROUPS else 1.0
 
 
 def parse(page: str) -> Node:
     """The DOM; text nodes are strings among the children."""
-    root = Node("#root", None, False)
+    root = Node("#root", None)
     open_, at, end = root, 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
@@ -112,7 +126,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             if found:
                 open_ = found.parent
-        node = Node(tag, open_, *_noise_of(tag, attributes))
+        node = Node(tag, open_, weight_of(tag, attributes, open_) * open_.weight)
         open_.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -131,65 +145,48 @@ def _walk(root: Node) -> list[Node]:
     return order
 
 
-def _spare(order: list[Node], body: Node) -> None:
-    """Nodes that only a part of a name marks stay if they hold most of body's unlinked text, and no article
-    or main element stands outside them."""
-    weak = [n for n in order if n.weak and 2 * n.clear > body.clear]
-    if not weak:
-        return
-
-    def above(node: Node | None) -> Iterator[Node]:
-        while node is not None:
-            yield node
-            node = node.parent
-
-    mains = [set(map(id, above(n))) for n in order if n.tag in ("article", "main") and n.clear and not any(p.noise and not p.weak for p in above(n))]
-    for node in weak:
-        if all(id(node) in path for path in mains):
-            node.noise = False
-
-
 def measure(root: Node) -> Node:
     """Fill in counts, densities and sums; returns body (root where there is none)."""
     order = _walk(root)
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, str):
-                n = len(" ".join(c.split()))
-                node.chars += n
-                node.clear += n
-            else:
-                node.clear += 0 if c.tag == "a" or (c.noise and not c.weak) else c.clear
+                node.chars += len(" ".join(c.split()))
+            elif c.tag not in MUTE:
                 node.chars += c.chars
                 node.tags += c.tags + (c.tag not in INLINE)
                 node.link_chars += c.link_chars
                 node.link_tags += c.link_tags + (c.tag == "a")
         if node.tag == "a":
             node.link_chars = node.chars
+        elif node.tag == "header" and node.parent is not None and node.parent.tag in ("article", "main", "section") and node.weight < node.parent.weight:
+            for below in _walk(node):  # an article's own header
+                below.weight *= LIGHT
     body = next((n for n in order if n.tag == "body"), root)
-    _spare(order, body)
     ratio = body.link_chars / max(body.chars, 1)
     for node in order:
         c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags
-        if c:
+        if c and node.tag not in MUTE:
             base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
             node.density = c / t if base <= 1.000001 else c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / math.log(base)
     for node in order:
-        node.sum = sum(c.density for c in node.children if isinstance(c, Node) and not c.noise and c.tag not in INLINE)
+        node.sum = sum(c.density * c.weight for c in node.children if isinstance(c, Node) and c.tag not in INLINE)
     return body
 
 
-def _candidates(body: Node) -> Iterator[Node]:
-    todo = [body]
-    while todo:
-        node = todo.pop()
-        yield node
-        todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.noise]
+def container(body: Node) -> list[Node]:
+    """The node of the largest density sum, the first of equals, and its ancestors up to body."""
+    best = max((n for n in _walk(body) if n.tag not in MUTE), key=lambda n: n.sum)
+    path = [best if best.sum else body]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    return path
 
 
-def blocks(top: Node, path: list[Node] | None = None, threshold: float = 0.0) -> list[str]:
-    """The text of top's blocks in page order. With a path (the container first), what hangs on it outside the container needs the threshold."""
-    on_path, container = {id(n) for n in path or ()}, path and path[0]
+def blocks(path: list[Node]) -> list[str]:
+    """The text of the container's blocks (the path's first node) and of what hangs on its path, in page order."""
+    best, on_path = path[0], {id(n) for n in path}
+    threshold = min(n.density for n in path)
     out: list[str] = []
     run: list[str] = []
 
@@ -199,30 +196,33 @@ def blocks(top: Node, path: list[Node] | None = None, threshold: float = 0.0) ->
             out.append(text)
         run.clear()
 
-    todo: list = [(top, False)]
+    def kept(node: Node, base: float) -> bool:
+        """base: the weight of its closest ancestor on the path."""
+        if node.tag in MUTE or id(node) in on_path:
+            return node.tag not in MUTE
+        if node.weight < base:  # its name weighs on it
+            return node.density * node.weight / base >= max(threshold, best.density)
+        hangs = node.parent is not best and id(node.parent) in on_path
+        return not hangs or node.tag in HEADINGS or node.tag in INLINE or node.density >= threshold
+
+    todo: list = [(path[-1], False, 1.0)]
     while todo:
-        item, done = todo.pop()
+        item, done, base = todo.pop()
         if isinstance(item, str):
             run.append(item)
-            continue
-        if done:
+        elif done:
             flush()
-            continue
-        if item is not top:
-            if item.noise:
-                if item.tag in BLOCK:
-                    flush()
-                continue
+        elif not kept(item, base):
+            if item.tag in BLOCK:
+                flush()
+        else:
             if item.tag in ("br", "td", "th", "wbr"):
                 run.append(" ")
-            hangs = path and id(item) not in on_path and item.parent is not container and id(item.parent) in on_path
-            if hangs and item.tag not in HEADINGS and item.tag not in INLINE and item.density < threshold:
+            if item.tag in BLOCK:
                 flush()
-                continue
-        if item.tag in BLOCK:
-            flush()
-            todo.append((item, True))
-        todo += [(c, False) for c in reversed(item.children)]
+                todo.append((item, True, base))
+            base = item.weight if id(item) in on_path else base
+            todo += [(c, False, base) for c in reversed(item.children)]
     flush()
     return out
 
@@ -231,20 +231,7 @@ def extract(page: str | None) -> str:
     """The main text of a page, its blocks joined by newlines."""
     if not page or not page.strip():
         return ""
-    body = measure(parse(page))
-    best = max(_candidates(body), key=lambda n: n.sum)
-    if not best.sum:
-        best = body
-    path = [best]
-    while path[-1] is not body and path[-1].parent is not None:
-        path.append(path[-1].parent)
-    threshold = min(n.density for n in path)
-    article = next((n for n in path if n.tag in ("article", "main")), None)
-    if best is body and article is None:
-        found = [n for n in _candidates(body) if n.tag == "article" or n.tag == "main"]
-        if len(found) == 1 and found[0].chars:
-            article = found[0]
-    return "\n".join(blocks(article) if article else blocks(body, path, threshold))
+    return "\n".join(blocks(container(measure(parse(page)))))
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

@@ -200,6 +200,51 @@ def test_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got) and len(got) == 7
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<body><nav><a href=1>m</a></nav><article class="sponsored-post">{p}{p}</article><footer>f</footer></body>', "P\nP"),
+    ('<body><div id="main-widget"><nav><a href=1>m</a></nav><div><h1>T</h1>{p}{p}</div></div></body>', "T\nP\nP"),
+    ('<body><article><h1 class="entry-header">T</h1>{p}<p class="notice-period">Short.</p>{p}<div class="ad">Buy it.</div></article></body>', "T\nP\nShort.\nP"),
+    ("<body><header><h1>Site</h1></header><article><header><h1>T</h1></header>{p}{p}</article></body>", "T\nP\nP"),
+    ("<body><div class=sidebar><p>{p}{p}</div><ul><li><a href=1>x</a><li><a href=2>y</a></ul></body>", "P\nP"),
+    ('<body><form action="/"><input value="x"><div>{p}{p}</div></form><div class="cookies">We use cookies.</div></body>', "P\nP"),
+    ("<body><div>{p}<section>{p}{p}</section><section>{p}{p}{p}</section></div><div><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div></body>", "P\nP\nP\nP\nP\nP"),
+])
+def test_density_decides_whatever_names_say(page, text):
+    para = "A paragraph with a good deal of text in it, and then some more of it."
+    assert html.extract(page.replace("{p}", f"<p>{para}</p>")) == text.replace("P", para)
+
+
+def test_container_is_the_node_of_the_largest_sum():
+    """Against a plain recursion over random trees without names or links: a node's density is its characters a tag."""
+    rng = random.Random(4)
+
+    def grow(depth):
+        inside = "".join(grow(depth - 1) for _ in range(rng.randint(0, 4))) if depth else ""
+        return f"<div>{'x' * rng.randint(0, 60)}{inside}</div>"
+
+    def chars_and_tags(node):
+        parts = [chars_and_tags(c) for c in node.children if not isinstance(c, str)]
+        return sum(len(c) for c in node.children if isinstance(c, str)) + sum(c for c, _ in parts), sum(t + 1 for _, t in parts)
+
+    def density(node):
+        c, t = chars_and_tags(node)
+        return c / max(t, 1)
+
+    for _ in range(60):
+        root = html.parse(f"<body>{grow(4)}</body>")
+        body = html.measure(root)
+        nodes = html._walk(body)
+        sums = {id(n): sum(density(c) for c in n.children if not isinstance(c, str)) for n in nodes}
+        ratio = {round(n.density / density(n), 9) for n in nodes if density(n)}
+        assert len(ratio) <= 1 and sums[id(html.container(body)[0])] >= max(sums.values()) - 1e-9
+
+
+def test_very_long_and_deep_pages():
+    long = "word " * 400_000
+    assert len(html.extract(f"<body><article><p>{long}</p></article></body>")) == len(long) - 1
+    assert html.extract("<div>" * 20_000 + "deep") == "deep" and html.extract("<p>a" * 20_000).count("\n") == 19_999
+
+
 def test_pages_without_article():
     para = "<p>A paragraph with a good deal of text in it, and then some more of it.</p>"
     links = "".join(f"<li><a href={i}>Related story {i}</a></li>" for i in range(6))
