@@ -1,17 +1,23 @@
 """Embedding near-duplicates by a random-projection tree forest.
 
 Trees are fitted on a bounded sample: a node splits at the median of a random projection, and vectors
-within a margin of it go to both sides (spill), down to leaves of about LEAF vectors; dense groups that no
-margin splits without parting their pairs stay whole, as larger leaves. All vectors are dropped through
-all trees, compared within their leaves in double precision, and pairs with a cosine of at least the
-threshold are kept. The number of trees follows from the fitted nodes, so that a pair at the threshold
-shares a leaf with the target probability. A leaf over TILE vectors is compared in square blocks, a task
-each, so no task holds more than two blocks. Equal vectors are one class, whose first member stands for it.
+within a margin of it go to both sides (spill), down to leaves of about LEAF vectors. Leaves that hold more
+than FULL times as many, as the sample grows thin in a large table, are split again by trees of their own,
+fitted in a task on a bounded sample of that leaf, until none is too full or can be split. Dense groups that no
+margin splits without parting their pairs stay whole, as larger leaves. All vectors are compared within their
+leaves in double precision, and pairs with a cosine of at least the threshold are kept. The number of trees
+follows from the fitted nodes, so that a pair at the threshold shares a leaf with the target probability.
+
+A leaf over TILE vectors is compared in square blocks, a task each, so no task holds more than two blocks. A
+pair that shares several leaves counts in the first of them alone, which both its vectors' lists of leaves
+tell; so a task returns one row a vector with its links counted, and pairs never leave it. Equal vectors are one
+class, whose first member stands for it. Comparing a dense group costs the square of its size, as each of
+its pairs may be a link.
 
 Cases: null or empty vectors, zero vectors and vectors with null or non-finite components link with
 nothing and are components of their own; vectors of other lengths never link; repeated ids are rows of
-their own, and an id is linked where any of its rows is; extra columns are dropped; an empty table gives
-an empty result.
+their own, and an id is linked where any of its rows is; a null id counts as the smallest, so a component
+with one has a null component_id; extra columns are dropped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import spread, stored
 from tessera.llm.components import connected_components
 
 LEAF, TILE, SAMPLE, SPILL, TARGET = 400, 1024, 20_000, 0.15, 0.99
+#: A leaf is split again beyond so many times LEAF, in so many rounds at most; CHUNK vectors a task are routed.
+FULL, ROUNDS, CHUNK = 8, 12, 50_000
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 #: The quantile of rows that margins and trees must suit, the planes tried at a node, and the share of its comparisons a split may leave.
 LOW, PLANES, PAYS = 0.05, 3, 0.9
 
@@ -112,11 +122,11 @@ def margin_for(gap: float, radius: float, allowed: float) -> float:
     return high
 
 
-def trees_for(meets: np.ndarray, target: float) -> int:
+def trees_for(meets: np.ndarray, target: float, deeper: float = 1.0) -> int:
     """Trees needed so that pairs at the threshold meet in a leaf with the target probability, even where
-    the sample's rows are least likely to."""
-    meet = float(np.quantile(meets, LOW))
-    return max(4, math.ceil(math.log(1 - target) / math.log(1 - min(meet, 0.999))))
+    the sample's rows are least likely to; deeper: how many times as deep as the fitted tree the whole one is."""
+    meet = float(np.quantile(meets, LOW)) ** deeper
+    return max(4, math.ceil(math.log(1 - target) / math.log(1 - min(max(meet, 0.02), 0.999))))
 
 
 def _unit(column: pa.Array) -> tuple[list[bytes | None], list[int]]:
@@ -139,31 +149,38 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, leaf: int = LEAF, s
             keys = [hashlib.blake2b(u, digest_size=16).digest() if u else None for u in units]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], ["vec_id", "key", "dim", "unit"])
 
-    rows = stored(vectors.selectExpr("cast(vec_id as long) vec_id", "embedding").mapInArrow(prepare, "vec_id long, key binary, dim int, unit binary"), "vectors")
+    own_id = F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id")
+    rows = stored(vectors.select(own_id, "embedding").mapInArrow(prepare, "vec_id long, key binary, dim int, unit binary"), "vectors")
     classes = rows.filter("key is not null").groupBy("key").agg(F.min(F.struct("vec_id", "dim", "unit")).alias("first"), F.count("*").alias("copies"))
     classes = stored(classes.select("key", "copies", "first.*").withColumnRenamed("vec_id", "rep"), "vector-classes")
-    pairs = stored(_pairs(classes, threshold, leaf, spill, target, sample, tile, seed), "vector-pairs")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    reached = both.join(classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    parts = connected_components(pairs)
-    about = classes.join(reached, classes.rep == reached.a, "left").join(parts, classes.rep == parts.node, "left")
+    placed = _split_full(_placed(classes, threshold, leaf, spill, target, sample, seed), classes, threshold, leaf, spill, seed)
+    linked = stored(_linked(placed, classes, threshold, tile), "vector-links")
+    reached = linked.groupBy("key").agg(F.sum("links").alias("others"))
+    parts = connected_components(linked.select("rep", "root").distinct(), "rep", "root")
+    about = classes.join(reached, "key", "left").join(parts, classes.rep == parts.node, "left")
     about = about.select("key", F.col("rep").alias("_rep"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("_links"), F.coalesce("component", "rep").alias("_component"))
     found = rows.select("vec_id", "key").join(about, "key", "left")
-    own = F.coalesce("_component", "vec_id")
-    return found.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.col("vec_id") == own).alias("kept"))
+    own, known = F.coalesce("_component", "vec_id"), lambda c: F.nullif(c, F.lit(NO_ID))
+    return found.select(known(F.col("vec_id")).alias("vec_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), known(own).alias("component_id"), (F.col("vec_id") == own).alias("kept"))
 
 
-def _pairs(classes: DataFrame, threshold: float, leaf: int, spill: float, target: float, sample: int, tile: int, seed: int) -> DataFrame:
-    """Distinct pairs (a < b) of class representatives at or over the threshold."""
+def _points(units: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    held = units.to_pylist()
+    return np.frombuffer(b"".join(held), "f8").reshape(len(held), -1)
+
+
+def _placed(classes: DataFrame, threshold: float, leaf: int, spill: float, target: float, sample: int, seed: int) -> DataFrame:
+    """(leaf, key) of every class in the leaves of all trees."""
     spark = classes.sparkSession
     forests: dict[int, list[Tree]] = {}
-    for dim, n in classes.groupBy("dim").count().collect():  # one row for each vector length
+    gap = math.sqrt(max(2 - 2 * threshold, 0.0))
+    for dim, n in classes.groupBy("dim").count().filter(F.col("count") > leaf).collect():  # one row for each length of many vectors
         drawn = classes.filter(F.col("dim") == dim).orderBy("key").select("unit").limit(sample).collect()  # digests order at random
         points = np.stack([np.frombuffer(r.unit, "f8") for r in drawn])
         scaled = max(8.0, leaf * len(points) / n)
-        gap = math.sqrt(max(2 - 2 * threshold, 0.0))
         tree = Tree(points, scaled, spill, seed, gap)
-        forests[dim] = [tree] + [Tree(points, scaled, spill, seed + i, gap) for i in range(1, trees_for(tree.meets, target) if tree.depth else 1)]
+        deeper = 1 + max(0.0, math.log2(scaled * n / len(points) / leaf)) / max(tree.depth, 1)
+        forests[dim] = [tree] + [Tree(points, scaled, spill, seed + i, gap) for i in range(1, trees_for(tree.meets, target, deeper) if tree.depth else 1)]
         for tree in forests[dim]:
             del tree.meets
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(forests))  # bounded by the sample's size
@@ -173,43 +190,123 @@ def _pairs(classes: DataFrame, threshold: float, leaf: int, spill: float, target
         for batch in batches:
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims):
-                own = np.flatnonzero(dims == dim)
-                units = batch.column(2).take(pa.array(own))
-                points = np.stack([np.frombuffer(u, "f8") for u in units.to_pylist()])
-                reps = batch.column(0).take(pa.array(own))
-                for t, tree in enumerate(own_forests[int(dim)]):
+                own = pa.array(np.flatnonzero(dims == dim))
+                keys, trees = batch.column(0).take(own), own_forests.get(int(dim))
+                if trees is None:  # few vectors are one leaf
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{dim}.0.0"] * len(keys)), keys], ["leaf", "key"])
+                    continue
+                points = _points(batch.column(2).take(own))
+                for t, tree in enumerate(trees):
                     for leaf_id, at in tree.place(points):
-                        index = pa.array(at)
-                        yield pa.RecordBatch.from_arrays([pa.array([f"{dim}.{t}.{leaf_id}"] * len(at)), reps.take(index)], ["leaf", "rep"])
-
-    placed = stored(classes.select("rep", "dim", "unit").mapInArrow(place, "leaf string, rep long"), "vector-leaves")
-    sizes = placed.groupBy("leaf").agg(F.count("*").alias("n"))
-    split = placed.join(sizes, "leaf").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    split = split.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+                        yield pa.RecordBatch.from_arrays([pa.array([f"{dim}.{t}.{leaf_id}"] * len(at)), keys.take(pa.array(at))], ["leaf", "key"])
+
+    return stored(classes.select("key", "dim", "unit").mapInArrow(place, "leaf string, key binary"), "vector-leaves")
+
+
+def _split_full(placed: DataFrame, classes: DataFrame, threshold: float, leaf: int, spill: float, seed: int) -> DataFrame:
+    """The same with leaves of more than FULL * leaf classes split by trees of their own."""
+    gap, most = math.sqrt(max(2 - 2 * threshold, 0.0)), 2 * FULL * leaf
+
+    def fit(table: pa.Table) -> pa.Table:
+        name, n = table.column("leaf")[0].as_py(), table.column("n")[0].as_py()
+        points = _points(table.column("unit"))
+        number = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little")
+        tree = Tree(points, max(8.0, leaf * len(points) / n), spill, seed + number, gap)
+        del tree.meets
+        blob = cloudpickle.dumps(tree) if tree.depth else None
+        return pa.table({"leaf": pa.array([name]), "n": pa.array([n], pa.int64()), "tree": pa.array([blob], pa.binary())})
+
+    def route(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        names, keys = [], []
+        if left.num_rows and right.num_rows:
+            tree, name = cloudpickle.loads(right.column("tree")[0].as_py()), right.column("leaf")[0].as_py()
+            own = left.column("key").combine_chunks()
+            for leaf_id, at in tree.place(_points(left.column("unit"))):
+                names += [f"{name}.{leaf_id}"] * len(at)
+                keys.append(own.take(pa.array(at)))
+        return pa.table({"leaf": pa.array(names, pa.string()), "key": pa.chunked_array(keys, pa.binary())})
+
+    done = None
+    for _ in range(ROUNDS):
+        sizes = placed.groupBy("leaf").agg(F.count("*").alias("n"))
+        full = stored(sizes.filter(F.col("n") > FULL * leaf), "full-leaves")
+        if full.isEmpty():
+            break
+        # A bounded sample of each leaf, by a top-k that every task applies before the shuffle too.
+        first = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("key", "leaf"), "key"))
+        drawn = placed.join(full, "leaf").withColumn("_r", first).filter(F.col("_r") <= most).drop("_r")
+        trees = stored(spread(drawn.join(classes.select("key", "unit"), "key"), "leaf").groupBy("leaf").applyInArrow(fit, "leaf string, n long, tree binary"), "leaf-trees").filter("tree IS NOT NULL")
+        names = trees.select("leaf", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+        own = placed.join(names, "leaf").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+        own = own.select("leaf", "chunk", "key").join(classes.select("key", "unit"), "key")
+        each = trees.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / CHUNK).cast("int") - 1))).select("leaf", "chunk", "tree")
+        routed = own.groupBy("leaf", "chunk").cogroup(each.groupBy("leaf", "chunk")).applyInArrow(route, "leaf string, key binary")
+        stays = placed.join(names.select("leaf"), "leaf", "left_anti")
+        done = stays if done is None else done.unionByName(stays)
+        placed = stored(routed, "vector-leaves")
+    return placed if done is None else done.unionByName(placed)
+
+
+def _linked(placed: DataFrame, classes: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """(key, rep, links, root) for each block and class with links in it; links count each pair in one block alone."""
+    numbered = placed.withColumn("leaf", F.xxhash64("leaf"))
+    lists = numbered.groupBy("key").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))  # some for each tree
+    sizes = numbered.groupBy("leaf").agg(F.count("*").alias("n"))
+    split = numbered.join(sizes, "leaf").filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
+    split = split.withColumn("own", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     # A leaf of k blocks is k * (k + 1) / 2 tasks; a vector goes to those of its own block.
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    split = split.select("rep", F.concat_ws(".", "leaf", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "own")
-    sent = split.join(classes.select("rep", "unit"), "rep")
+    split = split.select("key", "leaf", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    sent = split.join(classes.select("key", "rep", "copies", "unit").join(lists, "key"), "key")
 
     def compare(table: pa.Table) -> pa.Table:
-        reps, own = table.column("rep").to_numpy(), table.column("own").to_numpy()
-        points = np.frombuffer(b"".join(table.column("unit").to_pylist()), "f8").reshape(len(reps), -1)
-        sides = np.unique(own)
-        left = np.flatnonzero(own == sides[0])
-        right = np.flatnonzero(own == sides[-1])
-        diagonal = len(sides) == 1
-        found_a, found_b = [], []
-        task = table.column("task")[0].as_py().split(".")
-        if not (diagonal and task[-1] != task[-2]):  # only one block of two is there: nothing to compare
-            for i in range(0, len(left), 512):
-                x, y = np.nonzero(points[left[i : i + 512]] @ points[right].T >= threshold)
-                a, b = reps[left[i + x]], reps[right[y]]
-                if diagonal:
-                    a, b = a[a < b], b[a < b]
-                found_a.append(np.minimum(a, b))
-                found_b.append(np.maximum(a, b))
-        join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, "i8"))
-        return pa.table({"a": join(found_a), "b": join(found_b)})
-
-    return spread(sent, "task").groupBy("task").applyInArrow(compare, "a long, b long").distinct()
-
+        leaf, low, high = (table.column(c)[0].as_py() for c in ("leaf", "low", "high"))
+        keys, own = table.column("key").combine_chunks(), table.column("own").to_numpy()
+        reps, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
+        points = _points(table.column("unit"))
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        links, root = np.zeros(len(reps), "i8"), reps.copy()
+        before = [[x for x in leaves if x < leaf] for leaves in table.column("leaves").to_pylist()]
+        found = []
+        for i in range(0, len(left), 512):
+            part = left[i : i + 512]
+            hit = points[part] @ points[right].T >= threshold
+            if low == high:
+                hit[np.arange(len(part)), i + np.arange(len(part))] = False
+            if hit.any():
+                hit &= ~_meet_before(before, part, right)
+                links[part] += hit @ copies[right]
+                if low != high:
+                    links[right] += copies[part] @ hit
+                found.append((part, hit))
+        moved = bool(found)
+        while moved:  # the smallest id that each row reaches in this block
+            old = root.copy()
+            for part, hit in found:
+                ids = np.where(hit, root[right][None, :], np.iinfo("i8").max).min(1, initial=np.iinfo("i8").max)
+                root[part] = np.minimum(root[part], ids)
+                ids = np.where(hit, root[part][:, None], np.iinfo("i8").max).min(0, initial=np.iinfo("i8").max)
+                root[right] = np.minimum(root[right], ids)
+            moved = bool((old != root).any())
+        out = np.flatnonzero(links)
+        return pa.table({"key": keys.take(pa.array(out)), "rep": pa.array(reps[out]), "links": pa.array(links[out]), "root": pa.array(root[out])})
+
+    return spread(sent, "leaf", "low", "high").groupBy("leaf", "low", "high").applyInArrow(compare, "key binary, rep long, links long, root long")
+
+
+def _meet_before(before: list[list[int]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether each pair of left and right rows shares one of the leaves listed before this one."""
+    shared = np.zeros((len(left), len(right)), bool)
+    a, b = {}, {}
+    for rows, held in ((left, a), (right, b)):
+        for k, r in enumerate(rows.tolist()):
+            for x in before[r]:
+                held.setdefault(x, []).append(k)
+    common = [x for x in a if x in b]
+    for i in range(0, len(common), 512):
+        some = common[i : i + 512]
+        x, y = np.zeros((len(left), len(some)), "f4"), np.zeros((len(right), len(some)), "f4")
+        for k, name in enumerate(some):
+            x[a[name], k] = y[b[name], k] = 1
+        shared |= x @ y.T > 0
+    return shared

@@ -22,6 +22,43 @@ def test_vectors_in_a_dense_cluster(spark):
     assert sum(got.values()) >= 0.99 * want.sum()
 
 
+def brute_vectors(ids, points, threshold=0.9):
+    """(links, smallest id reached) of each vector, pair by pair."""
+    near = points @ points.T >= threshold
+    group = np.array(ids)
+    while True:
+        then = np.where(near, group[None, :], group.max()).min(1)
+        if (then == group).all():
+            return dict(zip(ids, near.sum(1) - 1)), dict(zip(ids, group))
+        group = then
+
+
+def test_full_leaves_are_split_again(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "FULL", 2)
+    monkeypatch.setattr(embeddings, "CHUNK", 500)
+    rng = np.random.default_rng(3)
+    points = unit(rng.standard_normal((4000, 24)))
+    points[2000:3500] = unit(points[:1500] + 0.05 * rng.standard_normal((1500, 24)))
+    points[3900:] = points[5]
+    ids = list(range(10, 4010))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, points)], "vec_id long, embedding array<double>").repartition(6)
+    links, group = brute_vectors(ids, unit(points))
+    got = {r.vec_id: r for r in embeddings.near_vectors(df, leaf=15, sample=300, tile=64).collect()}
+    assert len(got) == len(ids) and all(got[i].n_links <= links[i] for i in ids)
+    assert sum(r.n_links for r in got.values()) >= 0.97 * sum(links.values()) and sum(got[i].component_id == group[i] for i in ids) >= 0.97 * len(ids)
+    classes = spark.createDataFrame([(bytes([i >> 8, i & 255]), i, 1, 24, v.tobytes()) for i, v in enumerate(unit(points[:3900]))], "key binary, rep long, copies long, dim int, unit binary")
+    placed = embeddings._placed(classes, 0.9, 15, 0.15, 0.99, 300, 7)
+    split = embeddings._split_full(placed, classes, 0.9, 15, 0.15, 7)
+    most = lambda df: max(r["count"] for r in df.groupBy("leaf").count().collect())
+    assert most(split) <= 2 * 15 < most(placed)
+
+
+def test_vectors_of_several_lengths_null_and_repeated_ids(spark):
+    rows = [(None, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 3.0, 0.1]), (4, [0.0, 1.0])]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [("1", 1, "None", False), ("2", 0, "2", True), ("2", 1, "2", True), ("3", 1, "2", False), ("4", 0, "4", True), ("None", 1, "None", True)]
+
+
 def test_packed_ids_are_the_texts(spark, docs_of):
     from tokenizers import Tokenizer
 
