@@ -4,10 +4,10 @@ A text is split into sections (at "\n\n"), a section into paragraphs (at "\n"),
 sentences, the longest cut every 160 code points. A leaf's digest is the MD5 of its text, a paragraph's
 that of its leaves' digests, a section's that of its paragraphs', and the root is the SHA-256 of the
 sections'. Splitting loses nothing, so equal roots mean equal texts. The fingerprint is the root, the
-sections' digests and the leaves' digests (shortened), in three fields.
+sections' digests and the leaves' digests (SHORT hexadecimal digits each), in three fields.
 
-The likeness of two fingerprints is 1 where their roots are equal, else the Jaccard index of their sets of
-leaf digests; comparing the trees from the root down locates edits (changed_sections).
+The likeness of two fingerprints is 1 where they are equal, else the Jaccard index of the sets of leaf digests
+that they hold; comparing the trees from the root down locates edits (changed_sections).
 
 Cases: a null text counts as empty; empty texts are equal to each other; documents with the same id are
 taken in order of their texts; one document is its own successor; extra columns are dropped; an empty
@@ -19,8 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_partitions
+from tessera.llm.common import shuffle_partitions, text_bytes
 
+SHORT = 8
+#: Successors are found in ranges of about so many bytes of text, in so many ranges at most.
+RANGE, RANGES = 128 << 20, 20_000
 LEAVES = r"[^.!?]{1,160}[.!?]*|[.!?]+"
 
 
@@ -31,20 +34,24 @@ def tree(text: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
-    """Add <prefix>leaves (the set of leaf digests), <prefix>sections and <prefix>fingerprint."""
-    nodes, sections, leaves = f"_{prefix}tree", f"{prefix}sections", f"{prefix}leaves"
+    """Add <prefix>sections and <prefix>fingerprint."""
+    nodes, sections = f"_{prefix}tree", f"{prefix}sections"
     df = df.withColumn(nodes, tree(F.col(text)))
     df = df.withColumn(sections, F.transform(nodes, lambda s: F.md5(F.array_join(F.transform(s, lambda p: F.md5(F.array_join(p, ""))), ""))))
-    df = df.withColumn(leaves, F.flatten(F.flatten(nodes)))
-    short = lambda a, n: F.array_join(F.transform(a, lambda d: F.substring(d, 1, n)), "")
-    df = df.withColumn(f"{prefix}fingerprint", F.concat_ws(":", F.sha2(F.array_join(sections, ""), 256), short(sections, 8), short(leaves, 4)))
-    return df.withColumn(leaves, F.array_distinct(leaves)).drop(nodes)
+    short = lambda a: F.array_join(F.transform(a, lambda d: F.substring(d, 1, SHORT)), "")
+    return df.withColumn(f"{prefix}fingerprint", F.concat_ws(":", F.sha2(F.array_join(sections, ""), 256), short(F.col(sections)), short(F.flatten(F.flatten(nodes))))).drop(nodes)
 
 
-def likeness(fingerprint: Column, leaves: Column, other: Column, other_leaves: Column) -> Column:
-    """0 to 1: the share of leaves in common, 1 for equal fingerprints."""
-    both = F.size(F.array_intersect(leaves, other_leaves)).cast("double")
-    return F.when(fingerprint == other, F.lit(1.0)).otherwise(F.coalesce(both / F.nullif(F.size(leaves) + F.size(other_leaves) - both, F.lit(0.0)), F.lit(0.0)))
+def leaves_of(fingerprint: Column) -> Column:
+    """The leaf digests that a fingerprint holds."""
+    return F.array_distinct(F.regexp_extract_all(F.substring_index(fingerprint, ":", -1), F.lit(f"[0-9a-f]{{{SHORT}}}"), F.lit(0)))
+
+
+def likeness(fingerprint: Column, other: Column) -> Column:
+    """0 to 1: the share of leaves that two fingerprints have in common, 1 for equal ones."""
+    a, b = leaves_of(fingerprint), leaves_of(other)
+    both = F.size(F.array_intersect(a, b)).cast("double")
+    return F.when(fingerprint == other, F.lit(1.0)).otherwise(F.coalesce(both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0.0)), F.lit(0.0)))
 
 
 def changed_sections(sections: Column, other: Column) -> Column:
@@ -59,9 +66,9 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     Documents are dealt to ranges of ids, and a copy of each range's first document goes to the range
     before it, so a range finds all successors by itself: one shuffle of the texts.
     """
-    spark, n = docs.sparkSession, max(2, shuffle_partitions(docs.sparkSession))
-    # Bounds: at most as many numbers as there are partitions.
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+    n = min(RANGES, max(2, shuffle_partitions(docs.sparkSession), -(-text_bytes(docs, columns[0]) // RANGE)))
+    # Bounds: RANGES numbers at most; beyond, a range's rows spill.
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or []
     ranges = sorted(set(bounds))
     part = F.size(F.filter(F.array(*map(F.lit, ranges)) if ranges else F.array().cast("array<long>"), lambda b: b < F.col("doc_id")))
     placed = docs.withColumn("_part", part)
@@ -87,7 +94,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     df = df.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.substring("next_text", F.lit(1), F.floor(n / 2).cast("int"))))
     df = with_fingerprint(with_fingerprint(with_fingerprint(df, "text"), "edited", "edited_"), "next_text", "next_")
-    near = lambda p: likeness(F.col("fingerprint"), F.col("leaves"), F.col(f"{p}fingerprint"), F.col(f"{p}leaves"))
+    near = lambda p: likeness(F.col("fingerprint"), F.col(f"{p}fingerprint"))
     return df.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near("edited_").alias("near_edited"), near("next_").alias("near_next"),
         F.size("sections").cast("long").alias("n_sections"), F.size(changed_sections(F.col("sections"), F.col("edited_sections"))).cast("long").alias("n_changed_sections"),
@@ -110,8 +117,8 @@ WITH d AS (
   SELECT doc_id, n, text, edited, k, list_transform(tree, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))) AS sections,
     flatten(flatten(tree)) AS leaves FROM x
 ), z AS (
-  SELECT doc_id, n, text, edited, k, sections, list_distinct(leaves) AS leaves,
-    sha256(array_to_string(sections, '')) || ':' || array_to_string(list_transform(sections, lambda v: v[1:8]), '') || ':' || array_to_string(list_transform(leaves, lambda v: v[1:4]), '') AS f FROM y
+  SELECT doc_id, n, text, edited, k, sections, list_distinct(list_transform(leaves, lambda v: v[1:8])) AS leaves,
+    sha256(array_to_string(sections, '')) || ':' || array_to_string(list_transform(sections, lambda v: v[1:8]), '') || ':' || array_to_string(list_transform(leaves, lambda v: v[1:8]), '') AS f FROM y
 ), w AS (
   SELECT a.doc_id, a.n, a.edited, a.f AS f1, b.f AS f2, c.f AS f3, a.leaves AS l1, b.leaves AS l2, c.leaves AS l3, a.sections AS s1, b.sections AS s2,
     len(list_intersect(a.leaves, b.leaves)) AS i2, len(list_intersect(a.leaves, c.leaves)) AS i3
