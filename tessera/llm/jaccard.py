@@ -4,7 +4,7 @@ Documents with equal sets of five-word n-grams are one class, and its first docu
 numbers of bands and rows are the cheapest that find a pair at the threshold with the target recall.
 Representatives are shuffled on their band hashes; those that share one, directly or through others, form
 a candidate group. Each group's texts meet once, and all pairs in it are compared exactly, by products of
-0/1 matrices over the n-grams that at least two of them have. A group too large for one task is split by
+0/1 matrices over the n-grams that at least two of them have. A group too large for one task, in n-grams or in sets, is split by
 size class (sets whose sizes differ by more than the threshold can't match, so only neighbouring classes
 meet) and by hash into tiles; each pair of tiles is a task. Results leave a task as one row a document, so
 nothing grows with the square of a group.
@@ -31,7 +31,8 @@ from tessera.llm.common import free_names, spread, stored
 from tessera.llm.components import connected_components
 from tessera.llm.shingles import WORDS, in_runs, mix, shingle_sets
 
-THRESHOLD, RECALL, TASK_GRAMS = 0.8, 0.999, 400_000
+#: A task compares so many n-grams and so many sets at most.
+THRESHOLD, RECALL, TASK_GRAMS, TASK_SETS = 0.8, 0.999, 400_000, 2000
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -147,10 +148,11 @@ def _verified(texts: DataFrame, classes: DataFrame, groups: DataFrame, threshold
     """(rep, root, links, split) of representatives with verified links."""
     members = groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(classes.select("rep", "version", "n_grams", "copies"), "rep")
     members = members.withColumn("level", F.floor(F.log("n_grams") / math.log(1 / threshold)).cast("int"))
-    whole = members.groupBy("grp").agg(F.sum("n_grams").alias("all"))
-    small = members.join(whole.filter(F.col("all") <= task_grams), "grp").select("rep", "version", "copies", F.concat(F.lit("g"), "grp").alias("task"), F.lit(0).alias("tile"), F.lit(False).alias("split"))
-    large = members.join(whole.filter(F.col("all") > task_grams).select("grp"), "grp")
-    levels = large.groupBy("grp", "level").agg(F.ceil(F.sum("n_grams") / (task_grams / 2)).cast("int").alias("tiles"))
+    whole = members.groupBy("grp").agg(F.sum("n_grams").alias("all"), F.count("*").alias("sets"))
+    fits = (F.col("all") <= task_grams) & (F.col("sets") <= TASK_SETS)
+    small = members.join(whole.filter(fits), "grp").select("rep", "version", "copies", F.concat(F.lit("g"), "grp").alias("task"), F.lit(0).alias("tile"), F.lit(False).alias("split"))
+    large = members.join(whole.filter(~fits).select("grp"), "grp")
+    levels = large.groupBy("grp", "level").agg(F.ceil(F.greatest(F.sum("n_grams") / (task_grams / 2), F.count("*") / (TASK_SETS / 2))).cast("int").alias("tiles"))
     # One row for each group and size class: it finds its own tiles and those of the next larger class.
     above = levels.select("grp", (F.col("level") - 1).alias("level"), F.col("tiles").alias("tiles_above"))
     below = levels.select("grp", (F.col("level") + 1).alias("level"), F.col("tiles").alias("tiles_below"))
