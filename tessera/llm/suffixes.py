@@ -5,11 +5,12 @@ substring of the smallest hash, and equal windows have equal ones. Blocks send t
 minimizers by shards of hash values, and learn which of them occur in more than one document. (2) Around
 those that do, blocks cut the text into runs of windows with one minimizer, merge equal runs, and send them
 by minimizer, so that all equal windows meet. (3) Each task builds the suffix array of its runs in two
-stages: suffixes smaller than their successors are sorted directly (on their first 50 bytes, by doubling);
-the rest are induced by a scan of the buckets in ascending order. Common prefixes of neighbours in the array
-tell which windows are equal, and each group's smallest doc_id marks the others. (4) Marks go back to the
-blocks, which drop the bytes covered. A run that occurs in a third of all documents is sent once by each
-block; nothing is dropped or capped.
+stages: only suffixes smaller than their successors are sorted directly (on their first 50 bytes, eight at a
+time, as long as they tie); the rest are induced by a scan of the buckets in ascending order. The lengths of the
+common prefixes of neighbours in the array tell which windows are equal, and each group's smallest doc_id marks
+the others. (4) Marks go back to the blocks, which drop the bytes covered. Of a run that a block has several
+times only its smallest doc_id goes out, as its other documents are covered for certain: a run that occurs in a
+third of all documents is sent once by each block, and nothing is dropped or capped.
 
 Equal runs within a block are found by 64-bit hashes of their bytes and lengths under one minimizer.
 
@@ -36,6 +37,8 @@ from tessera.llm.common import free_names, spread, stored, text_bytes
 from tessera.llm.shingles import _R, _R_INV, _powers_of, mix
 
 LENGTH, SEED, BLOCK, RUN = 50, 20, 8 << 20, 1 << 19
+#: Stands for the task of marks that need no other block.
+LOCAL = -1
 
 
 # Suffix arrays ---------------------------------------------------------------------------------------
@@ -54,33 +57,34 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return up
 
 
-def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    own = keys[order]
-    rank = np.empty(len(keys), "i8")
-    rank[order] = np.cumsum(np.concatenate([[0], own[1:] != own[:-1]]))
-    return order, rank
+def words_of(text: np.ndarray, beyond: int = 0) -> np.ndarray:
+    """The eight bytes at each place (and at `beyond` places after the end) as an integer; zeros follow the text."""
+    n = len(text) + beyond
+    padded = np.concatenate([text, np.zeros(beyond + 8, "u1")])
+    words = np.zeros(n, "u8")
+    for k in range(8):
+        words = (words << np.uint64(8)) | padded[k : n + k]
+    return words
 
 
 def sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Positions `at` in order of their suffixes' first `depth` bytes, by doubling from eight bytes."""
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(8, "u1")])
-    first = np.zeros(n, "u8")
-    for k in range(8):
-        first = (first << np.uint64(8)) | padded[k : n + k]
-    _, rank = _ranks(first)
-    have = 8
-    while have < depth:
-        step = min(have, depth - have)
-        later = np.zeros(n, "i8")
-        later[: n - step] = rank[step:] + 1 if n > step else 0
-        keys = (rank << 32) | later
-        have += step
-        if have >= depth:
-            return at[np.argsort(keys[at], kind="stable")]
-        _, rank = _ranks(keys)
-    return at[np.argsort(rank[at], kind="stable")]
+    """Positions `at` in order of their suffixes' first `depth` bytes. Only these positions are sorted, by eight bytes
+    at a time, and from the second time on only those that still tie."""
+    if not len(at):
+        return at
+    words, at = words_of(text, depth), at.copy()
+    todo, group = np.arange(len(at)), np.zeros(len(at), "i8")  # places in `at` that tie, and with whom
+    for k in [*range(0, depth - 8, 8), depth - 8]:
+        own = words[at[todo] + k]
+        order = np.lexsort((own, group)) if k else np.argsort(own, kind="stable")
+        at[todo], own = at[todo[order]], own[order]
+        new = np.concatenate([[True], (own[1:] != own[:-1]) | (group[order][1:] != group[order][:-1])])
+        ties = ~new
+        ties[:-1] |= ~new[1:]
+        todo, group = todo[ties], np.cumsum(new)[ties]
+        if not len(todo):
+            break
+    return at
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -122,19 +126,25 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     return np.concatenate(out)
 
 
-def same_as_previous(text: np.ndarray, order: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """For each place in the array whether its suffix shares `depth` bytes with the one before it."""
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(depth + 8, "u1")])
-    words = np.zeros(n + depth, "u8")
-    for k in range(8):
-        words = (words << np.uint64(8)) | padded[k : n + depth + k]
-    same = np.zeros(len(order), bool)
-    same[1:] = (order[1:] <= n - depth) & (order[:-1] <= n - depth)
-    for k in [*range(0, depth - 8, 8), depth - 8]:
-        at = np.flatnonzero(same)
-        same[at] = words[order[at] + k] == words[order[at - 1] + k]
-    return same
+def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """For each place in the array the bytes that its suffix shares with the one before it, `depth` at most."""
+    words = words_of(text, depth)
+    room = len(text) - order
+    most = np.zeros(len(order), "i8")
+    most[1:] = np.minimum(np.minimum(room[1:], room[:-1]), depth)
+    length, at, k = np.zeros(len(order), "i8"), np.flatnonzero(most), 0
+    while len(at):
+        differ = words[order[at] + k] ^ words[order[at - 1] + k]
+        same = np.zeros(len(at), "i8")  # leading zero bytes
+        for step in (4, 2, 1):
+            clear = differ >> np.uint64(64 - 8 * step) == 0
+            same[clear] += step
+            differ = np.where(clear, differ << np.uint64(8 * step), differ)
+        same[differ == 0] = 8
+        length[at] = np.minimum(k + same, most[at])
+        k += 8
+        at = at[(same == 8) & (most[at] > k)]
+    return length
 
 
 # Blocks ----------------------------------------------------------------------------------------------
@@ -233,7 +243,7 @@ def marks_of(data: np.ndarray, counts: np.ndarray, times: np.ndarray, docs: np.n
     sizes = counts + length - 1
     begins = np.cumsum(sizes) - sizes
     order = suffix_array(data, length)
-    same = same_as_previous(data, order, length)
+    same = common_prefixes(data, order, length) >= length
     # Only windows inside a run count; what starts later is there for its neighbours' order.
     number = np.repeat(np.arange(len(counts)), sizes)
     offset = np.arange(len(data)) - begins[number]
@@ -360,8 +370,16 @@ def _marked(docs: DataFrame, length: int, seed: int, block_bytes: int) -> tuple[
             order = np.lexsort((whole, own, task))
             new = np.concatenate([[True], (own[order][1:] != own[order][:-1]) | (whole[order][1:] != whole[order][:-1])])
             heads = np.flatnonzero(new)
-            times = np.diff(np.concatenate([heads, [len(order)]]))
-            kept = order[heads]
+            # A run's documents after its first are covered, whatever other blocks have.
+            number = np.cumsum(new) - 1
+            first = np.minimum.reduceat(doc[order], heads)
+            later = doc[order] > first[number]
+            sure = order[later]
+            if len(sure):
+                bits = (np.uint64(1) << count[sure].astype("u8")) - np.uint64(1)
+                out.append((LOCAL, block, pack([row[sure].astype("i4").tobytes(), place[sure].astype("i8").tobytes(), bits.tobytes()], 1)))
+            kept, order = order[heads], order[~later]
+            times = np.bincount(number[~later], minlength=len(heads))
             cuts = np.searchsorted(task[kept], np.arange(tasks + 1))
             ends = np.concatenate([[0], np.cumsum(times)])
             for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
@@ -372,7 +390,8 @@ def _marked(docs: DataFrame, length: int, seed: int, block_bytes: int) -> tuple[
         columns = [*zip(*out)] if out else [(), (), ()]
         return pa.table({n: pa.array(c, kind) for n, c, kind in zip(("task", "block", "packed"), columns, (pa.int64(), pa.int64(), pa.binary()))})
 
-    runs = spread(blocks, "block").groupBy("block").cogroup(spread(shared, "block").groupBy("block")).applyInArrow(send_runs, "task long, block long, packed binary")
+    runs = stored(spread(blocks, "block").groupBy("block").cogroup(spread(shared, "block").groupBy("block")).applyInArrow(send_runs, "task long, block long, packed binary"), "suffix-runs")
+    sure, sent = runs.filter(F.col("task") == LOCAL).select("block", F.col("packed").alias("marks")), runs.filter(F.col("task") != LOCAL)
 
     def mark(table: pa.Table) -> pa.Table:
         # Equal runs of several blocks become one; the others are split by their minimizers into small arrays.
@@ -413,7 +432,7 @@ def _marked(docs: DataFrame, length: int, seed: int, block_bytes: int) -> tuple[
                 packed_.append(pack([row[hit].tobytes(), place[hit].tobytes(), own[hit].tobytes()], 1))
         return pa.table({"block": pa.array(blocks_, pa.int64()), "marks": pa.array(packed_, pa.binary())})
 
-    return blocks, stored(spread(runs, "task").groupBy("task").applyInArrow(mark, "block long, marks binary"), "suffix-marks")
+    return blocks, stored(spread(sent, "task").groupBy("task").applyInArrow(mark, "block long, marks binary"), "suffix-marks").unionByName(sure)
 
 
 def covered(sizes: np.ndarray, row: np.ndarray, place: np.ndarray, bits: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:

@@ -57,6 +57,26 @@ def test_suffix_array(letters):
         assert suffixes.suffix_array(text, n + 8).tolist() == sorted(range(n), key=lambda i: raw[i:])
 
 
+def test_only_smaller_suffixes_are_sorted(monkeypatch):
+    text = np.random.default_rng(1).integers(97, 100, 3000).astype("u1")
+    sizes, sort, lexsort = [], np.argsort, np.lexsort
+    up = suffixes.smaller_than_next(text)
+    monkeypatch.setattr(suffixes.np, "argsort", lambda a, **k: sizes.append(len(a)) or sort(a, **k))
+    monkeypatch.setattr(suffixes.np, "lexsort", lambda a, **k: sizes.append(len(a[0])) or lexsort(a, **k))
+    direct = suffixes.sorted_directly(text, np.flatnonzero(up), 50)
+    raw = text.tobytes()
+    assert direct.tolist() == sorted(np.flatnonzero(up).tolist(), key=lambda i: raw[i : i + 50])
+    assert max(sizes) == up.sum() < 0.6 * len(text) and all(n < up.sum() for n in sizes[1:])
+
+
+@pytest.mark.parametrize("letters", [1, 3])
+def test_common_prefixes(letters):
+    text = np.concatenate([np.random.default_rng(2).integers(97, 97 + letters, 200), [97] * 70]).astype("u1")
+    order, raw = suffixes.suffix_array(text, 50), text.tobytes()
+    shared = lambda a, b: next((k for k in range(50) if raw[a + k : a + k + 1] != raw[b + k : b + k + 1] or a + k >= len(raw)), 50)
+    assert suffixes.common_prefixes(text, order, 50)[1:].tolist() == [shared(a, b) for a, b in zip(order[:-1].tolist(), order[1:].tolist())]
+
+
 def grams(text):
     w = (text or "").lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -143,6 +163,13 @@ def test_fingerprints(docs_of, texts):
         edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert 0 <= got[i].near_edited <= 1 and (got[i].fingerprint == got[i].edited_fingerprint) == (text == edited)
+    def likeness(a, b):
+        cut = lambda f: {f.split(":")[2][k : k + 8] for k in range(0, len(f.split(":")[2]), 8)}
+        return 1.0 if a == b else len(cut(a) & cut(b)) / max(1, len(cut(a) | cut(b)))
+
+    for n, i in enumerate(ids):
+        assert got[i].near_edited == pytest.approx(likeness(got[i].fingerprint, got[i].edited_fingerprint))
+        assert got[i].near_next == pytest.approx(likeness(got[i].fingerprint, got[ids[(n + 1) % len(ids)]].fingerprint))
     same = {}
     for i, text in texts.items():
         same.setdefault(text or "", set()).add(got[i].fingerprint)
