@@ -189,6 +189,57 @@ def test_shards(docs_of, texts):
     assert sharding.shard_documents(docs_of([(1, "x")]).limit(0)).count() == 0
 
 
+def brute_shards(rows, shards, bits=4):
+    """The rules of the docstring over a list of (doc_id, text, lang, source), in plain Python."""
+    from collections import Counter
+
+    def cells(values):
+        top = sorted(v for v, _ in sorted(Counter(values).items(), key=lambda x: (-x[1], x[0]))[: 2**bits - 1])
+        return {v: top.index(v) if v in top else 2**bits - 1 for v in values}
+
+    langs, sources = cells([r[2] for r in rows]), cells([r[3] for r in rows])
+    groups = {}
+    for r in rows:
+        groups.setdefault(hashlib.sha256((r[1] if r[1] is not None else "\0null").encode()).hexdigest(), []).append(r)
+    every = []
+    for name, own in groups.items():
+        first = min((r[0], langs[r[2]], sources[r[3]], min(15, int(np.log2(len((r[1] or "").encode()) + 1)))) for r in own)
+        index = sharding.hilbert_value(first[1:], bits)
+        every += [(index, first[0], name, r[0]) for r in own]
+    every.sort()
+    sizes = [len(every) // shards + (k < len(every) % shards) for k in range(shards)]
+    at_shard = lambda at, runs: next((k for k in range(shards) if at < sum(runs[: k + 1])), shards - 1)
+    held, free = [[] for _ in range(shards)], [x for x in every if len(groups[x[2]]) == 1]
+    for name, own in groups.items():
+        if len(own) > 1:
+            start = next(k for k, x in enumerate(every) if x[2] == name)
+            held[at_shard(start + len(own) // 2, sizes)] += [x for x in every if x[2] == name]
+    for k, own in enumerate(held):
+        own.sort(key=lambda x: (len(groups[x[2]]), x))
+        free += own[sizes[k] :]
+        held[k] = own[: sizes[k]]
+    room = [n - len(h) for n, h in zip(sizes, held)]
+    for k, x in enumerate(sorted(free)):
+        held[at_shard(k, room)].append(x)
+    return {x[3]: (k, slot, x[0]) for k, own in enumerate(held) for slot, x in enumerate(sorted(own))}
+
+
+@pytest.mark.parametrize("hot", [0, 70])
+def test_shards_against_plain_rules(spark, hot):
+    rng = random.Random(hot)
+    texts = [sentence(rng.randint(1, 30)) for _ in range(90)]
+    rows = [(i, rng.choice(texts) if i % 3 else f"{i} own", rng.choice(["en", "de", "fr"]), f"src{rng.randint(0, 19)}") for i in range(200)]
+    rows += [(300 + i, "hot", "en", "src1") for i in range(hot)] + [(500, None, "en", "src2"), (501, "", "en", "src2")]
+    want = brute_shards(rows, 8)
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5), 8).collect()
+    assert {r.doc_id: (r.shard, r.slot, r.curve_index) for r in got} == want
+    where = {}
+    for i, text, *_ in rows:
+        where.setdefault(text, set()).add(want[i][0])
+    split = [t for t, s in where.items() if len(s) > 1]
+    assert split == (["hot"] if hot else [])
+
+
 def test_hilbert_is_a_curve():
     bits = 3
     cells = sorted(((a, b, c) for a in range(8) for b in range(8) for c in range(8)), key=lambda p: sharding.hilbert_value(p, bits))
