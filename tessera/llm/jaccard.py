@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_names, spread, stored
+from tessera.llm.common import free_names, release, spread, stored
 from tessera.llm.components import connected_components
 from tessera.llm.shingles import WORDS, in_runs, mix, shingle_sets
 
@@ -118,6 +118,7 @@ def near_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
                 signed = iter(band_hashes(hashes, starts, bands, rows))
                 packed = [next(signed).tobytes() if n else None for n in size]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), pa.array(size), pa.array(packed, pa.binary()), batch.column(2).slice(a, b - a)], ["doc_id", "key", "n_grams", "bands", "version"])
+        release()
 
     low = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     texts = docs.select(low.alias("doc_id"), "text", F.xxhash64("text").alias("version"))
@@ -188,6 +189,7 @@ def _verified(texts: DataFrame, classes: DataFrame, groups: DataFrame, threshold
             any_ = found.any(axis=1)
             root, links = roots(found, reps[at]), found @ copies[at]
             out += zip(reps[at][any_].tolist(), root[any_].tolist(), links[any_].tolist(), [t[0] != "g"] * int(any_.sum()))
+        release()
         columns = [*zip(*out)] if out else [(), (), (), ()]
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("rep", "root", "links", "split"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))})
 

@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import byte_alphabet
-from tessera.llm.common import stored, tokenizer_file
-from tessera.llm.common import tokenizer_file as tokenizer_path  # noqa: F401
+from tessera.llm.common import release, stored, tokenizer_file
 
 #: str.split() also splits at these control characters, which are no white space to the tokenizer.
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -33,7 +32,7 @@ _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 _HARD = re.compile("[^\x00-\u024f]|[\u0130'\xb2\xb3\xb9\xbc-\xbe]|<\\|")
 #: What the tokenizer splits a word of other characters into: letters, single digits, signs.
 _PARTS = re.compile(r"[^\W\d_]+|\d|(?:[^\w]|_)+")
-CAPACITY, OPEN, MERGED, CACHE = 4096, 32, 256, 600_000
+CAPACITY, OPEN, MERGED, CACHE = 4096, 32, 256, 400_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 FIELDS = [(name, pa.binary() if kind == "binary" else pa.int64()) for name, kind in map(str.split, PIECES.split(", "))]
 #: Finished pieces leave a task in batches of about so many bytes of ids.
@@ -159,7 +158,9 @@ def packed_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, windows:
             yield batch_of(packer.take(), None)
         left = [(p, k) for k, w in enumerate(sorted(packer.open, key=lambda w: w[0])) for p in w[1]]
         columns = [[p[0] for p, _ in left], [p[1] for p, _ in left], [len(p[2]) // 4 for p, _ in left], [p[2] for p, _ in left], [p[3] for p, _ in left], [(part << 32) + k for _, k in left], [*range(len(left))]]
+        words.clear()
         yield batch_of(columns, part // MERGED)
+        release()
 
     def second(group: pa.Table) -> pa.Table:
         d = group.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).to_pydict()

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_names, spread, stored
+from tessera.llm.common import free_names, release, spread, stored
 
 ORDER, BLOCK, RUN = 5, 24 << 20, 2 << 20
 #: Trusted ids are broadcast up to so many (16 bytes each), and shuffled beyond.
@@ -127,6 +127,8 @@ def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
         counter.merge()
         for i in range(0, len(counter.grams), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(counter.grams[i : i + (1 << 16)]), pa.array(counter.counts[i : i + (1 << 16)])], ["gram", "n"])
+        del counter
+        release()
 
     return texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -198,6 +200,7 @@ def score_documents(docs: DataFrame, trusted: DataFrame, order: int = ORDER, blo
                     docs_, texts_, size, counter = [], [], 0, Counter()
         if docs_:
             yield block()
+        release()
 
     blocks = spread(texts.mapInArrow(pack, "block long, packed binary"), "block")
 
@@ -231,6 +234,8 @@ def score_documents(docs: DataFrame, trusted: DataFrame, order: int = ORDER, blo
                     ends = np.cumsum(lengths)
                     out += [(*about, n, x) for about, n, x in zip(own[docs_at : docs_at + len(run)], lengths.tolist(), (got[ends - lengths] - got[ends]).tolist())]
                     docs_at += len(run)
+            del index, logp
+            release()
         columns = [*zip(*out)] if out else [()] * 5
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "lang", "version", "n_bytes", "nll"), columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()))})
 

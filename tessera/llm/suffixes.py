@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import free_names, spread, stored, text_bytes
+from tessera.llm.common import free_names, release, spread, stored, text_bytes
 from tessera.llm.shingles import _R, _R_INV, _powers_of, mix
 
 LENGTH, SEED, BLOCK, RUN = 50, 20, 8 << 20, 1 << 19
@@ -290,6 +290,7 @@ def _marked(docs: DataFrame, length: int, seed: int, block_bytes: int) -> tuple[
                     number, ids, texts, size = number + 1, [], [], 0
         if ids:
             yield block()
+        release()
 
     # A null id is smaller than all others.
     low = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
@@ -387,6 +388,7 @@ def _marked(docs: DataFrame, length: int, seed: int, block_bytes: int) -> tuple[
                 at = order[ends[a] : ends[b]]
                 blob = pack([(own[kept[a:b]] >> np.uint64(24)).astype("u1").tobytes(), count[kept[a:b]].astype("u1").tobytes(), times[a:b].astype("i4").tobytes(), doc[at].tobytes(), row[at].astype("i4").tobytes(), place[at].astype("i8").tobytes(), b"".join([pieces[i] for i in kept[a:b].tolist()])], 1)
                 out.append((k, block, blob))
+        release()
         columns = [*zip(*out)] if out else [(), (), ()]
         return pa.table({n: pa.array(c, kind) for n, c, kind in zip(("task", "block", "packed"), columns, (pa.int64(), pa.int64(), pa.binary()))})
 
@@ -430,6 +432,7 @@ def _marked(docs: DataFrame, length: int, seed: int, block_bytes: int) -> tuple[
             if hit.any():
                 blocks_.append(block)
                 packed_.append(pack([row[hit].tobytes(), place[hit].tobytes(), own[hit].tobytes()], 1))
+        release()
         return pa.table({"block": pa.array(blocks_, pa.int64()), "marks": pa.array(packed_, pa.binary())})
 
     return blocks, stored(spread(sent, "task").groupBy("task").applyInArrow(mark, "block long, marks binary"), "suffix-marks").unionByName(sure)

@@ -5,9 +5,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm.bpe import TreeBpe, encode_documents
-from tessera.llm.packing import tokenizer_path
+from tessera.llm.common import tokenizer_file
 
-PATH = tokenizer_path("byte_bpe_50k.json")
+PATH = tokenizer_file("byte_bpe_50k.json")
 TREE = TreeBpe(PATH, leaf=8)
 ODD = ["", " ", "a", "  a  b ", "a\n\nb \n", "\ta b", "é" * 40, "ab" * 5000, "a" * 3001, "<|endoftext|>", "x<|endoftext|> y<|endoftext|>", "don't we'll 's", "日本語テキスト" * 30, "a\x1cb \x1f c", "x" * 50 + "1" * 50 + "!?" * 40, "\U0001f600" * 50, "é a", "🙂 a\n b"]
 

@@ -6,9 +6,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm.packing import WordIds, merge_leftovers, pack_documents, tokenizer_path
+from tessera.llm.common import tokenizer_file
+from tessera.llm.packing import WordIds, merge_leftovers, pack_documents
 
-PATH = tokenizer_path("word_bpe_49k.json")
+PATH = tokenizer_file("word_bpe_49k.json")
 TOK = Tokenizer.from_file(PATH)
 WORDS = WordIds("word_bpe_49k.json")
 

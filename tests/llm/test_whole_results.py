@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import bpe, embeddings, html, lines, packing, sharding
+from tessera.llm import bpe, common, embeddings, html, lines, packing, sharding
 
 
 def unit(a):
@@ -62,7 +62,7 @@ def test_vectors_of_several_lengths_null_and_repeated_ids(spark):
 def test_packed_ids_are_the_texts(spark, docs_of):
     from tokenizers import Tokenizer
 
-    path = packing.tokenizer_path("word_bpe_49k.json")
+    path = common.tokenizer_file("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
     texts = {i: "lorem ipsum dolor " * (i * 7 % 40) for i in range(60)} | {60: None, 61: "word " * 1000}
     rows = packing.packed_pieces(docs_of([*texts.items()]), path, capacity=64, windows=3).collect()
@@ -109,7 +109,7 @@ def test_large_noise_beside_an_article_stays_out():
 def test_encoded_ids_and_texts(docs_of):
     from tokenizers import Tokenizer
 
-    path = packing.tokenizer_path("byte_bpe_50k.json")
+    path = common.tokenizer_file("byte_bpe_50k.json")
     tok, texts = Tokenizer.from_file(path), {1: None, 2: "", 3: "a b\nc", 4: "ab" * 900, 5: "日本 é"}
     got = {r.doc_id: r for r in bpe.encoded_texts(docs_of([*texts.items()]), path).collect()}
     for i, text in texts.items():
