@@ -38,8 +38,13 @@ def file_hash(text: Column) -> Column:
     return F.sha2(F.replace(text, F.lit("\r\n"), F.lit("\n")), 256)
 
 
+def question_and_answer(question: Column, answer: Column) -> Column:
+    """The content of an entry that is a question and its answer; blank parts are left out."""
+    return F.array_join(F.filter(F.array(F.trim(question), F.trim(answer)), lambda x: x.isNotNull() & (x != "")), "\n")
+
+
 def source_id(explicit: Column, front: Column, name: Column, text: Column) -> Column:
-    return F.coalesce(explicit, front, F.sha2(F.concat(F.lower(name), F.lit("\0"), text), 256))
+    return F.coalesce(explicit, front, F.sha2(F.concat(F.lower(F.upper(name)), F.lit("\0"), text), 256))
 
 
 def category(requested: Column, front: Column) -> Column:
@@ -191,12 +196,26 @@ def sync_plan(old: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
     return both.withColumn("action", action).filter("action IS NOT NULL").select("source_id", "hash", "id", "action")
 
 
-def sync_counts(plan: DataFrame) -> DataFrame:
+def sync_counts(plan: DataFrame, totals: bool = False) -> DataFrame:
+    """Counts of a sync by source, or with totals, of the whole batch."""
     n = lambda *kinds: F.count_if(F.col("action").isin(*kinds))
-    return plan.groupBy("source_id").agg(n("insert", "reactivate").alias("imported"), n("update", "noop").alias("skipped"), n("deactivate").alias("deactivated"), n("insert", "reactivate", "update", "deactivate").alias("changed"))
+    return plan.groupBy(*([] if totals else ["source_id"])).agg(*([F.countDistinct("source_id").alias("sources"), F.count("*").alias("rows")] if totals else []), n("insert", "reactivate").alias("imported"), n("update", "noop").alias("skipped"), n("deactivate").alias("deactivated"), n("insert", "reactivate", "update", "deactivate").alias("changed"))
 
 
 def manifest(chunks_: DataFrame, source: str, index: str, content: str) -> DataFrame:
     """(source, chunk_count, chunk_sha256 in order of the chunks)."""
     pair = F.struct(F.col(index).alias("i"), content_hash(F.col(content)).alias("h"))
     return chunks_.groupBy(source).agg(F.count("*").alias("chunk_count"), F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["h"]).alias("chunk_sha256"))
+
+
+def manifest_totals(manifest_: DataFrame) -> DataFrame:
+    return manifest_.agg(F.count("*").alias("document_count"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunk_count"))
+
+
+def verified(manifest_: DataFrame, chunks_: DataFrame, source: str, index: str, content: str) -> DataFrame:
+    """(source, index, problem) of chunks that differ from a manifest's hash, are missing or are extra."""
+    want = manifest_.select(source, F.posexplode("chunk_sha256").alias("_at", "_want"))
+    have = chunks_.select(F.col(source).alias("_s"), F.col(index).cast("int").alias("_i"), content_hash(F.col(content)).alias("_have"))
+    both = want.join(have, (F.col(source) == F.col("_s")) & (F.col("_at") == F.col("_i")), "full")
+    problem = F.when(F.col("_have").isNull(), "missing").when(F.col("_want").isNull(), "extra").when(F.col("_want") != F.col("_have"), "changed")
+    return both.select(F.coalesce(source, "_s").alias(source), F.coalesce("_at", "_i").alias(index), problem.alias("problem")).filter("problem IS NOT NULL")

@@ -44,3 +44,56 @@ def outcome_matches(expected: Column, actual: Column) -> Column:
 def pending(cases: DataFrame, results: DataFrame, case: str, error: str) -> DataFrame:
     """Cases to run again: those without a result that isn't an infrastructure error."""
     return cases.join(results.filter(F.col(error).isNull()).select(case), case, "left_anti")
+
+
+def case_catalog(positive: DataFrame, negative: DataFrame) -> DataFrame:
+    """Answerable and unanswerable cases in one table, told apart by kind."""
+    return positive.withColumn("kind", F.lit("answer")).unionByName(negative.withColumn("kind", F.lit("no_answer")), allowMissingColumns=True)
+
+
+def split_counts(assigned: DataFrame, catalog: DataFrame, key: str, group: str) -> DataFrame:
+    """(split, kind, group, n) of the cases of each split."""
+    return assigned.select("split", key).distinct().join(catalog, key).groupBy("split", "kind", group).agg(F.count("*").alias("n"))
+
+
+def count_mismatches(actual: DataFrame, expected: DataFrame, group: str) -> DataFrame:
+    """The counts that differ from those expected; a missing row counts as 0."""
+    on = ["split", "kind", group]
+    both = expected.withColumnRenamed("n", "expected").join(actual.withColumnRenamed("n", "actual"), on, "full").fillna(0, ["expected", "actual"])
+    return both.filter("expected <> actual")
+
+
+def case_problems(cases: DataFrame, documents: DataFrame, chunks: DataFrame, case: str, source: str, needle: str, text: str = "text", content: str = "content") -> DataFrame:
+    """(case, problem) of each case: its source is missing, doesn't hold the text, or holds it only across chunks; ok
+    otherwise. All joins are on the source."""
+    whole = documents.groupBy(F.col(source).alias("_d")).agg(F.first(text).alias("_text"))
+    pieces = cases.select(case, source, needle).join(chunks.select(F.col(source).alias("_c"), content), F.col(source) == F.col("_c")).groupBy(case).agg(F.bool_or(F.contains(content, F.col(needle))).alias("_whole"))
+    both = cases.join(whole, F.col(source) == F.col("_d"), "left").join(pieces, case, "left")
+    problem = F.when(F.col("_d").isNull(), "source_missing").when(~F.contains("_text", F.col(needle)), "text_missing").when(~F.coalesce("_whole", F.lit(False)), "split_across_chunks").otherwise("ok")
+    return both.select(case, problem.alias("problem"))
+
+
+def normalized_errors(results: DataFrame) -> DataFrame:
+    """Errors inside a retrieval trace become infrastructure errors of their case, which then hasn't passed."""
+    swallowed = F.when(F.col("infrastructure_error").isNull() & (F.coalesce("trace_error", F.lit("")) != ""), F.concat(F.lit("retrieval_trace_error: "), F.col("trace_error")))
+    return results.withColumn("passed", F.col("passed") & swallowed.isNull()).withColumn("infrastructure_error", F.coalesce("infrastructure_error", swallowed))
+
+
+def end_to_end(results: DataFrame, scores: list[str]) -> DataFrame:
+    """One row: means of the scores over answers without infrastructure errors, the pass rate over all cases, the
+    refusal rate over valid unanswerable ones, and the errors."""
+    clean = F.col("infrastructure_error").isNull()
+    mean = lambda c, when: F.bround(F.coalesce(F.avg(F.when(when, c)), F.lit(0.0)), 6)
+    return results.agg(
+        F.count("*").alias("cases"),
+        F.count("infrastructure_error").alias("infrastructure_errors"),
+        *(mean(F.col(c).cast("double"), clean & (F.col("kind") == "answer")).alias(c) for c in scores),
+        mean(F.coalesce(F.col("passed"), F.lit(False)).cast("double"), F.lit(True)).alias("case_pass_rate"),
+        mean(F.coalesce(F.col("refusal_correct"), F.lit(False)).cast("double"), clean & (F.col("kind") == "no_answer")).alias("no_answer_accuracy"),
+    )
+
+
+def confusable_corpus(spark, n: int) -> DataFrame:
+    """(doc_id, text) of n documents from one template that differ in a number alone."""
+    number = (F.col("id") + 1).cast("string")
+    return spark.range(n).select((F.col("id") + 1).alias("doc_id"), F.concat(F.lit("staff member number "), number, F.lit(" knows shoulder, back and foot massage and is well liked")).alias("text"))

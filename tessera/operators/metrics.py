@@ -2,29 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("usage_not_reported", "pricing_tier_exceeded", "pricing_not_configured", "calculated")
 
 
-def nearest_rank(values: Column, p: float, places: int = 6) -> Column:
-    """Nearest rank at index round((n - 1) * p), half to even, of a group's values."""
-    held = F.sort_array(F.collect_list(values))
-    at = F.bround((F.size(held) - 1) * F.lit(p), 0).cast("int") + 1
-    return F.bround(F.when(F.size(held) > 0, F.element_at(held, F.greatest(at, F.lit(1)))).otherwise(0.0), places)
+#: Up to so many values a group's whole range is looked at; beyond, what lies between two approximate quantiles.
+SMALL, ACCURACY, MARGIN = 20_000, 10_000, 0.001
+Place = Callable[[Column], Column]
+
+
+def nearest_place(p: float) -> Place:
+    """Nearest rank: index round((n - 1) * p) from 0, half to even."""
+    return lambda n: F.bround((n - 1) * F.lit(p), 0).cast("long")
 
 
-def floor_rank(values: Column, p: float) -> Column:
+def floor_place(p: float) -> Place:
     """The other definition in use: index min(n - 1, int(n * p))."""
-    held = F.sort_array(F.collect_list(values))
-    n = F.size(held)
-    return F.element_at(held, F.least(n, F.floor(n * F.lit(p)).cast("int") + 1))
+    return lambda n: F.least(n - 1, F.floor(n * F.lit(p)).cast("long"))
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str, tuple[float, Place]]) -> DataFrame:
+    """(keys, n, mean, picks) of a group's values: each pick is (p, place), the value at that index in ascending order.
+
+    Exact, without a group's values meeting in one task: approximate quantiles on both sides of p bracket the place,
+    one pass counts what lies below the bracket, and only the values inside are counted and put in order. p tells
+    where the place is, to a thousandth of n."""
+    # The keys are one struct: it is never null, and equal ones have equal or null fields.
+    rows = df.select(F.struct(*keys).alias("_key"), F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    each = range(len(picks))
+    shares = [x for p, _ in picks.values() for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    stats = rows.groupBy("_key").agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", shares, ACCURACY).alias("_q"))
+    end = lambda k, whole: F.when(F.col("n") <= SMALL, F.col(whole)).otherwise(F.get("_q", k))
+    stats = stats.select("_key", "n", "mean", *(end(2 * i, "_min").alias(f"_lo{i}") for i in each), *(end(2 * i + 1, "_max").alias(f"_hi{i}") for i in each))
+    both = rows.join(stats.drop("n", "mean"), "_key")
+    below = both.groupBy("_key").agg(*(F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in each))
+    inside = F.array(*(F.when(F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), i) for i in each))
+    counts = both.select("_key", "_v", F.explode(F.filter(inside, lambda i: i.isNotNull())).alias("_i")).groupBy("_key", "_i", "_v").agg(F.count("*").alias("_c"))
+    upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy("_key", "_i").orderBy("_v")))
+    found = upto.join(stats.select("_key", "n", "mean").join(below, "_key"), "_key")
+    at = F.coalesce(*(F.when(F.col("_i") == i, place(F.col("n")) - F.col(f"_below{i}")) for i, (_, place) in enumerate(picks.values())))
+    own = found.filter((F.col("_upto") > at) & (F.col("_upto") - F.col("_c") <= at))
+    values = [F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(name) for i, name in enumerate(picks)]
+    return own.groupBy("_key").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *values).select("_key.*", "n", "mean", *picks)
 
 
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    v = F.col(value).cast("double")
-    return df.groupBy(*keys).agg(F.bround(F.avg(v), 6).alias("mean"), *(nearest_rank(v, p).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))))
+    """Mean and nearest-rank p50, p95 and p99 of each group, six places; 0 for a group without values."""
+    picks = {name: (p, nearest_place(p)) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}
+    own = order_statistics(df, keys, value, picks).withColumn("_key", F.struct(*keys)).drop(*keys)
+    out = df.select(F.struct(*keys).alias("_key")).distinct().join(own, "_key", "left")
+    return out.select("_key.*", *(F.bround(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("mean", *picks)))
 
 
 def rate(condition: Column) -> Column:
@@ -64,6 +95,47 @@ def ranking_summary(df: DataFrame, keys: list[str], rank: str = "rank", cutoffs:
     return df.groupBy(*keys).agg(F.count("*").alias("cases"), *recalls, F.bround(F.avg(F.coalesce(1 / r.cast("double"), F.lit(0.0))), 6).alias("mrr"))
 
 
+COUNTERS = ("logical_calls", "failed_calls", "input_tokens", "output_tokens", "total_tokens", "estimated_input_tokens", "reported_calls")
+LARGEST = ("max_input_tokens_per_call",)
+
+
+def usage_summary(events: DataFrame) -> DataFrame:
+    """One row of (events, failed_call_rate, cost_coverage_rate, cost_total, cost_status_counts) over usage events with
+    the structs usage (logical_calls, failed_calls) and cost (status, total_cny); a missing status counts as missing."""
+    status = F.coalesce(F.nullif(F.col("cost.status"), F.lit("")), F.lit("missing"))
+    counts = events.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    states = counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("cost_status_counts"))  # one entry a status
+    share = lambda a, b: F.bround(F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0)), 6)
+    calls, failed = F.sum(F.coalesce("usage.logical_calls", F.lit(0))), F.sum(F.coalesce("usage.failed_calls", F.lit(0)))
+    own = events.agg(F.count("*").alias("events"), share(failed, calls).alias("failed_call_rate"), share(F.count("cost.total_cny"), F.count("*")).alias("cost_coverage_rate"), F.bround(F.coalesce(F.sum("cost.total_cny"), F.lit(0.0)), 8).alias("cost_total"))
+    return own.crossJoin(F.broadcast(states))  # one row each
+
+
+def usage_distributions(events: DataFrame) -> DataFrame:
+    """(metric, mean, p50, p95, p99) of tokens, estimated embedding tokens, calls and cost of an event; an event
+    without a cost has no part in the cost's."""
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    values = (("provider_token_count", zero("usage.total_tokens")), ("estimated_embedding_token_count", zero("usage.estimated_input_tokens")), ("logical_calls", zero("usage.logical_calls")), ("cost_cny", F.col("cost.total_cny").cast("double")))
+    long = events.select(F.explode(F.array(*(F.struct(F.lit(name).alias("metric"), v.alias("value")) for name, v in values))).alias("m")).select("m.*")
+    return distribution(long, ["metric"], "value")
+
+
+def faithfulness(claims: Column) -> Column:
+    """Supported claims by all claims, from an array of structs with `supported`; 0 without claims."""
+    held = F.coalesce(F.size(F.filter(claims, lambda c: F.coalesce(c["supported"], F.lit(False)))), F.lit(0))
+    return F.bround(F.coalesce(held / F.nullif(F.size(claims), F.lit(0)), F.lit(0.0)), 6)
+
+
+def compression(chunk_chars: Column, whole_chars: Column) -> Column:
+    """1 - chunk / whole; null without a whole."""
+    return F.bround(1 - chunk_chars / F.nullif(whole_chars.cast("double"), F.lit(0.0)), 6)
+
+
+def accuracy_gate(df: DataFrame, least: float = 0.8) -> DataFrame:
+    """The rows of accuracy() with `passed`."""
+    return df.withColumn("passed", F.col("accuracy") >= least)
+
+
 def gates(current: DataFrame, baseline: DataFrame, policy: DataFrame) -> DataFrame:
     """Compare (metric, value) rows with a baseline under (metric, kind, bound): equality, absolute loss or ratio.
     A missing current value fails."""
@@ -72,6 +144,17 @@ def gates(current: DataFrame, baseline: DataFrame, policy: DataFrame) -> DataFra
     return both.select("metric", "kind", "value", "base", F.coalesce(ok, F.lit(False)).alias("passed"))
 
 
+def acceptance(current: DataFrame, baseline: DataFrame, policy: DataFrame, quality: list[str], composite_loss: float = 0.01, cost_required: bool = True, cost_ratio: float = 1.15, cost: str = "cost_per_case") -> DataFrame:
+    """(metric, kind, passed) of all gates: those of the policy, the mean of the quality metrics, and the cost, which
+    may be missing only where it isn't required."""
+    mean = lambda df, name: df.filter(F.col("metric").isin(quality)).agg(F.avg("value").alias(name))
+    composite = mean(baseline, "base").crossJoin(mean(current, "value")).select(F.lit("quality_composite").alias("metric"), F.lit("loss").alias("kind"), F.coalesce(F.col("value") >= F.col("base") - composite_loss - 1e-9, F.lit(False)).alias("passed"))
+    one = lambda df, name: df.agg(F.max(F.when(F.col("metric") == cost, F.col("value"))).alias(name))
+    priced = F.coalesce(F.col("value") <= F.col("base") * cost_ratio + 1e-9, F.lit(not cost_required))
+    price = one(baseline, "base").crossJoin(one(current, "value")).select(F.lit(cost).alias("metric"), F.lit("ratio").alias("kind"), priced.alias("passed"))  # one row each
+    return gates(current, baseline, policy.filter(F.col("metric") != cost)).select("metric", "kind", "passed").unionByName(composite).unionByName(price)
+
+
 def unit(value: Column) -> Column:
     """Clamped to [0, 1]."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))

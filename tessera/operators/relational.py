@@ -37,10 +37,17 @@ def seed_if_empty(existing: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(none.filter("_empty").select(F.lit(1).alias("_one"))), F.col("_one") == 1, "left_semi")
 
 
+def inserted(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """df and the rows whose key it doesn't have yet; columns that rows lack are null."""
+    new = rows.dropDuplicates([key]).join(df.select(key), key, "left_anti")
+    return df.unionByName(new, allowMissingColumns=True).select(*df.columns)
+
+
 def updated(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Non-null values of changes replace those of the same key; unknown keys change nothing."""
+    """Non-null values of changes replace those of the same key; unknown keys change nothing. Of several changes of a
+    key each column takes its greatest value."""
     names = [c for c in changes.columns if c != key]
-    new = changes.select(key, *(F.col(c).alias(f"_new_{c}") for c in names))
+    new = changes.groupBy(key).agg(*(F.max(c).alias(f"_new_{c}") for c in names))
     return df.join(new, key, "left").select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in names else F.col(c) for c in df.columns))
 
 
@@ -65,11 +72,13 @@ def first_match(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 
 
 def set_comparison(expected: DataFrame, actual: DataFrame, key: str, item: str) -> DataFrame:
-    """For each key: matches, missing, mismatched or extra, by its sorted set of items."""
-    side = lambda df, n: df.groupBy(key).agg(F.sort_array(F.collect_set(item)).alias(n))
-    both = side(expected, "_e").join(side(actual, "_a"), key, "full")
-    state = F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "extra").when(F.col("_e") == F.col("_a"), "matches").otherwise("mismatched")
-    return both.select(key, state.alias("state"))
+    """For each key: matches, missing, mismatched or extra, by its set of items; items are compared one by one, so no
+    set meets in one row."""
+    side = lambda df, n: df.select(key, item).distinct().withColumn(n, F.lit(True))
+    both = side(expected, "_e").join(side(actual, "_a"), [key, item], "full")
+    n = lambda c: F.count(c)
+    state = F.when(n("_a") == 0, "missing").when(n("_e") == 0, "extra").when(F.count_if(F.col("_e").isNull() | F.col("_a").isNull()) == 0, "matches").otherwise("mismatched")
+    return both.groupBy(key).agg(state.alias("state"))
 
 
 def completeness(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:

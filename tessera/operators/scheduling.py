@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,31 @@ def occupied(people: DataFrame, busy: DataFrame, key: str, start: Column, end: C
     return people.join(busy.filter(overlap(F.col("start_time"), F.col("end_time"), start, end)).select(key), key, "left_semi")
 
 
+def searched(people: DataFrame, busy: list[DataFrame], key: str, start: Column, minutes: Column, gender: str | None = None, strength: str | None = None) -> DataFrame:
+    """Enabled people who are free for so long from start, of a gender and strength where these are given."""
+    own = people.filter("enabled")
+    for column, wanted in (("gender", gender), ("strength", strength)):
+        own = own.filter(F.col(column) == wanted) if wanted else own
+    return available(own, busy, key, start, start + F.make_dt_interval(F.lit(0), F.lit(0), minutes))
+
+
+def minutes_between(start: Column, end: Column) -> Column:
+    """Whole minutes, cut towards zero."""
+    return ((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 60_000_000).cast("long")
+
+
+def in_hours(ts: Column, first: int = 12, last: int = 21) -> Column:
+    return F.hour(ts).between(first, last)
+
+
+def local_time(utc: Column, zone: str = "+08:00") -> Column:
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc.cast("timestamp_ntz"))
+
+
+def clock(ts: Column) -> Column:
+    return F.date_format(ts, "HH:mm")
+
+
 def slots(df: DataFrame, start: str, end: str, minutes: int = HALF_HOUR) -> DataFrame:
     """A row for each slot of the grid that an interval covers."""
     step = F.expr(f"INTERVAL {minutes} MINUTES")
@@ -46,11 +72,43 @@ def first_of_key(requests: DataFrame, key: str, order: str) -> DataFrame:
     return requests.withColumn("replay_of", F.first(order).over(Window.partitionBy(key).orderBy(order))).withColumn("is_replay", F.col("replay_of") != F.col(order))
 
 
+def request_key(session: Column, person: Column, start: Column, end: Column) -> Column:
+    """Idempotency key of a booking."""
+    iso = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.sha2(F.concat_ws("|", session, person.cast("string"), iso(start), iso(end)), 256)
+
+
+def booked(requests: DataFrame, people: DataFrame, busy: list[DataFrame], now: Column, key: str = "request_key", person: str = "person", order: str = "arrival", start: str = "start_time", minutes: str = "minutes") -> DataFrame:
+    """The outcome of a batch of bookings: (order, outcome, error, replay_of).
+
+    A later request with a key is a REPLAY of the first. A first one is INVALID by validation_error(), NOT_FOUND
+    where the person is unknown or not enabled, a CONFLICT where it overlaps an interval of `busy` or a request
+    accepted before it, else CREATED; a request that isn't accepted doesn't block later ones. Rows without a key are
+    requests of their own."""
+    end = F.col(start) + F.make_dt_interval(F.lit(0), F.lit(0), F.col(minutes).cast("int"))
+    first = F.first(order).over(Window.partitionBy(F.coalesce(key, F.concat(F.lit("#"), F.col(order).cast("string")))).orderBy(order))
+    df = requests.withColumn("replay_of", F.when(first != F.col(order), first)).withColumn("error", validation_error(F.col(start), F.col(minutes), now)).withColumn("end_time", end)
+    known = people.filter("enabled").select(F.col(person).alias("_person")).distinct().withColumn("_known", F.lit(True))
+    df = df.join(known, F.col(person) == F.col("_person"), "left")
+    taken = F.lit(False)
+    for k, b in enumerate(busy):
+        times = b.select(F.col(person).alias("_p"), F.col("start_time").alias("_s"), F.col("end_time").alias("_e"))
+        hits = df.join(times, (F.col(person) == F.col("_p")) & overlap(F.col("_s"), F.col("_e"), F.col(start), F.col("end_time"))).select(F.col(order).alias(f"_hit{k}")).distinct()
+        df = df.join(hits, F.col(order) == F.col(f"_hit{k}"), "left")
+        taken = taken | F.col(f"_hit{k}").isNotNull()
+    early = F.when(F.col("replay_of").isNotNull(), "REPLAY").when(F.col("error").isNotNull(), "INVALID").when(F.col("_known").isNull(), "NOT_FOUND").when(taken, "CONFLICT")
+    df = df.withColumn("outcome", early).select(order, person, start, "end_time", "outcome", "error", "replay_of")
+    asked = resolve(df.filter("outcome IS NULL"), person, order, start, "end_time")
+    done = asked.withColumn("outcome", F.when(F.col("accepted"), "CREATED").otherwise("CONFLICT")).drop("accepted")
+    return df.filter("outcome IS NOT NULL").unionByName(done).select(order, "outcome", "error", "replay_of")
+
+
 def resolve(requests: DataFrame, person: str, order: str, start: str, end: str) -> DataFrame:
     """First writer wins, in order of arrival, for each person: a request is accepted unless it overlaps one
     accepted before it. Sequential by nature: a rejected request doesn't block later ones. Adds `accepted`.
     One person's requests of a batch meet in one task, streamed in sorted order: accepted intervals are kept
-    sorted, so each request costs a binary search."""
+    sorted, so each request costs a binary search; a task holds one person's accepted intervals, which can't overlap
+    and so are bounded by the time that bookings may reach ahead."""
     import bisect
 
     def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,20 +136,59 @@ def busy_timeline(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return df.groupBy(key, F.to_date(start).alias("day")).agg(F.sort_array(F.collect_list(F.struct(start, end))).alias("busy"))
 
 
-def free_hours(people: DataFrame, busy: DataFrame, key: str, day: str, first: int, last: int, most: int | None = None) -> DataFrame:
-    """Free hourly slots of a day, the earliest first, at most `most` of a person."""
-    hours = people.select(key).withColumn("h", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("slot", F.lit(day).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("h")))
-    taken = busy.select(key, F.col("start_time").alias("_s"), F.col("end_time").alias("_e")).filter((F.col("_s") < F.lit(day).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")) & (F.col("_e") > F.lit(day).cast("timestamp_ntz")))
-    free = hours.join(taken, [hours[key] == taken[key], overlap(F.col("_s"), F.col("_e"), F.col("slot"), F.col("slot") + F.expr("INTERVAL 1 HOUR"))], "left_anti")
+def completed_first(schedules: DataFrame, key: str, start: str, status: str, tie: str) -> DataFrame:
+    """For each key and day: the earliest busy row, which is completed now (null where none is busy), and how many
+    are completed with it."""
+    busy = F.col(status) == "busy"
+    first = F.min_by(F.col(tie), F.when(busy, F.struct(F.col(start), F.col(tie))))
+    return schedules.groupBy(key, F.to_date(start).alias("day")).agg(F.when(F.count_if(busy) > 0, first).alias("completed_row"), (F.count_if(F.col(status) == "completed") + F.when(F.count_if(busy) > 0, 1).otherwise(0)).alias("completed"))
+
+
+def with_busy(held: Column, start: Column, end: Column) -> Column:
+    """A list of busy intervals with one more, unless it is there."""
+    one = F.struct(start.alias("start"), end.alias("end"))
+    return F.when(F.array_contains(held, one), held).otherwise(F.concat(held, F.array(one)))
+
+
+def without_busy(held: Column, start: Column) -> Column:
+    """A list of busy intervals without those that start then."""
+    return F.filter(held, lambda b: b["start"] != start)
+
+
+def free_hours(people: DataFrame, busy: DataFrame, key: str, day: str, first: int, last: int, most: int | None = None, minutes: int = 60) -> DataFrame:
+    """Free slots of a day, one an hour, the earliest first, at most `most` of a person."""
+    begin = F.lit(day).cast("timestamp_ntz")
+    span = F.expr(f"INTERVAL {int(minutes)} MINUTES")
+    if first > last:
+        return people.select(key, begin.alias("slot"), F.lit(0).cast("long").alias("rank")).limit(0)
+    hours = people.select(key).withColumn("h", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("slot", begin + F.make_dt_interval(F.lit(0), F.col("h"))).drop("h")
+    taken = busy.select(F.col(key).alias("_k"), F.col("start_time").alias("_s"), F.col("end_time").alias("_e")).filter((F.col("_s") < begin + F.expr("INTERVAL 1 DAY") + span) & (F.col("_e") > begin))
+    free = hours.join(taken, (F.col(key) == F.col("_k")) & overlap(F.col("_s"), F.col("_e"), F.col("slot"), F.col("slot") + span), "left_anti")
     ranked = free.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("slot")).cast("long"))
     return ranked.filter(F.col("rank") <= most) if most else ranked
 
 
+def proposed(people: DataFrame, busy: DataFrame, key: str, now: str, first: int = 9, last: int = 21, most: int = 3, minutes: int = 60) -> DataFrame:
+    """Slots to propose: today's from the next full hour on, all of them; for people without any, the first `most` of
+    tomorrow."""
+    moment = datetime.fromisoformat(now)
+    today, after = (d.strftime("%Y-%m-%d 00:00:00") for d in (moment, moment + timedelta(days=1)))
+    own = free_hours(people, busy, key, today, max(moment.hour + 1, first), last, None, minutes)
+    later = free_hours(people.join(own.select(key).distinct(), key, "left_anti"), busy, key, after, first, last, most, minutes)
+    return own.withColumn("tomorrow", F.lit(False)).unionByName(later.withColumn("tomorrow", F.lit(True)))
+
+
 def best_choice(candidates: DataFrame, group: str, entity: str, tier: Column, rank: Column) -> DataFrame:
     """The first free candidate: preferred tier first, then by rank."""
     return candidates.groupBy(group).agg(F.min_by(entity, F.struct(tier, rank, F.col(entity))).alias(entity))
 
 
+def preferred(people: DataFrame, free: DataFrame, key: str, gender: str, wanted_gender: str | None, preference: Column, rank: Column, k: int = 1) -> DataFrame:
+    """The search without a named person: those of the gender who are free, the preferred ones first; the first k."""
+    own = gender_filter(people, gender, wanted_gender or "").join(free.select(key), key, "left_semi")
+    return own.withColumn("preferred", preference).withColumn("_rank", rank).orderBy(F.desc("preferred"), "_rank", key).limit(k).drop("_rank")
+
+
 def gender_filter(df: DataFrame, column: str, wanted: str) -> DataFrame:
     """Normalised gender filter; an unknown label, or one that nobody has, leaves everyone in."""
     names = {"男": "男", "男性": "男", "男技师": "男", "male": "男", "女": "女", "女性": "女", "女技师": "女", "female": "女"}

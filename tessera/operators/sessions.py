@@ -52,6 +52,28 @@ def last_messages(df: DataFrame, key: str, order: str, n: int = 10) -> DataFrame
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter(F.col("_r") <= n).drop("_r")
 
 
+def appended(state: Column, new: Column) -> Column:
+    """The append reducer of a conversation's list."""
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(state, none), F.coalesce(new, none))
+
+
+def unseen(messages: Column, seen: Column) -> Column:
+    """What came after the first `seen` messages."""
+    return F.slice(messages, F.least(seen, F.size(messages)) + 1, F.greatest(F.size(messages), F.lit(1)))
+
+
+def technician_name(text: Column, names: list[str]) -> Column:
+    """The first of the names, in their order, that a text holds."""
+    return F.coalesce(*(F.when(F.contains(text, F.lit(n)), n) for n in names), F.lit(None).cast("string"))
+
+
+def duration_of(value: Column) -> Column:
+    """Minutes of a duration as text, or as JSON with `minutes` or `hours`."""
+    given = F.coalesce(F.get_json_object(value, "$.minutes").cast("double"), F.get_json_object(value, "$.hours").cast("double") * 60)
+    return F.when(F.trim(value).startswith("{"), given.cast("long")).otherwise(duration_minutes(value))
+
+
 def intent_route(active_agent: Column, label: Column) -> Column:
     """An agent at work keeps the turn; else the label's, unknown ones going to other."""
     known = F.when(label.isin("appointment", "consultation", "analysis", "service"), label).otherwise("other")

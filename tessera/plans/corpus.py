@@ -45,10 +45,32 @@ def chunk_dedup(t):
     return op.deduplicated(df, "source", "hash", "place")
 
 
-@query(r"SELECT doc_id, length(text) > 0 AND NOT starts_with(text, '---') AS plain, NULL::VARCHAR AS error FROM documents")
+HEADED = r"""h AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'plain' WHEN doc_id % 11 = 1 THEN 'missing_colon' WHEN doc_id % 11 = 2 THEN 'missing_close' WHEN doc_id % 11 = 4 THEN 'bad_keywords' ELSE 'ok' END AS form, regexp_replace(text, '\r\n?', chr(10), 'g') AS body FROM documents)"""
+
+
+def headed(t):
+    """Documents behind front matter of several forms, broken ones too; every third has none."""
+    fields = F.concat(F.lit("---\nsource_id: src-"), F.col("doc_id").cast("string"), F.lit("\ntitle: 'T "), F.col("lang"), F.lit("'\n# a comment\nkeywords: ["), F.col("lang"), F.lit(', "'), F.col("source"), F.lit(', x"]\nversion: '), (F.col("doc_id") % 7).cast("string"), F.lit("\n---\n\n"))
+    broken = F.when(F.col("doc_id") % 11 == 1, "---\nno colon\n---\n").when(F.col("doc_id") % 11 == 2, "---\ntitle: x\n").when(F.col("doc_id") % 11 == 4, "---\nkeywords: a, b\n---\n").otherwise(fields)
+    form = F.when(F.col("doc_id") % 11 == 2, F.concat(broken, F.replace("text", F.lit("---"), F.lit("==")))).otherwise(F.concat(broken, "text"))
+    return spread(t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("#"), "text")).otherwise(form).alias("text")))
+
+
+@query(f"""WITH {HEADED} SELECT doc_id, CASE WHEN form = 'ok' THEN 'src-' || doc_id END AS source_id, CASE WHEN form = 'ok' THEN 'T ' || lang END AS title, CASE WHEN form = 'ok' THEN lang || '|' || source || ', x' ELSE '' END AS keywords, CASE WHEN form = 'ok' THEN CAST(doc_id % 7 AS VARCHAR) END AS version,
+CASE form WHEN 'ok' THEN sha256(regexp_replace(body, '^\n+', '')) WHEN 'plain' THEN sha256('#' || body) END AS body, CASE WHEN form NOT IN ('ok', 'plain') THEN form END AS error FROM h""")
 def front_matter(t):
-    df = op.with_front_matter(spread(t.documents.select("doc_id", "text")), "text")
-    return df.select("doc_id", ((F.length("front.body") > 0) & F.col("front.source_id").isNull()).alias("plain"), F.col("front.error").alias("error"))
+    own = op.with_front_matter(headed(t), "text").select("doc_id", "front.*")
+    return own.select("doc_id", "source_id", "title", F.array_join("keywords", "|").alias("keywords"), "version", F.sha2("body", 256).alias("body"), "error")
+
+
+@query(r"""WITH p AS (SELECT doc_id, 1 AS k, 't' AS title, 'intro' AS body FROM documents UNION ALL SELECT doc_id, 2, 'One', regexp_replace(replace(text, '#', ' '), '^\s+|\s+$', '', 'g') FROM documents UNION ALL SELECT doc_id, 3, 'Two ' || lang, source FROM documents WHERE doc_id % 2 = 0)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place, title, sha256(body) AS body FROM p WHERE body <> ''""")
+def document_sections(t):
+    """Texts with headings, one of them without anything below it."""
+    tail = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n  ## Two "), F.col("lang"), F.lit(" ##\n"), F.col("source"), F.lit("\n# Empty"))).otherwise("")
+    text = F.concat(F.lit("intro\n# One\n"), F.replace("text", F.lit("#"), F.lit(" ")), tail)
+    df = spread(t.documents.select("doc_id", text.alias("text"))).select("doc_id", F.posexplode(op.sections(F.col("text"), F.lit("t"))).alias("place", "s"))
+    return df.select("doc_id", F.col("place").cast("long").alias("place"), "s.title", F.sha2("s.body", 256).alias("body"))
 
 
 SYNC = """WITH o AS (SELECT doc_id AS id, source AS source_id, md5(text) AS hash, doc_id % 6 <> 0 AS is_active, lang AS category FROM documents WHERE doc_id % 10 <> 3),
@@ -75,6 +97,26 @@ def sync_counts(t):
     return op.sync_counts(plan(t))
 
 
+@query(f"{SYNC} SELECT count(DISTINCT source_id) AS sources, count(*) AS rows, count(*) FILTER (action IN ('insert', 'reactivate')) AS imported, count(*) FILTER (action IN ('update', 'noop')) AS skipped, count(*) FILTER (action = 'deactivate') AS deactivated, count(*) FILTER (action IN ('insert', 'reactivate', 'update', 'deactivate')) AS changed FROM f")
+def sync_totals(t):
+    return op.sync_counts(plan(t), totals=True)
+
+
+@query(rf"""WITH {CHUNKS} SELECT count(DISTINCT doc_id) AS document_count, count(*) AS chunk_count FROM c WHERE n <= 200""")
+def manifest_totals(t):
+    return op.manifest_totals(op.manifest(chunked(t).filter("error IS NULL"), "doc_id", "chunk_index", "content"))
+
+
+@query(rf"""WITH {CHUNKS} SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, CASE WHEN doc_id % 10 = 3 THEN 'missing' ELSE 'changed' END AS problem FROM c WHERE n <= 200 AND (doc_id % 10 = 3 OR (doc_id % 10 = 4 AND chunk_index = 1))""")
+def manifest_verify(t):
+    """A manifest against a corpus from which documents went and in which chunks were changed."""
+    df = chunked(t).filter("error IS NULL")
+    changed = (F.col("doc_id") % 10 == 4) & (F.col("chunk_index") == 1)
+    now = df.filter("doc_id % 10 <> 3").withColumn("content", F.when(changed, F.concat(F.lit("new "), "content")).otherwise(F.col("content")))
+    own = op.verified(op.manifest(df, "doc_id", "chunk_index", "content"), now, "doc_id", "chunk_index", "content")
+    return own.withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
 @query(rf"""WITH {CHUNKS} SELECT doc_id, count(*) AS chunk_count, sha256(string_agg(sha256(trim(regexp_replace(content, '\s+', ' ', 'g'))), ',' ORDER BY chunk_index)) AS digest FROM c WHERE n <= 200 GROUP BY 1""")
 def manifest(t):
     own = op.manifest(chunked(t).filter("error IS NULL"), "doc_id", "chunk_index", "content")

@@ -6,6 +6,7 @@ from tessera.operators import evaluation as op
 from tessera.operators import metrics as m
 from tessera.operators import retrieval as r
 from tessera.plans.base import query
+from tessera.plans.corpus import CHUNKS, chunked
 from tessera.plans.retrieval import BM25, HYBRID, dense, hybrid, sparse
 
 HIT = "contains(d.text, b.text)"
@@ -39,11 +40,20 @@ def strategy_compare(t):
     return m.ranking_summary(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["strategy"])
 
 
-@query()
+FORMS = rf"""WITH RECURSIVE {CHUNKS.replace('WITH RECURSIVE d AS', 'WITH RECURSIVE d AS', 1)}, pieces AS (SELECT 'whole' AS form, CAST(doc_id AS VARCHAR) AS piece, text FROM documents UNION ALL SELECT 'chunk', doc_id || ':' || chunk_index, content FROM c WHERE n <= 200),
+tok AS (SELECT form, piece, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM pieces), tf AS (SELECT form, piece, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT form, piece, sum(tf) AS dl FROM tf GROUP BY ALL),
+df AS (SELECT form, term, count(*) AS df FROM tf GROUP BY ALL), st AS (SELECT form, n, dl / n AS avgdl FROM (SELECT form, count(*)::DOUBLE AS n FROM pieces GROUP BY 1) JOIN (SELECT form, sum(dl)::DOUBLE AS dl FROM dl GROUP BY 1) USING (form)),
+qt AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM benchmark) GROUP BY ALL),
+sc AS (SELECT form, item_id, piece, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN tf USING (term) JOIN df USING (form, term) JOIN dl USING (form, piece) JOIN st USING (form) GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY form, item_id ORDER BY round(score, 9) DESC, piece) AS rank FROM sc) WHERE rank <= 10),
+x AS (SELECT f.form, b.item_id, min(t.rank) FILTER (contains(p.text, b.text)) AS rank, sum(length(p.text)) FILTER (t.rank <= 3) AS chars FROM (VALUES ('whole'), ('chunk')) f(form) CROSS JOIN benchmark b LEFT JOIN top t ON t.form = f.form AND t.item_id = b.item_id LEFT JOIN pieces p ON p.form = t.form AND p.piece = t.piece GROUP BY ALL),
+y AS (SELECT form, count(*) AS cases, {', '.join(f'round_even(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS recall_{k}' for k in (1, 3, 5, 10))}, round_even(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, round(avg(chars), 4) AS top3_chars FROM x GROUP BY 1)
+SELECT *, round(1 - top3_chars / (SELECT top3_chars FROM y WHERE form = 'whole'), 6) AS compression FROM y"""
+
+
+@query(FORMS)
 def whole_vs_chunk(t):
     """Whole documents against their chunks: recall, context size and compression; chunks are ranked as documents are."""
-    from tessera.plans.corpus import chunked
-
     cases = t.benchmark.select("item_id", F.col("text").alias("needle"))
     pieces = chunked(t).filter("error IS NULL").select(F.concat_ws(":", "doc_id", "chunk_index").alias("piece"), F.col("content").alias("text"))
     whole = t.documents.select(F.col("doc_id").cast("string").alias("piece"), "text")
@@ -51,15 +61,23 @@ def whole_vs_chunk(t):
     for name, df in (("whole", whole), ("chunk", pieces)):
         top = r.ranked(r.bm25(df, t.benchmark, "piece", "item_id"), "item_id", "piece", 10).join(df, "piece").join(cases, "item_id")
         own = m.ranking_summary(op.first_hit(top, cases, "item_id", F.contains("text", F.col("needle"))), []).withColumn("form", F.lit(name))
-        out.append(own.crossJoin(top.filter("rank <= 3").groupBy("item_id").agg(F.sum(F.length("text")).alias("c")).agg(F.bround(F.avg("c"), 6).alias("top3_chars"))))
-    return out[0].unionByName(out[1])
+        chars = top.filter("rank <= 3").groupBy("item_id").agg(F.sum(F.length("text")).alias("c")).agg(F.round(F.avg("c"), 4).alias("top3_chars"))
+        out.append(own.crossJoin(chars))  # one row each
+    both = out[0].unionByName(out[1])
+    base = both.filter("form = 'whole'").select(F.col("top3_chars").alias("_whole"))
+    return both.crossJoin(F.broadcast(base)).withColumn("compression", F.round(1 - F.col("top3_chars") / F.col("_whole"), 6)).drop("_whole")
 
 
-@query(f"SELECT item_id, CASE WHEN count(d.doc_id) = 0 THEN 'source_missing' WHEN count(*) FILTER ({HIT}) = 0 THEN 'text_missing' ELSE 'ok' END AS state FROM benchmark b LEFT JOIN documents d ON d.doc_id % 40 = b.item_id % 45 GROUP BY 1")
+@query(rf"""WITH {BM25.replace("documents", "documents", 1)}, e AS (SELECT b.item_id, b.text AS needle, CASE WHEN b.item_id % 9 = 8 THEN -1 WHEN b.item_id % 2 = 0 THEN s.doc_id ELSE b.item_id END AS doc_id FROM benchmark b LEFT JOIN sparse s ON s.item_id = b.item_id AND s.rank = 1),
+c1 AS ({f"WITH {CHUNKS} SELECT doc_id, content FROM c WHERE n <= 200"}),
+k AS (SELECT e.item_id, bool_or(contains(content, needle)) AS whole FROM e JOIN c1 ON c1.doc_id = e.doc_id GROUP BY 1)
+SELECT item_id, CASE WHEN d.doc_id IS NULL THEN 'source_missing' WHEN NOT contains(d.text, needle) THEN 'text_missing' WHEN NOT coalesce(whole, false) THEN 'split_across_chunks' ELSE 'ok' END AS state FROM e LEFT JOIN documents d ON d.doc_id = e.doc_id LEFT JOIN k USING (item_id)""")
 def case_validate(t):
-    both = t.benchmark.withColumnRenamed("text", "needle").join(t.documents, F.col("doc_id") % 40 == F.col("item_id") % 45, "left")
-    own = both.groupBy("item_id").agg(F.count("doc_id").alias("n"), F.count_if(F.contains("text", F.col("needle"))).alias("hits"))
-    return own.select("item_id", F.when(F.col("n") == 0, "source_missing").when(F.col("hits") == 0, "text_missing").otherwise("ok").alias("state"))
+    """Each item names its source: the document that BM25 finds first, one by its number, or one that isn't there."""
+    found = sparse(t).filter("rank = 1").select("item_id", F.col("doc_id").alias("_d"))
+    source = F.when(F.col("item_id") % 9 == 8, -1).when(F.col("item_id") % 2 == 0, F.col("_d")).otherwise(F.col("item_id"))
+    cases = t.benchmark.join(found, "item_id", "left").select("item_id", F.col("text").alias("needle"), source.alias("doc_id"))
+    return op.case_problems(cases, t.documents, chunked(t).filter("error IS NULL"), "item_id", "doc_id", "needle").withColumnRenamed("problem", "state")
 
 
 @query("""SELECT problem, item_id FROM (SELECT item_id, CASE WHEN n IS NULL THEN 'unassigned' WHEN NOT k THEN 'unknown' WHEN s > 1 THEN 'overlap' WHEN n > 1 THEN 'duplicate' END AS problem FROM (SELECT coalesce(a.item_id, b.item_id) AS item_id, b.item_id IS NOT NULL AS k, n, s FROM
@@ -75,7 +93,7 @@ def fragment_hit_ratio(t):
     return t.documents.select("doc_id", op.fragment_ratio(F.col("text"), F.array(*map(F.lit, ("the", "que", "und", "zzz")))).alias("ratio"))
 
 
-@query(f"WITH {BM25} SELECT b.item_id, min(rank) FILTER (contains(text, 'tion the') OR contains(text, 'en la')) AS rank FROM benchmark b LEFT JOIN (SELECT s.item_id, s.rank, d.text FROM sparse s JOIN documents d USING (doc_id)) x ON x.item_id = b.item_id GROUP BY 1")
+@query(f"WITH {BM25} SELECT b.item_id, min(x.rank) FILTER (contains(x.text, 'tion the') OR contains(x.text, 'en la')) AS rank FROM benchmark b LEFT JOIN (SELECT s.item_id, s.rank, d.text FROM sparse s JOIN documents d USING (doc_id)) x ON x.item_id = b.item_id GROUP BY 1")
 def first_hit_rank(t):
     any_ = F.exists(F.array(F.lit("tion the"), F.lit("en la")), lambda f: F.contains("text", f))
     return op.first_hit(sparse(t).join(t.documents.select("doc_id", "text"), "doc_id"), t.benchmark, "item_id", any_)
@@ -136,3 +154,52 @@ def safety_cases(t):
     group = F.when(F.col("item_id") % 6 == 0, "policy_boundary").otherwise("general")
     question = F.when(F.col("item_id") % 5 == 1, F.concat("text", F.lit(" 退款 "))).otherwise(F.col("text"))
     return t.benchmark.select("item_id", op.safety_case(group, question).alias("safety"))
+
+
+RESULTS = """(SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'no_answer' ELSE 'answer' END AS kind, CASE WHEN event_type = 'error' THEN 'timeout' WHEN k % 13 = 5 THEN 'retrieval_trace_error: refused' END AS err, event_type = 'purchase' AND k % 13 <> 5 AS passed, k % 3 <> 0 AS refused, least(1.0, value / 100) AS score, value AS latency
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
+
+
+@query(f"""SELECT count(*) AS cases, count(err) AS infrastructure_errors, round_even(avg(score) FILTER (err IS NULL AND kind = 'answer'), 6) AS correctness, round_even(avg(passed::INT::DOUBLE), 6) AS case_pass_rate, round_even(avg(refused::INT::DOUBLE) FILTER (err IS NULL AND kind = 'no_answer'), 6) AS no_answer_accuracy,
+round_even(avg(latency), 6) AS latency_mean, round_even(list_sort(list(latency))[CAST(round_even((count(*) - 1) * 0.95, 0) AS BIGINT) + 1], 6) AS latency_p95 FROM {RESULTS}""")
+def end_to_end_summary(t):
+    k = F.get_json_object("props", "$.k").cast("long")
+    results = t.events.select(
+        F.when(F.col("event_id") % 4 == 0, "no_answer").otherwise("answer").alias("kind"), F.when(F.col("event_type") == "error", "timeout").alias("infrastructure_error"), F.when(k % 13 == 5, "refused").alias("trace_error"),
+        (F.col("event_type") == "purchase").alias("passed"), (k % 3 != 0).alias("refusal_correct"), m.unit(F.col("value") / 100).alias("correctness"), F.col("value").alias("latency"),
+    )
+    own = op.end_to_end(op.normalized_errors(results), ["correctness"])
+    speed = m.distribution(results.withColumn("all", F.lit(1)), ["all"], "latency").select(F.col("mean").alias("latency_mean"), F.col("p95").alias("latency_p95"))
+    return own.crossJoin(speed)  # one row each
+
+
+@query("""WITH c AS (SELECT item_id, 'answer' AS kind, item_id % 3 AS grp FROM benchmark UNION ALL SELECT -1 - item_id, 'no_answer', 0 FROM benchmark WHERE item_id % 4 = 1), a AS (SELECT CASE WHEN item_id % 2 = 0 THEN 'dev' ELSE 'holdout' END AS split, kind, grp, count(*) AS n FROM c GROUP BY ALL)
+SELECT split, kind, grp, n AS actual, n + 1 AS expected FROM a WHERE split = 'dev' AND grp = 1 UNION ALL SELECT 'holdout', 'answer', 9, 0, 4""")
+def split_count_check(t):
+    """The counts of each split by kind and group; two expectations are off."""
+    ids = t.benchmark.select("item_id")
+    catalog = op.case_catalog(ids.withColumn("grp", F.col("item_id") % 3), ids.filter("item_id % 4 = 1").select((-1 - F.col("item_id")).alias("item_id"), F.lit(0).cast("long").alias("grp")))
+    assigned = catalog.select(F.when(F.col("item_id") % 2 == 0, "dev").otherwise("holdout").alias("split"), "item_id")
+    actual = op.split_counts(assigned, catalog, "item_id", "grp")
+    off = F.when((F.col("split") == "dev") & (F.col("grp") == 1), F.col("n") + 1).otherwise(F.col("n"))
+    more = t.spark.sql("SELECT 'holdout' AS split, 'answer' AS kind, CAST(9 AS BIGINT) AS grp, CAST(4 AS BIGINT) AS n")
+    return op.count_mismatches(actual, actual.withColumn("n", off).unionByName(more), "grp").select("split", "kind", "grp", "actual", "expected")
+
+
+@query("""WITH b AS (SELECT event_type AS metric, avg(value) AS base, avg(value) FILTER (event_id % 3 <> 0) AS cur FROM events GROUP BY 1), q AS (SELECT avg(cur) >= avg(base) - 0.01 - 1e-9 AS ok FROM b WHERE metric IN ('view', 'click'))
+SELECT metric, 'loss' AS kind, cur >= base - 0.03 - 1e-9 AS passed FROM b WHERE metric IN ('view', 'click') UNION ALL SELECT 'quality_composite', 'loss', ok FROM q UNION ALL SELECT 'cost_per_case', 'ratio', cur <= base * 1.15 + 1e-9 FROM b WHERE metric = 'purchase'""")
+def acceptance_composite(t):
+    """Single metrics, their mean, and a cost that must be there."""
+    own = lambda df: df.groupBy(F.when(F.col("event_type") == "purchase", "cost_per_case").otherwise(F.col("event_type")).alias("metric")).agg(F.avg("value").alias("value"))
+    policy = t.spark.createDataFrame([("view", "loss", 0.03), ("click", "loss", 0.03), ("cost_per_case", "ratio", 1.15)], "metric string, kind string, bound double")
+    return m.acceptance(own(t.events.filter("event_id % 3 <> 0")), own(t.events), policy, ["view", "click"])
+
+
+@query("""WITH d AS (SELECT n_nationkey + 1 AS doc_id FROM nation) SELECT 'sparse' AS strategy, count(*) AS cases, 1.0::DOUBLE AS recall_3, 1.0::DOUBLE AS mrr FROM d""")
+def confusable_recall(t):
+    """Documents from one template that differ in a number, each asked for by its number: sparse search finds them."""
+    docs = op.confusable_corpus(t.spark, t.nation.count())
+    asked = docs.select(F.col("doc_id").alias("item_id"), F.concat(F.lit("is number "), F.col("doc_id").cast("string"), F.lit(" in today")).alias("text"))
+    ranking = r.sparse_ranking(r.bm25(docs, asked, "doc_id", "item_id"), "item_id", "doc_id", 10)
+    own = op.first_hit(ranking, asked, "item_id", F.col("doc_id") == F.col("item_id"))
+    return m.ranking_summary(own, [], cutoffs=(3,)).select(F.lit("sparse").alias("strategy"), "cases", "recall_3", "mrr")

@@ -16,7 +16,7 @@ def latency_percentiles(t):
 
 @query("SELECT event_type, list_sort(list(value))[least(count(*), CAST(floor(count(*) * 0.95) AS BIGINT) + 1)] AS p95 FROM events GROUP BY 1")
 def latency_p95_alt(t):
-    return t.events.groupBy("event_type").agg(op.floor_rank(F.col("value"), 0.95).alias("p95"))
+    return op.order_statistics(t.events, ["event_type"], "value", {"p95": (0.95, op.floor_place(0.95))}).select("event_type", "p95")
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY 1")
@@ -33,12 +33,51 @@ def retrieval_rollup(t):
     return trace.groupBy("provider").agg(F.count("*").alias("n"), op.rate(F.col("event_type") == "view").alias("no_answer_rate"), op.rate(fell).alias("fallback_rate"))
 
 
-@query("""SELECT count(*) AS n, round_even(sum(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END) / greatest(count(*), 1), 6) AS failed_rate, round_even(avg(CASE WHEN value > 1 THEN 1.0 ELSE 0.0 END), 6) AS cost_coverage,
-round_even(CAST(sum(CASE WHEN value > 1 THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END) AS DOUBLE) / 100 / 1000000, 8) AS cost FROM events""")
+USAGE = """u AS (SELECT event_id, CASE WHEN k % 9 = 0 THEN NULL ELSE 1 + k % 3 END AS calls, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS failed, CAST(round(value) AS BIGINT) AS tokens,
+CASE WHEN event_type = 'signup' THEN NULL WHEN value > 1 THEN 'calculated' ELSE 'usage_not_reported' END AS status, CASE WHEN event_type <> 'signup' AND value > 1 THEN CAST(round(value * 100) AS BIGINT) / 1000000.0::DOUBLE END AS cost
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
+
+
+def usage(t):
+    """Events as usage events: calls are missing for some, as is the cost's status."""
+    k, v = F.get_json_object("props", "$.k").cast("long"), F.col("value")
+    counters = F.struct(F.when(k % 9 != 0, 1 + k % 3).alias("logical_calls"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("failed_calls"), F.round(v).cast("long").alias("total_tokens"), (F.round(v).cast("long") * 2).alias("estimated_input_tokens"))
+    known = (F.col("event_type") != "signup") & (v > 1)
+    cost = F.struct(F.when(F.col("event_type") != "signup", F.when(v > 1, "calculated").otherwise("usage_not_reported")).alias("status"), F.when(known, F.round(v * 100).cast("long") / 1e6).alias("total_cny"))
+    return t.events.select("event_id", counters.alias("usage"), cost.alias("cost"))
+
+
+@query(f"""WITH {USAGE} SELECT count(*) AS events, round_even(sum(failed) / sum(coalesce(calls, 0))::DOUBLE, 6) AS failed_call_rate, round_even(count(cost) / count(*)::DOUBLE, 6) AS cost_coverage_rate, round(sum(cost), 6) AS cost_total,
+(SELECT string_agg(s || '=' || n, ',' ORDER BY s) FROM (SELECT coalesce(status, 'missing') AS s, count(*) AS n FROM u GROUP BY 1)) AS statuses FROM u""")
 def usage_rollup(t):
-    cents = F.round(F.col("value") * 100).cast("long")
-    known = F.col("value") > 1
-    return t.events.agg(F.count("*").alias("n"), op.rate(F.col("event_type") == "error").alias("failed_rate"), op.rate(known).alias("cost_coverage"), F.bround(F.sum(F.when(known, cents).otherwise(0)).cast("double") / 100 / 1000000, 8).alias("cost"))
+    own = op.usage_summary(usage(t))
+    pairs = F.transform(F.map_entries("cost_status_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return own.select("events", "failed_call_rate", "cost_coverage_rate", F.round("cost_total", 6).alias("cost_total"), F.array_join(pairs, ",").alias("statuses"))
+
+
+@query(f"""WITH {USAGE}, m AS (SELECT 'provider_token_count' AS metric, tokens::DOUBLE AS value FROM u UNION ALL SELECT 'estimated_embedding_token_count', tokens * 2.0::DOUBLE FROM u UNION ALL SELECT 'logical_calls', coalesce(calls, 0)::DOUBLE FROM u UNION ALL SELECT 'cost_cny', cost FROM u WHERE cost IS NOT NULL)
+SELECT metric, round(avg(value), 4) AS mean, {', '.join(f'round_even({RANK.format(p=p)}, 6) AS {n}' for n, p in (('p50', 0.5), ('p95', 0.95), ('p99', 0.99)))} FROM m GROUP BY 1""")
+def usage_distributions(t):
+    return op.usage_distributions(usage(t)).withColumn("mean", F.round("mean", 4))
+
+
+COUNTS = ", ".join(f"CAST(sum({i} + CAST(round(value) AS BIGINT) % {i + 2}) AS BIGINT) AS {c}" for i, c in enumerate(op.COUNTERS))
+
+
+@query(f"SELECT event_type AS stage, {COUNTS}, max(CAST(round(value) AS BIGINT)) AS max_input_tokens_per_call FROM events GROUP BY 1")
+def usage_counters(t):
+    """All counters of a stage, merged with those of an earlier snapshot."""
+    v = F.round("value").cast("long")
+    rows = t.events.select(F.col("event_type").alias("stage"), *((i + v % (i + 2)).alias(c) for i, c in enumerate(op.COUNTERS)), v.alias(op.LARGEST[0]), (F.col("event_id") % 3 == 0).alias("early"))
+    merge = lambda df: op.merge_counters(df, ["stage"], [*op.COUNTERS], [*op.LARGEST])
+    return merge(merge(rows.filter("early")).unionByName(merge(rows.filter("NOT early"))))
+
+
+@query("SELECT event_id, round_even(CASE WHEN k % 5 = 0 THEN 0 ELSE len(list_filter(range(k % 5), lambda i: (i + event_id) % 2 = 0)) / (k % 5)::DOUBLE END, 6) AS faithfulness FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
+def claim_support(t):
+    k = F.get_json_object("props", "$.k").cast("long")
+    claims = F.transform(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda i: i < k % 5), lambda i: F.struct(((i + F.col("event_id")) % 2 == 0).alias("supported")))
+    return t.events.select("event_id", op.faithfulness(claims).alias("faithfulness"))
 
 
 @query("""SELECT stage, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, max(tokens) AS largest FROM (SELECT event_type AS stage, 1 AS calls, CAST(round(value) AS BIGINT) AS tokens FROM events

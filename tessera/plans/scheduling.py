@@ -67,27 +67,62 @@ def busy_timeline(t):
     return line.select("id", "day", F.size("busy").cast("long").alias("n"), F.array_join(days, ",").alias("spans"))
 
 
-@query(f"SELECT id, arg_min(l_orderkey, (start_time, l_orderkey, l_linenumber)) AS first_busy, count(*) FILTER (status = 'F') + 1 AS completed FROM {B} GROUP BY 1 HAVING count(*) FILTER (status = 'O') >= 0")
+@query("""WITH s AS (SELECT l_suppkey AS id, CAST(l_shipdate AS DATE) AS day, l_shipdate + (l_orderkey % 9) * INTERVAL 1 HOUR AS start_time, CASE l_linestatus WHEN 'O' THEN 'busy' ELSE CASE WHEN l_returnflag = 'R' THEN 'cancelled' ELSE 'completed' END END AS status, l_orderkey * 10 + l_linenumber AS row_id FROM lineitem)
+SELECT id, day, arg_min(row_id, (start_time, row_id)) FILTER (status = 'busy') AS completed_row, count(*) FILTER (status = 'completed') + CASE WHEN count(*) FILTER (status = 'busy') > 0 THEN 1 ELSE 0 END AS completed FROM s GROUP BY 1, 2""")
 def complete_service(t):
-    return busy(t).groupBy("id").agg(F.min_by("l_orderkey", F.struct("start_time", "l_orderkey", "l_linenumber")).alias("first_busy"), (F.count_if(F.col("status") == "F") + 1).alias("completed"))
+    status = F.when(F.col("l_linestatus") == "O", "busy").when(F.col("l_returnflag") == "R", "cancelled").otherwise("completed")
+    start = F.col("l_shipdate") + F.make_dt_interval(F.lit(0), (F.col("l_orderkey") % 9).cast("int"))
+    df = t.lineitem.select(F.col("l_suppkey").alias("id"), start.alias("start_time"), status.alias("status"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"))
+    return op.completed_first(df, "id", "start_time", "status", "row_id")
 
 
-@query("""SELECT o_orderkey, CASE WHEN s <= TIMESTAMP '1997-01-01' THEN 'START_IN_PAST' WHEN d < 30 OR d > 480 THEN 'DURATION_OUT_OF_RANGE' WHEN d % 30 <> 0 THEN 'DURATION_NOT_ON_GRID' WHEN minute(s) % 30 <> 0 THEN 'START_NOT_ON_GRID' END AS error
-FROM (SELECT o_orderkey, o_orderdate + (o_orderkey % 3) * INTERVAL 15 MINUTE AS s, o_custkey % 100 * 10 AS d FROM orders)""")
+@query("""SELECT o_orderkey, CASE WHEN s <= TIMESTAMP '1997-01-01' THEN 'START_IN_PAST' WHEN d < 30 OR d > 480 THEN 'DURATION_OUT_OF_RANGE' WHEN d % 30 <> 0 THEN 'DURATION_NOT_ON_GRID' WHEN minute(s) % 30 <> 0 OR second(s) <> 0 THEN 'START_NOT_ON_GRID' END AS error
+FROM (SELECT o_orderkey, o_orderdate + (o_orderkey % 3) * INTERVAL 15 MINUTE + CASE WHEN o_orderkey % 7 = 0 THEN INTERVAL 30 SECOND ELSE INTERVAL 0 SECOND END AS s, o_custkey % 100 * 10 AS d FROM orders)""")
 def booking_validate(t):
-    s = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("o_orderkey") % 3 * 15).cast("int"))
+    s = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("o_orderkey") % 3 * 15).cast("int"), F.when(F.col("o_orderkey") % 7 == 0, 30).otherwise(0).cast("decimal(18,6)"))
     return t.orders.select("o_orderkey", op.validation_error(s, F.col("o_custkey") % 100 * 10, at("1997-01-01 00:00:00")).alias("error"))
 
 
-@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey % 10, o_orderdate ORDER BY o_orderkey) = 1 AS accepted FROM orders")
+REQUESTS = "(SELECT o_orderkey, o_custkey % 50 AS person, o_orderdate + (o_custkey % 48) * INTERVAL 30 MINUTE AS s, 30 * (1 + o_orderkey % 4) AS d FROM orders)"
+
+
+def requests(t):
+    """Orders as booking requests of 30 to 120 minutes, which overlap in part."""
+    start = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("o_custkey") % 48 * 30).cast("int"))
+    return t.orders.select(F.col("o_orderkey").alias("arrival"), (F.col("o_custkey") % 50).alias("person"), start.alias("start_time"), (30 * (1 + F.col("o_orderkey") % 4)).alias("minutes"), (F.col("o_orderkey") % 11).alias("again"), "o_custkey")
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT *, s + d * INTERVAL 1 MINUTE AS e, row_number() OVER (PARTITION BY person ORDER BY o_orderkey) AS r FROM {REQUESTS}),
+w AS (SELECT person, r, o_orderkey, true AS accepted, [{{'s': s, 'e': e}}] AS held FROM q WHERE r = 1 UNION ALL
+SELECT q.person, q.r, q.o_orderkey, len(list_filter(w.held, lambda x: x.s < q.e AND x.e > q.s)) = 0, CASE WHEN len(list_filter(w.held, lambda x: x.s < q.e AND x.e > q.s)) = 0 THEN list_append(w.held, {{'s': q.s, 'e': q.e}}) ELSE w.held END FROM w JOIN q ON q.person = w.person AND q.r = w.r + 1)
+SELECT o_orderkey, accepted FROM w""")
 def booking_resolve(t):
-    df = t.orders.select("o_orderkey", (F.col("o_custkey") % 10).alias("person"), F.col("o_orderdate").alias("start"), (F.col("o_orderdate") + F.expr("INTERVAL 30 MINUTES")).alias("end"))
-    return op.resolve(df, "person", "o_orderkey", "start", "end").select("o_orderkey", "accepted")
+    df = requests(t).withColumn("end_time", F.col("start_time") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minutes").cast("int")))
+    return op.resolve(df, "person", "arrival", "start_time", "end_time").select(F.col("arrival").alias("o_orderkey"), "accepted")
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT o_orderkey, person, s, d, s + d * INTERVAL 1 MINUTE AS e, CASE WHEN o_orderkey % 11 = 0 THEN 'again' || o_orderkey // 33 ELSE 'own' || o_orderkey END AS k FROM {REQUESTS}),
+b AS (SELECT *, min(o_orderkey) OVER (PARTITION BY k) AS f FROM a),
+c AS (SELECT o_orderkey, person, s, e, CASE WHEN f <> o_orderkey THEN 'REPLAY' WHEN s <= TIMESTAMP '1996-06-01' THEN 'INVALID' WHEN person >= 45 THEN 'NOT_FOUND' WHEN EXISTS (SELECT 1 FROM nation WHERE n_nationkey = person AND s < TIMESTAMP '1997-07-01' AND e > TIMESTAMP '1997-01-01') THEN 'CONFLICT' END AS o FROM b),
+q AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY o_orderkey) AS r FROM c WHERE o IS NULL),
+w AS (SELECT person, r, o_orderkey, true AS ok, [{{'s': s, 'e': e}}] AS held FROM q WHERE r = 1 UNION ALL
+SELECT q.person, q.r, q.o_orderkey, len(list_filter(w.held, lambda x: x.s < q.e AND x.e > q.s)) = 0, CASE WHEN len(list_filter(w.held, lambda x: x.s < q.e AND x.e > q.s)) = 0 THEN list_append(w.held, {{'s': q.s, 'e': q.e}}) ELSE w.held END FROM w JOIN q ON q.person = w.person AND q.r = w.r + 1)
+SELECT o_orderkey, o AS outcome FROM c WHERE o IS NOT NULL UNION ALL SELECT o_orderkey, CASE WHEN ok THEN 'CREATED' ELSE 'CONFLICT' END FROM w""")
+def booking_batch(t):
+    """Replays, invalid requests, unknown persons, times that are taken, and conflicts among the rest."""
+    key = F.when(F.col("again") == 0, F.concat(F.lit("again"), F.floor(F.col("arrival") / 33).cast("string"))).otherwise(F.concat(F.lit("own"), F.col("arrival").cast("string")))
+    df = requests(t).withColumn("request_key", key)
+    staff = t.spark.range(50).select(F.col("id").alias("person"), (F.col("id") < 45).alias("enabled"))
+    busy = t.nation.select(F.col("n_nationkey").cast("long").alias("person"), at("1997-01-01 00:00:00").alias("start_time"), at("1997-07-01 00:00:00").alias("end_time"))
+    return op.booked(df, staff, [busy], at("1996-06-01 00:00:00")).select(F.col("arrival").alias("o_orderkey"), "outcome")
 
 
-@query("SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY sha256(o_custkey || '|' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'))) AS replay_of, sha256(o_custkey || '|' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')) AS idempotency_key FROM orders")
+KEY = "sha256(o_orderpriority || '|' || o_custkey || '|' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '|' || strftime(o_orderdate + INTERVAL 30 MINUTE, '%Y-%m-%dT%H:%M:%S'))"
+
+
+@query(f"SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY {KEY}) AS replay_of, {KEY} AS idempotency_key FROM orders")
 def idempotent_booking(t):
-    key = F.sha2(F.concat_ws("|", F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")), 256)
+    key = op.request_key(F.col("o_orderpriority"), F.col("o_custkey"), F.col("o_orderdate"), F.col("o_orderdate") + F.expr("INTERVAL 30 MINUTES"))
     return op.first_of_key(t.orders.withColumn("idempotency_key", key), "idempotency_key", "o_orderkey").select("o_orderkey", "replay_of", "idempotency_key")
 
 
@@ -99,11 +134,55 @@ def appointment_numbers(t):
 FREE = f"(SELECT s_suppkey AS id, s_nationkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM {B} b WHERE b.id = s.s_suppkey AND l_linenumber = 1 AND {BUSY}))"
 
 
-@query(f"SELECT c_custkey, arg_min(f.id, (CASE WHEN f.s_nationkey = c_nationkey THEN 0 ELSE 1 END, f.id)) AS id FROM customer JOIN {FREE} f ON f.s_nationkey % 5 = c_nationkey % 5 GROUP BY 1")
+@query(f"SELECT c_custkey, coalesce(n.id, (SELECT min(id) FROM {FREE})) AS id, n.id IS NOT NULL AS preferred FROM customer LEFT JOIN (SELECT s_nationkey, min(id) AS id FROM {FREE} GROUP BY 1) n ON n.s_nationkey = c_nationkey")
 def preference_match(t):
+    """For each customer the first free supplier of the same nation, else the first free one of all."""
     free = op.available(people(t), [busy(t).filter("l_linenumber = 1")], "id", at(START), at(END))
-    both = t.customer.join(free, F.col("s_nationkey") % 5 == F.col("c_nationkey") % 5)
-    return op.best_choice(both, "c_custkey", "id", F.when(F.col("s_nationkey") == F.col("c_nationkey"), 0).otherwise(1), F.lit(0))
+    own = op.best_choice(free, "s_nationkey", "id", F.lit(0), F.col("id"))
+    any_ = free.agg(F.min("id").alias("any_id"))  # one row
+    both = t.customer.join(own, F.col("s_nationkey") == F.col("c_nationkey"), "left").crossJoin(F.broadcast(any_))
+    return both.select("c_custkey", F.coalesce("id", "any_id").alias("id"), F.col("id").isNotNull().alias("preferred"))
+
+
+@query(f"SELECT id FROM {FREE} WHERE s_nationkey % 2 = 0 ORDER BY CASE WHEN id % 5 = 3 THEN 0 ELSE 1 END, id LIMIT 5")
+def preferred_technicians(t):
+    """By gender, then free, then those with the preferred strength first."""
+    df = people(t).withColumn("gender", F.when(F.col("s_nationkey") % 2 == 0, "女").otherwise("男"))
+    free = op.available(df, [busy(t).filter("l_linenumber = 1")], "id", at(START), at(END))
+    return op.preferred(df, free, "id", "gender", "女技师", F.col("id") % 5 == 3, F.col("id"), 5).select("id")
+
+
+@query(f"SELECT s_suppkey AS id FROM supplier s WHERE s_acctbal > 0 AND s_nationkey % 2 = 1 AND s_suppkey % 3 = 1 AND NOT EXISTS (SELECT 1 FROM {B} b WHERE b.id = s.s_suppkey AND l_linenumber = 1 AND start_time < TIMESTAMP '1998-03-05 15:30:00' AND end_time > TIMESTAMP '1998-03-05 14:00:00')")
+def technician_search(t):
+    df = people(t).withColumn("gender", F.when(F.col("s_nationkey") % 2 == 0, "女").otherwise("男")).withColumn("strength", F.element_at(F.array(F.lit("light"), F.lit("medium"), F.lit("strong")), (F.col("id") % 3 + 1).cast("int")))
+    return op.searched(df, [busy(t).filter("l_linenumber = 1")], "id", at("1998-03-05 14:00:00"), F.lit(90), "男", "medium").select("id")
+
+
+SLOTS = "SELECT id, slot, row_number() OVER (PARTITION BY id ORDER BY slot) AS rank FROM (SELECT s_suppkey AS id, unnest(generate_series(TIMESTAMP '{0}', TIMESTAMP '{1}', INTERVAL 1 HOUR)) AS slot FROM supplier) h WHERE NOT EXISTS (SELECT 1 FROM {2} b WHERE b.id = h.id AND l_linenumber <= 3 AND b.start_time < h.slot + INTERVAL 60 MINUTE AND b.end_time > h.slot)"
+TODAY, AFTER = SLOTS.format("1998-03-05 17:00:00", "1998-03-05 21:00:00", B), SLOTS.format("1998-03-06 09:00:00", "1998-03-06 21:00:00", B)
+
+
+@query(f"WITH a AS ({TODAY}), b AS ({AFTER}) SELECT id, slot, rank, false AS tomorrow FROM a UNION ALL SELECT id, slot, rank, true FROM b WHERE rank <= 3 AND id NOT IN (SELECT id FROM a)")
+def slot_proposals(t):
+    """Asked at 16:20: today from 17:00 on; tomorrow's first three for those without."""
+    return op.proposed(people(t), busy(t).filter("l_linenumber <= 3"), "id", "1998-03-05 16:20:00").select("id", "slot", "rank", "tomorrow")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate + (o_orderkey % 24) * INTERVAL 1 HOUR + INTERVAL 8 HOUR, '%H:%M') AS local_clock, CAST(trunc(date_diff('second', o_orderdate + (o_orderkey % 24) * INTERVAL 1 HOUR, o_orderdate + (o_custkey % 100) * INTERVAL 90 SECOND) / 60.0) AS BIGINT) AS minutes FROM orders")
+def local_clock(t):
+    utc = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"))
+    to = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("o_custkey") % 100 * 90).cast("decimal(18,6)"))
+    return t.orders.select("o_orderkey", op.clock(op.local_time(utc)).alias("local_clock"), op.minutes_between(utc, to).alias("minutes"))
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS held, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS left_ FROM orders")
+def busy_lists(t):
+    """An interval is added to a list, where it isn't there yet, and removed by its start."""
+    end = F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")
+    other = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate")).otherwise(F.col("o_orderdate") - F.expr("INTERVAL 5 HOURS"))
+    held = F.array(F.struct(other.alias("start"), F.when(F.col("o_orderkey") % 3 == 0, end).otherwise(other + F.expr("INTERVAL 1 HOUR")).alias("end")))
+    more = op.with_busy(held, F.col("o_orderdate"), end)
+    return t.orders.select("o_orderkey", F.size(more).cast("long").alias("held"), F.size(op.without_busy(more, F.col("o_orderdate"))).cast("long").alias("left_"))
 
 
 @query("SELECT s_suppkey AS id FROM supplier WHERE s_nationkey % 2 = 0")
@@ -114,7 +193,7 @@ def gender_filtered(t):
 
 @query("SELECT o_orderkey, hour(o_orderdate + (o_orderkey % 24) * INTERVAL 1 HOUR) BETWEEN 12 AND 21 AS in_hours FROM orders")
 def business_hours(t):
-    return t.orders.select("o_orderkey", F.hour(F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"))).between(12, 21).alias("in_hours"))
+    return t.orders.select("o_orderkey", op.in_hours(F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int")), 12, 21).alias("in_hours"))
 
 
 @query(f"SELECT count(*) AS slots, count(*) FILTER (status = 'O') AS busy FROM {B}")

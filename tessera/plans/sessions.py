@@ -43,11 +43,29 @@ def missing_fields(t):
     return df.select("conv_id", F.array_join(op.missing_fields(), ",").alias("missing"))
 
 
-@query("SELECT event_id, k % 2 = 0 AS valid FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
+@query("SELECT event_id, CASE k % 5 WHEN 0 THEN k % 2 = 0 WHEN 1 THEN k % 2 = 0 WHEN 2 THEN false WHEN 3 THEN false ELSE true END AS valid FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
 def payload_validation(t):
+    """Of appointments, consultations, no kind at all (null or empty) and other kinds."""
     k = F.get_json_object("props", "$.k").cast("long")
     payload = F.when(k % 2 == 0, F.to_json(F.struct(F.lit("q").alias("query"), F.lit("10:00").alias("start_time"), F.lit(60).alias("duration")))).otherwise('{"start_time": "10:00"}')
-    return t.events.select("event_id", op.payload_valid(F.when(k % 3 == 0, "appointment").otherwise("consultation"), payload).alias("valid"))
+    kind = F.when(k % 5 == 0, "appointment").when(k % 5 == 1, "consultation").when(k % 5 == 2, F.lit(None).cast("string")).when(k % 5 == 3, "").otherwise("analysis")
+    return t.events.select("event_id", op.payload_valid(kind, payload).alias("valid"))
+
+
+@query("SELECT conv_id, CAST(count(*) + 2 AS BIGINT) AS messages, CAST(2 + count(*) - least(count(*), 3) AS BIGINT) AS new FROM conversations GROUP BY 1")
+def conversation_state(t):
+    """The append reducer over a conversation, and what came after the first three messages."""
+    held = t.conversations.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda m: m["text"]).alias("held"))  # a conversation's messages
+    state_ = op.appended(F.col("held"), F.array(F.lit("a"), F.lit("b")))
+    return held.select("conv_id", F.size(state_).cast("long").alias("messages"), F.size(op.unseen(state_, F.least(F.size("held"), F.lit(3)))).cast("long").alias("new"))
+
+
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Bo' WHEN 2 THEN 'Ann' END AS name, CAST(CASE turn % 4 WHEN 0 THEN 45 WHEN 1 THEN 90 WHEN 2 THEN 60 END AS BIGINT) AS minutes FROM conversations")
+def entity_names(t):
+    i = F.col("turn") % 4
+    text = F.when(i == 0, "Ann please").when(i == 1, "with Bo").when(i == 2, "Bo or Ann").otherwise("anyone")
+    given = F.when(i == 0, '{"minutes": 45}').when(i == 1, '{"hours": 1.5}').when(i == 2, "1小时").otherwise("soon")
+    return t.conversations.select("conv_id", "turn", op.technician_name(text, ["Ann", "Bo"]).alias("name"), op.duration_of(given).alias("minutes"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 90 WHEN turn % 4 = 1 THEN 120 WHEN turn % 4 = 2 THEN NULL ELSE turn END AS minutes, CASE WHEN turn % 4 = 0 THEN 90 WHEN turn % 4 = 1 THEN 2 WHEN turn % 4 = 2 THEN NULL ELSE turn END AS digits FROM conversations")
@@ -108,9 +126,13 @@ def stream(t):
 
 
 def once(df, mode):
-    name = f"stream_{uuid.uuid4().hex}"
-    base = t_dir if (t_dir := df.sparkSession.conf.get("spark.checkpoint.dir", None)) else tempfile.mkdtemp(prefix="stream-")
-    return state.run_once(df, name, mode, f"{base}/{name}")
+    """Through files in the shared folder (spark.checkpoint.dir); a temporary one only in a session of one process."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not df.sparkSession.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="stream-")
+    return state.run_once(df, mode, f"{base}/stream-{uuid.uuid4().hex}")
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +36,47 @@ def write_snapshot(df: DataFrame, folder: str) -> str:
     return path
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return len(spark.read.format("binaryFile").load(path).select("path").limit(1).collect()) > 0
+    except AnalysisException:
+        return False
+
+
+def generation(spark: SparkSession, folder: str) -> int | None:
+    """The newest version of a table, which is its generation; none without one. A version's files appear when its
+    write commits."""
+    try:
+        return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).agg(F.max("version")).first()[0]
+    except AnalysisException:  # there is no such folder
+        return None
+
+
 def read_snapshot(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
-    df = spark.read.parquet(folder)
-    newest = version if version is not None else df.agg(F.max("version")).first()[0]
-    return df.filter(F.col("version") == newest).drop("version")
+    newest = version if version is not None else generation(spark, folder)
+    return spark.read.parquet(f"{folder}/version={newest}")
+
+
+def refreshed(spark: SparkSession, folder: str, held: int | None, load: Callable[[DataFrame], DataFrame], tries: int = 3) -> tuple[int | None, DataFrame | None]:
+    """(generation, result) of load() over the newest version, or (held, None) where it is held already. A result
+    during whose loading a newer version came is stale and loaded again, so many times; ValueError after that."""
+    for _ in range(tries):
+        newest = generation(spark, folder)
+        if newest is None or newest == held:
+            return held, None
+        out = load(read_snapshot(spark, folder, newest))
+        if generation(spark, folder) == newest:
+            return newest, out
+    raise ValueError(f"{folder} changed {tries} times while it was read")
 
 
 def restore_snapshot(spark: SparkSession, folder: str, version: int) -> str:
-    """Make an earlier version the newest; the present one stays as a safety copy."""
+    """Make an earlier version the newest; the present one stays as a safety copy. ValueError for an unknown one."""
+    if not _exists(spark, f"{folder}/version={version}"):
+        raise ValueError(f"no version {version} in {folder}")
     return write_snapshot(read_snapshot(spark, folder, version), folder)
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON file of one list of objects, or of one object."""
+    return spark.read.option("multiLine", "true").json(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -58,8 +59,23 @@ def rate_limited(stream: DataFrame, key: str, seconds: float = 60, most: int = 1
     return stream.groupBy(key).transformWithStateInPandas(AnchoredLimit(seconds, most), "id long, allowed boolean", "append", "none")
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Work through all input that is there now, into a table in memory."""
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).format("memory").queryName(name).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Work through all input that is there now into Parquet files under folder, with the checkpoint beside them.
+
+    A batch that is tried again overwrites its own files. append: all batches' rows; complete: the last one's."""
+    if mode not in ("append", "complete"):
+        raise ValueError("mode must be append or complete")
+    spark, schema = stream.sparkSession, stream.schema
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    query.awaitTermination()
+    try:
+        rows = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    except AnalysisException:  # no batch had any input
+        return spark.createDataFrame([], schema)
+    if mode == "complete":
+        rows = rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")

@@ -22,6 +22,16 @@ def test_percentiles_take_nearest_rank_half_even(spark):
     assert rows(metrics.distribution(df, ["k"], "v").select("p50", "p95", "mean")) == [(100.0, 300.0, 200.0)]
 
 
+def test_order_statistics_of_large_groups(spark):
+    df = spark.range(60_001).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.floor(F.col("id") / 5000)).cast("double").alias("v"))
+    got = {r.k: r for r in metrics.order_statistics(df, ["k"], "v", {n: (p, metrics.nearest_place(p)) for n, p in (("a", 0.0), ("b", 0.5), ("c", 0.999), ("d", 1.0))}).collect()}
+    for k in (0, 1):
+        values = sorted(float(i if i % 2 == 0 else i // 5000) for i in range(60_001) if i % 2 == k)
+        assert [got[k][n] for n in "abcd"] == [values[round((len(values) - 1) * p)] for p in (0.0, 0.5, 0.999, 1.0)] and got[k].n == len(values)
+    none = spark.createDataFrame([(None, 2.0), (None, 4.0), (1, None)], "k int, v double")
+    assert sorted((str(r.k), r.p50, r["mean"]) for r in metrics.distribution(none, ["k"], "v").collect()) == [("1", 0.0, 0.0), ("None", 2.0, 3.0)]
+
+
 def test_cost_ladder(spark):
     df = spark.createDataFrame([(1000.0, 250.0, 2.0), (None, None, 2.0), (101.0, 1.0, 2.0), (10.0, 1.0, None)], "i double, o double, p double")
     status = metrics.cost_status(F.col("i"), F.col("i"), F.when(F.col("i") == 101, 100.0), F.col("p"))
@@ -62,6 +72,36 @@ def test_snapshots(spark, tmp_path):
     assert files.read_snapshot(spark, str(tmp_path / "t")).count() == 3
 
 
+def test_generations(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    assert files.generation(spark, folder) is None and files.refreshed(spark, folder, None, lambda df: df) == (None, None)
+    files.write_snapshot(spark.range(3), folder)
+    held, out = files.refreshed(spark, folder, None, lambda df: df.count())
+    assert out == 3 and files.refreshed(spark, folder, held, lambda df: df.count()) == (held, None)
+    calls = []
+
+    def interrupted(df):
+        calls.append(1)
+        if len(calls) == 1:
+            files.write_snapshot(spark.range(5), folder)
+        return df.count()
+
+    assert files.refreshed(spark, folder, None, interrupted)[1] == 5 and len(calls) == 2
+    with pytest.raises(ValueError):
+        files.refreshed(spark, folder, None, lambda df: files.write_snapshot(spark.range(1), folder))
+    with pytest.raises(ValueError):
+        files.restore_snapshot(spark, folder, 7)
+
+
+def test_cases_from_json_and_private_logs(spark, tmp_path):
+    (tmp_path / "cases.json").write_text('[{"id": "a", "query": "q"},\n {"id": "b"}]')
+    cases = files.read_cases(spark, str(tmp_path / "cases.json"))
+    assert rows(evaluation.case_catalog(cases, cases.limit(0)).select("id", "kind")) == [("a", "answer"), ("b", "answer")]
+    safe = jsonl.privacy_safe(cases.filter("id = 'a'"), ["query"])
+    assert safe.columns == ["id", "query_sha256"] and len(safe.first().query_sha256) == 64
+    assert rows(spark.createDataFrame([("a, b，c,",)], "k string").select(corpus.split_keywords(F.col("k")))) == [(["a", "b", "c"],)]
+
+
 def test_availability(spark):
     people = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     busy = spark.createDataFrame([(1, at("2026-01-01 14:00"), at("2026-01-01 15:00"))], "id long, start_time timestamp_ntz, end_time timestamp_ntz")
@@ -76,6 +116,24 @@ def test_rejected_requests_do_not_block(spark):
     assert rows(scheduling.resolve(df, "who", "n", "s", "e").select("n", "accepted")) == [(1, True), (2, False), (3, True), (4, True)]
 
 
+def test_booking_batch(spark):
+    t = lambda h, m=0: dt.datetime(2026, 1, 1, h, m)
+    asked = [(1, "k1", 7, t(10), 60), (2, "k1", 7, t(10), 60), (3, "k2", 7, t(10, 30), 60), (4, "k3", 7, t(11), 30), (5, "k4", 9, t(10), 30), (6, "k5", 7, t(10), 45), (7, "k6", 8, t(10), 30), (8, None, 7, t(12), 30), (9, None, 7, t(12), 30), (10, "k7", 8, t(9), 30)]
+    df = spark.createDataFrame(asked, "arrival long, request_key string, person long, start_time timestamp_ntz, minutes int")
+    people = spark.createDataFrame([(7, True), (8, True), (9, False)], "person long, enabled boolean")
+    busy = spark.createDataFrame([(8, t(10), t(10, 30))], "person long, start_time timestamp_ntz, end_time timestamp_ntz")
+    got = scheduling.booked(df, people, [busy], F.lit(dt.datetime(2025, 1, 1)).cast("timestamp_ntz"))
+    assert [r.outcome for r in got.orderBy("arrival").collect()] == ["CREATED", "REPLAY", "CONFLICT", "CREATED", "NOT_FOUND", "INVALID", "CONFLICT", "CREATED", "CONFLICT", "CREATED"]
+
+
+def test_slot_proposals(spark):
+    people = spark.createDataFrame([(1,), (2,)], "id long")
+    busy = spark.createDataFrame([(2, at("2026-01-01 08:00"), at("2026-01-01 23:00")), (2, at("2026-01-02 09:30"), at("2026-01-02 10:00"))], "id long, start_time timestamp_ntz, end_time timestamp_ntz")
+    got = scheduling.proposed(people, busy, "id", "2026-01-01 18:20:00").collect()
+    assert sorted((r.id, r.slot.isoformat()[5:13], r.tomorrow) for r in got) == [(1, "01-01T19", False), (1, "01-01T20", False), (1, "01-01T21", False), (2, "01-02T10", True), (2, "01-02T11", True), (2, "01-02T12", True)]
+    assert {r.id for r in scheduling.proposed(people, busy.limit(0), "id", "2026-01-01 21:20:00").collect() if r.tomorrow} == {1, 2}
+
+
 def test_slots_and_validation(spark):
     t = at("2026-01-01 10:00")
     df = spark.createDataFrame([(1, t, at("2026-01-01 11:00"))], "id long, s timestamp_ntz, e timestamp_ntz")
@@ -115,6 +173,31 @@ def test_rerank_fallback(spark):
     assert [tuple(r) for r in got] == [(2, False), (1, False), (3, False), (1, True), (2, True)]
 
 
+def test_registries_and_scorers(spark):
+    docs = spark.createDataFrame([(1, "red apple", [1.0, 0.0]), (2, "green pear", [0.0, 1.0]), (3, "apple pie", [0.9, 0.1])], "d long, text string, embedding array<double>")
+    asked = spark.createDataFrame([(1, "apple", [1.0, 0.0])], "q long, text string, embedding array<double>")
+    top = lambda name: [r.d for r in retrieval.retriever(name)(docs, asked, "d", "q", 2).orderBy("rank").collect()]
+    assert top("Dense") == [1, 3] and sorted(top("bm25")) == [1, 3] and top("hybrid")[0] == 1
+    with pytest.raises(ValueError):
+        retrieval.retriever("other")
+    assert retrieval.reranker("none") is None
+    pairs = spark.createDataFrame([(1, "q", c, i) for i, c in enumerate(("a", "bb", "cc", "d"), 1)], "q long, question string, content string, coarse long").coalesce(1)
+    rerank = retrieval.reranker("cross-encoder")
+    got = rerank(pairs, "q", "question", "content", "coarse", lambda q, c: [[0.0, len(x)] for x in c], batch=3, k=3).orderBy("rank").collect()
+    assert [r.content for r in got] == ["bb", "cc", "a"] and not got[0].rerank_fallback
+    fell = rerank(pairs, "q", "question", "content", "coarse", lambda q, c: 1 / 0).orderBy("rank").collect()
+    assert [r.content for r in fell] == ["a", "bb", "cc", "d"] and fell[0].rerank_fallback
+    vectors = retrieval.embedded(spark.createDataFrame([("ab",), (" ",), (None,)], "t string"), "t", lambda texts: [[len(x), 1] for x in texts]).collect()
+    assert [r.embedding for r in vectors] == [[2.0, 1.0], None, None]
+
+
+def test_okapi_drops_scores_after_the_cut(spark):
+    docs = spark.createDataFrame([(i, "common word") for i in range(3)] + [(9, "rare common")], "d long, text string")
+    asked = spark.createDataFrame([(1, "common")], "q long, text string")
+    scores = retrieval.bm25(docs, asked, "d", "q", okapi=True)
+    assert all(r.score > 0 for r in retrieval.sparse_ranking(scores, "q", "d", 2).collect())
+
+
 def test_query_expansion(spark):
     df = spark.createDataFrame([("明天有空位吗",), ("我不想被碰脚",), ("你好",)], "q string")
     assert [r[0] for r in df.select(retrieval.expand_query(F.col("q"))).collect()] == [["空闲", "可预约"], ["足部", "避开", "不操作"], []]
@@ -227,6 +310,11 @@ def test_gates(spark):
 def test_relational(spark):
     df = spark.createDataFrame([(1, "a", True), (2, "b", True)], "id long, v string, on boolean")
     assert rows(relational.updated(df, spark.createDataFrame([(1, "z"), (9, "y")], "id long, v string"), "id").select("id", "v")) == [(1, "z"), (2, "b")]
+    twice = spark.createDataFrame([(1, "y"), (1, "z"), (1, None)], "id long, v string")
+    assert rows(relational.updated(df, twice, "id").select("id", "v")) == [(1, "z"), (2, "b")]
+    assert rows(relational.inserted(df, spark.createDataFrame([(2, "q"), (3, "c"), (3, "c")], "id long, v string"), "id")) == [(1, "a", True), (2, "b", True), (3, "c", None)]
+    sets = relational.set_comparison(*(spark.createDataFrame(x, "k string, i int") for x in ([("a", 1), ("a", 1), ("b", 1), ("c", 1)], [("a", 1), ("b", 2), ("d", 1)])), "k", "i")
+    assert rows(sets) == [("a", "matches"), ("b", "mismatched"), ("c", "missing"), ("d", "extra")]
     assert relational.seed_if_empty(df, df).count() == 0 and relational.seed_if_empty(df.limit(0), df).count() == 2
     assert rows(relational.deleted(df, df.filter("id = 1"), "id", "on").select("id", "on")) == [(1, False), (2, True)]
 
@@ -242,5 +330,5 @@ def test_streaming_rate_limit(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.createDataFrame([(i, "k", float(i * 10)) for i in range(8)], "id long, k string, at double").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, k string, at double").parquet(str(tmp_path / "in"))
-    got = state.run_once(state.rate_limited(stream, "k", 60, 3), "limited", "append", str(tmp_path / "cp"))
+    got = state.run_once(state.rate_limited(stream, "k", 60, 3), "append", str(tmp_path / "out"))
     assert [r.allowed for r in got.orderBy("id").collect()] == [True] * 3 + [False] * 3 + [True] * 2
