@@ -145,6 +145,12 @@ def stream_windows(t):
     return once(state.windowed(stream(t), "ts", ["event_type"], "1 hour"), "complete")
 
 
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY")
+def stream_closed_windows(t):
+    """Windows that the watermark, two days behind the newest event, has closed; each is written once."""
+    return once(state.windowed(stream(t), "ts", ["event_type"], "1 hour", "2 days"), "append")
+
+
 @query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
 def stream_tail(t):
     return once(stream(t).filter("ts >= TIMESTAMP '2024-01-15 00:00:00'").select("event_id", "user_id"), "append")
