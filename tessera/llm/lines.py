@@ -16,7 +16,8 @@ A large group of near copies would give the square of its size. So every set is
 LEADERS earliest of each of KEYS tokens, the most common of its prefix; sets that match one of them are
 dropped, and only the others look for an earlier match among all sets, dropped ones too.
 
-Tokens are told apart by 64-bit hashes, and equal sets are found by 128 bits over these. Tables of fixed size
+Tokens are told apart by 64-bit hashes, and equal sets are found by 192 bits over these (a hash of them
+all and the signature). Tables of fixed size
 that every task gets: the counters, and a bitmap (BITS) that tells which documents and lines to read again;
 where it fills up, more lines than needed are sent, and the join leaves them out.
 
