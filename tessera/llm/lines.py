@@ -13,7 +13,7 @@ of 128 bits, each the parity of some tokens: the bits in which two differ are to
 lines of the pairs that remain are read again from their documents, and compared whole.
 
 A large group of near copies would give the square of its size. So every set is compared first with the
-LEADERS earliest of each of KEYS tokens, the most common of its prefix; sets that match one of them are
+LEADERS earliest that share one of KEYS pairs of neighbours, the most common tokens of its prefix; sets that match one of them are
 dropped, and only the others look for an earlier match among all sets, dropped ones too.
 
 Tokens are told apart by 64-bit hashes, and equal sets are found by 192 bits over these (a hash of them
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import drop_stored, free_names, stored
 
-THRESHOLD, LEADERS, KEYS, SLOTS, BITS = 0.8, 4, 3, 1 << 20, 1 << 25
+THRESHOLD, LEADERS, KEYS, SLOTS, BITS = 0.8, 16, 3, 1 << 20, 1 << 25
 _PAGE = 1 << 15  # bits of one page of Spark's bitmaps
 
 
@@ -151,8 +151,9 @@ def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int
         return done
 
     # Leaders come from the tokens' groups by a top-k, which each task applies before the shuffle too.
-    last = F.greatest(F.size("prefix") - keys, F.lit(0))
-    common = sets.select("id", "n", "sig", "odd", F.explode(F.slice("prefix", last + 1, F.lit(keys))).alias("tok")).withColumn("i", F.lit(0))
+    last = F.greatest(F.size("prefix") - keys - 1, F.lit(0))
+    two = F.arrays_zip(F.slice("prefix", last + 1, F.lit(keys)).alias("x"), F.slice("prefix", last + 2, F.lit(keys)).alias("y"))
+    common = sets.select("id", "n", "sig", "odd", F.posexplode(two).alias("i", "two")).withColumn("tok", F.xxhash64("two.x", "two.y")).drop("two")
     heads = common.withColumn("rank", F.row_number().over(Window.partitionBy("tok").orderBy("id"))).filter(F.col("rank") <= leaders)
     early = matched(pairs(heads, common, False), "early")
     size = F.when(F.col("early"), -F.col("n")).otherwise(F.col("n"))
