@@ -49,6 +49,14 @@ def recent_mode(df: DataFrame, key: str, value: str, ts: str, least: int = 1) ->
     return counts.withColumn("_r", first).filter("_r = 1").drop("_r", "_last")
 
 
+def histogram(df: DataFrame, key: str, value: Column, ts: str, tie: str) -> DataFrame:
+    """(key, counts as a map from the value's text, mode): the most frequent value, the one seen first on ties."""
+    each = df.select(key, value.alias("_v"), F.struct(ts, tie).alias("_at")).groupBy(key, "_v").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    pairs = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("_v").cast("string").alias("v"), F.col("_n").alias("n")))))  # a value each
+    first = F.min_by("_v", F.struct(-F.col("_n"), F.col("_first")))
+    return each.groupBy(key).agg(pairs.alias("counts"), first.alias("mode"))
+
+
 def cadence(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     """Mean of the whole days between consecutive rows of a key, and its label."""
     gap = F.floor((seconds(F.col(ts)) - seconds(F.lag(ts).over(Window.partitionBy(key).orderBy(ts, tie)))) / DAY)

@@ -15,6 +15,14 @@ def first_hit(ranking: DataFrame, cases: DataFrame, case: str, hit: Column) -> D
     return cases.select(case).join(found, case, "left")
 
 
+def evidence_hits(ranking: DataFrame, cases: DataFrame, case: str, source: str, needle: str, content: str = "content") -> DataFrame:
+    """(case, strict, by_source): the rank of the first result of the expected source that holds the text, and of the
+    first of that source at all; null where there is none. cases: case, expected_<source>, needle."""
+    own = ranking.join(cases.select(F.col(case).alias("_case"), F.col(f"expected_{source}").alias("_source"), F.col(needle).alias("_needle")), (F.col(case) == F.col("_case")) & (F.col(source) == F.col("_source")))
+    found = own.groupBy(case).agg(F.min(F.when(F.contains(content, F.col("_needle")), F.col("rank"))).alias("strict"), F.min("rank").alias("by_source"))
+    return cases.select(case).join(found, case, "left")
+
+
 def fragment_ratio(text: Column, fragments: Column) -> Column:
     """Share of the fragments that the text holds, in percent."""
     return F.bround(F.size(F.filter(fragments, lambda f: F.contains(text, f))).cast("double") / F.nullif(F.size(fragments), F.lit(0)) * 100, 6)

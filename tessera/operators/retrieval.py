@@ -147,6 +147,12 @@ def in_category(ranking: DataFrame, docs: DataFrame, query: str, doc: str, categ
     return own.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("rank")).cast("long")).filter(F.col("rank") <= k)
 
 
+def first_available(ranking: DataFrame, available: DataFrame, query: str, doc: str, k: int) -> DataFrame:
+    """Those of a ranking that are in a set, the first k of each query, with their place among them."""
+    own = ranking.join(available.select(doc).distinct(), doc, "left_semi")
+    return own.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy("rank")).cast("long")).filter(F.col("place") <= k)
+
+
 def pool_size(k: int, n: int, category: bool, expanded: bool) -> int:
     """How many candidates to recall for k results out of n documents."""
     return n if category else min(max(4 * k, 10), n) if expanded else min(2 * k, n)

@@ -46,6 +46,22 @@ def time_histogram(t):
     return t.events.groupBy("user_id", F.weekday("ts").alias("weekday"), F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH e AS (SELECT user_id, CAST(hour(ts) AS INTEGER) AS h, count(*) AS n, min((ts, event_id)) AS f FROM events GROUP BY 1, 2)
+SELECT user_id, string_agg(h || '=' || n, ',' ORDER BY CAST(h AS VARCHAR)) AS counts, arg_min(h, (-n, f)) AS mode FROM e GROUP BY 1""")
+def hour_histogram(t):
+    own = op.histogram(t.events, "user_id", F.hour("ts"), "ts", "event_id")
+    return own.select("user_id", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"), "mode")
+
+
+@query("""WITH d AS (SELECT user_id, ts, 'service' AS dimension, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT user_id, ts, 'kind', event_type FROM events UNION ALL SELECT user_id, ts, 'weekday', CAST(isodow(ts) - 1 AS VARCHAR) FROM events)
+SELECT user_id, dimension, value, n FROM (SELECT user_id, dimension, value, count(*) AS n, row_number() OVER (PARTITION BY user_id, dimension ORDER BY count(*) DESC, max(ts) DESC, value) AS r FROM d GROUP BY 1, 2, 3) WHERE r = 1""")
+def modes_by_dimension(t):
+    """The favourite of each user in three dimensions."""
+    parts = (("service", F.get_json_object("props", "$.k")), ("kind", F.col("event_type")), ("weekday", F.weekday("ts").cast("string")))
+    out = [op.recent_mode(t.events.withColumn("value", v), "user_id", "value", "ts").select("user_id", F.lit(name).alias("dimension"), "value", "n") for name, v in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 MODE = f"""SELECT user_id, service, n FROM (SELECT user_id, {K} AS service, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, max(ts) DESC, {K}) AS r
 FROM events WHERE event_type = 'purchase' AND {K} IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= $least) WHERE r = 1"""
 

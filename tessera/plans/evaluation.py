@@ -34,10 +34,32 @@ def recall_by_group(t):
     return m.ranking_summary(hits(t, sparse(t)).withColumn("grp", F.col("item_id") % 3), ["grp"])
 
 
-@query(f"{HYBRID} " + " UNION ALL ".join(summary(n, f"'{k}' AS strategy, ") for n, k in (("dense", "dense"), ("sparse", "sparse"), ("fused", "hybrid"))))
+RERANKED = "reranked AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN doc_id % 3 <> 0 THEN doc_id % 10 ELSE -1 END DESC, rank) AS rank FROM fused WHERE rank <= 10)"
+
+
+@query(f"{HYBRID}, {RERANKED} " + " UNION ALL ".join(summary(n, f"'{k}' AS strategy, item_id % 3 AS grp, ") + " GROUP BY ROLLUP (item_id % 3)" for n, k in (("dense", "dense"), ("sparse", "sparse"), ("fused", "hybrid"), ("reranked", "reranked"))))
 def strategy_compare(t):
-    parts = [hits(t, x).withColumn("strategy", F.lit(n)) for n, x in (("dense", dense(t)), ("sparse", sparse(t)), ("hybrid", hybrid(t)))]
-    return m.ranking_summary(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["strategy"])
+    """Four strategies, each overall (no group) and by group of cases; the re-ranker's scores are stand-ins."""
+    fused = hybrid(t)
+    scores = fused.filter("rank <= 10").select("item_id", "doc_id", F.col("rank").alias("coarse"), F.when(F.col("doc_id") % 3 != 0, (F.col("doc_id") % 10).cast("double")).alias("score"))
+    ways = ((dense(t), "dense"), (sparse(t), "sparse"), (fused, "hybrid"), (r.reranked(scores, "item_id", "coarse", "score"), "reranked"))
+    parts = [hits(t, x.select("item_id", "doc_id", "rank")).withColumn("strategy", F.lit(n)) for x, n in ways]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).withColumn("grp", F.explode(F.array(F.col("item_id") % 3, F.lit(None).cast("long"))))
+    return m.ranking_summary(every, ["strategy", "grp"])
+
+
+@query(rf"""WITH {BM25}, e AS (SELECT b.item_id, b.text AS needle, CASE WHEN b.item_id % 5 = 4 THEN 'src1' ELSE d.source END AS source FROM benchmark b LEFT JOIN sparse s ON s.item_id = b.item_id AND s.rank = 2 LEFT JOIN documents d ON d.doc_id = s.doc_id),
+h AS (SELECT e.item_id, min(s.rank) FILTER (d.source = e.source AND contains(d.text, e.needle)) AS strict, min(s.rank) FILTER (d.source = e.source) AS by_source FROM e LEFT JOIN sparse s ON s.item_id = e.item_id LEFT JOIN documents d ON d.doc_id = s.doc_id GROUP BY 1)
+SELECT count(*) AS cases, round_even(avg(coalesce(strict <= 3, false)::INT::DOUBLE), 6) AS strict_recall_3, round_even(avg(coalesce(by_source <= 3, false)::INT::DOUBLE), 6) AS source_recall_3, round_even(avg(coalesce(1.0::DOUBLE / strict, 0)), 6) AS strict_mrr, round_even(avg(coalesce(1.0::DOUBLE / by_source, 0)), 6) AS source_mrr FROM h""")
+def evidence_recall(t):
+    """Hits of the expected source with the evidence in them, and of the source alone; every fifth case expects one source."""
+    ranking = sparse(t).join(t.documents.select("doc_id", "source", F.col("text").alias("content")), "doc_id")
+    second = ranking.filter("rank = 2").select(F.col("item_id").alias("_i"), F.col("source").alias("_s"))
+    cases = t.benchmark.join(second, F.col("item_id") == F.col("_i"), "left").select("item_id", F.col("text").alias("needle"), F.when(F.col("item_id") % 5 == 4, "src1").otherwise(F.col("_s")).alias("expected_source"))
+    h = op.evidence_hits(ranking, cases, "item_id", "source", "needle")
+    share = lambda c: F.bround(F.avg(F.coalesce(F.col(c) <= 3, F.lit(False)).cast("double")), 6)
+    mrr = lambda c: F.bround(F.avg(F.coalesce(1 / F.col(c).cast("double"), F.lit(0.0))), 6)
+    return h.agg(F.count("*").alias("cases"), share("strict").alias("strict_recall_3"), share("by_source").alias("source_recall_3"), mrr("strict").alias("strict_mrr"), mrr("by_source").alias("source_mrr"))
 
 
 FORMS = rf"""WITH RECURSIVE {CHUNKS.replace('WITH RECURSIVE d AS', 'WITH RECURSIVE d AS', 1)}, pieces AS (SELECT 'whole' AS form, CAST(doc_id AS VARCHAR) AS piece, text FROM documents UNION ALL SELECT 'chunk', doc_id || ':' || chunk_index, content FROM c WHERE n <= 200),

@@ -184,3 +184,13 @@ def trace_projection(t):
     usage = t.events.filter("event_id % 5 <> 2").select(F.col("event_id").alias("trace_id"), k.alias("tokens"))
     second = F.get("c", 1)
     return op.correlated(traces, usage).select("trace_id", F.when(F.col("c").isNotNull(), F.size("c")).cast("long").alias("candidates"), second["id"].alias("second_id"), second["score"].alias("score"), second["rerank_fallback"].alias("fell"), "tokens", "correlated")
+
+
+@query("""WITH r AS (SELECT q.vec_id AS id, d.vec_id AS person, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, d.vec_id) AS rank FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0),
+f AS (SELECT s_suppkey AS person FROM supplier WHERE s_acctbal > 0) SELECT id, person, row_number() OVER (PARTITION BY id ORDER BY rank) AS place, rank FROM (SELECT r.*, row_number() OVER (PARTITION BY id ORDER BY rank) AS p FROM r SEMI JOIN f USING (person)) WHERE p <= 3""")
+def ranked_available(t):
+    """A ranking over all, then the set of those available, and the first three that are left."""
+    every = t.embeddings.select(F.col("vec_id").alias("person"), "embedding")
+    ranking = op.dense(every, t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), "embedding"), "person", "id", None)
+    free = t.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("person"))
+    return op.first_available(ranking, free, "id", "person", 3).select("id", "person", "place", "rank")

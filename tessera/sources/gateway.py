@@ -1,8 +1,61 @@
-"""Outcomes of calls to a booking gateway, by status code; null stands for a timeout."""
+"""Booking gateways: one over the engine's own tables, one over a remote service by a function that calls it."""
 
-from pyspark.sql import Column
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import scheduling
+
 
 def outcome(code: Column) -> Column:
+    """Outcome of a call by its status code; null stands for a timeout."""
     return F.when(code.isNull() | (code >= 500), "unavailable").when(code == 409, "conflict").when(code >= 400, "request_error").otherwise("ok")
+
+
+class Gateway(Protocol):
+    """What a gateway answers for a batch of booking requests: (arrival, outcome)."""
+
+    def book(self, requests: DataFrame) -> DataFrame: ...
+
+
+class LocalGateway:
+    """Books against tables of people and busy intervals."""
+
+    def __init__(self, people: DataFrame, busy: list[DataFrame], now: Column):
+        self.people, self.busy, self.now = people, busy, now
+
+    def book(self, requests: DataFrame) -> DataFrame:
+        done = scheduling.booked(requests, self.people, self.busy, self.now)
+        own = F.when(F.col("outcome").isin("CREATED", "REPLAY"), "ok").when(F.col("outcome") == "CONFLICT", "conflict").otherwise("request_error")
+        return done.select("arrival", own.alias("outcome"))
+
+
+class RemoteGateway:
+    """Sends each request, a dictionary, through a function that returns a status code, or none for a timeout; the
+    function travels to the tasks."""
+
+    def __init__(self, call: Callable[[dict], int | None]):
+        self.call = call
+
+    def book(self, requests: DataFrame) -> DataFrame:
+        call = self.call
+
+        def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                codes = [call(row) for row in pdf.to_dict("records")]
+                yield pd.DataFrame({"arrival": pdf["arrival"], "code": pd.array(codes, dtype="Int64")})
+
+        return requests.mapInPandas(send, "arrival long, code long").select("arrival", outcome(F.col("code")).alias("outcome"))
+
+
+def gateway(kind: str, **options) -> Gateway:
+    """A gateway by name: local or remote; ValueError for another."""
+    kinds = {"local": LocalGateway, "remote": RemoteGateway}
+    if (key := (kind or "").strip().lower()) not in kinds:
+        raise ValueError(f"unknown gateway {kind!r}; known: {sorted(kinds)}")
+    return kinds[key](**options)

@@ -59,6 +59,31 @@ def rate_limited(stream: DataFrame, key: str, seconds: float = 60, most: int = 1
     return stream.groupBy(key).transformWithStateInPandas(AnchoredLimit(seconds, most), "id long, allowed boolean", "append", "none")
 
 
+class Conversation(StatefulProcessor):
+    """Keeps a conversation's messages and the agent at work, which a message without one doesn't change."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("conversation", "agent string, messages array<string>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        agent, messages = self.state.get() if self.state.exists() else (None, [])
+        messages, new = list(messages), 0
+        for pdf in rows:
+            for text, to in zip(*(pdf.sort_values("turn")[c] for c in ("text", "agent"))):
+                messages.append(text)
+                agent, new = to if isinstance(to, str) and to else agent, new + 1
+        self.state.update((agent, messages))
+        yield pd.DataFrame({"key": [str(key[0])], "agent": [agent], "messages": [len(messages)], "new": [new]})
+
+    def close(self) -> None:
+        pass
+
+
+def conversations(stream: DataFrame, key: str) -> DataFrame:
+    """(key, agent, messages, new) after each batch, for a stream with the key, turn, text and agent."""
+    return stream.groupBy(key).transformWithStateInPandas(Conversation(), "key string, agent string, messages long, new long", "update", "none")
+
+
 def run_once(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     """Work through all input that is there now into Parquet files under folder, with the checkpoint beside them.
 

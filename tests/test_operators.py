@@ -332,3 +332,56 @@ def test_streaming_rate_limit(spark, tmp_path):
     stream = spark.readStream.schema("id long, k string, at double").parquet(str(tmp_path / "in"))
     got = state.run_once(state.rate_limited(stream, "k", 60, 3), "append", str(tmp_path / "out"))
     assert [r.allowed for r in got.orderBy("id").collect()] == [True] * 3 + [False] * 3 + [True] * 2
+
+
+def test_conversation_state(spark, tmp_path):
+    from tessera.streaming import state
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "c string, turn long, text string, agent string"
+    seen = {}
+
+    def keep(batch, number):
+        seen.update({r.key: (r.agent, r.messages, r.new) for r in batch.collect()})
+
+    for part in ([("a", 1, "hi", "booking"), ("a", 2, "yes", None), ("b", 1, "x", None)], [("a", 3, "no", None)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = state.conversations(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "c")
+        stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    assert seen == {"a": ("booking", 3, 1), "b": (None, 1, 1)}
+
+
+def test_gateways(spark):
+    from tessera.sources import gateway
+
+    t = lambda h: dt.datetime(2026, 1, 1, h)
+    df = spark.createDataFrame([(1, "a", 7, t(10), 60), (2, "b", 7, t(10), 60), (3, "a", 7, t(10), 60), (4, "c", 8, t(10), 60)], "arrival long, request_key string, person long, start_time timestamp_ntz, minutes int")
+    people = spark.createDataFrame([(7, True)], "person long, enabled boolean")
+    local = gateway.gateway("local", people=people, busy=[], now=F.lit(dt.datetime(2025, 1, 1)).cast("timestamp_ntz"))
+    assert [r.outcome for r in local.book(df).orderBy("arrival").collect()] == ["ok", "conflict", "ok", "request_error"]
+    remote = gateway.gateway("Remote", call=lambda row: {1: 201, 2: 409, 3: 503}.get(row["arrival"]))
+    assert [r.outcome for r in remote.book(df).orderBy("arrival").collect()] == ["ok", "conflict", "unavailable", "unavailable"]
+    with pytest.raises(ValueError):
+        gateway.gateway("other")
+
+
+def test_service(spark):
+    from tessera import service
+
+    docs = spark.createDataFrame([(1, "s", "faq", "red apple", True, [1.0, 0.0]), (2, "s", "price", "green pear", True, [0.0, 1.0]), (3, "t", "faq", "old apple", False, [1.0, 0.0])], "doc_id long, source_id string, category string, text string, is_active boolean, embedding array<double>")
+    assert [r.doc_id for r in service.knowledge_entries(docs, category="faq", text="APPLE").collect()] == [1] and service.knowledge_entries(docs, inactive=True).count() == 3
+    asked = spark.createDataFrame([(9, "apple", [1.0, 0.0])], "item_id long, text string, embedding array<double>")
+    assert [r.doc_id for r in service.knowledge_search(docs, asked, k=1, category="price").collect()] == [2] and service.knowledge_search(docs, asked, k=2).count() == 2
+    assert service.knowledge_health(docs, docs).first().healthy is False
+    lines = spark.createDataFrame([('{"recorded_at": "2026-01-01T00:00:00Z", "usage": {"logical_calls": 2, "failed_calls": 1}, "cost": {"status": "calculated", "total_cny": 0.5}}',), ("oops",)], "value string")
+    summary, bad = service.recent_metrics(lines, "2025-01-01T00:00:00Z")
+    assert (summary.first().failed_call_rate, summary.first().cost_total, bad.count()) == (0.5, 0.5, 1)
+    events = spark.createDataFrame([(1, "appointment", at("2024-01-01 00:00")), (1, "appointment", at("2024-01-05 00:00")), (2, "consultation", at("2024-01-05 00:00"))], "u long, kind string, ts timestamp_ntz")
+    assert rows(service.user_analysis(events, "u", "kind", "ts", "2024-03-01 00:00:00").select("u", "total", "label", "remind")) == [(1, 2, "occasional_user", True), (2, 1, "occasional_user", False)]
+    busy = spark.createDataFrame([(1, at("2024-01-01 09:00"), at("2024-01-01 10:30")), (1, at("2024-01-02 00:00"), at("2024-01-02 01:00"))], "id long, start_time timestamp_ntz, end_time timestamp_ntz")
+    assert rows(service.day_schedule(busy, "id", "2024-01-01").select("from", "to")) == [("09:00", "10:30")]
+    people = spark.createDataFrame([(1, True), (2, True)], "id long, enabled boolean")
+    assert [r.id for r in service.availability(people, [busy], "id", F.lit(at("2024-01-01 10:00")).cast("timestamp_ntz"), 60).collect()] == [2]
+    old = spark.createDataFrame([(1, "s", "h", True, "faq")], "id long, source_id string, hash string, is_active boolean, category string")
+    plan, counts = service.knowledge_import(old, spark.createDataFrame([("s", "i", "faq")], "source_id string, hash string, category string"), ["category"])
+    assert rows(plan.select("action")) == [("deactivate",), ("insert",)] and counts.count() == 1
