@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import free_names, release, spread, stored
 
-ORDER, BLOCK, RUN = 5, 24 << 20, 2 << 20
+ORDER, BLOCK, RUN = 5, 16 << 20, 1 << 20
 #: Trusted ids are broadcast up to so many (16 bytes each), and shuffled beyond.
 BROADCAST_IDS = 1_000_000
 QUANTILE, MARGIN, LEAST_TRUSTED, PRIOR_BYTES = 0.99, 1.2, 20, 100
