@@ -132,18 +132,15 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = LENGTH) ->
     room = len(text) - order
     most = np.zeros(len(order), "i8")
     most[1:] = np.minimum(np.minimum(room[1:], room[:-1]), depth)
-    length, at, k = np.zeros(len(order), "i8"), np.flatnonzero(most), 0
+    length, at, k = most.copy(), np.flatnonzero(most), 0
     while len(at):
         differ = words[order[at] + k] ^ words[order[at - 1] + k]
-        same = np.zeros(len(at), "i8")  # leading zero bytes
-        for step in (4, 2, 1):
-            clear = differ >> np.uint64(64 - 8 * step) == 0
-            same[clear] += step
-            differ = np.where(clear, differ << np.uint64(8 * step), differ)
-        same[differ == 0] = 8
-        length[at] = np.minimum(k + same, most[at])
+        ends = differ != 0
+        place, bits = at[ends], differ[ends]
+        same = sum((bits < np.uint64(1 << (64 - 8 * n))).astype("i8") for n in range(1, 8))  # leading zero bytes
+        length[place] = np.minimum(k + same, most[place])
         k += 8
-        at = at[(same == 8) & (most[at] > k)]
+        at = at[~ends & (most[at] > k)]
     return length
 
 
