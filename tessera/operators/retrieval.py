@@ -77,6 +77,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str =
     split = docs.select(doc, tokens(F.col(text), cjk).alias("_t"))
     stats = split.agg(F.count("*").cast("double").alias("n"), (F.coalesce(F.sum(F.size("_t")), F.lit(0)) / F.count("*")).alias("avgdl"))
     postings = split.select(doc, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(few(terms), "term", "left_semi")
+    postings = postings.repartition(F.col(doc))  # the one shuffle of hits: a document's counts and scores are all local to it
     tf = postings.groupBy(doc, "dl", "term").agg(F.count("*").alias("tf"))
     if okapi:
         df = split.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"))
