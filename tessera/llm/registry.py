@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprint, lines
+from tessera.llm import codes, fingerprint, lines, phrases
+from tessera.llm.automaton import score_documents
 from tessera.llm.bpe import encode_documents
 from tessera.llm.common import table
 from tessera.llm.embeddings import near_vectors
@@ -58,7 +59,19 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lines, op2_fingerprints, op3_suffixes, op4_bpe, op5_html, op6_quality, op7_shards, op8_packing, op9_jaccard, op10_embeddings)
+    f.__name__: f for f in (op1_lines, op2_fingerprints, op3_suffixes, op4_bpe, op5_html, op6_quality, op7_shards, op8_packing, op9_jaccard, op10_embeddings, op11_codes, op12_phrases, op13_automaton)
 }
-SQL: dict[str, str] = {"op1_lines": lines.SQL, "op2_fingerprints": fingerprint.SQL}
+SQL: dict[str, str] = {"op1_lines": lines.SQL, "op2_fingerprints": fingerprint.SQL, "op11_codes": codes.SQL, "op12_phrases": phrases.SQL}
