@@ -40,7 +40,7 @@ SPACE = b" \t\n\x0b\x0c\r"
 FOLDS = 10
 ORDER, ADDED = 3, 0.1
 #: The weight of the lower order in tokens, by the n-gram's length from 2 on.
-LOWER_WEIGHT = (20.0, 3.0)
+LOWER_WEIGHT = (2000.0, 20.0)
 #: Tokens of a lane.
 LANE = 512
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
