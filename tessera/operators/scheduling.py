@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.relational import overlap
+from tessera.session import checkpointed
 
 HALF_HOUR = 30
 
@@ -78,51 +79,97 @@ def request_key(session: Column, person: Column, start: Column, end: Column) ->
     return F.sha2(F.concat_ws("|", session, person.cast("string"), iso(start), iso(end)), 256)
 
 
-def booked(requests: DataFrame, people: DataFrame, busy: list[DataFrame], now: Column, key: str = "request_key", person: str = "person", order: str = "arrival", start: str = "start_time", minutes: str = "minutes") -> DataFrame:
-    """The outcome of a batch of bookings: (order, outcome, error, replay_of).
+def key_error(key: Column, longest: int = 128) -> Column:
+    """Code of a request without a usable idempotency key; null for a usable one."""
+    return F.when(key.isNull() | key.rlike(r"^\p{javaWhitespace}*$") | (F.length(trimmed(key)) > longest), "INVALID_IDEMPOTENCY_KEY")
 
-    A later request with a key is a REPLAY of the first. A first one is INVALID by validation_error(), NOT_FOUND
-    where the person is unknown or not enabled, a CONFLICT where it overlaps an interval of `busy` or a request
-    accepted before it, else CREATED; a request that isn't accepted doesn't block later ones. Rows without a key are
-    requests of their own."""
+
+def trimmed(key: Column) -> Column:
+    """Without control characters and spaces at both ends."""
+    return F.regexp_replace(key, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
+def booked(requests: DataFrame, people: DataFrame, busy: list[DataFrame], now: Column, key: str = "request_key", person: str = "person", order: str = "arrival", start: str = "start_time", minutes: str = "minutes", earlier: DataFrame | None = None) -> DataFrame:
+    """The outcome of a batch of bookings: (order, outcome, error, replay_of, booking).
+
+    Keys are trimmed; a blank, missing or over-long one is INVALID. Only a booking that was made keeps its key: a
+    request is a REPLAY if its key is in `earlier` (key, booking), or of an accepted request before it in the batch;
+    one whose key was only refused so far is judged anew. It is INVALID by validation_error(), NOT_FOUND where the
+    person is unknown or not enabled, a CONFLICT where it overlaps an interval of `busy` or a request accepted
+    before it, else CREATED; a request that isn't accepted blocks nothing.
+
+    Persons are worked on apart. A key that names several persons couples them, so what its acceptance changes
+    elsewhere is found by repeating the pass over the persons that such keys name until nothing changes: each
+    decision depends on earlier ones only, so the result is that of one pass in order of arrival."""
     end = F.col(start) + F.make_dt_interval(F.lit(0), F.lit(0), F.col(minutes).cast("int"))
-    first = F.first(order).over(Window.partitionBy(F.coalesce(key, F.concat(F.lit("#"), F.col(order).cast("string")))).orderBy(order))
-    df = requests.withColumn("replay_of", F.when(first != F.col(order), first)).withColumn("error", validation_error(F.col(start), F.col(minutes), now)).withColumn("end_time", end)
+    df = requests.withColumn("_key", trimmed(F.col(key))).withColumn("_bad", key_error(F.col(key))).withColumn("error", F.coalesce("_bad", validation_error(F.col(start), F.col(minutes), now))).withColumn("end_time", end)
     known = people.filter("enabled").select(F.col(person).alias("_person")).distinct().withColumn("_known", F.lit(True))
     df = df.join(known, F.col(person) == F.col("_person"), "left")
+    if earlier is None:
+        df = df.withColumn("_replay", F.lit(False)).withColumn("booking", F.lit(None).cast("string"))
+    else:
+        before = earlier.select(trimmed(F.col("key")).alias("_earlier"), F.col("booking").cast("string").alias("booking")).groupBy("_earlier").agg(F.min("booking").alias("booking"))
+        df = df.join(before, F.col("_bad").isNull() & (F.col("_key") == F.col("_earlier")), "left").withColumn("_replay", F.col("_earlier").isNotNull())
     taken = F.lit(False)
     for k, b in enumerate(busy):
         times = b.select(F.col(person).alias("_p"), F.col("start_time").alias("_s"), F.col("end_time").alias("_e"))
         hits = df.join(times, (F.col(person) == F.col("_p")) & overlap(F.col("_s"), F.col("_e"), F.col(start), F.col("end_time"))).select(F.col(order).alias(f"_hit{k}")).distinct()
         df = df.join(hits, F.col(order) == F.col(f"_hit{k}"), "left")
         taken = taken | F.col(f"_hit{k}").isNotNull()
-    early = F.when(F.col("replay_of").isNotNull(), "REPLAY").when(F.col("error").isNotNull(), "INVALID").when(F.col("_known").isNull(), "NOT_FOUND").when(taken, "CONFLICT")
-    df = df.withColumn("outcome", early).select(order, person, start, "end_time", "outcome", "error", "replay_of")
-    asked = resolve(df.filter("outcome IS NULL"), person, order, start, "end_time")
-    done = asked.withColumn("outcome", F.when(F.col("accepted"), "CREATED").otherwise("CONFLICT")).drop("accepted")
-    return df.filter("outcome IS NOT NULL").unionByName(done).select(order, "outcome", "error", "replay_of")
-
-
-def resolve(requests: DataFrame, person: str, order: str, start: str, end: str) -> DataFrame:
+    early = F.when(F.col("_replay"), "REPLAY").when(F.col("error").isNotNull(), "INVALID").when(F.col("_known").isNull(), "NOT_FOUND").when(taken, "CONFLICT")
+    df = checkpointed(df.withColumn("outcome", early).select(order, person, start, "end_time", "outcome", "error", "booking", "_key", "_bad"))
+    asked = df.filter("outcome IS NULL").select(order, person, start, "end_time", "_key")
+    couples = checkpointed(asked.groupBy("_key").agg(F.min(person) != F.max(person)).toDF("_key", "_several").filter("_several").select("_key"))
+    if couples.isEmpty():
+        ok = checkpointed(resolve(asked, person, order, start, "end_time", "_key").filter("accepted").select(order, "_key"))
+    else:
+        touched = asked.join(couples, "_key", "left_semi").select(person).distinct()
+        alone = resolve(asked.join(touched, person, "left_anti"), person, order, start, "end_time", "_key")
+        alone = alone.filter("accepted").select(order, "_key")
+        some = checkpointed(asked.join(touched, person, "left_semi"))
+        facts = some.sparkSession.createDataFrame([], f"_key string, _since {some.schema[order].dataType.simpleString()}")
+        while True:
+            passed = checkpointed(resolve(some.join(facts, "_key", "left"), person, order, start, "end_time", "_key", "_since").filter("accepted").select(order, "_key"))
+            new = checkpointed(passed.join(couples, "_key", "left_semi").groupBy("_key").agg(F.min(order).alias("_since")))
+            same = new.join(facts, ["_key", "_since"], "left_anti").isEmpty() and facts.join(new, ["_key", "_since"], "left_anti").isEmpty()
+            facts = new
+            if same:
+                break
+        ok = alone.unionByName(passed)
+    first = ok.groupBy("_key").agg(F.min(order).alias("_first"))
+    made = ok.select(F.col(order).alias("_made"))
+    df = df.join(first, F.col("_bad").isNull() & df["_key"].eqNullSafe(first["_key"]), "left").drop(first["_key"]).join(made, F.col(order) == F.col("_made"), "left")
+    again = F.col("_first") < F.col(order)
+    outcome = F.when(F.col("outcome") == "REPLAY", "REPLAY").when(again, "REPLAY").when(F.col("outcome").isNotNull(), F.col("outcome")).when(F.col("_made").isNotNull(), "CREATED").otherwise("CONFLICT")
+    replayed = outcome == "REPLAY"
+    return df.select(order, outcome.alias("outcome"), F.when(~replayed, F.col("error")).alias("error"), F.when(again & F.col("booking").isNull(), F.col("_first")).alias("replay_of"), "booking")
+
+
+def resolve(requests: DataFrame, person: str, order: str, start: str, end: str, key: str | None = None, since: str | None = None) -> DataFrame:
     """First writer wins, in order of arrival, for each person: a request is accepted unless it overlaps one
     accepted before it. Sequential by nature: a rejected request doesn't block later ones. Adds `accepted`.
-    One person's requests of a batch meet in one task, streamed in sorted order: accepted intervals are kept
-    sorted, so each request costs a binary search; a task holds one person's accepted intervals, which can't overlap
-    and so are bounded by the time that bookings may reach ahead."""
+    With a key, a request isn't accepted after one of its key was, of the same person or, by the order in `since`, of
+    another. One person's requests of a batch meet in one task, streamed in sorted order: accepted intervals are kept
+    sorted, so each request costs a binary search; a task holds one person's accepted intervals (and their keys), which
+    can't overlap and so are bounded by the time that bookings may reach ahead."""
     import bisect
 
     def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, starts, ends = None, [], []
+        last, starts, ends, keys = None, [], [], set()
         for pdf in groups:
             accepted = []
-            for who, s, e in zip(pdf[person], pdf[start], pdf[end]):
+            own = pdf[key] if key else [None] * len(pdf)
+            barred = pdf[since].notna() & (pdf[since] < pdf[order]) if since else [False] * len(pdf)
+            for who, s, e, k, bar in zip(pdf[person], pdf[start], pdf[end], own, barred):
                 if who != last:
-                    last, starts, ends = who, [], []
+                    last, starts, ends, keys = who, [], [], set()
                 at = bisect.bisect_left(starts, e)
-                free = at == 0 or ends[at - 1] <= s
+                free = not bar and k not in keys and (at == 0 or ends[at - 1] <= s)
                 if free:
                     starts.insert(at, s)
                     ends.insert(at, e)
+                    if key:
+                        keys.add(k)
                 accepted.append(free)
             yield pdf.assign(accepted=accepted)
 

@@ -101,20 +101,23 @@ def booking_resolve(t):
     return op.resolve(df, "person", "arrival", "start_time", "end_time").select(F.col("arrival").alias("o_orderkey"), "accepted")
 
 
-@query(f"""WITH RECURSIVE a AS (SELECT o_orderkey, person, s, d, s + d * INTERVAL 1 MINUTE AS e, CASE WHEN o_orderkey % 11 = 0 THEN 'again' || o_orderkey // 33 ELSE 'own' || o_orderkey END AS k FROM {REQUESTS}),
-b AS (SELECT *, min(o_orderkey) OVER (PARTITION BY k) AS f FROM a),
-c AS (SELECT o_orderkey, person, s, e, CASE WHEN f <> o_orderkey THEN 'REPLAY' WHEN s <= TIMESTAMP '1996-06-01' THEN 'INVALID' WHEN person >= 45 THEN 'NOT_FOUND' WHEN EXISTS (SELECT 1 FROM nation WHERE n_nationkey = person AND s < TIMESTAMP '1997-07-01' AND e > TIMESTAMP '1997-01-01') THEN 'CONFLICT' END AS o FROM b),
+@query(f"""WITH RECURSIVE a AS (SELECT o_orderkey, person, s, s + d * INTERVAL 1 MINUTE AS e, CASE WHEN o_orderkey % 97 = 0 THEN '  ' WHEN o_orderkey % 101 = 0 THEN repeat('x', 129) WHEN o_orderkey % 3 = 0 THEN 'again' || person || '-' || o_orderkey // 3000 ELSE 'own' || o_orderkey END AS k FROM {REQUESTS}),
+c AS (SELECT o_orderkey, person, s, e, k, trim(k) = '' OR len(k) > 128 AS bad, CASE WHEN trim(k) = '' OR len(k) > 128 THEN 'INVALID' WHEN EXISTS (SELECT 1 FROM nation WHERE k = 'again' || n_nationkey || '-1') THEN 'REPLAY' WHEN s <= TIMESTAMP '1996-06-01' THEN 'INVALID' WHEN person >= 45 THEN 'NOT_FOUND' WHEN EXISTS (SELECT 1 FROM nation WHERE n_nationkey = person AND s < TIMESTAMP '1997-07-01' AND e > TIMESTAMP '1997-01-01') THEN 'CONFLICT' END AS o FROM a),
 q AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY o_orderkey) AS r FROM c WHERE o IS NULL),
-w AS (SELECT person, r, o_orderkey, true AS ok, [{{'s': s, 'e': e}}] AS held FROM q WHERE r = 1 UNION ALL
-SELECT q.person, q.r, q.o_orderkey, len(list_filter(w.held, lambda x: x.s < q.e AND x.e > q.s)) = 0, CASE WHEN len(list_filter(w.held, lambda x: x.s < q.e AND x.e > q.s)) = 0 THEN list_append(w.held, {{'s': q.s, 'e': q.e}}) ELSE w.held END FROM w JOIN q ON q.person = w.person AND q.r = w.r + 1)
-SELECT o_orderkey, o AS outcome FROM c WHERE o IS NOT NULL UNION ALL SELECT o_orderkey, CASE WHEN ok THEN 'CREATED' ELSE 'CONFLICT' END FROM w""")
+w AS (SELECT person, r, o_orderkey, k, true AS ok, [{{'s': s, 'e': e, 'k': k}}] AS held FROM q WHERE r = 1 UNION ALL
+SELECT q.person, q.r, q.o_orderkey, q.k, len(list_filter(w.held, lambda x: x.k = q.k OR (x.s < q.e AND x.e > q.s))) = 0, CASE WHEN len(list_filter(w.held, lambda x: x.k = q.k OR (x.s < q.e AND x.e > q.s))) = 0 THEN list_append(w.held, {{'s': q.s, 'e': q.e, 'k': q.k}}) ELSE w.held END FROM w JOIN q ON q.person = w.person AND q.r = w.r + 1),
+f AS (SELECT k, min(o_orderkey) AS first FROM w WHERE ok GROUP BY 1)
+SELECT c.o_orderkey, CASE WHEN bad THEN 'INVALID' WHEN c.o = 'REPLAY' OR f.first < c.o_orderkey THEN 'REPLAY' WHEN c.o IS NOT NULL THEN c.o WHEN w.ok THEN 'CREATED' ELSE 'CONFLICT' END AS outcome, CASE WHEN NOT bad AND c.o IS DISTINCT FROM 'REPLAY' AND f.first < c.o_orderkey THEN f.first END AS replay_of FROM c LEFT JOIN f USING (k) LEFT JOIN w ON w.o_orderkey = c.o_orderkey""")
 def booking_batch(t):
-    """Replays, invalid requests, unknown persons, times that are taken, and conflicts among the rest."""
-    key = F.when(F.col("again") == 0, F.concat(F.lit("again"), F.floor(F.col("arrival") / 33).cast("string"))).otherwise(F.concat(F.lit("own"), F.col("arrival").cast("string")))
+    """Blank and over-long keys, replays of bookings made earlier and in the batch (a key that was only refused is judged
+    anew), invalid requests, unknown persons, times that are taken, and conflicts among the rest."""
+    own = F.when(F.col("arrival") % 3 == 0, F.concat(F.lit("again"), F.col("person").cast("string"), F.lit("-"), F.floor(F.col("arrival") / 3000).cast("string"))).otherwise(F.concat(F.lit("own"), F.col("arrival").cast("string")))
+    key = F.when(F.col("arrival") % 97 == 0, "  ").when(F.col("arrival") % 101 == 0, F.repeat(F.lit("x"), 129)).otherwise(own)
     df = requests(t).withColumn("request_key", key)
     staff = t.spark.range(50).select(F.col("id").alias("person"), (F.col("id") < 45).alias("enabled"))
     busy = t.nation.select(F.col("n_nationkey").cast("long").alias("person"), at("1997-01-01 00:00:00").alias("start_time"), at("1997-07-01 00:00:00").alias("end_time"))
-    return op.booked(df, staff, [busy], at("1996-06-01 00:00:00")).select(F.col("arrival").alias("o_orderkey"), "outcome")
+    earlier = t.nation.select(F.concat(F.lit("again"), F.col("n_nationkey").cast("string"), F.lit("-1")).alias("key"), F.col("n_nationkey").alias("booking"))
+    return op.booked(df, staff, [busy], at("1996-06-01 00:00:00"), earlier=earlier).select(F.col("arrival").alias("o_orderkey"), "outcome", "replay_of")
 
 
 KEY = "sha256(o_orderpriority || '|' || o_custkey || '|' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '|' || strftime(o_orderdate + INTERVAL 30 MINUTE, '%Y-%m-%dT%H:%M:%S'))"

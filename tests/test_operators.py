@@ -1,6 +1,7 @@
 """Worked examples of the operators, on small inline tables."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,12 +119,38 @@ def test_rejected_requests_do_not_block(spark):
 
 def test_booking_batch(spark):
     t = lambda h, m=0: dt.datetime(2026, 1, 1, h, m)
-    asked = [(1, "k1", 7, t(10), 60), (2, "k1", 7, t(10), 60), (3, "k2", 7, t(10, 30), 60), (4, "k3", 7, t(11), 30), (5, "k4", 9, t(10), 30), (6, "k5", 7, t(10), 45), (7, "k6", 8, t(10), 30), (8, None, 7, t(12), 30), (9, None, 7, t(12), 30), (10, "k7", 8, t(9), 30)]
+    asked = [(1, "k1", 7, t(10), 60), (2, "k1", 7, t(10), 60), (3, "k2", 7, t(10, 30), 60), (4, "k3", 7, t(11), 30), (5, "k4", 9, t(10), 30), (6, "k5", 7, t(10), 45), (7, "k6", 8, t(10), 30), (8, None, 7, t(12), 30), (9, " \t", 7, t(12), 30), (10, "k7", 8, t(9), 30), (11, "k5", 7, t(14), 30), (12, "k5", 7, t(15), 30), (13, "old", 7, t(16), 30), (14, "k" * 129, 7, t(17), 30), (15, " k4 ", 7, t(18), 30)]
     df = spark.createDataFrame(asked, "arrival long, request_key string, person long, start_time timestamp_ntz, minutes int")
     people = spark.createDataFrame([(7, True), (8, True), (9, False)], "person long, enabled boolean")
     busy = spark.createDataFrame([(8, t(10), t(10, 30))], "person long, start_time timestamp_ntz, end_time timestamp_ntz")
-    got = scheduling.booked(df, people, [busy], F.lit(dt.datetime(2025, 1, 1)).cast("timestamp_ntz"))
-    assert [r.outcome for r in got.orderBy("arrival").collect()] == ["CREATED", "REPLAY", "CONFLICT", "CREATED", "NOT_FOUND", "INVALID", "CONFLICT", "CREATED", "CONFLICT", "CREATED"]
+    earlier = spark.createDataFrame([("old", "B1")], "key string, booking string")
+    got = scheduling.booked(df, people, [busy], F.lit(dt.datetime(2025, 1, 1)).cast("timestamp_ntz"), earlier=earlier).orderBy("arrival").collect()
+    assert [r.outcome for r in got] == ["CREATED", "REPLAY", "CONFLICT", "CREATED", "NOT_FOUND", "INVALID", "CONFLICT", "INVALID", "INVALID", "CREATED", "CREATED", "REPLAY", "REPLAY", "INVALID", "CREATED"]
+    assert [got[i].replay_of for i in (1, 11, 12)] == [1, 11, None] and got[12].booking == "B1" and got[7].error == "INVALID_IDEMPOTENCY_KEY"
+
+
+def test_keys_that_name_several_persons(spark):
+    rnd = random.Random(5)
+    day = dt.datetime(2026, 1, 1)
+    asked = [(i, f"k{rnd.randrange(60)}", rnd.randrange(8), day + dt.timedelta(minutes=30 * rnd.randrange(-2, 40)), 30 * rnd.randrange(1, 5)) for i in range(300)]
+    df = spark.createDataFrame(asked, "arrival long, request_key string, person long, start_time timestamp_ntz, minutes int")
+    people = spark.range(8).select(F.col("id").alias("person"), (F.col("id") < 7).alias("enabled"))
+    got = {r.arrival: (r.outcome, r.replay_of) for r in scheduling.booked(df, people, [], F.lit(day).cast("timestamp_ntz")).collect()}
+    held, keys, want = {}, {}, {}
+    for i, key, who, s, minutes in asked:
+        e = s + dt.timedelta(minutes=minutes)
+        if key in keys:
+            want[i] = ("REPLAY", keys[key])
+        elif s <= day:
+            want[i] = ("INVALID", None)
+        elif who == 7:
+            want[i] = ("NOT_FOUND", None)
+        elif any(a < e and b > s for a, b in held.get(who, [])):
+            want[i] = ("CONFLICT", None)
+        else:
+            want[i], keys[key] = ("CREATED", None), i
+            held.setdefault(who, []).append((s, e))
+    assert got == want
 
 
 def test_slot_proposals(spark):
