@@ -37,8 +37,6 @@ MAX_WORDS, MIN_COUNT, TOP, COVERED_PERCENT = 3, 10, 2000, 50
 SPACE, CUT = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Rows of the sketch; cells of a page as a power of two.
 ROWS, CELLS = 2, 22
-#: Candidates of a language that one task ranks before the last step.
-RANKED = 200_000
 
 
 def _levels(block: Block, max_words: int) -> tuple[list[str], list[Level], np.ndarray]:
@@ -152,9 +150,9 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
     whole = parts.groupBy("lang", F.array_join(F.slice(word, F.col("from"), F.col("size")), " ").alias("phrase")).agg(F.max("a").alias("whole"))
     left = best.join(whole, ["lang", "phrase"], "left").filter(F.col("whole").isNull() | (100 * F.col("whole") < covered_percent * F.col("a")))
     left = stored(left.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score")), "phrases-scored")
-    # Each task's best first, so that a language's last sort has a few thousand rows for every RANKED candidates.
+    # The best of random shares first: shares and the last sort both have about the square root of top x candidates.
     ranks = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    share = F.pmod(F.xxhash64("phrase"), F.lit(math.ceil(max(1, left.count()) / RANKED)))
+    share = F.pmod(F.xxhash64("phrase"), F.lit(math.ceil(math.sqrt(max(1, left.count()) / top))))
     some = left.withColumn("share", share).withColumn("rank", ranks("share")).filter(F.col("rank") <= top).drop("rank", "share")
     total = counts.filter("words = 0").select("lang", "n")
     some = some.withColumn("rank", ranks()).filter(F.col("rank") <= top)
