@@ -196,7 +196,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, weights: tuple[float, .
         release()
         return pa.concat_tables(parts) if parts else _NONE
 
-    return blocks.groupBy("block").cogroup(spread(answers.drop("types", "tokens"), "block").groupBy("block")).applyInArrow(score, SCHEMA)
+    return spread(blocks, "block").groupBy("block").cogroup(spread(answers.drop("types", "tokens"), "block").groupBy("block")).applyInArrow(score, SCHEMA)
 
 
 _NONE = pa.table({n: pa.array([], t) for n, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})

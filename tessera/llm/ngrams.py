@@ -116,11 +116,11 @@ class Level:
 def levels_of(first: np.ndarray, ids: np.ndarray, joined: np.ndarray, size: int, order: int) -> list[Level]:
     """The n-grams of 1 to `order` words. first: what tells words apart beside their number, such as a language's."""
     keys, of = np.unique(first * size + ids, return_inverse=True)
-    out, at = [Level(keys, size, of)], np.arange(len(ids))
+    out, at = [Level(keys, size, of.astype("i4"))], np.arange(len(ids))
     for k in range(1, order):
         at = at[joined[at + k - 1]] if len(at) else at
-        keys, inverse = np.unique(out[-1].of[at] * size + ids[at + k], return_inverse=True)
-        level = Level(keys, size, np.full(len(ids), -1))
+        keys, inverse = np.unique(out[-1].of[at].astype("i8") * size + ids[at + k], return_inverse=True)
+        level = Level(keys, size, np.full(len(ids), -1, "i4"))
         level.of[at] = inverse
         level.after = np.zeros(len(keys), "i8")
         level.after[inverse] = out[-1].of[at + 1]

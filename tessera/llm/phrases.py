@@ -104,11 +104,14 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int =
                 bits_of = {page - row * pages: data for page, data in answers if row * pages <= page < (row + 1) * pages}
                 full = [np.unpackbits(np.frombuffer(bits_of[k], "u1"), count=n) for k, n in zip(used.tolist(), sizes.tolist())]
                 frequent &= np.concatenate([*full, np.zeros(0, "u1")]).astype(bool)[of]
+                del cells, of, full
+            del hashes
             out += _found(block, langs, levels, frequent)
+            del block, levels
         release()
         return pa.concat_tables(out) if out else _FOUND.empty_table()
 
-    found = blocks.groupBy("block").cogroup(spread(bits_back, "block").groupBy("block")).applyInArrow(count, "lang string, words int, phrase string, n long")
+    found = spread(blocks, "block").groupBy("block").cogroup(spread(bits_back, "block").groupBy("block")).applyInArrow(count, "lang string, words int, phrase string, n long")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= min_count) | (F.col("words") == 0))
 
 
