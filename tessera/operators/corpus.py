@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import checkpointed
+from tessera.sources.commits import Table
+
 SIZE, OVERLAP, MOST = 500, 100, 200
 #: Fixed order of cut points, the strongest first.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", ".", "!", "?")
@@ -174,18 +177,26 @@ def deduplicated(df: DataFrame, source: str, hash_: str, order: str) -> DataFram
     return out.filter("_r = 1").drop("_r")
 
 
-def sync_plan(old: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
+#: What a sync refreshes in a chunk that is there already.
+SYNC_FIELDS = ["content", "category", "keywords", "source_name", "title", "chunk_index", "chunk_count", "version"]
+
+
+def sync_plan(old: DataFrame, new: DataFrame, fields: list[str], optional: list[str] | None = None) -> DataFrame:
     """One action for each row of a full outer merge of versions, by (source_id, hash).
 
     old: id, source_id, hash, is_active and fields; new: source_id, hash and fields, each pair once. insert,
     noop, update, reactivate, deactivate; surplus copies of a hash are deactivated; the active, then the
-    smallest id, is the one that stays. Inactive rows without a match stay as they are (no row)."""
+    smallest id, is the one that stays. Inactive rows without a match stay as they are (no row). `optional` fields
+    differ only where they are supplied."""
+    optional = optional or []
     best = F.row_number().over(Window.partitionBy("source_id", "hash").orderBy(F.desc("is_active"), F.asc("id")))
-    left = old.withColumn("_n", best).select("source_id", "hash", "id", "is_active", "_n", *(F.col(f).alias(f"_old_{f}") for f in fields))
+    left = old.withColumn("_n", best).select("source_id", "hash", "id", "is_active", "_n", *(F.col(f).alias(f"_old_{f}") for f in [*fields, *optional]))
     both = left.join(new.withColumn("_new", F.lit(True)), ["source_id", "hash"], "full")
     differs = F.lit(False)
     for f in fields:
         differs = differs | ~F.col(f"_old_{f}").eqNullSafe(F.col(f))
+    for f in optional:
+        differs = differs | (F.col(f).isNotNull() & ~F.col(f"_old_{f}").eqNullSafe(F.col(f)))
     action = (
         F.when(F.col("id").isNull(), "insert")
         .when(F.col("_new").isNull() | (F.col("_n") > 1), F.when(F.col("is_active"), "deactivate"))
@@ -196,6 +207,30 @@ def sync_plan(old: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
     return both.withColumn("action", action).filter("action IS NOT NULL").select("source_id", "hash", "id", "action")
 
 
+def applied_sync(table: Table, new: DataFrame, now: Column, fields: list[str] = SYNC_FIELDS, embedding: str = "embedding") -> tuple[int | None, dict[str, int]]:
+    """Make a stored table's sources what `new` says they are: (version, counts of imported, skipped, deactivated, changed).
+
+    The table has id (a string), source_id, hash, is_active, updated_at, the fields and an embedding, keyed by id in buckets
+    by source; new has source_id, hash, the fields and an embedding, each (source, hash) once. Sources that new doesn't
+    name stay as they are, and only the buckets of named ones are read or written. A chunk that is there keeps its id,
+    and its embedding where none is supplied. A sync that changes nothing makes no version."""
+    new = checkpointed(new)
+    sources = new.select("source_id").distinct()
+    old = table.read(only=table.buckets_of(sources)).join(sources, "source_id", "left_semi")
+    plan = checkpointed(sync_plan(old, new, fields, [embedding]))
+    counts = sync_counts(plan, totals=True).first()
+    todo = plan.filter("action <> 'noop'").select(F.col("source_id").alias("_s"), F.col("hash").alias("_h"), F.col("id").alias("_id"), "action")
+    rows = todo.join(old.select("id", "is_active", F.struct(*fields, embedding).alias("_old")), F.col("_id") == F.col("id"), "left").drop("id", "is_active")
+    rows = rows.join(new.select("source_id", "hash", F.struct(*fields, embedding).alias("_new")), (F.col("_s") == F.col("source_id")) & (F.col("_h") == F.col("hash")), "left")
+    off = F.col("action") == "deactivate"
+    pick = lambda f: F.when(off, F.col(f"_old.{f}")).otherwise(F.col(f"_new.{f}")).alias(f)
+    id_ = F.coalesce("_id", F.sha2(F.concat("_s", F.lit("\0"), "_h"), 256)).alias("id")
+    kept = F.when(off, F.col(f"_old.{embedding}")).otherwise(F.coalesce(f"_new.{embedding}", f"_old.{embedding}")).alias(embedding)
+    changes = rows.select(id_, F.col("_s").alias("source_id"), F.col("_h").alias("hash"), (~off).alias("is_active"), now.alias("updated_at"), *map(pick, fields), kept)
+    version, _ = table.merge(checkpointed(changes))
+    return version, {k: counts[k] for k in ("imported", "skipped", "deactivated", "changed")}
+
+
 def sync_counts(plan: DataFrame, totals: bool = False) -> DataFrame:
     """Counts of a sync by source, or with totals, of the whole batch."""
     n = lambda *kinds: F.count_if(F.col("action").isin(*kinds))

@@ -1,11 +1,15 @@
 """Corpus queries over documents."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import corpus as op
 from tessera.operators.relational import set_comparison
 from tessera.plans.base import query
 from tessera.plans.retrieval import spread
+from tessera.session import shared_folder
+from tessera.sources.commits import Table
 
 HASH = r"sha256(trim(regexp_replace(text, '\s+', ' ', 'g')))"
 NORMAL = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(ltrim(text, chr(65279)), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t\f\v]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
@@ -102,6 +106,30 @@ def sync_totals(t):
     return op.sync_counts(plan(t), totals=True)
 
 
+#: Which fields of the sync below differ: category by language, version by id, embedding where one is supplied.
+APPLIED = """WITH o AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, source AS source_id, md5(text) AS hash, doc_id % 6 <> 0 AS is_active, lang AS category, 'v' || doc_id % 3 AS version, [doc_id % 7] AS embedding FROM documents WHERE doc_id % 10 <> 3 AND source <> 'src1'
+UNION ALL SELECT 'x' || doc_id, doc_id, source, md5('gone' || doc_id), true, lang, 'v0', [1] FROM documents WHERE doc_id % 10 = 3),
+n AS (SELECT source AS source_id, md5(text) AS hash, min(lang) AS category, 'v' || min(doc_id) % 2 AS version, CASE WHEN min(doc_id) % 4 = 0 THEN [min(doc_id) % 5] END AS embedding FROM documents WHERE source <> 'src2' AND doc_id % 9 <> 4 GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY source_id, hash ORDER BY is_active DESC, id) AS r FROM o),
+f AS (SELECT coalesce(id, sha256(coalesce(p.source_id, n.source_id) || chr(0) || coalesce(p.hash, n.hash))) AS id, coalesce(p.source_id, n.source_id) AS source_id, coalesce(p.hash, n.hash) AS hash, n.hash IS NOT NULL AND coalesce(r, 1) = 1 AS matched, p.source_id IN (SELECT source_id FROM n) AS named, p.is_active AS was, p.category AS c0, n.category AS c1, p.version AS v0, n.version AS v1, p.embedding AS e0, n.embedding AS e1 FROM p FULL JOIN n ON n.source_id = p.source_id AND n.hash = p.hash)"""
+
+
+@query(f"{APPLIED} SELECT id, source_id, hash, CASE WHEN matched THEN true WHEN named THEN false ELSE was END AS is_active, CASE WHEN matched THEN c1 ELSE c0 END AS category, CASE WHEN matched THEN v1 ELSE v0 END AS version, CAST(CASE WHEN matched THEN coalesce(e1, e0) ELSE e0 END[1] AS BIGINT) AS embedding, 2 AS versions FROM f")
+def sync_applied(t):
+    """A stored table after two syncs with the same chunks, of which the second changes nothing: its rows and versions."""
+    d = t.documents.withColumn("hash", F.md5("text"))
+    fixed = [F.col("text").alias("content"), F.array("lang").alias("keywords"), F.col("source").alias("source_name"), F.col("source").alias("title"), F.lit(0).alias("chunk_index"), F.lit(1).alias("chunk_count")]
+    held = d.filter("doc_id % 10 <> 3 AND source <> 'src1'").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"), "hash", (F.col("doc_id") % 6 != 0).alias("is_active"), F.lit("2024-01-01").alias("updated_at"), F.col("lang").alias("category"), F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string")).alias("version"), F.array(F.col("doc_id") % 7).alias("embedding"), *fixed)
+    gone = d.filter("doc_id % 10 = 3").select(F.concat(F.lit("x"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("source_id"), F.md5(F.concat(F.lit("gone"), F.col("doc_id").cast("string"))).alias("hash"), F.lit(True).alias("is_active"), F.lit("2024-01-01").alias("updated_at"), F.col("lang").alias("category"), F.lit("v0").alias("version"), F.array(F.lit(1).cast("long")).alias("embedding"), *fixed)
+    new = d.filter("source <> 'src2' AND doc_id % 9 <> 4").groupBy("source", "hash").agg(F.min("lang").alias("category"), F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    new = new.select(F.col("source").alias("source_id"), "hash", "category", F.concat(F.lit("v"), (F.col("doc_id") % 2).cast("string")).alias("version"), F.when(F.col("doc_id") % 4 == 0, F.array(F.col("doc_id") % 5)).alias("embedding"), F.col("text").alias("content"), F.array("category").alias("keywords"), F.col("source").alias("source_name"), F.col("source").alias("title"), F.lit(0).alias("chunk_index"), F.lit(1).alias("chunk_count"))
+    table = Table(t.spark, f"{shared_folder(t.spark)}/chunks-{uuid.uuid4().hex}", "id", 16, by="source_id")
+    table.replace(held.unionByName(gone))
+    for day in ("2024-02-01", "2024-03-01"):
+        op.applied_sync(table, new, F.lit(day))
+    return table.read().select("id", "source_id", "hash", "is_active", "category", "version", F.get("embedding", F.lit(0)).alias("embedding"), F.lit(len(table.log.versions())).alias("versions"))
+
+
 @query(rf"""WITH {CHUNKS} SELECT count(DISTINCT doc_id) AS document_count, count(*) AS chunk_count FROM c WHERE n <= 200""")
 def manifest_totals(t):
     return op.manifest_totals(op.manifest(chunked(t).filter("error IS NULL"), "doc_id", "chunk_index", "content"))

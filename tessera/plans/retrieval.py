@@ -1,9 +1,13 @@
 """Retrieval queries: benchmark items ask, documents answer; embeddings serve as the dense channel."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as op
+from tessera.operators.index import InvertedIndex
 from tessera.plans.base import query
+from tessera.session import shared_folder
 
 BM25 = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1),
@@ -51,6 +55,21 @@ def bm25_topk(t):
     return sparse(t).filter("rank <= 10").select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+def earlier(t):
+    """What the documents may have been: some with other texts, some not there yet, and some that went."""
+    d = t.documents.select("doc_id", "text")
+    return d.filter("doc_id % 10 <> 4").select("doc_id", F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("before "), F.reverse("text"))).otherwise(F.col("text")).alias("text")).unionByName(d.filter("doc_id % 10 = 5").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "text"))
+
+
+@query(f"WITH {BM25} SELECT item_id, doc_id, rank, round(score, 6) AS score FROM sparse WHERE rank <= 10")
+def bm25_indexed(t):
+    """From a stored index of earlier documents, brought up to date by one refresh."""
+    index = InvertedIndex(t.spark, f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}", 16)
+    index.refresh(earlier(t))
+    index.refresh(t.documents)
+    return index.search(t.benchmark.select("item_id", "text"), "item_id", 10).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(("WITH " + BM25.replace("ln(1 + (n - df + 0.5) / (df + 0.5))", "idf").replace("qt AS (", "i0 AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS i FROM df, st), ix AS (SELECT term, CASE WHEN i < 0 THEN (SELECT avg(i) * 0.25 FROM i0) ELSE i END AS idf FROM i0), qt AS (").replace("JOIN df USING (term) JOIN dl", "JOIN ix USING (term) JOIN dl")) + " SELECT item_id, doc_id, rank, round(score, 6) AS score FROM sparse WHERE rank <= 10")
 def bm25_okapi_topk(t):
     return sparse(t, True).filter("rank <= 10").select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))

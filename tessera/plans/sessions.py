@@ -1,12 +1,12 @@
 """Session and stream queries over conversations and events."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tessera.operators import sessions as op
 from tessera.plans.base import query
+from tessera.session import shared_folder
 from tessera.streaming import state
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -126,13 +126,7 @@ def stream(t):
 
 
 def once(df, mode):
-    """Through files in the shared folder (spark.checkpoint.dir); a temporary one only in a session of one process."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not df.sparkSession.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = tempfile.mkdtemp(prefix="stream-")
-    return state.run_once(df, mode, f"{base}/stream-{uuid.uuid4().hex}")
+    return state.run_once(df, mode, f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}")
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.commits import Log, Table
+
 SUFFIXES = ("md", "markdown", "txt")
 
 
@@ -29,32 +29,22 @@ def decode_uploads(files: DataFrame, name: str = "name", content: str = "content
     return files.withColumn("error", error).withColumn("text", F.when(F.col("error").isNull(), text))
 
 
-def write_snapshot(df: DataFrame, folder: str) -> str:
-    """Write a new immutable version of a table; readers take the newest complete one."""
-    path = f"{folder}/version={time.time_ns()}"
-    df.write.parquet(path)
-    return path
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return len(spark.read.format("binaryFile").load(path).select("path").limit(1).collect()) > 0
-    except AnalysisException:
-        return False
+def write_snapshot(df: DataFrame, folder: str, since: int | None = None) -> int:
+    """Write a new immutable version of a table; its number. With `since`, ConcurrentCommit if that isn't the newest."""
+    return Table(df.sparkSession, folder).replace(df, since)
 
 
 def generation(spark: SparkSession, folder: str) -> int | None:
-    """The newest version of a table, which is its generation; none without one. A version's files appear when its
-    write commits."""
-    try:
-        return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).agg(F.max("version")).first()[0]
-    except AnalysisException:  # there is no such folder
-        return None
+    """The newest version of a table, which is its generation; none without one."""
+    return Log(spark, folder).newest()
 
 
 def read_snapshot(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
-    newest = version if version is not None else generation(spark, folder)
-    return spark.read.parquet(f"{folder}/version={newest}")
+    """A version's rows; ValueError for an unknown one."""
+    found = Table(spark, folder).read(version)
+    if found is None:
+        raise ValueError(f"no version in {folder}")
+    return found
 
 
 def refreshed(spark: SparkSession, folder: str, held: int | None, load: Callable[[DataFrame], DataFrame], tries: int = 3) -> tuple[int | None, DataFrame | None]:
@@ -70,11 +60,14 @@ def refreshed(spark: SparkSession, folder: str, held: int | None, load: Callable
     raise ValueError(f"{folder} changed {tries} times while it was read")
 
 
-def restore_snapshot(spark: SparkSession, folder: str, version: int) -> str:
-    """Make an earlier version the newest; the present one stays as a safety copy. ValueError for an unknown one."""
-    if not _exists(spark, f"{folder}/version={version}"):
+def restore_snapshot(spark: SparkSession, folder: str, version: int) -> int:
+    """Make an earlier version the newest, without writing its rows again; the present one stays as a safety copy.
+    ValueError for an unknown one."""
+    log = Log(spark, folder)
+    newest = log.newest()
+    if version not in log.versions():
         raise ValueError(f"no version {version} in {folder}")
-    return write_snapshot(read_snapshot(spark, folder, version), folder)
+    return log.commit(log.entry(version), newest)
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:

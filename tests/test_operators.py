@@ -69,7 +69,7 @@ def test_snapshots(spark, tmp_path):
     first = files.write_snapshot(spark.range(3), str(tmp_path / "t"))
     files.write_snapshot(spark.range(5), str(tmp_path / "t"))
     assert files.read_snapshot(spark, str(tmp_path / "t")).count() == 5
-    files.restore_snapshot(spark, str(tmp_path / "t"), int(first.split("=")[1]))
+    files.restore_snapshot(spark, str(tmp_path / "t"), first)
     assert files.read_snapshot(spark, str(tmp_path / "t")).count() == 3
 
 
