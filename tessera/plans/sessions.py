@@ -129,6 +129,40 @@ def once(df, mode):
     return state.run_once(df, mode, f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}")
 
 
+def keyed(t):
+    return stream(t).select(F.col("event_id").alias("id"), "user_id", "ts")
+
+
+@query(ANCHORED.replace("$span", "INTERVAL 12 HOUR") + " SELECT event_id, CAST(n AS BIGINT) AS n, n <= 2 AS allowed FROM w")
+def stream_rate_limit(t):
+    """rate_limit_anchored() as a stream whose keys are forgotten after their span."""
+    return once(state.rate_limited(keyed(t), "user_id", "ts", "2 days", 12 * 3600, 2), "append").select(F.col("id").alias("event_id"), "n", "allowed")
+
+
+@query(ANCHORED.replace("$span", "INTERVAL 24 HOUR") + " SELECT event_id, n > 1 AS duplicate FROM w")
+def stream_idempotent(t):
+    """idempotent_first() as a stream: a submission is known for a day after the first."""
+    return once(state.rate_limited(keyed(t), "user_id", "ts", "2 days", 86400), "append").select(F.col("id").alias("event_id"), (F.col("n") > 1).alias("duplicate"))
+
+
+@query("""SELECT user_id, opened, n FROM (SELECT user_id, session, min(ts) AS opened, max(ts) AS last, count(*) AS n, lead(min(ts)) OVER (PARTITION BY user_id ORDER BY session) AS after FROM (SELECT *, sum(CASE WHEN ts - p > INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session
+FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, session) WHERE after IS NOT NULL OR last + INTERVAL 1 HOUR < (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+def stream_sessions(t):
+    """session_ttl() as a stream: a session is written when its time to live has passed, by an event or by the watermark."""
+    return once(state.expired_sessions(keyed(t), "user_id", "ts", 3600, "2 days"), "append").select(F.col("key").alias("user_id"), F.col("opened").cast("timestamp_ntz").alias("opened"), "n")
+
+
+@query("SELECT conv_id, coalesce(arg_max(CASE WHEN turn % 3 = 1 THEN role || turn END, turn) FILTER (turn % 3 = 1), 'none') AS agent, count(*) AS messages, count(*) FILTER (later OR NOT more) AS new FROM (SELECT *, turn >= 3 AS later, max(turn) OVER (PARTITION BY conv_id) >= 3 AS more FROM conversations) GROUP BY 1")
+def stream_conversations(t):
+    """Conversations whose first three turns and whose others come in two runs; the second goes on from the checkpoint."""
+    folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    df = t.conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "text", F.when(F.col("turn") % 3 == 1, F.concat("role", F.col("turn").cast("string"))).alias("agent"))
+    for part in (df.filter("turn < 3"), df.filter("turn >= 3")):
+        part.write.mode("append").parquet(f"{folder}/in")
+        got = state.run_once(state.conversations(t.spark.readStream.schema(df.schema).parquet(f"{folder}/in"), "conv_id"), "update", folder, "key")
+    return got.select(F.col("key").cast("long").alias("conv_id"), F.coalesce("agent", F.lit("none")).alias("agent"), "messages", "new")
+
+
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
 def stream_usage_by_stage(t):
     return once(state.counts_by(stream(t), ["event_type"], "value"), "complete")

@@ -351,31 +351,52 @@ def test_split_problems(spark):
     assert rows(evaluation.split_problems(t(1, 1, 2), t(2, 9), t(1, 2, 3), "id")) == [("duplicate", 1), ("overlap", 2), ("unassigned", 3), ("unknown", 9)]
 
 
-def test_streaming_rate_limit(spark, tmp_path):
+def test_streaming_rate_limit_forgets(spark, tmp_path):
     from tessera.streaming import state
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    spark.createDataFrame([(i, "k", float(i * 10)) for i in range(8)], "id long, k string, at double").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id long, k string, at double").parquet(str(tmp_path / "in"))
-    got = state.run_once(state.rate_limited(stream, "k", 60, 3), "append", str(tmp_path / "out"))
+    moment = lambda seconds: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=seconds)
+    folder, schema = str(tmp_path / "out"), "id long, k string, ts timestamp"
+
+    def run(rows_):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        return state.run_once(state.rate_limited(stream, "k", "ts", "5 seconds", 60, 3), "append", folder)
+
+    got = run([(i, "k", moment(i * 10)) for i in range(8)])
     assert [r.allowed for r in got.orderBy("id").collect()] == [True] * 3 + [False] * 3 + [True] * 2
+    assert state.kept_state(spark, folder, "window").count() == 1
+    got = run([(9, "other", moment(1000))])
+    assert [r.n for r in got.orderBy("id").collect()] == [1, 2, 3, 4, 5, 6, 1, 2, 1]
+    kept = state.kept_state(spark, folder, "window").select("key.*").collect()
+    assert [r[0] for r in kept] == ["other"]  # the span of k is over
 
 
-def test_conversation_state(spark, tmp_path):
+def test_sessions_expire(spark, tmp_path):
     from tessera.streaming import state
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    schema = "c string, turn long, text string, agent string"
-    seen = {}
+    moment = lambda seconds: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=seconds)
+    folder, schema = str(tmp_path / "out"), "k string, ts timestamp"
+
+    def run(rows_):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        return state.run_once(state.expired_sessions(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "k", "ts", 60, "0 seconds"), "append", folder)
 
-    def keep(batch, number):
-        seen.update({r.key: (r.agent, r.messages, r.new) for r in batch.collect()})
+    run([("a", moment(0)), ("a", moment(60)), ("a", moment(200)), ("b", moment(210))])
+    got = run([("a", moment(240)), ("c", moment(500))])
+    assert sorted((r.key, r.n) for r in got.collect()) == [("a", 2), ("a", 2), ("b", 1)]
+    assert [r[0] for r in state.kept_state(spark, folder, "session").select("key.*").collect()] == ["c"]
+
+
+def test_conversation_state(spark, tmp_path):
+    from tessera.streaming import state
 
-    for part in ([("a", 1, "hi", "booking"), ("a", 2, "yes", None), ("b", 1, "x", None)], [("a", 3, "no", None)]):
+    schema, folder = "c string, turn long, text string, agent string", str(tmp_path / "out")
+    for part in ([("a", 1, "hi", "booking"), ("a", 2, "yes", None), ("b", 1, "x", None)], [("a", 3, None, None)]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = state.conversations(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "c")
-        stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    assert seen == {"a": ("booking", 3, 1), "b": (None, 1, 1)}
+        got = state.run_once(state.conversations(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "c"), "update", folder, "key")
+    assert {r.key: (r.agent, r.messages, r.new) for r in got.collect()} == {"a": ("booking", 3, 1), "b": (None, 1, 1)}
+    kept = state.kept_state(spark, folder, "messages")
+    assert kept.count() == 4
 
 
 def test_gateways(spark):
