@@ -6,13 +6,21 @@ largest sum under body is the article's container, and the smallest density on i
 threshold: nodes outside the container that hang on this path belong to the text from that density on,
 headings there always.
 
-Names weigh, density decides. What menus, page headers and footers, sidebars, notices, adverts, forms and
-reader comments are usually called (element, role, class or id; a part of a name counts on elements that only
-group others) divides the density of that node and of all below it by LIGHT; an article or main element
-multiplies it by HEAVY, once. So an article keeps its text whatever it is called, as long as nothing else on the
-page outweighs it. A node whose
-name weighs on it goes if what is left of its density is below the container's own; nothing else inside the
-container goes. An article's own header stays, as do headings. Scripts, styles, form controls and embedded objects have no text.
+Densities decide, names only weigh. What menus, page headers and footers, sidebars, notices, adverts, forms and
+reader comments are usually called divides the density of that node and of all below it by LIGHT; an article or main
+element multiplies it by HEAVY, once. Such names are elements (nav, aside, ...), and on elements that only group
+others a class, id or role of one such word, or a compound whose head (its last word but for `area`, `box` and
+the like) is one, as in `site-footer`; other parts of compounds (`share-holders`, `related-posts`) weigh too, but
+what `has` or goes `with` a part isn't one. No name weighs on inline elements, paragraphs,
+preformatted text or anything else that holds running text, and hidden parts weigh like names.
+
+Inside the container a named node goes only if what is left of its density is below the container's own and
+either a third of its characters are links (half where its name is a compound, two thirds where the head isn't
+such a word), or, unless only a part of its name is one, its place says so: it stands beside the container's blocks, not
+within a paragraph, list or quotation, and where its name is a compound, all of the container's plain text comes
+before or after it. Nothing else inside the container goes. Outside of it the same
+weighed densities are compared with the threshold, so there a name can tip the balance. An article's own header
+stays, as do headings. Scripts, styles, form controls and embedded objects have no text.
 
 Cases: a null or empty page, and one without text, gives the empty text; broken markup (unclosed or
 stray tags, open comments, tags cut off at the end) is parsed the way browsers recover; repeated rows are
@@ -37,8 +45,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements without text of their own, and those that are usually no article text.
 MUTE = frozenset("script style noscript template button select option textarea input iframe object embed svg canvas audio video head title".split())
 ASIDE = frozenset("nav header footer aside form fieldset label menu dialog".split())
-#: Elements that only group others; a part of a name weighs on these alone.
-GROUPS = frozenset("div section ul ol dl table td center details aside nav form span".split())
+#: Elements that only group others; names weigh on these alone.
+GROUPS = frozenset("div section ul ol dl table center details aside nav form".split())
+#: Elements that a named node may stand in and still be beside the container's blocks.
+AROUND = frozenset("div section center details aside nav form article main body html #root header footer".split())
+#: Last words of compounds that say nothing of their own.
+GENERIC = frozenset("area bar block box container content group holder inner item items list panel section wrap wrapper".split())
 #: How much a name takes from a density, and what an article or main element adds to it.
 LIGHT, HEAVY = 20.0, 10.0
 #: Words of class, id and role attributes for what is usually no article text.
@@ -52,40 +64,59 @@ _TAG = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'
 _HINT = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
-#: Words before a noise word that say whether a page has such a part, not that the node is one.
+#: Words of compounds that say whether a page has such a part, not that the node is one.
 _ABOUT = frozenset("has with no without".split())
+#: What says that a node is noise: nothing, a part of a compound, its head, a whole name or an element, being hidden.
+PLAIN, PART, COMPOUND, WHOLE, HIDDEN = range(5)
 _ENDS_P = BLOCK
 _SELF = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 _SCOPE = frozenset("table td th html body template".split())
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "parent", "sum", "tag", "tags", "weight")
+    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "noise", "parent", "sum", "tag", "tags", "weight")
 
-    def __init__(self, tag: str, parent: Node | None, weight: float = 1.0):
-        self.tag, self.parent, self.weight = tag, parent, weight
+    def __init__(self, tag: str, parent: Node | None, weight: float = 1.0, noise: int = PLAIN):
+        self.tag, self.parent, self.weight, self.noise = tag, parent, weight, noise
         self.children: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def weight_of(tag: str, attributes: str, parent: Node) -> float:
-    """By how much a node's element and names change its density."""
+def noise_of(tag: str, attributes: str) -> int:
+    """What a node's element and names say about it."""
+    if tag in HEADINGS or tag in ("html", "body"):
+        return PLAIN
     if tag in ASIDE:
+        return WHOLE
+    if not attributes.strip():
+        return PLAIN
+    if _HIDDEN.search(attributes):
+        return HIDDEN
+    if tag not in GROUPS:
+        return PLAIN
+    found = PLAIN
+    for m in _HINT.finditer(attributes):
+        for name in m[1].lower().strip("\"'").split():
+            words = _WORDS.findall(name)
+            compound = len(words) > 1
+            while len(words) > 1 and words[-1] in GENERIC:
+                words.pop()
+            if any(w in NOISE_WORDS and (not i or words[i - 1] not in _ABOUT) for i, w in enumerate(words)):
+                head = words[-1] in NOISE_WORDS and not _ABOUT & {*words}
+                found = max(found, PART if not head else COMPOUND if compound else WHOLE)
+    return found
+
+
+def weight_of(tag: str, noise: int, parent: Node) -> float:
+    """By how much a node's density counts more or less than its parent's."""
+    if noise:
         return 1 / LIGHT
     if tag in ("article", "main"):
         while parent is not None and parent.tag not in ("article", "main"):
             parent = parent.parent
         return 1.0 if parent else HEAVY
-    if tag in HEADINGS or tag in ("html", "body") or not attributes.strip():
-        return 1.0
-    if _HIDDEN.search(attributes):
-        return 1 / LIGHT
-    names = [_WORDS.findall(name) for m in _HINT.finditer(attributes) for name in m[1].lower().strip("\"'").split()]
-    if any(len(words) == 1 and words[0] in NOISE_WORDS for words in names):
-        return 1 / LIGHT
-    part = any(w in NOISE_WORDS and (not i or words[i - 1] not in _ABOUT) for words in names for i, w in enumerate(words))
-    return 1 / LIGHT if part and tag in GROUPS else 1.0
+    return 1.0
 
 
 def parse(page: str) -> Node:
@@ -126,7 +157,8 @@ def parse(page: str) -> Node:
                 node = node.parent
             if found:
                 open_ = found.parent
-        node = Node(tag, open_, weight_of(tag, attributes, open_) * open_.weight)
+        noise = noise_of(tag, attributes)
+        node = Node(tag, open_, weight_of(tag, noise, open_) * open_.weight, noise)
         open_.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -189,6 +221,8 @@ def blocks(path: list[Node]) -> list[str]:
     threshold = min(n.density for n in path)
     out: list[str] = []
     run: list[str] = []
+    places: dict[int, int] = {}  # of the container's nodes, in page order
+    plain: list[int] = []  # how many of them have begun before each plain text
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(run)).split())
@@ -196,14 +230,49 @@ def blocks(path: list[Node]) -> list[str]:
             out.append(text)
         run.clear()
 
+    def beside(node: Node) -> bool:
+        """Whether it stands beside the container's blocks."""
+        above = node.parent
+        while id(above) not in on_path:
+            if above.tag not in AROUND:
+                return False
+            above = above.parent
+        return True
+
+    def at_edge(node: Node) -> bool:
+        """Whether all plain text of the container comes before or all of it after the node."""
+        if not places:
+            inside = [(best, False)]
+            while inside:
+                item, named = inside.pop()
+                if isinstance(item, str):
+                    plain.append(len(places)) if item.strip() and not named else None
+                    continue
+                named = named or (item is not best and item.noise > PLAIN and item.weight < best.weight)
+                places[id(item)] = len(places)
+                inside += [(c, named) for c in reversed(item.children) if isinstance(c, str) or c.tag not in MUTE]
+        at = places.get(id(node))
+        return at is None or not plain or at >= plain[-1] or at < plain[0]
+
     def kept(node: Node, base: float) -> bool:
         """base: the weight of its closest ancestor on the path."""
         if node.tag in MUTE or id(node) in on_path:
             return node.tag not in MUTE
-        if node.weight < base:  # its name weighs on it
-            return node.density * node.weight / base >= max(threshold, best.density)
-        hangs = node.parent is not best and id(node.parent) in on_path
-        return not hangs or node.tag in HEADINGS or node.tag in INLINE or node.density >= threshold
+        below_path = id(node.parent) in on_path and node.parent is not best
+        if node.noise and node.weight < base:
+            if below_path:
+                return node.density * node.weight / base >= threshold
+            if node.density * node.weight / base >= max(threshold, best.density):
+                return True
+            if node.noise == HIDDEN:
+                return False
+            links = node.link_chars / max(node.chars, 1)
+            if node.noise == PART:
+                return links < 2 / 3
+            if node.noise == COMPOUND:
+                return links < 1 / 2 and not (beside(node) and at_edge(node))
+            return links < 1 / 3 and not beside(node)
+        return not below_path or node.tag in HEADINGS or node.tag in INLINE or node.density >= threshold
 
     todo: list = [(path[-1], False, 1.0)]
     while todo:

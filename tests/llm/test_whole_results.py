@@ -106,6 +106,101 @@ def test_large_noise_beside_an_article_stays_out():
     assert html.extract(f'<body><main><p>Short text.</p></main><section class="sidebar">{TEXT * 3}</section></body>') == "Short text."
 
 
+LONG = "<p>A paragraph with a good deal of text in it, and then some more of it.</p>"
+
+
+@pytest.mark.parametrize("inside, words", [
+    ('<p>It is <b class="related">closely related</b> to it.</p>', "It is closely related to it."),
+    ('<p>We do a <span class="search">binary search</span> on it.</p>', "We do a binary search on it."),
+    ('<p>So <a class="share" href="/x">share it</a> now.</p>', "So share it now."),
+    ('<pre class="header">Accept: text/html</pre>', "Accept: text/html"),
+    ('<p class="notice">Short notice.</p>', "Short notice."),
+    ('<code class="login">login(name)</code>', "login(name)"),
+    ('<div class="share-holders"><p>Shareholders met.</p></div>', "Shareholders met."),
+    ('<div class="cookie-recipe">Take some flour.</div>', "Take some flour."),
+    ('<section id="header-files"><p>Use them.</p></section>', "Use them."),
+    ('<div class="footer-ad-like">Words.</div>', "Words."),
+    ('<ul><li>One</li><li><div class="menu">Two words</div></li></ul>', "Two words"),
+    ('<blockquote><div class="notice">He said so.</div></blockquote>', "He said so."),
+    ('<div class="press-notice"><p>In the middle of it.</p></div>', "In the middle of it."),
+])
+def test_no_name_deletes_text(inside, words):
+    for around in ("<article>{}</article>", "<div>{}</div>", "<main><section>{}</section></main>"):
+        got = html.extract("<html><body><nav><a href=1>menu</a></nav>" + around.format(LONG * 3 + inside + LONG * 2) + "<footer>end</footer></body></html>")
+        assert words in got.split("\n") and got.count("paragraph") == 5, got
+
+
+@pytest.mark.parametrize("noise", ['<div class="ad">Buy it.</div>', '<div id="comments"><p>I like it.</p><p>So do I.</p></div>', '<aside>Side.</aside>', '<div class="related-posts"><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div>', '<form>Name <input></form>', '<div><div class="newsletter">Get our letter.</div></div>', '<div style="display:none">Not seen.</div>'])
+def test_named_noise_in_the_middle_goes(noise):
+    got = html.extract("<html><body><nav><a href=1>menu</a></nav><article>" + LONG * 3 + noise + LONG * 2 + "</article><footer>end</footer></body></html>")
+    assert got == "\n".join(["A paragraph with a good deal of text in it, and then some more of it."] * 5)
+
+
+def brute_blocks(page):
+    """Block choice by plain recursion: text density with links, names as a twentieth, no parent pointers or sums kept."""
+    import math
+
+    root = html.parse(page)
+    body = next(n for n in html._walk(root) if n.tag == "body")
+
+    def counts(node):
+        chars = tags = link_chars = link_tags = 0
+        for c in node.children:
+            if isinstance(c, str):
+                chars += len(" ".join(c.split()))
+            else:
+                own = counts(c)
+                chars, tags, link_chars, link_tags = chars + own[0], tags + own[1] + (c.tag not in html.INLINE), link_chars + own[2], link_tags + own[3] + (c.tag == "a")
+        return chars, tags, chars if node.tag == "a" else link_chars, link_tags
+
+    whole = counts(body)
+
+    def density(node):
+        c, t, lc, lt = counts(node)
+        t = max(t, 1)
+        return 0.0 if not c else c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / math.log(math.log(c / max(c - lc, 1) * lc + whole[2] / max(whole[0], 1) * c + math.e)) if lc or whole[2] else c / t
+
+    def weight(node):
+        return 1.0 if node is None or node.tag == "#root" else weight(node.parent) / (20 if node.noise else 1)
+
+    best = max(html._walk(body), key=lambda n: sum(density(c) * weight(c) for c in n.children if not isinstance(c, str) and c.tag not in html.INLINE))
+    path = [best]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    limit, out = min(map(density, path)), []
+
+    def walk(node, base):
+        if node not in path:
+            named = node.noise and weight(node) < base
+            d = density(node) * (weight(node) / base if named else 1)
+            if node.parent in path and node.parent is not best and d < limit:
+                return
+            if named and not (node.parent in path and node.parent is not best) and d < max(limit, density(best)):
+                return  # all random names are whole ones on divs beside blocks
+        base = weight(node) if node in path else base
+        for c in node.children:
+            out.append(c.strip()) if isinstance(c, str) else walk(c, base)
+
+    walk(body, 1.0)
+    return [x for x in out if x]
+
+
+def test_blocks_are_chosen_by_density():
+    import random
+
+    rng = random.Random(9)
+
+    def grow(depth):
+        inside = "".join(grow(depth - 1) for _ in range(rng.randint(0, 4))) if depth else ""
+        link = f"<div><a href=1>{'y' * rng.randint(5, 30)}</a></div>" if rng.random() < 0.3 else ""
+        name = rng.choice([' class="ad"', ' id="comments"']) if rng.random() < 0.15 else ""
+        return f"<div{name}>{'x' * rng.randint(0, 60)}{inside}{link}</div>"
+
+    for _ in range(80):
+        page = f"<body>{grow(4)}{grow(3)}</body>"
+        assert html.blocks(html.container(html.measure(html.parse(page)))) == brute_blocks(page), page
+
+
 def test_encoded_ids_and_texts(docs_of):
     from tokenizers import Tokenizer
 
