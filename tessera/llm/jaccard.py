@@ -2,12 +2,14 @@
 
 Documents with equal sets of five-word n-grams are one class, and its first document stands for it. The
 numbers of bands and rows are the cheapest that find a pair at the threshold with the target recall.
-Representatives are shuffled on their band hashes; those that share one, directly or through others, form
-a candidate group. Each group's texts meet once, and all pairs in it are compared exactly, by products of
-0/1 matrices over the n-grams that at least two of them have. A group too large for one task, in n-grams or in sets, is split by
-size class (sets whose sizes differ by more than the threshold can't match, so only neighbouring classes
-meet) and by hash into tiles; each pair of tiles is a task. Results leave a task as one row a document, so
-nothing grows with the square of a group.
+Representatives are shuffled on their band hashes, and those that share one are verified; nothing else is
+compared. To send a text seldom, representatives that share bands directly or through others form a candidate
+group: where it fits a task its texts meet there once, and the pairs that share a band are verified. A group too large
+for a task falls apart into its buckets of one band hash: each pair is verified in the first band that it shares, and a
+text goes only to buckets with such a pair of it. A bucket too large for a task is split by size class (sets
+whose sizes differ by more than the threshold can't match, so only neighbouring classes meet) and by hash into tiles;
+each pair of tiles is a task. Few pairs are verified one by one, many by products of 0/1 matrices over the n-grams that at
+least two sets have. Results leave a task as one row a document and bucket, so nothing grows with the square of a group.
 
 Cases: null and empty texts have no n-grams and link with nothing; a text of fewer than five words has one
 n-gram, of all of them; repeated rows are copies of each other, and rows that share a doc_id but not the text
@@ -61,10 +63,9 @@ def band_hashes(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int) -
     return out
 
 
-def link_counts(sets: list[np.ndarray], threshold: float, tiles: np.ndarray | None = None) -> np.ndarray:
-    """0/1 matrix of the pairs of sets at or over the threshold; tiles: only pairs from different ones."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the sizes of all pairs' intersections."""
     m = len(sets)
-    size = np.array([len(s) for s in sets], "f8")
     every, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
@@ -82,21 +83,72 @@ def link_counts(sets: list[np.ndarray], threshold: float, tiles: np.ndarray | No
                 part = np.zeros((m, width), "f4")
                 part[owner[a:b], column[a:b] - k * width] = 1
                 both += part @ part.T
-    either = size[:, None] + size[None, :] - both
-    found = both >= threshold * either - 1e-9
+    return both
+
+
+def pair_overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """The size of each pair's intersection: both sets' n-grams, sorted pair by pair, tell what is there twice."""
+    size = np.array([len(s) for s in sets], "i8")
+    out, work = np.zeros(len(left), "i8"), np.cumsum(size[left] + size[right])
+    cuts = [0, *(np.searchsorted(work, np.arange(step, work[-1], step)) + 1).tolist(), len(left)] if len(left) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b > a:
+            grams = np.concatenate([g for i, j in zip(left[a:b].tolist(), right[a:b].tolist()) for g in (sets[i], sets[j])])
+            pair = np.repeat(np.arange(b - a), size[left[a:b]] + size[right[a:b]])
+            order = np.lexsort((grams, pair))
+            grams, pair = grams[order], pair[order]
+            out[a:b] = np.bincount(pair[1:][(grams[1:] == grams[:-1]) & (pair[1:] == pair[:-1])], minlength=b - a)
+    return out
+
+
+def mates(bands: np.ndarray, band: int | None = None) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """The pairs to verify. Without a band: those that share any; else all of this bucket that share no earlier band. As
+    (left, right) where they are few, else as a matrix."""
+    m = len(bands)
+    if band is None:
+        groups = []
+        for k in range(bands.shape[1]):
+            order = np.argsort(bands[:, k], kind="stable")
+            cuts = np.flatnonzero(np.diff(bands[order, k], prepend=bands[order[0], k] + np.uint64(1))) if m else np.zeros(0, "i8")
+            groups += [order[a:b] for a, b in zip(cuts, [*cuts[1:], m]) if b - a > 1]
+        if sum(len(g) ** 2 for g in groups) < m * m // 8:
+            codes = [np.unique(np.minimum.outer(g, g)[t] * m + np.maximum.outer(g, g)[t]) for g in groups for t in [np.triu_indices(len(g), 1)]]
+            codes = np.unique(np.concatenate([*codes, np.zeros(0, "i8")]))
+            return codes // m, codes % m
+    shared = np.zeros((m, m), bool)
+    for k in range(bands.shape[1] if band is None else band):
+        shared |= bands[:, k][:, None] == bands[:, k][None, :]
+    found = shared if band is None else ~shared
     np.fill_diagonal(found, False)
-    if tiles is not None:
-        found &= tiles[:, None] != tiles[None, :]
     return found
 
 
-def roots(found: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def verified(sets: list[np.ndarray], bands: np.ndarray, threshold: float, band: int | None = None, tiles: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(left, right) of all pairs of band mates at or over the threshold, both ways round, and how many were compared;
+    tiles: only pairs from different ones."""
+    size = np.array([len(s) for s in sets], "i8")
+    asked = mates(bands, band)
+    if isinstance(asked, tuple):
+        left, right = asked
+        if tiles is not None:
+            other = tiles[left] != tiles[right]
+            left, right = left[other], right[other]
+        both = pair_overlaps(sets, left, right)
+        hit = both >= threshold * (size[left] + size[right] - both) - 1e-9
+        return np.concatenate([left[hit], right[hit]]), np.concatenate([right[hit], left[hit]]), len(left)
+    if tiles is not None:
+        asked &= tiles[:, None] != tiles[None, :]
+    both = overlaps(sets)
+    found = asked & (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9)
+    return *np.nonzero(found), int(asked.sum()) // 2
+
+
+def roots(left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The smallest id that each row reaches through links."""
     own = ids.copy()
-    pairs = np.nonzero(found)
-    while len(pairs[0]):
+    while len(left):
         then = own.copy()
-        np.minimum.at(then, pairs[0], own[pairs[1]])
+        np.minimum.at(then, left, own[right])
         if (then == own).all():
             break
         own = then
@@ -134,10 +186,10 @@ def near_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     banded = classes.select("rep", "bands").mapInArrow(unpack, "rep long, band long")
     heads = banded.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
     groups = connected_components(banded.join(heads, "band").filter("rep <> head").select("rep", "head").distinct(), "rep", "head")
-    linked = stored(_verified(texts, classes, stored(groups, "candidates"), threshold, words, task_grams), "verified")
+    linked = stored(_verified(texts, classes, stored(groups, "candidates"), bands, threshold, words, task_grams), "verified")
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     alone = linked.filter("NOT split").select(F.col("rep").alias("node"), F.col("root").alias("component"))
-    parts = alone.unionByName(connected_components(linked.filter("split"), "rep", "root"))
+    parts = alone.unionByName(connected_components(linked.filter("split").select("rep", "root").distinct(), "rep", "root"))
     about = classes.join(counts, "rep", "left").join(parts, classes.rep == parts.node, "left")
     about = about.select("key", F.col("rep").alias("_rep"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("component", "rep").alias("_class"))
     out = signed.select("doc_id", "key", "n_grams").join(about, "key", "left")
@@ -145,14 +197,14 @@ def near_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     return out.select(known(F.col("doc_id")).alias("doc_id"), known(own).alias("class_id"), known(F.coalesce("_rep", "doc_id")).alias("copy_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), "n_grams", (F.col("doc_id") == own).alias("kept"))
 
 
-def _verified(texts: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float, words: int, task_grams: int) -> DataFrame:
-    """(rep, root, links, split) of representatives with verified links."""
-    members = groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(classes.select("rep", "version", "n_grams", "copies"), "rep")
-    members = members.withColumn("level", F.floor(F.log("n_grams") / math.log(1 / threshold)).cast("int"))
-    whole = members.groupBy("grp").agg(F.sum("n_grams").alias("all"), F.count("*").alias("sets"))
-    fits = (F.col("all") <= task_grams) & (F.col("sets") <= TASK_SETS)
-    small = members.join(whole.filter(fits), "grp").select("rep", "version", "copies", F.concat(F.lit("g"), "grp").alias("task"), F.lit(0).alias("tile"), F.lit(False).alias("split"))
-    large = members.join(whole.filter(~fits).select("grp"), "grp")
+def _tasks(members: DataFrame, task_grams: int, whole: DataFrame | None = None) -> DataFrame:
+    """(rep, version, copies, bands, band, task, tile) of groups' members: one task for a group that fits, else one for each
+    pair of tiles of the same or neighbouring size classes. whole: (grp, fits), where it is known."""
+    if whole is None:
+        whole = _sizes(members, task_grams)
+    keep = ["rep", "version", "copies", "bands", "band"]
+    small = members.join(whole.filter("fits"), "grp").select(*keep, F.concat(F.lit("g"), "grp").alias("task"), F.lit(0).alias("tile"))
+    large = members.join(whole.filter("NOT fits").select("grp"), "grp")
     levels = large.groupBy("grp", "level").agg(F.ceil(F.greatest(F.sum("n_grams") / (task_grams / 2), F.count("*") / (TASK_SETS / 2))).cast("int").alias("tiles"))
     # One row for each group and size class: it finds its own tiles and those of the next larger class.
     above = levels.select("grp", (F.col("level") - 1).alias("level"), F.col("tiles").alias("tiles_above"))
@@ -164,8 +216,50 @@ def _verified(texts: DataFrame, classes: DataFrame, groups: DataFrame, threshold
     upward = F.when(F.col("tiles_above") > 0, F.transform(F.sequence(F.lit(0), F.coalesce("tiles_above", F.lit(1)) - 1), lambda o: name(F.concat(F.lit("u"), "level"), "own", o))).otherwise(F.array().cast("array<string>"))
     downward = F.when(F.col("tiles_below") > 0, F.transform(F.sequence(F.lit(0), F.coalesce("tiles_below", F.lit(1)) - 1), lambda o: name(F.concat(F.lit("u"), F.col("level") - 1), o, "own"))).otherwise(F.array().cast("array<string>"))
     tile = F.col("level") * 1_000_000 + F.col("own")
-    big = placed.withColumn("task", F.explode(F.concat(inside, upward, downward))).select("rep", "version", "copies", "task", tile.alias("tile"), F.lit(True).alias("split"))
-    tasks = small.unionByName(big)
+    big = placed.withColumn("task", F.explode(F.concat(inside, upward, downward))).select(*keep, "task", tile.alias("tile"))
+    return small.unionByName(big)
+
+
+def _sizes(members: DataFrame, task_grams: int) -> DataFrame:
+    """(grp, fits): whether a group's sets fit one task."""
+    return members.groupBy("grp").agg(((F.sum("n_grams") <= task_grams) & (F.count("*") <= TASK_SETS)).alias("fits"))
+
+
+def _bucketed(members: DataFrame, bands: int) -> DataFrame:
+    """The members of large groups once for each bucket in which they have a pair that no earlier band holds."""
+    keep = ["rep", "version", "n_grams", "copies", "level", "bands"]
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = np.frombuffer(b"".join(batch.column("bands").to_pylist()), "u8")
+            at = pa.array(np.repeat(np.arange(batch.num_rows), bands))
+            band, hashes = np.tile(np.arange(bands, dtype="i4"), batch.num_rows), mix(packed + np.tile(np.arange(bands, dtype="u8"), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep), pa.array(band), pa.array([f"b{h:x}" for h in hashes.tolist()])], [*keep, "band", "grp"])
+
+    schema = "rep long, version long, n_grams long, copies long, level int, bands binary, band int, grp string"
+    rows = members.select(*keep).mapInArrow(unpack, schema)
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = stored(rows.join(sizes, "grp"), "buckets")
+
+    def needed(table: pa.Table) -> pa.Table:
+        packed = np.frombuffer(b"".join(table.column("bands").to_pylist()), "u8").reshape(-1, bands)
+        asked = mates(packed, table.column("band")[0].as_py())
+        return table.filter(pa.array(asked.any(axis=1)))
+
+    some = rows.filter(F.col("n") <= TASK_SETS)
+    few = spread(some, "grp").groupBy("grp").applyInArrow(needed, some.schema)
+    return few.unionByName(rows.filter(F.col("n") > TASK_SETS)).drop("n")
+
+
+def _verified(texts: DataFrame, classes: DataFrame, groups: DataFrame, bands: int, threshold: float, words: int, task_grams: int) -> DataFrame:
+    """(rep, root, links, split) of representatives with verified links, for each task."""
+    members = groups.select(F.col("node").alias("rep"), F.col("component").cast("string").alias("grp")).join(classes.select("rep", "version", "n_grams", "copies", "bands"), "rep")
+    members = members.withColumn("level", F.floor(F.log("n_grams") / math.log(1 / threshold)).cast("int")).withColumn("band", F.lit(-1))
+    whole = stored(_sizes(members, task_grams), "candidate-sizes")
+    tasks = _tasks(members.join(whole.filter("fits").select("grp"), "grp"), task_grams, whole.filter("fits"))
+    if not whole.filter("NOT fits").isEmpty():
+        large = stored(_bucketed(members.join(whole.filter("NOT fits").select("grp"), "grp"), bands), "bucket-members")
+        tasks = tasks.unionByName(_tasks(large, task_grams))
     total = members.agg(F.coalesce(F.sum("n_grams"), F.lit(0))).first()[0]
     bins = max(1, math.ceil(total / (2 * task_grams)))
     sent = tasks.join(_texts_of(texts, tasks), ["rep", "version"]).drop("version")
@@ -176,19 +270,22 @@ def _verified(texts: DataFrame, classes: DataFrame, groups: DataFrame, threshold
         own: dict[str, list[int]] = {}
         for i, t in enumerate(task):
             own.setdefault(t, []).append(i)
-        reps, copies, tiles = (table.column(c).to_numpy() for c in ("rep", "copies", "tile"))
+        reps, copies, tiles, band = (table.column(c).to_numpy() for c in ("rep", "copies", "tile", "band"))
+        packed = np.frombuffer(b"".join(table.column("bands").to_pylist()), "u8").reshape(-1, bands)
         out: list[tuple] = []
         for t, at in own.items():
             at = np.array(at)
-            hashes, starts = shingle_sets(table.column("text").take(pa.array(at)).to_pylist(), words)
-            sets = [hashes[a:b] for a, b in zip(starts[:-1], starts[1:])]
             kinds = np.unique(tiles[at])
-            if len(kinds) == 1 and t[0] != "g" and (".u" in t or t.split(".")[-1] != t.split(".")[-2]):
+            if len(at) < 2 or (len(kinds) == 1 and t[0] != "g" and (".u" in t or t.split(".")[-1] != t.split(".")[-2])):
                 continue  # only one tile of two is there
-            found = link_counts(sets, threshold, tiles[at] if len(kinds) > 1 else None)
-            any_ = found.any(axis=1)
-            root, links = roots(found, reps[at]), found @ copies[at]
-            out += zip(reps[at][any_].tolist(), root[any_].tolist(), links[any_].tolist(), [t[0] != "g"] * int(any_.sum()))
+            hashes, starts = shingle_sets(table.column("text").take(pa.array(at)).to_pylist(), words)
+            sets = [hashes[a:b] for a, b in zip(starts[:-1], starts[1:])]
+            first = int(band[at[0]])
+            left, right, _ = verified(sets, packed[at], threshold, None if first < 0 else first, tiles[at] if len(kinds) > 1 else None)
+            root, links = roots(left, right, reps[at]), np.zeros(len(at), "i8")
+            np.add.at(links, left, copies[at][right])
+            any_ = links > 0
+            out += zip(reps[at][any_].tolist(), root[any_].tolist(), links[any_].tolist(), [first >= 0] * int(any_.sum()))
         release()
         columns = [*zip(*out)] if out else [(), (), (), ()]
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("rep", "root", "links", "split"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))})

@@ -149,6 +149,34 @@ def test_lines_far_ids_and_clashing_names(spark):
     assert lines.dedup_lines(docs.limit(0)).count() == lines.line_report(docs.limit(0)).count() == 0
 
 
+def chain(n, step=10, size=100):
+    """Sets of which each is like its neighbours only, and their bands."""
+    value = np.random.default_rng(1).integers(0, 1 << 63, n * step + size).astype("u8")
+    sets = [np.sort(value[i * step : i * step + size]) for i in range(n)]
+    bands, rows = jaccard.bands_and_rows(0.8, 0.999)
+    starts = np.cumsum([0] + [size] * n)
+    return sets, jaccard.band_hashes(np.concatenate(sets), starts, bands, rows)
+
+
+def test_only_band_mates_are_compared():
+    sets, bands = chain(2000)
+    share = {(i, j) for i in range(2000) for j in range(i + 1, min(i + 12, 2000)) if (bands[i] == bands[j]).any()}
+    left, right, compared = jaccard.verified(sets, bands, 0.8)
+    assert share <= {(i, j) for i in range(2000) for j in range(i + 1, 2000) if j - i < 12} and compared == len(share) < 2000 * 6
+    links = {(i, i + 1) for i in range(1999)}
+    assert {(int(a), int(b)) for a, b in zip(left, right) if a < b} == links & share and len(links & share) >= 1990
+    # The same by buckets: each pair in the first band that it shares, and in no other.
+    seen, total = [], 0
+    for k in range(bands.shape[1]):
+        for h in np.unique(bands[:, k]):
+            own = np.flatnonzero(bands[:, k] == h)
+            if len(own) > 1:
+                a, b, n = jaccard.verified([sets[i] for i in own], bands[own], 0.8, k)
+                seen += [(int(own[x]), int(own[y])) for x, y in zip(a, b) if x < y]
+                total += n
+    assert sorted(seen) == sorted(links & share) and total == compared
+
+
 def test_many_near_copies_of_a_line(docs_of):
     words = [f"w{i}" for i in range(30)]
     texts = {i: "\n".join([" ".join([*words[:28], f"x{i}", f"y{i % 7}"]), f"own {i} line"]) for i in range(300)}
