@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from tessera.session import checkpointed
 from tessera.sources.commits import Table
@@ -170,6 +172,37 @@ def chunk_documents(df: DataFrame, key: str, text: str, title: str | None = None
     return source.mapInPandas(run, f"`{key}` {kind}, title string, chunk_index long, content string, error string")
 
 
+class ChunkTable:
+    """chunk_table(parts, size, overlap, most) for LATERAL: (title, chunk_index, content, error) of one document's sections,
+    an array of structs of title and body as sections() makes it. The numbers are constants, checked when a query is
+    analysed."""
+
+    @staticmethod
+    def analyze(parts: AnalyzeArgument, size: AnalyzeArgument | None = None, overlap: AnalyzeArgument | None = None, most: AnalyzeArgument | None = None) -> AnalyzeResult:
+        if not isinstance(parts.dataType, T.ArrayType) or [f.name for f in getattr(parts.dataType.elementType, "fields", [])] != ["title", "body"]:
+            raise ValueError("parts must be an array of structs of title and body")
+        for argument in (size, overlap, most):
+            if argument is not None and not argument.isConstantExpression:
+                raise ValueError("size, overlap and most must be constants")
+        value = lambda argument, default: default if argument is None or argument.value is None else int(argument.value)
+        checked(value(size, SIZE), value(overlap, OVERLAP))
+        return AnalyzeResult(T.StructType().add("title", "string").add("chunk_index", "long").add("content", "string").add("error", "string"))
+
+    def eval(self, parts, size=SIZE, overlap=OVERLAP, most=MOST):
+        size, overlap, most = (d if v is None else int(v) for v, d in ((size, SIZE), (overlap, OVERLAP), (most, MOST)))
+        own = [(p["title"], c) for p in parts or [] for c in chunks(p["body"], size, overlap)]
+        if len(own) > most:
+            yield None, None, None, "too_many_chunks"
+        else:
+            for i, (title, content) in enumerate(own):
+                yield title, i, content, None
+
+
+def register_chunk_table(spark: SparkSession, name: str = "chunk_table") -> None:
+    """Make the table function known to SQL."""
+    spark.udtf.register(name, F.udtf(ChunkTable))
+
+
 def deduplicated(df: DataFrame, source: str, hash_: str, order: str) -> DataFrame:
     """The first of each source's equal hashes, with the count of its copies."""
     own = Window.partitionBy(source, hash_)

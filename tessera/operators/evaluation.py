@@ -101,7 +101,6 @@ def end_to_end(results: DataFrame, scores: list[str]) -> DataFrame:
     )
 
 
-def confusable_corpus(spark, n: int) -> DataFrame:
-    """(doc_id, text) of n documents from one template that differ in a number alone."""
-    number = (F.col("id") + 1).cast("string")
-    return spark.range(n).select((F.col("id") + 1).alias("doc_id"), F.concat(F.lit("staff member number "), number, F.lit(" knows shoulder, back and foot massage and is well liked")).alias("text"))
+def confusable_corpus(numbers: DataFrame) -> DataFrame:
+    """(doc_id, text) of documents from one template that differ in their number alone."""
+    return numbers.select("doc_id", F.concat(F.lit("staff member number "), F.col("doc_id").cast("string"), F.lit(" knows shoulder, back and foot massage and is well liked")).alias("text"))

@@ -10,9 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.calls import called
+
 K1, B, RRF = 1.5, 0.75, 60
 DENSE_MIN, BM25_MIN, RERANK_MIN, WEIGHT = 0.66, 8.0, 8.0, 0.35
 
@@ -93,8 +96,9 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str =
 
 
 def sparse_ranking(scores: DataFrame, query: str, doc: str, k: int | None = None) -> DataFrame:
-    """The first k by score; scores that aren't positive go after the cut."""
-    return ranked(scores, query, doc, k).filter(F.col("score") > 0)
+    """The first k by score (None: all); scores that aren't positive go after the cut."""
+    out = ranked(scores, query, doc, k) if k else counted_ranks(scores, query, doc)
+    return out.filter(F.col("score") > 0)
 
 
 def ranked(scores: DataFrame, query: str, doc: str, k: int | None = None, places: int = 9, score: str = "score") -> DataFrame:
@@ -112,40 +116,118 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Up to about so many queries are broadcast to the corpus at once.
-QUERY_BATCH = 10_000
+#: Vectors of a block; a block of queries meets each block of documents in one matrix product.
+QUERY_BLOCK, DOC_BLOCK = 2000, 4000
+#: Query blocks are broadcast up to so many.
+BROADCAST_BLOCKS = 8
+
+
+def _vector_blocks(df: DataFrame, id_: str, vector: str, size: int) -> DataFrame:
+    """(ids, width, packed): vectors of one width as float64 rows in blocks of `size` at most. Empty ones have no block."""
+    kind = df.schema[id_].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            lengths, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths)
+            for width in np.unique(lengths[lengths > 0]).tolist():
+                at = np.flatnonzero(lengths == width)
+                for i in range(0, len(at), size):
+                    own = at[i : i + size]
+                    rows = flat[(ends[own] - width)[:, None] + np.arange(width)]
+                    ids = pa.ListArray.from_arrays(np.array([0, len(own)], "i4"), batch.column(0).take(pa.array(own)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([width], pa.int32()), pa.array([rows.tobytes()], pa.binary())], ["ids", "width", "packed"])
+
+    return df.filter(F.col(vector).isNotNull()).select(id_, vector).mapInArrow(pack, f"ids array<{kind}>, width int, packed binary")
+
+
+def dense(docs: DataFrame, queries: DataFrame, doc: str, query: str, k: int | None, vector: str = "embedding", negated_distance: bool = False) -> DataFrame:
+    """Exact top k (None: the whole ranking) by inner product, or by the negated squared distance, for any number of queries.
+
+    Vectors are packed into blocks. Each block of queries meets each block of documents in one matrix product, from which
+    a query's first k of the block go on; so only blocks x k candidates of a query are ever ranked. Few query blocks
+    are broadcast, many are joined by a shuffle of blocks. Documents without a vector, or of another width, are skipped."""
+    asked, rows = _vector_blocks(queries, query, vector, QUERY_BLOCK), _vector_blocks(docs, doc, vector, DOC_BLOCK)
+    left = rows.select(F.col("ids").alias("docs"), "width", F.col("packed").alias("d"))
+    right = asked.select(F.col("ids").alias("queries"), F.col("width").alias("w"), F.col("packed").alias("q"))
+    few = F.broadcast if queries.count() <= BROADCAST_BLOCKS * QUERY_BLOCK else lambda df: df
+    pairs = left.crossJoin(few(right)).filter("width = w")  # a stated set of queries against all rows, in blocks
+    kinds = queries.schema[query].dataType.simpleString(), docs.schema[doc].dataType.simpleString()
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                width = batch.column(1)[i].as_py()
+                d = np.frombuffer(batch.column(2)[i].as_py(), "f8").reshape(-1, width)
+                q = np.frombuffer(batch.column(4)[i].as_py(), "f8").reshape(-1, width)
+                ids, asks = batch.column(0)[i].values, batch.column(3)[i].values
+                for a in range(0, len(q), 500):
+                    part = q[a : a + 500]
+                    if negated_distance:  # by differences: products would cancel
+                        score = np.stack([-((d - row) ** 2).sum(1) for row in part])
+                    else:
+                        score = part @ d.T
+                    if k is not None and k < score.shape[1]:
+                        # All that may be among the first k once scores are rounded.
+                        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                        at, of = np.nonzero(score >= least[:, None] - 1e-8)
+                    else:
+                        at, of = np.nonzero(np.ones_like(score, bool))
+                    yield pa.RecordBatch.from_arrays([asks.take(pa.array(at + a)), ids.take(pa.array(of)), pa.array(score[at, of])], [query, doc, "score"])
+
+    scores = pairs.select("docs", "width", "d", "queries", "q").mapInArrow(best, f"`{query}` {kinds[0]}, `{doc}` {kinds[1]}, score double")
+    return ranked(scores, query, doc, k) if k else counted_ranks(scores, query, doc)
+
+
+#: Rows of a range in which ranks are counted, about.
+RANGE = 50_000
+
+
+def counted_ranks(scores: DataFrame, query: str, doc: str, places: int = 9) -> DataFrame:
+    """Adds the rank of every row among its query's, the largest score first, ties by doc.
+
+    No task holds a query's whole ranking: approximate quantiles cut a query's scores into ranges of about RANGE rows, a
+    row's rank is its place in its range after all that the ranges above hold, and one pass counts these."""
+    value = F.round("score", places)
+    rows = scores.withColumn("_v", value)
+    sizes = rows.groupBy(query).agg(F.count("*").alias("_n"), F.percentile_approx("_v", [i / 64 for i in range(1, 64)], 10_000).alias("_bounds"))
+    # One row a query, with 63 numbers; queries of few rows have one range.
+    step = F.ceil(64 / F.greatest(F.ceil(F.col("_n") / RANGE), F.lit(1))).cast("int")
+    cut = F.when(F.col("_n") > RANGE, F.filter("_bounds", lambda b, i: (i + 1) % step == 0)).otherwise(F.array().cast("array<double>"))
+    placed = rows.join(sizes.select(query, F.array_distinct(cut).alias("_bounds")), query)
+    placed = placed.withColumn("_range", F.size(F.filter("_bounds", lambda b: b > F.col("_v")))).drop("_bounds")
+    above = placed.groupBy(query, "_range").agg(F.count("*").alias("_c"))
+    above = above.withColumn("_above", F.sum("_c").over(Window.partitionBy(query).orderBy("_range")) - F.col("_c")).drop("_c")
+    own = F.row_number().over(Window.partitionBy(query, "_range").orderBy(F.desc("_v"), F.asc(doc)))
+    return placed.withColumn("rank", own.cast("long")).join(above, [query, "_range"]).withColumn("rank", F.col("rank") + F.col("_above")).drop("_v", "_range", "_above")
+
+
+def fused_ranks(dense_: DataFrame, sparse: DataFrame, query: str, doc: str, k: int = RRF) -> DataFrame:
+    """Both rankings stacked and summed by document, in one shuffle: (query, doc, scores, ranks, rrf)."""
+    a = dense_.select(query, doc, F.col("score").alias("dense_score"), F.lit(None).cast("double").alias("bm25_score"), F.col("rank").alias("dense_rank"), F.lit(None).cast("long").alias("bm25_rank"))
+    b = sparse.select(query, doc, F.lit(None).cast("double").alias("dense_score"), F.col("score").alias("bm25_score"), F.lit(None).cast("long").alias("dense_rank"), F.col("rank").alias("bm25_rank"))
+    share = lambda r: F.coalesce(1 / (k + F.max(r)), F.lit(0.0))
+    return a.unionByName(b).groupBy(query, doc).agg(F.max("dense_score").alias("dense_score"), F.max("bm25_score").alias("bm25_score"), F.max("dense_rank").alias("dense_rank"), F.max("bm25_rank").alias("bm25_rank"), (share("dense_rank") + share("bm25_rank")).alias("rrf"))
 
 
-def dense(docs: DataFrame, queries: DataFrame, doc: str, query: str, k: int | None, vector: str = "embedding", score=inner_product) -> DataFrame:
-    """Exact top k (None: all) by inner product, for any number of queries. They are dealt by hash into blocks of about
-    QUERY_BATCH; each block goes to every part of the corpus, where each task keeps k for each query before
-    the shuffle. Documents without a vector are skipped."""
-    asked = queries.select(F.col(query), F.col(vector).alias("_q"))
-    rows = docs.filter(F.col(vector).isNotNull())
-    blocks = max(1, -(-asked.count() // QUERY_BATCH))
-    out = None
-    for i in range(blocks):
-        few = asked.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == i) if blocks > 1 else asked
-        pairs = rows.crossJoin(F.broadcast(few)).select(query, doc, score(F.col(vector), F.col("_q")).alias("score"))
-        own = ranked(pairs, query, doc, k)
-        out = own if out is None else out.unionByName(own)
-    return out
+def fused_order(doc: str) -> list[Column]:
+    """By the fused score, then the better dense rank, then BM25's, then the id."""
+    return [F.desc(F.round("rrf", 12)), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("bm25_rank"), F.asc(doc)]
 
 
 def reciprocal_rank_fusion(dense_: DataFrame, sparse: DataFrame, query: str, doc: str, k: int = RRF) -> DataFrame:
-    """One shuffle: both rankings are stacked and summed; ties go to the better dense rank, then BM25's, then the id."""
-    a = dense_.select(query, doc, F.col("score").alias("dense_score"), F.lit(None).cast("double").alias("bm25_score"), F.col("rank").alias("dense_rank"), F.lit(None).cast("long").alias("bm25_rank"))
-    b = sparse.select(query, doc, F.lit(None).cast("double").alias("dense_score"), F.col("score").alias("bm25_score"), F.lit(None).cast("long").alias("dense_rank"), F.col("rank").alias("bm25_rank"))
-    share = lambda r: F.coalesce(1 / (k + F.max(r)), F.lit(0.0))
-    both = a.unionByName(b).groupBy(query, doc).agg(F.max("dense_score").alias("dense_score"), F.max("bm25_score").alias("bm25_score"), F.max("dense_rank").alias("dense_rank"), F.max("bm25_rank").alias("bm25_rank"), (share("dense_rank") + share("bm25_rank")).alias("rrf"))
-    order = Window.partitionBy(query).orderBy(F.desc(F.round("rrf", 12)), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("bm25_rank"), F.asc(doc))
-    return both.withColumn("rank", F.row_number().over(order).cast("long"))
+    """fused_ranks() of cut rankings with their rank."""
+    order = Window.partitionBy(query).orderBy(*fused_order(doc))
+    return fused_ranks(dense_, sparse, query, doc, k).withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def in_category(ranking: DataFrame, docs: DataFrame, query: str, doc: str, category: str, value: str, k: int) -> DataFrame:
-    """Filter after ranking over the whole corpus, then number anew: scores and ranks don't depend on the filter."""
-    own = ranking.join(docs.filter(F.col(category) == value).select(doc), doc, "left_semi")
-    return own.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("rank")).cast("long")).filter(F.col("rank") <= k)
+def in_category(fused_: DataFrame, docs: DataFrame, query: str, doc: str, category: str, value: str, k: int) -> DataFrame:
+    """The first k of a category, out of fused_ranks() or a ranking over the whole corpus: scores and ranks don't depend
+    on the filter, and only the category's rows are put in order."""
+    order = fused_order(doc) if "rrf" in fused_.columns else [F.col("rank")]
+    own = fused_.join(docs.filter(F.col(category) == value).select(doc), doc, "left_semi")
+    return own.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
 
 
 def first_available(ranking: DataFrame, available: DataFrame, query: str, doc: str, k: int) -> DataFrame:
@@ -243,27 +325,52 @@ Scorer = Callable[[list[str], list[str]], list[float]]
 def cross_encoded(df: DataFrame, query: str, question: str, content: str, coarse_rank: str, scorer: Scorer, batch: int = 16, k: int | None = None) -> DataFrame:
     """Apply a scorer of (questions, contents) in batches of `batch` pairs; ties and missing scores keep the coarse order.
 
-    The scorer travels to the tasks; where it fails on a batch, its rows have no score and fall back."""
+    The scorer travels to the tasks; where it fails on a batch, its rows have no score but the error's text in
+    rerank_error, and fall back."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             scores: list[float | None] = []
+            errors: list[str | None] = []
             for i in range(0, len(pdf), batch):
-                part = pdf.iloc[i : i + batch]
+                part, error = pdf.iloc[i : i + batch], None
                 try:
                     got = [float(np.atleast_1d(x)[-1]) for x in scorer(part[question].tolist(), part[content].tolist())]
-                except Exception:  # noqa: BLE001  a scorer's failure is an outcome, not an error of the query
-                    got = [None] * len(part)
+                except Exception as e:  # noqa: BLE001  a scorer's failure is an outcome, not an error of the query
+                    got, error = [None] * len(part), str(e)
                 scores += got
-            yield pdf.assign(rerank_score=pd.Series(scores, dtype="float64", index=pdf.index))
+                errors += [error] * len(part)
+            yield pdf.assign(rerank_score=pd.Series(scores, dtype="float64", index=pdf.index), rerank_error=pd.Series(errors, dtype="object", index=pdf.index))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    out = df.mapInPandas(run, f"{fields}, rerank_score double")
+    out = df.mapInPandas(run, f"{fields}, rerank_score double, rerank_error string")
     out = out.withColumn("rerank_score", F.when(~F.isnan("rerank_score"), F.col("rerank_score")))
     out = reranked(out, query, coarse_rank, "rerank_score")
     return out.filter(F.col("rank") <= k) if k else out
 
 
+#: Seconds that a re-ranking call may take, and calls that a task keeps in flight.
+DEADLINE, IN_FLIGHT = 20.0, 8
+
+
+def reranked_in_time(candidates: DataFrame, query: str, question: str, doc: str, content: str, coarse_rank: str, scorer: Scorer, limit: float = DEADLINE, width: int = IN_FLIGHT, k: int | None = None, weight: float = WEIGHT) -> DataFrame:
+    """One scoring call for each query, with a time limit: (query, doc, coarse rank, rerank_score, rank, rerank_fallback,
+    rerank_error). A call that takes longer, or fails, leaves its query in coarse order, marked with `timeout` or
+    `error:<text>`; else positions and scores are fused. A query's candidates are a pool of bounded size."""
+    pool = candidates.groupBy(query).agg(F.first(question).alias("question"), F.sort_array(F.collect_list(F.struct(F.col(coarse_rank).alias("coarse"), F.col(doc).alias("doc"), F.col(content).alias("content")))).alias("pool"))
+
+    def score(row: dict) -> list[float]:
+        texts = [c["content"] for c in row["pool"]]
+        return [float(np.atleast_1d(x)[-1]) for x in scorer([row["question"]] * len(texts), texts)]
+
+    done = called(pool, score, "array<double>", limit, width)
+    one = done.select(query, F.col("reason").alias("rerank_error"), F.posexplode("pool").alias("_at", "_c"), "value").select(query, "rerank_error", F.col("_c.coarse").alias(coarse_rank), F.col("_c.doc").alias(doc), F.get("value", F.col("_at")).alias("rerank_score"))
+    fell = F.col("rerank_error").isNotNull()
+    out = fused(one, query, doc, coarse_rank, "rerank_score", weight)
+    out = out.withColumn("rank", F.when(fell, F.row_number().over(Window.partitionBy(query).orderBy(coarse_rank)).cast("long")).otherwise(F.col("rank"))).withColumn("rerank_fallback", fell)
+    return out.filter(F.col("rank") <= k) if k else out
+
+
 RETRIEVERS: dict[str, Callable[..., DataFrame]] = {}
 RERANKERS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -308,7 +415,7 @@ def _sparse_retriever(docs: DataFrame, queries: DataFrame, doc: str, query: str,
 @registered(RETRIEVERS, "hybrid")
 def _hybrid_retriever(docs: DataFrame, queries: DataFrame, doc: str, query: str, k: int | None = None, **options) -> DataFrame:
     pool = dense(docs, queries, doc, query, k), sparse_ranking(bm25(docs, expanded(queries, options.get("text", "text")), doc, query, **options), query, doc, k)
-    return reciprocal_rank_fusion(*pool, query, doc)
+    return reciprocal_rank_fusion(*pool, query, doc) if k else fused_ranks(*pool, query, doc)
 
 
 @registered(RERANKERS, "llm")

@@ -41,6 +41,14 @@ def chunk_documents(t):
     return chunked(t).select("doc_id", "chunk_index", F.sha2("content", 256).alias("content"), "error")
 
 
+@query(f"WITH {CHUNKS} SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, sha256(content) AS content, CAST(NULL AS VARCHAR) AS error FROM c WHERE n <= 200 UNION ALL SELECT DISTINCT doc_id, NULL, NULL, 'too_many_chunks' FROM c WHERE n > 200")
+def chunks_lateral(t):
+    """chunk_documents() as a table function in SQL."""
+    op.register_chunk_table(t.spark)
+    parts = spread(t.documents.select("doc_id", "text")).select("doc_id", op.sections(op.normalized(F.col("text")), F.lit("")).alias("parts"))
+    return t.spark.sql("SELECT d.doc_id, c.chunk_index, sha2(c.content, 256) AS content, c.error FROM {d} AS d, LATERAL chunk_table(d.parts, 500, 100, 200) AS c", d=parts)
+
+
 @query(rf"""WITH {CHUNKS}, h AS (SELECT source, sha256(trim(regexp_replace(content, '\s+', ' ', 'g'))) AS hash, c.doc_id * 1000 + chunk_index AS place FROM c JOIN documents d ON d.doc_id = c.doc_id WHERE n <= 200)
 SELECT source, hash, min(place) AS place, count(*) AS copies FROM h GROUP BY 1, 2""")
 def chunk_dedup(t):

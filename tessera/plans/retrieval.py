@@ -1,11 +1,13 @@
 """Retrieval queries: benchmark items ask, documents answer; embeddings serve as the dense channel."""
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as op
 from tessera.operators.index import InvertedIndex
+from tessera.operators.segment import segmented
 from tessera.plans.base import query
 from tessera.session import shared_folder
 
@@ -85,8 +87,7 @@ FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0)""")
 def l2_rank(t):
     """Every hundredth vector asks all; the whole ranking."""
     every = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
-    minus = lambda a, b: -op.squared_distance(a, b)
-    return op.dense(every, t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("item_id"), "embedding"), "doc_id", "item_id", None, score=minus).select("item_id", "doc_id", "rank")
+    return op.dense(every, t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("item_id"), "embedding"), "doc_id", "item_id", None, negated_distance=True).select("item_id", "doc_id", "rank")
 
 
 @query(f"{HYBRID} SELECT item_id, doc_id, rank, round(rrf, 6) AS rrf FROM fused WHERE rank <= 10")
@@ -96,7 +97,34 @@ def hybrid_rrf(t):
 
 @query(f"{WHOLE} SELECT item_id, doc_id, rank FROM (SELECT item_id, f.doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS rank FROM fused f JOIN documents d ON d.doc_id = f.doc_id AND lang = 'fr') WHERE rank <= 3")
 def hybrid_category(t):
-    return op.in_category(hybrid(t, None), t.documents, "item_id", "doc_id", "lang", "fr", 3).select("item_id", "doc_id", "rank")
+    return op.in_category(op.fused_ranks(dense(t, None), sparse(t, k=None), "item_id", "doc_id"), t.documents, "item_id", "doc_id", "lang", "fr", 3).select("item_id", "doc_id", "rank")
+
+
+#: Han characters that stand for the letters a to z, so that the tables' texts can be read as Han text.
+HAN = "天地人你我他大小上下来去出入开关多少长短高低东西南北"
+
+
+@query()
+def han_segments(t):
+    """Conversations as Han text without spaces, cut by a dictionary of the benchmark's words of two to five letters."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{2,5}\b"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("freq"))
+    dictionary = words.select(F.translate("w", letters, HAN).alias("word"), "freq")
+    texts = t.conversations.select("conv_id", "turn", F.translate(F.regexp_replace(F.lower("text"), " ", ""), letters, HAN).alias("text"))
+    return segmented(texts, "text", dictionary).select("conv_id", "turn", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("words"))
+
+
+SEARCHED = BM25.replace("lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents", "lower(source || ' ' || CASE WHEN doc_id % 2 = 0 THEN 'about ' || lang || ' ' ELSE '' END || text || ' ' || lang || ' ' || source), '[\\p{L}\\p{N}]+')) AS term FROM documents").replace("regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark", "regexp_extract_all(lower(text || ' src' || item_id % 20), '[\\p{L}\\p{N}]+')) AS term FROM benchmark")
+
+
+@query(f"WITH {SEARCHED} SELECT item_id, doc_id, rank, round(score, 6) AS score FROM sparse WHERE rank <= 10")
+def search_text_topk(t):
+    """BM25 over the whole search text (source, title where there is one, content, keywords); questions name a source."""
+    title = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("about "), "lang"))
+    docs = spread(t.documents.select("doc_id", op.search_text(F.col("source"), title, F.col("text"), F.array("lang", "source")).alias("text")))
+    asked = t.benchmark.select("item_id", F.concat("text", F.lit(" src"), (F.col("item_id") % 20).cast("string")).alias("text"))
+    found = op.sparse_ranking(op.bm25(docs, asked, "doc_id", "item_id"), "item_id", "doc_id", CUT)
+    return found.filter("rank <= 10").select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 ASK = "(SELECT item_id, text || CASE item_id % 4 WHEN 0 THEN ' 退款 能否' WHEN 1 THEN ' 预约 怎么' WHEN 2 THEN ' 空位 脚' ELSE '' END AS q FROM benchmark)"
@@ -147,6 +175,25 @@ def rerank_fallback(t):
     return op.reranked(scored(t), "item_id", "coarse", "score").select("item_id", "doc_id", "rerank_fallback", "rank")
 
 
+@query(f"""{SCORED}, e AS (SELECT item_id, doc_id, coarse, (doc_id % 10)::DOUBLE AS s, CASE item_id % 8 WHEN 1 THEN 'timeout' WHEN 2 THEN 'error:no model' END AS rerank_error FROM sd), f AS (SELECT *, 0.35 * CASE WHEN n <= 1 THEN 1.0 ELSE 1 - (coarse - 1)::DOUBLE / (n - 1) END + 0.65 * CASE WHEN h = l THEN 1.0 ELSE (s - l) / (h - l) END AS x FROM
+(SELECT *, count(*) OVER w AS n, min(s) OVER w AS l, max(s) OVER w AS h FROM e WINDOW w AS (PARTITION BY item_id)))
+SELECT item_id, doc_id, rerank_error IS NOT NULL AS rerank_fallback, rerank_error, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN rerank_error IS NULL THEN round(x, 9) END DESC, coarse, doc_id) AS rank FROM f""")
+def rerank_deadline(t):
+    """Scoring calls with a limit of two seconds: some items' calls take longer, some fail."""
+    asked = t.benchmark.select("item_id", F.concat(F.col("item_id").cast("string"), F.lit(" "), "text").alias("question"))
+    df = hybrid(t).filter("rank <= 10").select("item_id", "doc_id", F.col("rank").alias("coarse"), F.col("doc_id").cast("string").alias("content")).join(asked, "item_id")
+
+    def scorer(questions, contents):
+        item = int(questions[0].split(" ")[0])
+        if item % 8 == 1:
+            time.sleep(6)
+        if item % 8 == 2:
+            raise ValueError("no model")
+        return [int(c) % 10 for c in contents]
+
+    return op.reranked_in_time(df, "item_id", "question", "doc_id", "content", "coarse", scorer, limit=2.0, width=16).select("item_id", "doc_id", "rerank_fallback", "rerank_error", "rank")
+
+
 @query(f"""{SCORED} SELECT item_id, doc_id, array_to_string(list_filter([CASE WHEN dense_score >= 0.66 THEN 'dense' END, CASE WHEN bm25_score >= 8 THEN 'bm25' END, CASE WHEN item_id % 2 = 0 AND score >= 8 THEN 'llm_rerank' END], lambda x: x IS NOT NULL), ',') AS accepted_by
 FROM sd WHERE dense_score >= 0.66 OR bm25_score >= 8 OR (item_id % 2 = 0 AND score >= 8)""")
 def evidence_gate(t):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,25 @@ def read_log(spark: SparkSession, path: str, schema: str, timestamp: str | None
     return parsed_lines(spark.read.text(path), schema, timestamp, since)
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    """Append events to a folder of JSON lines; a failed attempt leaves nothing behind."""
-    df.write.mode("append").json(path)
+def append_log(df: DataFrame, path: str, batch: int | None = None) -> None:
+    """Append events to a folder of JSON lines; a failed attempt leaves nothing behind. With a batch's number, events of an
+    earlier attempt at the same batch are replaced, so a batch that is tried again is there once."""
+    if batch is None:
+        df.write.mode("append").json(path)
+    else:
+        df.write.mode("overwrite").json(f"{path}/batch={batch}")
+
+
+def log_stream(stream: DataFrame, path: str, checkpoint: str, extra: Callable[[DataFrame, int], None] | None = None):
+    """A running query that appends a stream's rows to a log, each once: batches are keyed by their number. extra is
+    called with each batch after it is written; where it fails, the batch is written anew by the next run."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        append_log(batch, path, number)
+        if extra:
+            extra(batch, number)
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
 
 
 def privacy_safe(df: DataFrame, columns: list[str], keep_raw: bool = False) -> DataFrame:
