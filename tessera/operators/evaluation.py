@@ -23,6 +23,12 @@ def evidence_hits(ranking: DataFrame, cases: DataFrame, case: str, source: str,
     return cases.select(case).join(found, case, "left")
 
 
+def candidate_chars(ranking: DataFrame, cases: DataFrame, case: str, text: str) -> DataFrame:
+    """One row: the mean over all cases of the characters of a case's candidates; a case without any counts as 0."""
+    own = ranking.groupBy(case).agg(F.sum(F.length(text)).alias("_c"))
+    return cases.select(case).join(own, case, "left").agg(F.bround(F.avg(F.coalesce("_c", F.lit(0))), 4).alias("candidate_chars"))
+
+
 def fragment_ratio(text: Column, fragments: Column) -> Column:
     """Share of the fragments that the text holds, in percent."""
     return F.bround(F.size(F.filter(fragments, lambda f: F.contains(text, f))).cast("double") / F.nullif(F.size(fragments), F.lit(0)) * 100, 6)

@@ -43,11 +43,12 @@ def inserted(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return df.unionByName(new, allowMissingColumns=True).select(*df.columns)
 
 
-def updated(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+def updated(df: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Non-null values of changes replace those of the same key; unknown keys change nothing. Of several changes of a
-    key each column takes its greatest value."""
-    names = [c for c in changes.columns if c != key]
-    new = changes.groupBy(key).agg(*(F.max(c).alias(f"_new_{c}") for c in names))
+    key the last one by `order` counts, as a row (without an order, or where it ties, the greatest one)."""
+    names = [c for c in changes.columns if c not in (key, order)]
+    last = F.max(F.struct(*([order] if order else []), *names)).alias("_last")
+    new = changes.groupBy(key).agg(last).select(key, *(F.col(f"_last.{c}").alias(f"_new_{c}") for c in names))
     return df.join(new, key, "left").select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in names else F.col(c) for c in df.columns))
 
 

@@ -87,7 +87,18 @@ def whole_vs_chunk(t):
         out.append(own.crossJoin(chars))  # one row each
     both = out[0].unionByName(out[1])
     base = both.filter("form = 'whole'").select(F.col("top3_chars").alias("_whole"))
-    return both.crossJoin(F.broadcast(base)).withColumn("compression", F.round(1 - F.col("top3_chars") / F.col("_whole"), 6)).drop("_whole")
+    return both.crossJoin(F.broadcast(base)).withColumn("compression", m.compression(F.col("top3_chars"), F.col("_whole"))).drop("_whole")
+
+
+@query(f"""WITH {BM25}, hit AS (SELECT b.item_id, min(s.rank) FILTER (d.source = 'src' || b.item_id % 20) AS rank, sum(length(d.text)) FILTER (s.rank <= 10) AS chars FROM benchmark b LEFT JOIN sparse s ON s.item_id = b.item_id AND s.rank <= 10 LEFT JOIN documents d ON d.doc_id = s.doc_id GROUP BY 1)
+SELECT count(*) AS cases, round_even(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round_even(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round_even(avg(coalesce(chars, 0)), 4) AS candidate_chars FROM hit""")
+def source_recall(t):
+    """Recall by source at 1 and 10, and the characters of the ten candidates of a case."""
+    cases = t.benchmark.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("expected"))
+    top = sparse(t).filter("rank <= 10").join(t.documents.select("doc_id", "text", "source"), "doc_id")
+    chars = op.candidate_chars(top, cases, "item_id", "text")
+    own = op.first_hit(top.join(cases, "item_id"), cases, "item_id", F.col("source") == F.col("expected"))
+    return m.ranking_summary(own, [], cutoffs=(1, 10)).select("cases", "recall_1", "recall_10").crossJoin(chars)  # one row each
 
 
 @query(rf"""WITH {BM25.replace("documents", "documents", 1)}, e AS (SELECT b.item_id, b.text AS needle, CASE WHEN b.item_id % 9 = 8 THEN -1 WHEN b.item_id % 2 = 0 THEN s.doc_id ELSE b.item_id END AS doc_id FROM benchmark b LEFT JOIN sparse s ON s.item_id = b.item_id AND s.rank = 1),
@@ -128,6 +139,13 @@ def accuracy_by_class(t):
     return m.accuracy(df, "quality", "guess")
 
 
+@query("""WITH x AS (SELECT quality AS class, quality = CASE WHEN n_chars > 400 THEN 1 ELSE 0 END AS hit FROM labels JOIN documents USING (doc_id))
+SELECT class, round_even(avg(hit::INT::DOUBLE), 6) >= 0.5 AS passed FROM x GROUP BY ROLLUP (class)""")
+def accuracy_passed(t):
+    df = t.labels.join(t.documents, "doc_id").withColumn("guess", F.when(F.col("n_chars") > 400, 1).otherwise(0))
+    return m.accuracy_gate(m.accuracy(df, "quality", "guess"), 0.5).select("class", "passed")
+
+
 @query(f"{HYBRID} SELECT kind, count(*) AS n, count(*) FILTER (kept) AS kept FROM (SELECT b.item_id, CASE WHEN b.item_id % 4 = 0 THEN 'unknown' ELSE 'known' END AS kind, coalesce(bool_or(dense_score >= 0.66 OR bm25_score >= 8), false) AS kept FROM benchmark b LEFT JOIN fused s ON s.item_id = b.item_id AND s.rank <= 3 GROUP BY 1) GROUP BY 1")
 def no_answer_confusion(t):
     """The evidence gate's verdict on the first three candidates of known and unknown cases."""

@@ -107,3 +107,53 @@ def test_sync_twice(spark, tmp_path):
     assert sync(chunk("a", "new", "2", [2.0]), chunk("a", "old"))[1] == {"imported": 1, "skipped": 1, "deactivated": 0, "changed": 2}
     got = {(r.source_id, r.hash): (r.is_active, r.version, r.embedding) for r in table.read().collect()}
     assert got == {("a", "new"): (True, "2", [2.0]), ("a", "old"): (True, "1", None), ("b", "other"): (True, "1", None)}
+
+
+class FakeService:
+    """Answers by id and by how often a request came; counts go to a file."""
+
+    def __init__(self, path):
+        self.path, self.seen = path, {}
+
+    def pages(self):
+        return 3
+
+    def page(self, number):
+        return [(number * 10 + i, f"p{number}") for i in range(number)]
+
+    def send(self, requests):
+        out = []
+        for r in requests:
+            self.seen[r["id"]] = self.seen.get(r["id"], 0) + 1
+            out.append({0: 201, 1: 409, 2: 422, 3: 503, 4: None if self.seen[r["id"]] < 3 else 200}[r["id"] % 5])
+        return out
+
+    def report(self, counts):
+        import json
+
+        with open(self.path, "w") as f:
+            json.dump(counts, f)
+
+
+def test_booking_source(spark, tmp_path):
+    import json
+
+    from pyspark import cloudpickle
+
+    from tessera.sources import gateway
+
+    cloudpickle.register_pickle_by_value(__import__(__name__))
+    path = str(tmp_path / "counts.json")
+    gateway.register_bookings(spark, "fake_bookings", FakeService(path), "id long, page string")
+    got = spark.read.format("fake_bookings").load()
+    assert got.rdd.getNumPartitions() == 3 and sorted((r.id, r.page) for r in got.collect()) == [(10, "p1"), (20, "p2"), (21, "p2")]
+    spark.range(50).repartition(4).select("id", F.lit("x").alias("page")).write.format("fake_bookings").option("batch", 7).option("pause", 0.01).mode("append").save()
+    assert json.load(open(path)) == {"ok": 20, "conflict": 10, "request_error": 10, "unavailable": 10, "retries": 40}
+
+
+def test_updates_of_one_key(spark):
+    from tessera.operators import relational
+
+    df = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, x string, y int")
+    changes = spark.createDataFrame([(1, 1, "z", 5), (1, 2, "c", None), (3, 1, "n", 1)], "k int, at int, x string, y int")
+    assert sorted(map(tuple, relational.updated(df, changes, "k", "at").collect())) == [(1, "c", 1), (2, "b", 2)]
