@@ -37,6 +37,8 @@ MAX_WORDS, MIN_COUNT, TOP, COVERED_PERCENT = 3, 10, 2000, 50
 SPACE, CUT = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Rows of the sketch; cells of a page as a power of two.
 ROWS, CELLS = 2, 22
+#: Bytes of text of a block: with all of its n-grams it has to fit a task beside others.
+BLOCK = 5 << 20
 
 
 def _levels(block: Block, max_words: int) -> tuple[list[str], list[Level], np.ndarray]:
@@ -55,10 +57,12 @@ def cells_of(hashes: np.ndarray, row: int, pages: int, bits: int = CELLS) -> np.
     return (page_of(own, pages) << bits) | (own & np.uint64((1 << bits) - 1)).astype("i8")
 
 
-def _summed(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct cells, their counts, place of each n-gram's cell)."""
-    own, of = np.unique(cells, return_inverse=True)
-    return own, np.bincount(of, counts, len(own)).astype("i8"), of
+def _summed(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct cells, their counts)."""
+    order = np.argsort(cells)
+    cells = cells[order]
+    starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else order
+    return cells[starts], np.add.reduceat(counts[order], starts) if len(cells) else counts
 
 
 def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, page_bytes: int = PAGE, bits: int = CELLS) -> DataFrame:
@@ -66,22 +70,23 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int =
     has all word occurrences of a language."""
     pages = max(1, math.ceil(text_bytes(docs) / page_bytes))
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")) if "lang" in docs.columns else F.lit("und")
-    blocks = stored(blocks_of(docs, [lang], F.col("text"), SPACE, CUT), "phrase-blocks")
+    blocks = stored(blocks_of(docs, [lang], F.col("text"), SPACE, CUT, BLOCK), "phrase-blocks")
 
     def sketch(block: Block) -> Iterator[tuple]:
         _, levels, hashes = _levels(block, max_words)
         counts = np.concatenate([x.counts() for x in levels])
+        del levels, block
         for row in range(ROWS):
-            cells, n, _ = _summed(cells_of(hashes, row, pages, bits), counts)
+            cells, n = _summed(cells_of(hashes, row, pages, bits), counts)
             yield row * pages, cells >> bits, cells.astype("u8"), np.minimum(n, min_count), lambda k: k << bits
 
     def merge(table: pa.Table) -> pa.Table:
         page = table.column("page")[0].as_py() % pages
-        full, lists = np.zeros(1 << bits, "i8"), []
+        full, lists = np.zeros(1 << bits, "u4"), []
         for packed in table.column("packed").to_pylist():
             cells, n = opened(packed, page << bits)
             lists.append((cells & np.uint64((1 << bits) - 1)).astype("u4"))
-            full[lists[-1]] += n
+            full[lists[-1]] += n.astype("u4")  # each at most min_count
         enough = full >= min_count
         answers = [np.packbits(enough[c]).tobytes() for c in lists]
         out = pa.table({"block": table.column("block"), "page": table.column("page"), "packed": pa.array(answers, pa.binary())})
