@@ -10,18 +10,22 @@ The likeness of two fingerprints is 1 where they are equal, else the Jaccard ind
 that they hold; comparing the trees from the root down locates edits (changed_sections).
 
 Cases: a null text counts as empty; empty texts are equal to each other; documents with the same id are
-taken in order of their texts; one document is its own successor; extra columns are dropped; an empty
-table gives an empty result.
+taken in order of their texts; a null id comes before all others, as a document's predecessor and as the last one's
+successor; one document is its own successor; extra columns are dropped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shuffle_partitions, text_bytes
 
 SHORT = 8
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 #: Successors are found in ranges of about so many bytes of text, in so many ranges at most.
 RANGE, RANGES = 128 << 20, 20_000
 LEAVES = r"[^.!?]{1,160}[.!?]*|[.!?]+"
@@ -60,8 +64,20 @@ def changed_sections(sections: Column, other: Column) -> Column:
     return F.filter(places, lambda i: ~F.get(sections, i).eqNullSafe(F.get(other, i)))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Add next_<column>: those of the next document by ascending doc_id (after the last: the first).
+def bounds_below(bounds: list[int], value: Column) -> Column:
+    """How many of the sorted bounds are smaller than a value: blocks of them are looked through first, then one block."""
+    step = max(1, math.isqrt(len(bounds)))
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    if not blocks:
+        return F.lit(0)
+    numbers = lambda own: F.array(*(F.lit(b).cast("long") for b in own))
+    count = lambda own: F.size(F.filter(own, lambda b: b < value))
+    whole = count(numbers([b[-1] for b in blocks]))
+    return whole * step + F.when(whole < len(blocks), count(F.get(F.array(*map(numbers, blocks)), whole))).otherwise(len(bounds) - step * len(blocks))
+
+
+def with_next(docs: DataFrame, columns: list[str], carried: tuple[str, ...] = ()) -> DataFrame:
+    """Add next_<column>: those of the next document by ascending doc_id, null first (after the last: the first).
 
     Documents are dealt to ranges of ids, and a copy of each range's first document goes to the range
     before it, so a range finds all successors by itself: one shuffle of the texts.
@@ -69,20 +85,18 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     n = min(RANGES, max(2, shuffle_partitions(docs.sparkSession), -(-text_bytes(docs, columns[0]) // RANGE)))
     # Bounds: RANGES numbers at most; beyond, a range's rows spill.
     bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or []
-    ranges = sorted(set(bounds))
-    part = F.size(F.filter(F.array(*map(F.lit, ranges)) if ranges else F.array().cast("array<long>"), lambda b: b < F.col("doc_id")))
-    placed = docs.withColumn("_part", part)
-    firsts = placed.groupBy("_part").agg(F.min("doc_id").alias("_first"))
+    placed = docs.withColumn("_order", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_part", bounds_below(sorted(set(bounds)), F.col("_order")))
+    firsts = placed.groupBy("_part").agg(F.min("_order").alias("_first"))
     before = F.lag("_part").over(Window.orderBy("_part"))
     last = F.max("_part").over(Window.partitionBy())
-    ghosts = firsts.select(F.col("_first").alias("doc_id"), F.coalesce(before, last).alias("_to"))
+    ghosts = firsts.select(F.col("_first").alias("_order"), F.coalesce(before, last).alias("_to"))
     # One row for each partition: a size bounded by the number of partitions.
-    marked = placed.join(F.broadcast(ghosts), "doc_id", "left")
+    marked = placed.join(F.broadcast(ghosts), "_order", "left")
     twice = F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("ghost")))).otherwise(
         F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("ghost")), F.struct(F.col("_to").alias("p"), F.lit(1).alias("ghost")))
     )
-    dealt = marked.withColumn("_at", F.explode(twice)).select("doc_id", *columns, "_at.*")
-    own = Window.partitionBy("p").orderBy("ghost", "doc_id", columns[0])
+    dealt = marked.withColumn("_at", F.explode(twice)).select("doc_id", *columns, *carried, "_at.*")
+    own = Window.partitionBy("p").orderBy("ghost", F.asc_nulls_first("doc_id"), columns[0])
     found = dealt.select("*", *(F.lead(c).over(own).alias(f"next_{c}") for c in columns))
     return found.filter("ghost = 0").drop("p", "ghost")
 
@@ -90,10 +104,11 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text: the last half is replaced by the next document's head."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    df = with_next(base, ["text"])
+    # A text's tree is made once, and its fingerprint goes with it to the document before.
+    df = with_next(with_fingerprint(base, "text"), ["text", "fingerprint"], ("sections",))
     n = F.length("text")
     df = df.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.substring("next_text", F.lit(1), F.floor(n / 2).cast("int"))))
-    df = with_fingerprint(with_fingerprint(with_fingerprint(df, "text"), "edited", "edited_"), "next_text", "next_")
+    df = with_fingerprint(df, "edited", "edited_")
     near = lambda p: likeness(F.col("fingerprint"), F.col(f"{p}fingerprint"))
     return df.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near("edited_").alias("near_edited"), near("next_").alias("near_next"),
@@ -105,7 +120,7 @@ SQL = r"""
 WITH d AS (
   SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text FROM documents
 ), n AS (
-  SELECT *, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id, text), first_value(text) OVER (ORDER BY doc_id, text)) AS nxt FROM d
+  SELECT *, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id NULLS FIRST, text), first_value(text) OVER (ORDER BY doc_id NULLS FIRST, text)) AS nxt FROM d
 ), e AS (
   SELECT *, substr(text, 1, n - n // 2) || substr(nxt, 1, n // 2) AS edited FROM n
 ), u AS (

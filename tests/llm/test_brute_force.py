@@ -202,6 +202,14 @@ def test_fingerprints(docs_of, texts):
     for i, text in texts.items():
         same.setdefault(text or "", set()).add(got[i].fingerprint)
     assert all(len(s) == 1 for s in same.values()) and len({x for s in same.values() for x in s}) == len(same)
+    nulls = [(None, "first one"), (None, "second one"), (1, "third text"), (1, "other third"), (7, "last text."), (-(1 << 63), "smallest id")]
+    order = sorted(nulls, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = {(i, hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % 6][1][: len(t) // 2]).encode()).hexdigest()) for k, (i, t) in enumerate(order)}
+    assert {(r.doc_id, r.edited_sha256) for r in fingerprint.fingerprint_documents(docs_of(nulls)).collect()} == want
+    numbers = docs_of([(i, "") for i in (None, -5, 0, 3, 4, 19, 20, 99)])
+    for bounds in ([], [3], [0, 3, 4, 5, 20], list(range(20))):
+        for r in numbers.select("doc_id", fingerprint.bounds_below(bounds, F.coalesce("doc_id", F.lit(-9))).alias("n")).collect():
+            assert r.n == sum(b < (-9 if r.doc_id is None else r.doc_id) for b in bounds)
     alone = fingerprint.fingerprint_documents(docs_of([(5, "abcd")])).collect()
     assert alone[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
     assert fingerprint.fingerprint_documents(docs_of([(1, "x")]).limit(0)).count() == 0
