@@ -1,6 +1,6 @@
 """Embedding near-duplicates by a random-projection tree forest.
 
-Trees are fitted on a bounded sample: a node splits at the median of a random projection, and vectors
+Trees are fitted in tasks, each on a bounded sample: a node splits at the median of a random projection, and vectors
 within a margin of it go to both sides (spill), down to leaves of about LEAF vectors. Leaves that hold more
 than FULL times as many, as the sample grows thin in a large table, are split again by trees of their own,
 fitted in a task on a bounded sample of that leaf, until none is too full or can be split. Dense groups that no
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import spread, stored
+from tessera.llm.common import cleared, spread, stored
 from tessera.llm.components import connected_components
 
 LEAF, TILE, SAMPLE, SPILL, TARGET = 400, 1024, 20_000, 0.15, 0.99
@@ -45,7 +45,8 @@ LOW, PLANES, PAYS = 0.05, 3, 0.9
 
 
 class Tree:
-    """Nodes in arrays: direction, threshold, margin, children; negative children are leaves.
+    """Nodes in arrays: seed of the direction, threshold, margin, children; negative children are leaves. A
+    direction is drawn from its seed again wherever it is needed, so a tree is small at any number of dimensions.
 
     A margin is at least `spill` of a node's spread, and so wide that a pair at the threshold near the
     node's mean parts no more often than one in a node of spread 1. Where that leaves both sides nearly
@@ -53,12 +54,14 @@ class Tree:
     rows the probability that such a pair at that row was parted by no node on its way."""
 
     def __init__(self, sample: np.ndarray, leaf: float, spill: float, seed: int, gap: float):
-        self.rng, self.leaf, self.spill, self.gap = np.random.default_rng(seed), leaf, spill, gap
-        self.planes, self.cuts, self.margins, self.sides, self.leaves, self.depth = [], [], [], [], 0, 0
+        self.seed, self.tried, self.leaf, self.spill, self.gap = seed, 0, leaf, spill, gap
+        self.seeds, self.cuts, self.margins, self.sides, self.leaves, self.depth = [], [], [], [], 0, 0
         self.meets = np.ones(len(sample))
         self.root = self._grow(sample, np.arange(len(sample)), np.ones(len(sample), bool), 0)
-        self.planes, self.cuts, self.margins = np.array(self.planes), np.array(self.cuts), np.array(self.margins)
-        del self.rng
+        self.seeds, self.cuts, self.margins = np.array(self.seeds, "i8"), np.array(self.cuts), np.array(self.margins)
+
+    def direction(self, number: int, dims: int) -> np.ndarray:
+        return np.random.default_rng((self.seed, number)).standard_normal(dims)
 
     def _grow(self, sample: np.ndarray, at_rows: np.ndarray, home: np.ndarray, depth: int) -> int:
         """Rows reach a node by the margin too; `home` marks those on their own side of all cuts above."""
@@ -69,13 +72,13 @@ class Tree:
             allowed = parted(self.gap, 1.0, self.spill)
             least = margin_for(self.gap, float(np.quantile(radii, LOW)), allowed)
             for _ in range(PLANES):
-                plane = self.rng.standard_normal(rows.shape[1])
-                at = rows @ plane
+                self.tried += 1
+                at = rows @ self.direction(self.tried, rows.shape[1])
                 cut, margin = float(np.median(at)), max(float(self.spill * at.std()), least)
                 left, right = at <= cut + margin, at > cut - margin
                 if left.sum() ** 2 + right.sum() ** 2 < PAYS * len(rows) ** 2 and left.any() and right.any():
-                    node = len(self.planes)
-                    self.planes.append(plane)
+                    node = len(self.seeds)
+                    self.seeds.append(self.tried)
                     self.cuts.append(cut)
                     self.margins.append(margin)
                     self.sides.append([0, 0])
@@ -97,7 +100,7 @@ class Tree:
             if node < 0:
                 yield -node, own
                 continue
-            at = rows[own] @ self.planes[node]
+            at = rows[own] @ self.direction(int(self.seeds[node]), rows.shape[1])
             todo.append((self.sides[node][0], own[at <= self.cuts[node] + self.margins[node]]))
             todo.append((self.sides[node][1], own[at > self.cuts[node] - self.margins[node]]))
 
@@ -140,6 +143,7 @@ def _unit(column: pa.Array) -> tuple[list[bytes | None], list[int]]:
     return out, dims
 
 
+@cleared
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, leaf: int = LEAF, spill: float = SPILL, target: float = TARGET, sample: int = SAMPLE, tile: int = TILE, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id, kept for every vector."""
 
@@ -169,21 +173,37 @@ def _points(units: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(held), "f8").reshape(len(held), -1)
 
 
+def _fitted(drawn: DataFrame, numbers: Iterable[int], n: int, leaf: int, spill: float, target: float, seed: int, gap: float) -> list:
+    """(number, needed, tree): the trees of these numbers, each fitted in a task on the whole sample, and how many are needed."""
+
+    def fit(table: pa.Table) -> pa.Table:
+        points, number = _points(table.column("unit")), table.column("number")[0].as_py()
+        points = points[np.lexsort(points.T[:8][::-1])]  # rows come in any order
+        scaled = max(8.0, leaf * len(points) / n)
+        tree = Tree(points, scaled, spill, seed + number, gap)
+        deeper = 1 + max(0.0, math.log2(scaled * n / len(points) / leaf)) / max(tree.depth, 1)
+        needed = trees_for(tree.meets, target, deeper) if tree.depth else 1
+        del tree.meets
+        return pa.table({"number": pa.array([number], pa.int32()), "needed": pa.array([needed], pa.int32()), "tree": pa.array([cloudpickle.dumps(tree)], pa.binary())})
+
+    each = drawn.withColumn("number", F.explode(F.array(*map(F.lit, numbers))))
+    return spread(each, "number").groupBy("number").applyInArrow(fit, "number int, needed int, tree binary").orderBy("number").collect()
+
+
 def _placed(classes: DataFrame, threshold: float, leaf: int, spill: float, target: float, sample: int, seed: int) -> DataFrame:
     """(leaf, key) of every class in the leaves of all trees."""
     spark = classes.sparkSession
     forests: dict[int, list[Tree]] = {}
     gap = math.sqrt(max(2 - 2 * threshold, 0.0))
     for dim, n in classes.groupBy("dim").count().filter(F.col("count") > leaf).collect():  # one row for each length of many vectors
-        drawn = classes.filter(F.col("dim") == dim).orderBy("key").select("unit").limit(sample).collect()  # digests order at random
-        points = np.stack([np.frombuffer(r.unit, "f8") for r in drawn])
-        scaled = max(8.0, leaf * len(points) / n)
-        tree = Tree(points, scaled, spill, seed, gap)
-        deeper = 1 + max(0.0, math.log2(scaled * n / len(points) / leaf)) / max(tree.depth, 1)
-        forests[dim] = [tree] + [Tree(points, scaled, spill, seed + i, gap) for i in range(1, trees_for(tree.meets, target, deeper) if tree.depth else 1)]
-        for tree in forests[dim]:
-            del tree.meets
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps(forests))  # bounded by the sample's size
+        drawn = stored(classes.filter(F.col("dim") == dim).orderBy("key").select("unit").limit(sample), "vector-sample")  # digests order at random
+
+        fitted = lambda numbers: _fitted(drawn, numbers, n, leaf, spill, target, seed, gap)  # noqa: E731,B023
+        trees = fitted([0])
+        if trees[0].needed > 1:
+            trees += fitted(range(1, trees[0].needed))
+        forests[dim] = [cloudpickle.loads(r.tree) for r in trees]  # some numbers a node, whatever the vectors' length
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(forests))  # nodes of trees on a bounded sample
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_forests = cloudpickle.loads(shared.value)
