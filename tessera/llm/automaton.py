@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import release, spread, stored, text_bytes
+from tessera.llm.common import cleared, release, spread, stored, text_bytes
 from tessera.llm.ngrams import PAGE, Block, Level, blocks_of, get_counts, hashes_of, levels_of, opened, page_of, page_start, put_counts, replies_of, sending, word_hashes
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -137,6 +137,7 @@ def _levels(block: Block, order: int, bits: int) -> tuple[np.ndarray, np.ndarray
     return ids, joined, sizes, levels, [h if not k else (h >> cut) << cut for k, h in enumerate(hashes)]
 
 
+@cleared
 def score_documents(docs: DataFrame, order: int = ORDER, weights: tuple[float, ...] = LOWER_WEIGHT, page_bytes: int = PAGE, lane: int = LANE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; documents that aren't
     held out train the model."""

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import free_names, spread, stored
+from tessera.llm.common import cleared, free_names, spread, stored
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Distances that one step evaluates at most.
@@ -171,6 +171,7 @@ def encode(df: DataFrame, book: Codebooks, vector: str = "embedding") -> DataFra
     return spread(kept).mapInArrow(run, schema)
 
 
+@cleared
 def compress_vectors(df: DataFrame, **options) -> DataFrame:
     """vec_id, code (two hex digits a part), error, label_error (error summed over equal labels) and codebooks_sha256."""
     book = fit_codebooks(df, **options)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +49,54 @@ def stored(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> Da
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
+    if _scopes():
+        _scopes()[-1].append(path)
     return out
 
 
+_held = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """Of each running function that is cleared(), innermost last, the paths of its tables."""
+    if not hasattr(_held, "scopes"):
+        _held.scopes = []
+    return _held.scopes
+
+
+def cleared(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """fn, whose result is written to the shared folder, and whose other stored tables are deleted then."""
+
+    @wraps(fn)
+    def run(*args, **options) -> DataFrame:
+        _scopes().append([])
+        try:
+            out = fn(*args, **options)
+            done = stored(out, fn.__name__)
+        except BaseException:
+            _scopes().pop()
+            raise
+        paths = _scopes().pop()
+        for path in paths:
+            if path != done._stored_path:
+                _delete(done.sparkSession, path)
+        if _scopes():
+            _scopes()[-1].append(done._stored_path)
+        return done
+
+    return run
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete a table written by stored()."""
     path = getattr(df, "_stored_path", None)
     if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(df.sparkSession, path)
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_names, release, spread, stored
+from tessera.llm.common import cleared, free_names, release, spread, stored
 from tessera.llm.components import connected_components
 from tessera.llm.shingles import WORDS, in_runs, mix, shingle_sets
 
@@ -155,6 +155,7 @@ def roots(left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return own
 
 
+@cleared
 def near_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, task_grams: int = TASK_GRAMS) -> DataFrame:
     """For each document: doc_id, class_id (the smallest doc_id reached through links), copy_id (the smallest
     with an equal set), n_links (other documents at or over the threshold), n_grams, kept."""

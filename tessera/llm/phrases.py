@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import release, spread, stored, text_bytes
+from tessera.llm.common import cleared, release, spread, stored, text_bytes
 from tessera.llm.ngrams import PAGE, Block, Level, blocks_of, hashes_of, levels_of, opened, page_of, replies_of, sending, word_hashes
 from tessera.llm.shingles import mix
 
@@ -141,6 +141,7 @@ def _found(block: Block, langs: list[str], levels: list[Level], frequent: np.nda
     return out
 
 
+@cleared
 def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, top: int = TOP, covered_percent: int = COVERED_PERCENT) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's best phrases."""
     counts = stored(phrase_counts(docs, max_words, min_count), "phrases")

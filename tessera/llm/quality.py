@@ -6,7 +6,8 @@ order hold continuation counts. Documents are packed into blocks; the distinct n
 joined with the counts, order by order, and each block gets the probabilities of its own n-grams back and
 sums them over its documents. A document is rejected where its perplexity exceeds its language's
 threshold: a quantile of the held-out trusted documents' perplexities in that language, times a margin.
-Languages with too few of these use the quantile over all. A short document's mean is drawn towards the
+Languages with too few of these (20) use the quantile over all, and an order
+whose counts of counts of 1 to 4 aren't all there uses fixed discounts (0.5, 0.75 and 0.9). A short document's mean is drawn towards the
 language's middle by a fixed number of bytes, as few bytes say little.
 
 Rows travel through the blocks with their doc_id and language, so each has its own score whatever its id. The
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_names, release, spread, stored
+from tessera.llm.common import cleared, free_names, release, spread, stored
 
 ORDER, BLOCK, RUN = 5, 16 << 20, 1 << 20
 #: Trusted ids are broadcast up to so many (16 bytes each), and shuffled beyond.
@@ -247,6 +248,7 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+@cleared
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, least_trusted: int = LEAST_TRUSTED, prior: float = PRIOR_BYTES) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity (of a byte, the model's), drawn (the same drawn towards the language's
     middle), threshold (for drawn), kept, and version (a hash of the text) for every row."""
