@@ -147,10 +147,18 @@ def adaptive_route(t):
     return df.select("item_id", op.route(F.col("q"), F.col("dense_score"), F.col("bm25_score"), F.col("doc_id").isNotNull()).alias("reason"))
 
 
-@query(f"SELECT item_id, item_id % 4 <> 3 AS expand, CASE WHEN item_id % 4 <> 3 THEN 20 ELSE 10 END AS pool FROM {ASK}")
+#: The questions of conversations, some with words that make them complex, risky or about policy.
+TURNS = "(SELECT conv_id, turn, substr(text, 1, turn * 9) || CASE conv_id % 5 WHEN 0 THEN '能否' WHEN 1 THEN '退款' WHEN 2 THEN '技师' WHEN 3 THEN '会员以及' ELSE '' END AS q FROM conversations)"
+
+
+@query(f"""SELECT conv_id, turn, expand, CASE WHEN expand THEN least(greatest(4 * 5, 10), n) ELSE least(2 * 5, n) END AS pool FROM (SELECT conv_id, turn, (length(q) >= 24 OR regexp_matches(q, '{op.COMPLEX}')) AND (regexp_matches(q, '{op.POLICY}') OR regexp_matches(q, '{op.RISK}')) AS expand FROM {TURNS}), (SELECT count(*) AS n FROM region)""")
 def pool_size(t):
-    df = asking(t).select("item_id", op.needs_pool(F.col("q")).alias("expand"))
-    return df.withColumn("pool", F.when(F.col("expand"), op.pool_size(5, 1000, False, True)).otherwise(op.pool_size(5, 1000, False, False)))
+    """How many candidates each question recalls out of a small corpus (as many as there are regions)."""
+    add = F.when(F.col("conv_id") % 5 == 0, "能否").when(F.col("conv_id") % 5 == 1, "退款").when(F.col("conv_id") % 5 == 2, "技师").when(F.col("conv_id") % 5 == 3, "会员以及").otherwise("")
+    df = t.conversations.select("conv_id", "turn", F.concat(F.substring("text", F.lit(1), F.col("turn") * 9), add).alias("q"))
+    df = df.select("conv_id", "turn", op.needs_pool(F.col("q")).alias("expand"))
+    n = t.region.count()
+    return df.withColumn("pool", F.when(F.col("expand"), op.pool_size(5, n, False, True)).otherwise(op.pool_size(5, n, False, False)))
 
 
 def scored(t):

@@ -178,14 +178,17 @@ def local_clock(t):
     return t.orders.select("o_orderkey", op.clock(op.local_time(utc)).alias("local_clock"), op.minutes_between(utc, to).alias("minutes"))
 
 
-@query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS held, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS left_ FROM orders")
+@query("""WITH day AS (SELECT l_suppkey AS id, CAST(l_shipdate AS DATE) AS day, l_shipdate + (l_orderkey % 9) * INTERVAL 1 HOUR AS s, row_number() OVER (PARTITION BY l_suppkey, CAST(l_shipdate AS DATE) ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem),
+old AS (SELECT id, day, list(s ORDER BY s, r) AS held FROM day WHERE r > 1 GROUP BY 1, 2), one AS (SELECT id, day, s FROM day WHERE r = 1)
+SELECT id, day, CASE WHEN list_contains(coalesce(held, []), s) THEN len(held) ELSE coalesce(len(held), 0) + 1 END AS held, len(list_filter(coalesce(held, []), lambda x: x <> s)) AS left_ FROM one LEFT JOIN old USING (id, day)""")
 def busy_lists(t):
-    """An interval is added to a list, where it isn't there yet, and removed by its start."""
-    end = F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")
-    other = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate")).otherwise(F.col("o_orderdate") - F.expr("INTERVAL 5 HOURS"))
-    held = F.array(F.struct(other.alias("start"), F.when(F.col("o_orderkey") % 3 == 0, end).otherwise(other + F.expr("INTERVAL 1 HOUR")).alias("end")))
-    more = op.with_busy(held, F.col("o_orderdate"), end)
-    return t.orders.select("o_orderkey", F.size(more).cast("long").alias("held"), F.size(op.without_busy(more, F.col("o_orderdate"))).cast("long").alias("left_"))
+    """For each supplier and day, its first item's interval is added to the list of the others, unless it is there, and all of its start removed."""
+    start = F.col("l_shipdate") + F.make_dt_interval(F.lit(0), (F.col("l_orderkey") % 9).cast("int"))
+    df = t.lineitem.select(F.col("l_suppkey").alias("id"), F.col("l_shipdate").cast("date").alias("day"), F.struct(start.alias("start"), (start + F.expr("INTERVAL 1 HOUR")).alias("end")).alias("b"), F.struct("l_orderkey", "l_linenumber").alias("at"))
+    first = df.groupBy("id", "day").agg(F.min(F.struct("at", "b")).alias("f"))
+    both = df.join(first, ["id", "day"]).groupBy("id", "day", "f").agg(F.collect_list(F.when(F.col("at") != F.col("f.at"), F.col("b"))).alias("held"))  # a day of one supplier
+    more = op.with_busy(F.col("held"), F.col("f.b.start"), F.col("f.b.end"))
+    return both.select("id", "day", F.size(more).cast("long").alias("held"), F.size(op.without_busy(more, F.col("f.b.start"))).cast("long").alias("left_"))
 
 
 @query("SELECT s_suppkey AS id FROM supplier WHERE s_nationkey % 2 = 0")

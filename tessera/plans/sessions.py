@@ -52,12 +52,14 @@ def payload_validation(t):
     return t.events.select("event_id", op.payload_valid(kind, payload).alias("valid"))
 
 
-@query("SELECT conv_id, CAST(count(*) + 2 AS BIGINT) AS messages, CAST(2 + count(*) - least(count(*), 3) AS BIGINT) AS new FROM conversations GROUP BY 1")
+@query("""SELECT conv_id, CAST(count(*) + 2 AS BIGINT) AS messages, sha256(string_agg(coalesce(text, ''), '|' ORDER BY turn) || '|a|b') AS held, sha256(coalesce(string_agg(coalesce(text, ''), '|' ORDER BY turn) FILTER (r > 3) || '|', '') || 'a|b') AS new
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY 1""")
 def conversation_state(t):
-    """The append reducer over a conversation, and what came after the first three messages."""
-    held = t.conversations.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda m: m["text"]).alias("held"))  # a conversation's messages
+    """The append reducer over a conversation, and what came after the first three messages (or all, if they are fewer)."""
+    held = t.conversations.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda m: m["text"]).alias("held"))  # a conversation's messages
     state_ = op.appended(F.col("held"), F.array(F.lit("a"), F.lit("b")))
-    return held.select("conv_id", F.size(state_).cast("long").alias("messages"), F.size(op.unseen(state_, F.least(F.size("held"), F.lit(3)))).cast("long").alias("new"))
+    text = lambda c: F.sha2(F.array_join(c, "|"), 256)
+    return held.select("conv_id", F.size(state_).cast("long").alias("messages"), text(state_).alias("held"), text(op.unseen(state_, F.least(F.size("held"), F.lit(3)))).alias("new"))
 
 
 @query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Bo' WHEN 2 THEN 'Ann' END AS name, CAST(CASE turn % 4 WHEN 0 THEN 45 WHEN 1 THEN 90 WHEN 2 THEN 60 END AS BIGINT) AS minutes FROM conversations")

@@ -157,3 +157,28 @@ def test_updates_of_one_key(spark):
     df = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, x string, y int")
     changes = spark.createDataFrame([(1, 1, "z", 5), (1, 2, "c", None), (3, 1, "n", 1)], "k int, at int, x string, y int")
     assert sorted(map(tuple, relational.updated(df, changes, "k", "at").collect())) == [(1, "c", 1), (2, "b", 2)]
+
+
+def test_knowledge_base(spark, tmp_path):
+    from tessera import service
+
+    base = service.KnowledgeBase(spark, str(tmp_path / "k"), 4)
+    one = base.add("Opening hours are nine to five", category="faq", keywords=["hours"])
+    two = base.add(question=" Where? ", answer="Next to the station")
+    with pytest.raises(ValueError):
+        base.add(" ")
+    assert base.entry(two)["content"] == "Where?\nNext to the station" and base.entry("none") is None
+    assert [r.id for r in base.search("station hours", 5).collect()] == [two, one] or base.search("station hours", 5).count() == 2
+    assert [r.id for r in base.search("hours", 5, category="faq").collect()] == [one] and base.status()["healthy"]
+    kept = base.backup()
+    assert base.update(one, "Open all night", category="faq") and not base.update("none", "x") and base.search("five").count() == 0
+    assert base.delete(two) and not base.delete("none") and base.entries().count() == 1 and base.entries(inactive=True).count() == 2
+    uploads = spark.createDataFrame([("a.md", b"# Massage\nshoulder " * 60), ("b.pdf", b"x"), ("c.txt", b" ")], "name string, content binary")
+    counts, failed = base.import_documents(uploads)
+    assert counts["imported"] > 1 and {(r.name, r.error) for r in failed.collect()} == {("b.pdf", "unsupported_type"), ("c.txt", "empty")}
+    assert base.import_documents(uploads)[0]["changed"] == 0 and base.search("shoulder", 2).count() == 2
+    base.restore(kept)
+    assert base.entry(one)["content"].startswith("Opening") and base.search("shoulder").count() == 0 and base.search("station").count() == 1
+    assert base.delete(one, hard=True) and base.entry(one) is None
+    with pytest.raises(ValueError):
+        base.restore(99)
