@@ -12,6 +12,10 @@ STATUSES = ("usage_not_reported", "pricing_tier_exceeded", "pricing_not_configur
 
 #: Up to so many values a group's whole range is looked at; beyond, what lies between two approximate quantiles.
 SMALL, ACCURACY, MARGIN = 20_000, 10_000, 0.001
+#: Up to so many values in all are put in order at once.
+DIRECT = 1_000_000
+#: Equal parts of a bracket.
+BUCKETS = 1024
 Place = Callable[[Column], Column]
 
 
@@ -28,11 +32,13 @@ def floor_place(p: float) -> Place:
 def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str, tuple[float, Place]]) -> DataFrame:
     """(keys, n, mean, picks) of a group's values: each pick is (p, place), the value at that index in ascending order.
 
-    Exact, without a group's values meeting in one task: approximate quantiles on both sides of p bracket the place,
-    one pass counts what lies below the bracket, and only the values inside are counted and put in order. p tells
-    where the place is, to a thousandth of n."""
+    Exact, without a group's values meeting in one task: approximate quantiles on both sides of p bracket the place, one
+    pass counts what lies below the bracket and in each of BUCKETS equal parts of it, and only the distinct values of
+    the part that holds the place are put in order. p tells where the place is, to a thousandth of n."""
     # The keys are one struct: it is never null, and equal ones have equal or null fields.
     rows = df.select(F.struct(*keys).alias("_key"), F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    if rows.limit(DIRECT + 1).count() <= DIRECT:
+        return _few_statistics(rows, picks)
     each = range(len(picks))
     shares = [x for p, _ in picks.values() for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     stats = rows.groupBy("_key").agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", shares, ACCURACY).alias("_q"))
@@ -42,14 +48,33 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str
     below = both.groupBy("_key").agg(*(F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in each))
     inside = F.array(*(F.when(F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), i) for i in each))
     counts = both.select("_key", "_v", F.explode(F.filter(inside, lambda i: i.isNotNull())).alias("_i")).groupBy("_key", "_i", "_v").agg(F.count("*").alias("_c"))
-    upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy("_key", "_i").orderBy("_v")))
-    found = upto.join(stats.select("_key", "n", "mean").join(below, "_key"), "_key")
+    bound = lambda end: F.coalesce(*(F.when(F.col("_i") == i, F.col(f"_{end}{i}")) for i in each))
+    span = bound("hi") - bound("lo")
+    part = F.when(span > 0, F.floor((F.col("_v") - bound("lo")) / span * BUCKETS)).otherwise(0)
+    counts = counts.join(stats, "_key").select("_key", "_i", "_v", "_c", "n", "mean", part.alias("_part"))
+    # BUCKETS rows a group and pick: the part in which the place is, and where in it.
+    parts = counts.groupBy("_key", "_i", "_part", "n", "mean").agg(F.sum("_c").alias("_s"))
+    parts = parts.withColumn("_end", F.sum("_s").over(Window.partitionBy("_key", "_i").orderBy("_part"))).join(below, "_key")
     at = F.coalesce(*(F.when(F.col("_i") == i, place(F.col("n")) - F.col(f"_below{i}")) for i, (_, place) in enumerate(picks.values())))
-    own = found.filter((F.col("_upto") > at) & (F.col("_upto") - F.col("_c") <= at))
+    held = parts.withColumn("_at", at).filter((F.col("_end") > F.col("_at")) & (F.col("_end") - F.col("_s") <= F.col("_at")))
+    held = held.select("_key", "_i", "_part", (F.col("_at") - (F.col("_end") - F.col("_s"))).alias("_at"))
+    upto = counts.join(held, ["_key", "_i", "_part"]).withColumn("_upto", F.sum("_c").over(Window.partitionBy("_key", "_i").orderBy("_v")))
+    own = upto.filter((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at")))
     values = [F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(name) for i, name in enumerate(picks)]
     return own.groupBy("_key").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *values).select("_key.*", "n", "mean", *picks)
 
 
+def _few_statistics(rows: DataFrame, picks: dict[str, tuple[float, Place]]) -> DataFrame:
+    """The same for few values: each group's distinct ones in order."""
+    counts = rows.groupBy("_key", "_v").agg(F.count("*").alias("_c"))
+    own = Window.partitionBy("_key").orderBy("_v")
+    upto = counts.withColumn("_upto", F.sum("_c").over(own)).withColumn("n", F.sum("_c").over(Window.partitionBy("_key")))
+    held = lambda place: F.when((F.col("_upto") > place(F.col("n"))) & (F.col("_upto") - F.col("_c") <= place(F.col("n"))), F.col("_v"))
+    sums = rows.groupBy("_key").agg(F.avg("_v").alias("mean"))
+    values = upto.groupBy("_key").agg(F.first("n").alias("n"), *(F.max(held(place)).alias(name) for name, (_, place) in picks.items()))
+    return values.join(sums, "_key").select("_key.*", "n", "mean", *picks)
+
+
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean and nearest-rank p50, p95 and p99 of each group, six places; 0 for a group without values."""
     picks = {name: (p, nearest_place(p)) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}

@@ -29,9 +29,9 @@ CUT = 20
 
 
 def spread(df):
-    """A few files are few splits; tokenizing them is worth all cores. Many files stay as they are."""
+    """A scan of fewer splits than cores is dealt out, as tokenizing is worth all cores; others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def sparse(t, okapi=False, k=CUT):

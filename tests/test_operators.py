@@ -23,7 +23,9 @@ def test_percentiles_take_nearest_rank_half_even(spark):
     assert rows(metrics.distribution(df, ["k"], "v").select("p50", "p95", "mean")) == [(100.0, 300.0, 200.0)]
 
 
-def test_order_statistics_of_large_groups(spark):
+@pytest.mark.parametrize("direct", [0, 1_000_000])
+def test_order_statistics_of_large_groups(spark, monkeypatch, direct):
+    monkeypatch.setattr(metrics, "DIRECT", direct)
     df = spark.range(60_001).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.floor(F.col("id") / 5000)).cast("double").alias("v"))
     got = {r.k: r for r in metrics.order_statistics(df, ["k"], "v", {n: (p, metrics.nearest_place(p)) for n, p in (("a", 0.0), ("b", 0.5), ("c", 0.999), ("d", 1.0))}).collect()}
     for k in (0, 1):
