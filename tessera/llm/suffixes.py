@@ -10,7 +10,9 @@ time, as long as they tie); the rest are induced by a scan of the buckets in asc
 common prefixes of neighbours in the array tell which windows are equal, and each group's smallest doc_id marks
 the others. (4) Marks go back to the blocks, which drop the bytes covered. Of a run that a block has several
 times only its smallest doc_id goes out, as its other documents are covered for certain: a run that occurs in a
-third of all documents is sent once by each block, and nothing is dropped or capped.
+third of all documents is sent once by each block, and nothing is dropped or capped. Runs of a minimizer that more
+than HOT blocks have are merged by groups of blocks first (as many groups as the square root of the blocks), so the
+task where they meet gets a run from each group.
 
 Equal runs within a block are found by 64-bit hashes of their bytes and lengths under one minimizer.
 
@@ -37,6 +39,8 @@ from tessera.llm.common import free_names, release, spread, stored, text_bytes
 from tessera.llm.shingles import _R, _R_INV, _powers_of, mix
 
 LENGTH, SEED, BLOCK, RUN = 50, 20, 8 << 20, 1 << 19
+#: Runs of a minimizer in more blocks than this are merged by groups of blocks first.
+HOT = 256
 #: Stands for the task of marks that need no other block.
 LOCAL = -1
 
@@ -216,21 +220,50 @@ def split_texts(data: bytes, lengths: np.ndarray) -> list[bytes]:
     return [data[e - n : e] for e, n in zip(ends, lengths.tolist())]
 
 
-def shared_hashes(blobs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each block's (sorted hashes, whether in several of its documents), which of its hashes several documents have."""
+def shared_hashes(blobs: list[tuple[np.ndarray, np.ndarray]], hot: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each block's (sorted hashes, whether in several of its documents), which of its hashes several documents have,
+    and which of them more than `hot` blocks."""
     every = np.concatenate([h for h, _ in blobs])
     several = np.concatenate([s for _, s in blobs])
     order = np.argsort(every)
     own = every[order]
-    again = np.zeros(len(own), bool)
-    if len(own):
-        twice = own[1:] == own[:-1]
-        again[1:] |= twice
-        again[:-1] |= twice
-    shared = np.zeros(len(own), bool)
-    shared[order] = again
-    shared |= several
-    return np.split(shared, np.cumsum([len(h) for h, _ in blobs])[:-1])
+    heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, "i8")
+    sizes = np.diff(np.concatenate([heads, [len(own)]]))
+    blocks = np.zeros(len(own), "i8")
+    blocks[order] = np.repeat(sizes, sizes)
+    cuts = np.cumsum([len(h) for h, _ in blobs])[:-1]
+    return np.split((blocks > 1) | several, cuts), np.split(blocks > hot, cuts)
+
+
+def merged_runs(blobs: list[tuple[int, bytes]], length: int = LENGTH) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]]:
+    """Several blocks' runs for one task, (block, packed) each, with equal runs merged: (what goes on, marks of what is
+    covered for certain). Of equal runs the occurrences in the smallest doc_id go on, under their own blocks."""
+    known: dict[bytes, int] = {}
+    held = []
+    for at, (_, packed) in enumerate(blobs):
+        lane, count, times, doc, row, place, raw = unpack(packed)
+        count, times = _array(count, "u1").astype("i8"), _array(times, "i4").astype("i8")
+        own = np.array([known.setdefault(r, len(known)) for r in split_texts(raw, count + length - 1)], "i8")
+        each = np.repeat(np.arange(len(own)), times)
+        held.append((own[each], _array(doc, "i8"), np.full(len(each), at), _array(row, "i4"), _array(place, "i8"), count[each], _array(lane, "u1")[each]))
+    run, doc, at, row, place, count, lane = (np.concatenate(x) for x in zip(*held))
+    first = np.full(len(known), np.iinfo("i8").max)
+    np.minimum.at(first, run, doc)
+    stays, texts = doc == first[run], list(known)
+    on, sure = [], []
+    for k, (block, _) in enumerate(blobs):
+        mine = np.flatnonzero((at == k) & stays)
+        if len(mine):
+            mine = mine[np.argsort(run[mine], kind="stable")]
+            heads = np.flatnonzero(np.concatenate([[True], run[mine][1:] != run[mine][:-1]]))
+            times = np.diff(np.concatenate([heads, [len(mine)]]))
+            one = mine[heads]
+            on.append((block, pack([lane[one].tobytes(), count[one].astype("u1").tobytes(), times.astype("i4").tobytes(), doc[mine].tobytes(), row[mine].tobytes(), place[mine].tobytes(), b"".join(texts[r] for r in run[one].tolist())], 1)))
+        gone = np.flatnonzero((at == k) & ~stays)
+        if len(gone):
+            bits = (np.uint64(1) << count[gone].astype("u8")) - np.uint64(1)
+            sure.append((block, pack([row[gone].tobytes(), place[gone].tobytes(), bits.tobytes()], 1)))
+    return on, sure
 
 
 def marks_of(data: np.ndarray, counts: np.ndarray, times: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -267,7 +300,7 @@ def marks_of(data: np.ndarray, counts: np.ndarray, times: np.ndarray, docs: np.n
 def _marked(docs: DataFrame, length: int, seed: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(blocks, marks): marks has (block, marks) with rows, places and bits."""
     total = text_bytes(docs)
-    shards = max(1, math.ceil(total / block_bytes))
+    shards, hot = max(1, math.ceil(total / block_bytes)), HOT
     tasks = max(1, math.ceil(total / (3 << 20)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,12 +366,14 @@ def _marked(docs: DataFrame, length: int, seed: int, block_bytes: int) -> tuple[
             gaps, several = unpack(packed)
             hashes = np.cumsum(_array(gaps, "u8"))
             blobs.append((hashes, np.unpackbits(_array(several, "u1"), count=len(hashes)).astype(bool)))
-        shared = [pack([np.packbits(s).tobytes()], 1) for s in shared_hashes(blobs)]
+        shared = [pack([np.packbits(s).tobytes(), np.packbits(h).tobytes()], 1) for s, h in zip(*shared_hashes(blobs, hot))]
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "shared": pa.array(shared, pa.binary())})
 
     hashes = blocks.mapInArrow(send_hashes, "shard long, block long, packed binary")
     shared = stored(spread(hashes, "shard").groupBy("shard").applyInArrow(find_shared, "block long, shard long, shared binary"), "suffix-shared")
 
+    groups = max(1, math.isqrt(blocks.count()))
+
     def send_runs(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for block, packed in zip(left.column("block").to_pylist(), left.column("packed").to_pylist()):
@@ -347,10 +382,11 @@ def _marked(docs: DataFrame, length: int, seed: int, block_bytes: int) -> tuple[
             every, _ = minimizers(ids, all_windows)
             shard = np.floor(every.astype("f8") * (shards / 2.0**64)).astype("i8").clip(0, shards - 1)
             cuts = np.searchsorted(shard, np.arange(shards + 1))
-            wanted = np.zeros(len(every), bool)
+            wanted, often = np.zeros(len(every), bool), np.zeros(len(every), bool)
             for k, bits in zip(right.column("shard").to_pylist(), right.column("shared").to_pylist()):
-                wanted[cuts[k] : cuts[k + 1]] = np.unpackbits(_array(unpack(bits)[0], "u1"), count=cuts[k + 1] - cuts[k]).astype(bool)
-            every = every[wanted]
+                for flags, packed_bits in zip((wanted, often), unpack(bits)):
+                    flags[cuts[k] : cuts[k + 1]] = np.unpackbits(_array(packed_bits, "u1"), count=cuts[k + 1] - cuts[k]).astype(bool)
+            every, often = every[wanted], often[wanted]
             if not len(every):
                 continue
             held: list[list] = [[], [], [], [], [], []]
@@ -364,7 +400,9 @@ def _marked(docs: DataFrame, length: int, seed: int, block_bytes: int) -> tuple[
                 for k, v in enumerate((ids[first + row], first + row, begin - starts[row], count, own, whole)):
                     held[k].append(v)
             doc, row, place, count, own, whole = map(np.concatenate, held)
-            task = (mix(own) % np.uint64(tasks)).astype("i8")
+            # Runs of very frequent minimizers go to the same task by way of a group of blocks.
+            task = (mix(own) % np.uint64(tasks)).astype("i8") * 2 + often[np.searchsorted(every, own)]
+            group = block % groups
             order = np.lexsort((whole, own, task))
             new = np.concatenate([[True], (own[order][1:] != own[order][:-1]) | (whole[order][1:] != whole[order][:-1])])
             heads = np.flatnonzero(new)
@@ -375,22 +413,33 @@ def _marked(docs: DataFrame, length: int, seed: int, block_bytes: int) -> tuple[
             sure = order[later]
             if len(sure):
                 bits = (np.uint64(1) << count[sure].astype("u8")) - np.uint64(1)
-                out.append((LOCAL, block, pack([row[sure].astype("i4").tobytes(), place[sure].astype("i8").tobytes(), bits.tobytes()], 1)))
+                out.append((LOCAL, -1, block, pack([row[sure].astype("i4").tobytes(), place[sure].astype("i8").tobytes(), bits.tobytes()], 1)))
             kept, order = order[heads], order[~later]
             times = np.bincount(number[~later], minlength=len(heads))
-            cuts = np.searchsorted(task[kept], np.arange(tasks + 1))
+            cuts = np.searchsorted(task[kept], np.arange(2 * tasks + 1))
             ends = np.concatenate([[0], np.cumsum(times)])
             for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                 a, b = cuts[k], cuts[k + 1]
                 at = order[ends[a] : ends[b]]
                 blob = pack([(own[kept[a:b]] >> np.uint64(24)).astype("u1").tobytes(), count[kept[a:b]].astype("u1").tobytes(), times[a:b].astype("i4").tobytes(), doc[at].tobytes(), row[at].astype("i4").tobytes(), place[at].astype("i8").tobytes(), b"".join([pieces[i] for i in kept[a:b].tolist()])], 1)
-                out.append((k, block, blob))
+                out.append((k >> 1, group if k & 1 else -1, block, blob))
+        release()
+        columns = [*zip(*out)] if out else [(), (), (), ()]
+        return pa.table({n: pa.array(c, kind) for n, c, kind in zip(("task", "grp", "block", "packed"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))})
+
+    runs = stored(spread(blocks, "block").groupBy("block").cogroup(spread(shared, "block").groupBy("block")).applyInArrow(send_runs, "task long, grp long, block long, packed binary"), "suffix-runs")
+
+    def merge(table: pa.Table) -> pa.Table:
+        table, task = table.sort_by("block"), table.column("task")[0].as_py()
+        on, sure = merged_runs([*zip(table.column("block").to_pylist(), table.column("packed").to_pylist())], length)
         release()
-        columns = [*zip(*out)] if out else [(), (), ()]
-        return pa.table({n: pa.array(c, kind) for n, c, kind in zip(("task", "block", "packed"), columns, (pa.int64(), pa.int64(), pa.binary()))})
+        rows = [(task, *r) for r in on] + [(LOCAL, *r) for r in sure]
+        return pa.table({n: pa.array(c, kind) for n, c, kind in zip(("task", "block", "packed"), zip(*rows), (pa.int64(), pa.int64(), pa.binary()))})
 
-    runs = stored(spread(blocks, "block").groupBy("block").cogroup(spread(shared, "block").groupBy("block")).applyInArrow(send_runs, "task long, block long, packed binary"), "suffix-runs")
-    sure, sent = runs.filter(F.col("task") == LOCAL).select("block", F.col("packed").alias("marks")), runs.filter(F.col("task") != LOCAL)
+    plain, frequent = runs.filter("grp < 0").drop("grp"), runs.filter("grp >= 0")
+    if not frequent.isEmpty():
+        plain = plain.unionByName(stored(spread(frequent, "task", "grp").groupBy("task", "grp").applyInArrow(merge, "task long, block long, packed binary"), "suffix-merged"))
+    sure, sent = plain.filter(F.col("task") == LOCAL).select("block", F.col("packed").alias("marks")), plain.filter(F.col("task") != LOCAL)
 
     def mark(table: pa.Table) -> pa.Table:
         # Equal runs of several blocks become one; the others are split by their minimizers into small arrays.

@@ -30,7 +30,10 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-def test_passages(docs_of, texts):
+@pytest.mark.parametrize("hot", [256, 1])
+def test_passages(docs_of, texts, monkeypatch, hot):
+    """Also with every minimizer of two blocks merged by groups of blocks first."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
     got = by_id(suffixes.passage_report(docs_of([*texts.items()]), block_bytes=3000))
     seen, total = set(), 0
     for i, text in sorted(texts.items()):
