@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.retrieval import B, K1, tokens
+from tessera.operators.retrieval import K1, RETRIEVERS, B, registered, tokens
 from tessera.session import checkpointed
 from tessera.sources.commits import Log
 
@@ -172,3 +172,16 @@ class InvertedIndex:
         wanted = own.join(limits, [query, "term"]).filter(F.col("weight") * F.col("best") >= F.col("needed")).select(query, "term", "in_segment", "impact", "part", "weight")
         lists = pruned("postings", f"{schema}, postings array<struct<doc: long, tf: int, dl: int>>").select("term", "in_segment", "impact", "part", "postings")
         return wanted.join(lists, ["term", "in_segment", "impact", "part"]), dead, entry
+
+
+def build_index(docs: DataFrame, folder: str, doc: str = "doc_id", text: str = "text", **options) -> InvertedIndex:
+    """The index of a folder, made one of docs (only what changed is indexed anew)."""
+    index = InvertedIndex(docs.sparkSession, folder, **options)
+    index.refresh(docs, doc, text)
+    return index
+
+
+@registered(RETRIEVERS, "bm25-indexed")
+def _indexed_retriever(docs: DataFrame, queries: DataFrame, doc: str, query: str, k: int | None = None, folder: str = "", **options) -> DataFrame:
+    found = build_index(docs, folder, doc, **options).search(queries, query, k or max(1, docs.count()))
+    return found.withColumnRenamed("doc_id", doc) if doc != "doc_id" else found

@@ -183,6 +183,19 @@ def rerank_fallback(t):
     return op.reranked(scored(t), "item_id", "coarse", "score").select("item_id", "doc_id", "rerank_fallback", "rank")
 
 
+@query(f"""{HYBRID}, c AS (SELECT item_id, doc_id, rank AS coarse, CASE WHEN item_id % 6 = 5 THEN NULL ELSE (length(d.text) % 7)::DOUBLE END AS s FROM fused JOIN documents d USING (doc_id) WHERE rank <= 10)
+SELECT item_id, doc_id, rank, s IS NULL AS rerank_fallback FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, coarse) AS rank FROM c) WHERE rank <= 3""")
+def cross_encoder_rank(t):
+    """Candidates by a scorer of questions and contents; for some items it has no scores, and the coarse order stays."""
+    df = hybrid(t).filter("rank <= 10").select("item_id", "doc_id", F.col("rank").alias("coarse")).join(t.documents.select("doc_id", "text"), "doc_id")
+    asked = df.withColumn("question", F.col("item_id").cast("string"))
+
+    def scorer(questions, contents):
+        return [float("nan") if int(q) % 6 == 5 else len(c) % 7 for q, c in zip(questions, contents)]
+
+    return op.cross_encoded(asked, "item_id", "question", "text", "coarse", scorer, k=3).select("item_id", "doc_id", "rank", "rerank_fallback")
+
+
 @query(f"""{SCORED}, e AS (SELECT item_id, doc_id, coarse, (doc_id % 10)::DOUBLE AS s, CASE item_id % 8 WHEN 1 THEN 'timeout' WHEN 2 THEN 'error:no model' END AS rerank_error FROM sd), f AS (SELECT *, 0.35 * CASE WHEN n <= 1 THEN 1.0 ELSE 1 - (coarse - 1)::DOUBLE / (n - 1) END + 0.65 * CASE WHEN h = l THEN 1.0 ELSE (s - l) / (h - l) END AS x FROM
 (SELECT *, count(*) OVER w AS n, min(s) OVER w AS l, max(s) OVER w AS h FROM e WINDOW w AS (PARTITION BY item_id)))
 SELECT item_id, doc_id, rerank_error IS NOT NULL AS rerank_fallback, rerank_error, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN rerank_error IS NULL THEN round(x, 9) END DESC, coarse, doc_id) AS rank FROM f""")

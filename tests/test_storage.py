@@ -85,6 +85,8 @@ def test_index_equals_a_scan(spark, tmp_path):
     assert version == 2 and counts == {"added": len(is_.keys() - was.keys()), "changed": sum(is_[i] != was[i] for i in is_.keys() & was.keys()), "deleted": len(was.keys() - is_.keys())}
     check(now)
     assert index.refresh(spark.createDataFrame(now, schema))[0] == 2
+    by_name = retrieval.retriever("BM25-indexed")(spark.createDataFrame(now, schema).withColumnRenamed("doc_id", "d"), queries, "d", "q", 5, folder=str(tmp_path / "i"), buckets=8)
+    assert by_name.count() == index.search(queries, "q", 5).count() and "d" in by_name.columns and index.log.newest() == 2
     assert index.compact() == 3
     check(now)
     plan = index.search(queries.filter("q = 0"), "q", 5)._jdf.queryExecution().toString()
