@@ -18,8 +18,8 @@ dropped, and only the others look for an earlier match among all sets, dropped o
 
 Tokens are told apart by 64-bit hashes, and equal sets are found by 192 bits over these (a hash of them
 all and the signature). Tables of fixed size
-that every task gets: the counters, and a bitmap (BITS) that tells which documents and lines to read again;
-where it fills up, more lines than needed are sent, and the join leaves them out.
+that every task gets: the counters, and a bitmap (BITS) that tells which documents and lines to read again.
+More than FEW_PAIRS pairs would fill it; then the documents and lines to read again are found by joins.
 
 Cases: a null or empty text has one empty line, which stays; documents that share a doc_id follow each
 other in order of their texts; repeated rows are later copies; a null doc_id comes first; extra columns,
@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 from tessera.llm.common import drop_stored, free_names, stored
 
 THRESHOLD, LEADERS, KEYS, SLOTS, BITS = 0.8, 16, 3, 1 << 20, 1 << 25
+#: Up to so many pairs, of two lines and two documents each, a bitmap tells what to read again; beyond, it would be full.
+FEW_PAIRS = BITS // 8
 _PAGE = 1 << 15  # bits of one page of Spark's bitmaps
 
 
@@ -138,9 +140,14 @@ def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int
         """(id) of the later sets of the candidate pairs at or over the threshold."""
         found = stored(found, f"line-pairs-{tag}")
         ids = found.select(F.explode(F.array("id_a", "id_b")).alias("id"))
-        asked = ids.unionByName(ids.select((-1 - F.shiftright("id", bits)).alias("id")))  # lines, and their documents below zero
-        pages = stored(bitmap(asked), "line-bitmap")
-        again = lines_of(rows.filter(maybe_in(pages, -1 - F.shiftright("_at", bits)))).filter(maybe_in(pages, F.col("at")))
+        if found.count() <= FEW_PAIRS:
+            asked = ids.unionByName(ids.select((-1 - F.shiftright("id", bits)).alias("id")))  # lines, and their documents below zero
+            pages = stored(bitmap(asked), "line-bitmap")
+            again = lines_of(rows.filter(maybe_in(pages, -1 - F.shiftright("_at", bits)))).filter(maybe_in(pages, F.col("at")))
+        else:
+            pages = stored(ids.distinct(), "line-ids")
+            held = pages.select(F.shiftright("id", bits).alias("doc")).distinct()
+            again = lines_of(rows.join(held, F.shiftright("_at", bits) == F.col("doc"), "left_semi")).join(pages, F.col("at") == F.col("id"), "left_semi")
         whole = stored(again.select("at", tokens(F.col("line")).alias("h")), "line-tokens")
         one = found.join(whole.select(F.col("at").alias("id_a"), F.col("h").alias("a")), "id_a")
         both = one.join(whole.select(F.col("at").alias("id_b"), F.col("h").alias("b")), "id_b")

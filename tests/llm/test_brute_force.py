@@ -124,8 +124,10 @@ def dropped(texts):
     return {p for p, s in sets.items() if s and (s in gone or first[s] != p)}
 
 
-@pytest.mark.parametrize("leaders", [4, 1])
-def test_lines(docs_of, texts, leaders):
+@pytest.mark.parametrize("leaders, few", [(4, 1 << 22), (1, 1 << 22), (4, 0)])
+def test_lines(docs_of, texts, leaders, few, monkeypatch):
+    """few: the pairs up to which a bitmap tells what to read again."""
+    monkeypatch.setattr(lines, "FEW_PAIRS", few)
     lost = dropped(texts)
     got = by_id(lines.line_report(docs_of([*texts.items()]), leaders=leaders, slots=1 << 12))
     for i, text in texts.items():
