@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_dense_takes_any_number_of_queries(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "QUERY_BATCH", 4)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
     points = np.random.default_rng(2).standard_normal((30, 6))
     rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, embedding array<double>")
     got = {(r.q, r.rank): r.id for r in retrieval.dense(rows, rows.withColumnRenamed("id", "q"), "id", "q", 3).collect()}
