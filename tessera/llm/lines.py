@@ -14,13 +14,13 @@ pair the smaller set shares 2t / (1 + t) of its tokens, so of two prefixes' part
 lines of the pairs that remain are read again from their documents, and compared whole.
 
 A large group of near copies would give the square of its size. So every set is compared first with the
-LEADERS earliest that share one of KEYS pairs of neighbours, the most common tokens of its prefix; sets that match one of them are
-dropped, and only the others look for an earlier match among all sets, dropped ones too.
+LEADERS earliest that share one of KEYS pairs of neighbours, the most common tokens of its prefix, if more than LEADERS sets
+do; sets that match one of them are dropped, and only the others look for an earlier match among all sets, dropped ones too.
 
-Each line's tokens are stored as 64-bit hashes until they are counted and put in order; equal sets are found by
-192 bits over their codes (a hash of them all and the signature). Tables of fixed size
-that every task gets: the counters, and a bitmap (BITS) that tells which documents and lines to read again.
-More than FEW_PAIRS pairs would fill it; then the documents and lines to read again are found by joins.
+Each line's tokens are kept as 64-bit hashes on the executors' disks until they are counted and put in order; what a
+lost executor held is made again. Equal sets are found by 192 bits over their codes (a hash of them all and the
+signature). Tables of fixed size that every task gets: the counters, and a bitmap (BITS) that tells which documents and
+lines to read again. More than FEW_PAIRS pairs would fill it; then the documents and lines to read again are found by joins.
 
 Cases: a null or empty text has one empty line, which stays; documents that share a doc_id follow each
 other in order of their texts; repeated rows are later copies; a null doc_id comes first; extra columns,
@@ -29,6 +29,7 @@ whatever their names, are kept by dedup_lines; an empty table gives an empty res
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,10 +127,12 @@ def maybe_in(pages: DataFrame, id_: Column, bits: int = BITS) -> Column:
 def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = 1, leaders: int = LEADERS, keys: int = KEYS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(numbered documents, (at) of each line, (at) of each line to drop, bits); a line's at is its document's plus its number."""
     rows, bits = numbered(docs)
-    words = stored(lines_of(rows).select("at", tokens(F.col("line")).alias("h")), "line-words")
-    levels = stored(rarity_levels(words, slots), "levels")
-    all_lines = stored(hashed_sets(words, levels, threshold, slots), "line-sets")
-    drop_stored(words)
+    words = lines_of(rows).select("at", tokens(F.col("line")).alias("h")).persist(StorageLevel.DISK_ONLY)
+    try:
+        levels = stored(rarity_levels(words, slots), "levels")
+        all_lines = stored(hashed_sets(words, levels, threshold, slots), "line-sets")
+    finally:
+        words.unpersist(blocking=True)
     lines = all_lines.filter(F.col("n") >= max(min_tokens, 1))
     # Equal sets meet once, after each task has picked its own first; all but `at` follows from the set.
     sets = stored(lines.groupBy("key", "n", "sig", "odd", "prefix").agg(F.min("at").alias("id")).drop("key"), "first-lines")
@@ -168,12 +171,18 @@ def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int
             drop_stored(df)
         return done
 
-    # Leaders come from the tokens' groups by a top-k, which each task applies before the shuffle too.
+    # Most pairs of neighbours stand in few sets, which the second step can compare all. So pairs are counted first, without
+    # their sets, and only larger groups have leaders, by a top-k, which each task applies before the shuffle too. Of a
+    # smaller group that leaves `leaders` sets open at most, in place of its first.
     last = F.greatest(F.size("prefix") - keys - 1, F.lit(0))
     two = F.arrays_zip(F.slice("prefix", last + 1, F.lit(keys)).alias("x"), F.slice("prefix", last + 2, F.lit(keys)).alias("y"))
-    common = sets.select("id", "n", "sig", "odd", F.posexplode(two).alias("i", "two")).withColumn("tok", F.xxhash64("two.x", "two.y")).drop("two")
+    neighbours = sets.select("id", "n", "sig", "odd", F.posexplode(two).alias("i", "two")).withColumn("tok", F.xxhash64("two.x", "two.y")).drop("two")
+    large = stored(neighbours.groupBy("tok").agg(F.count("*").alias("sets")).filter(F.col("sets") > leaders).select("tok"), "line-groups")
+    common = stored(neighbours.join(large, "tok", "left_semi"), "line-neighbours")
     heads = common.withColumn("rank", F.row_number().over(Window.partitionBy("tok").orderBy("id"))).filter(F.col("rank") <= leaders)
     early = matched(pairs(heads, common, False).distinct(), "early")
+    drop_stored(large)
+    drop_stored(common)
     size = F.when(F.col("early"), -F.col("n")).otherwise(F.col("n"))
     rest = sets.join(early.withColumn("early", F.lit(True)), "id", "left").select("id", size.alias("n"), "sig", "odd", F.posexplode("prefix").alias("i", "tok"))
     rest = rest.filter(" AND ".join(f"{c} IS NOT NULL" for c in rest.columns))  # both sides alike

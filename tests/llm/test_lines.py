@@ -35,3 +35,25 @@ def test_either_set_may_be_the_larger_and_the_later_one(spark):
 def test_letters_beyond_ascii_are_lower_cased_as_in_the_whole_text(spark):
     docs = spark.createDataFrame([(1, "ΟΔΟΣ Straße É\tx\ry z"), (2, "οδος straße é X Y Z"), (3, "İ a"), (4, "i̇ A")], "doc_id long, text string")
     assert [r.n_removed for r in lines.line_report(docs).orderBy("doc_id").collect()] == [0, 1, 0, 1]
+
+
+def test_only_large_groups_have_leaders(docs_of, spark, monkeypatch):
+    """Pairs of neighbours of few sets aren't shuffled with these, and tokens aren't written as a table or kept afterwards."""
+    rows = {}
+
+    def stored(df, tag, *more, real=lines.stored):
+        out = real(df, tag, *more)
+        rows[tag] = rows.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(lines, "stored", stored)
+    large = {i: " ".join([*(f"w{k}" for k in range(28)), f"x{i}", f"y{i}"]) for i in range(40)}
+    small = {100 + i: " ".join([*(f"v{k}" for k in range(28)), f"z{i}"]) for i in range(4)}
+    alone = {200 + i: " ".join(f"own{i}x{k}" for k in range(12)) for i in range(60)}
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    want = {i: int(i in large and i > 0 or i in small and i > 100) for i in {**large, **small, **alone}}
+    for leaders in (0, 5):
+        rows.clear()
+        assert {r.doc_id: r.n_removed for r in lines.line_report(docs_of([*large.items(), *small.items(), *alone.items()]), leaders=leaders).collect()} == want
+        assert "line-words" not in rows and spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    assert 0 < rows["line-neighbours"] <= lines.KEYS * len(large)
